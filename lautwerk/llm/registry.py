@@ -15,6 +15,19 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lautwerk.llm import pii
+
+    docs = table(spark, sf_dir, "documents")
+    return pii.found(docs, pii.train(docs))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lautwerk.llm import packing
+
+    return packing.packed(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), tokens=False)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lautwerk.llm import toxicity
 
@@ -36,7 +49,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_toxicity, op8_byte_bpe, op9_quality)}
+    return {f.__name__: f for f in (op1_pii, op4_packing, op6_toxicity, op8_byte_bpe, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
