@@ -34,6 +34,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lautwerk.llm import licenses
+
+    return licenses.summary(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,9 +54,17 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lautwerk.llm import linededup
+
+    return linededup.summary(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op4_packing, op6_toxicity, op8_byte_bpe, op9_quality)}
+    return {f.__name__: f for f in (op1_pii, op4_packing, op6_toxicity, op7_licenses, op8_byte_bpe, op9_quality, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from lautwerk.llm import licenses, linededup
+
+    return {"op7_licenses": licenses.summary_sql(), "op10_line_dedup": linededup.SUMMARY_SQL}
