@@ -28,6 +28,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), tokens=False)
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lautwerk.llm import minhash
+
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lautwerk.llm import toxicity
 
@@ -61,7 +67,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op4_packing, op6_toxicity, op7_licenses, op8_byte_bpe, op9_quality, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_pii, op4_packing, op5_minhash, op6_toxicity, op7_licenses, op8_byte_bpe, op9_quality, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
