@@ -22,6 +22,12 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.found(docs, pii.train(docs))
 
 
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lautwerk.llm import fingerprint
+
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lautwerk.llm import packing
 
@@ -67,7 +73,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op4_packing, op5_minhash, op6_toxicity, op7_licenses, op8_byte_bpe, op9_quality, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_pii, op3_fingerprint, op4_packing, op5_minhash, op6_toxicity, op7_licenses, op8_byte_bpe, op9_quality, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
