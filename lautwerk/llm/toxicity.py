@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from lautwerk.llm.common import cut_between, fold, labelled_sample
 
 #: At most so many labelled rows of either label train the model.
-MAX_TOXIC, MAX_CLEAN = 1_500, 6_000
+MAX_TOXIC, MAX_CLEAN = 1_500, 4_000
 BUCKETS, DIM, SIZES = 1 << 18, 12, (3, 4, 5)
+#: Word forms of clean and of toxic documents that training looks at: the commonest, and a sample of the rarer clean ones.
+FORMS = 80_000
 #: Negative word forms in a round of training, and code points scored at once.
 MAX_WORDS, BLOCK = 50_000, 1 << 19
 SEPARATORS = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r.,;:!?\"()[]{}|"})
@@ -57,7 +59,7 @@ def grams(points: np.ndarray):
             if 0 < k < n - 1:
                 inner &= ~space[k : m + k]
         at = np.flatnonzero(inner)
-        yield at, (h[at] >> np.uint32(3)) % np.uint32(BUCKETS)
+        yield at.astype(np.int32), (h[at] >> np.uint32(3)) % np.uint32(BUCKETS)
 
 
 def word_values(points: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -119,7 +121,7 @@ def _bags(words: list[str]):
         bucket.append(b[ok])
     owner, bucket = np.concatenate(owner), np.concatenate(bucket)
     order = np.argsort(owner, kind="stable")
-    return bucket[order].astype(np.int64), np.searchsorted(owner[order], np.arange(len(words) + 1))
+    return bucket[order].astype(np.int32), np.searchsorted(owner[order], np.arange(len(words) + 1))
 
 
 class _Trainer:
@@ -178,18 +180,22 @@ def fit(texts: list[str], y: np.ndarray, rounds: int = 5, seed: int = 11) -> Sub
     """Alternates between choosing words (toxic documents' likeliest, clean documents' likeliest and commonest) and training vectors and softmax on them."""
     if not (y == 1).any() or not (y == 0).any():
         return None
-    read = [[w for w in (t or "").lower().translate(SEPARATORS).split(" ") if w] for t in texts]
-    docs = [set(words) for words in read]
-    clean, around = Counter(), defaultdict(set)
-    for words, label in zip(read, y):
+    clean, around, inside = Counter(), defaultdict(set), []
+    for t, label in zip(texts, y):
+        own = [w for w in (t or "").lower().translate(SEPARATORS).split(" ") if w]
         if label == 1:
-            for before, w, after in zip(["", *words], words, [*words[1:], ""]):
-                around[w].add((before, after))
+            inside.append(set(own))
+            for before, w, after in zip(["", *own], own, [*own[1:], ""]):
+                around[w].add(hash((before, after)))
         else:
-            clean.update(set(words))
+            clean.update(set(own))
     toxic = {w: len(pairs) for w, pairs in around.items()}  # support by different neighbours: copies of a passage count once
+    del around
+    rng = np.random.default_rng(seed)
     known = sorted(clean, key=lambda w: (-clean[w], w))
-    only = sorted(set(toxic) - set(clean))
+    rare = np.sort(rng.permutation(max(0, len(known) - FORMS // 2))[: FORMS // 2]) + FORMS // 2
+    known = known[: FORMS // 2] + [known[i] for i in rare]
+    only = sorted(toxic.keys() - clean.keys(), key=lambda w: (-toxic[w], w))[:FORMS]
     if not only or not known:
         return None
     words = known + only
@@ -198,7 +204,7 @@ def fit(texts: list[str], y: np.ndarray, rounds: int = 5, seed: int = 11) -> Sub
     points = code_points(" " + " ".join(words) + " ")
     n_clean = len(known)
     often = 1 + np.log1p(np.array([clean[w] for w in known]))
-    inside = [np.sort(np.array([place[w] for w in d if place[w] >= n_clean], int)) for d, label in zip(docs, y) if label == 1]
+    inside = [np.sort(np.array([place[w] for w in own if place.get(w, 0) >= n_clean], int)) for own in inside]
     value = np.array([0.0] * n_clean + [toxic[w] / (toxic[w] + 1.0) for w in only])
     model = _Trainer(seed)
     for k in range(rounds):
