@@ -22,6 +22,12 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.found(docs, pii.train(docs))
 
 
+def op2_embed_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lautwerk.llm import neardup_embed
+
+    return neardup_embed.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lautwerk.llm import fingerprint
 
@@ -73,10 +79,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op3_fingerprint, op4_packing, op5_minhash, op6_toxicity, op7_licenses, op8_byte_bpe, op9_quality, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_pii, op2_embed_neardup, op3_fingerprint, op4_packing, op5_minhash, op6_toxicity, op7_licenses, op8_byte_bpe, op9_quality, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from lautwerk.llm import licenses, linededup
-
-    return {"op7_licenses": licenses.summary_sql(), "op10_line_dedup": linededup.SUMMARY_SQL}
+    from lautwerk.llm import licenses, linededup, minhash, neardup_embed
+
+    return {
+        "op2_embed_neardup": neardup_embed.SUMMARY_SQL,
+        "op5_minhash": minhash.SUMMARY_SQL,
+        "op7_licenses": licenses.summary_sql(),
+        "op10_line_dedup": linededup.SUMMARY_SQL,
+    }
