@@ -46,6 +46,8 @@ class Scratch:
     def drop(self, *frames: DataFrame) -> None:
         jvm = self.spark._jvm
         for df in frames:
+            if "_scratch_path" not in df.__dict__:
+                continue
             path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
