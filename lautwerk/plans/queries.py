@@ -527,3 +527,62 @@ SELECT n, round(ln(c2), 6) AS two, round(ln(c2 + n / 1.0), 6) AS three, round(ln
 def nml(spark, d):
     n = read(spark, d, "part", "p_size").where("p_size > 0").select(F.col("p_size").cast("long").alias("n")).distinct()
     return n.select("n", *[r6(stats.nml_normalizer(F.col("n"), k)).alias(name) for k, name in ((2, "two"), (3, "three"), (4, "four"))])
+
+
+# --- without SQL: kernels and training
+
+
+@query()
+def syllables(spark, d):
+    """Syllable breaks of the words of part names."""
+    from lautwerk.functions.features import segment, syllable_breaks
+
+    @F.udf("array<int>")
+    def breaks(word: str) -> list[int]:
+        return syllable_breaks(segment(word))
+
+    words = words_of_c(spark, d).select(F.explode(F.array("one", "two")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("count"))
+    return words.select("word", "count", F.concat_ws(",", breaks("word").cast("array<string>")).alias("breaks"))
+
+
+@query()
+def align_spans(spark, d):
+    """Alignment with spans and feature distances of the words of part names."""
+    from lautwerk.functions.features import distance
+    from lautwerk.operators.alignment import align_pairs, prior_costs
+    from lautwerk.operators.pairwise import chunk_tier
+
+    pairs = words_of_c(spark, d).groupBy("one", "two").agg(F.count(F.lit(1)).alias("count"))
+    pairs = pairs.select("one", "two", "count", counts.letters(F.col("one")).alias("source"), counts.letters(F.col("two")).alias("target"))
+    return align_pairs(pairs, prior_costs(distance, tier=chunk_tier)).select("one", "two", "count", F.size("links").cast("long").alias("links"), r6("cost").alias("cost"))
+
+
+def _toy(spark: SparkSession):
+    """Two lects by rule: k becomes tʃ before front vowels, p becomes f everywhere."""
+    from lautwerk.sources import corpus
+
+    rows = ["cognate_id\tlect_id\tsegments"]
+    k = 0
+    for c in "ptkbdmns":
+        for v in "ieou":
+            for w in "tnsl":
+                word = [c, v, w, "a"]
+                after = ["tʃ" if x == "k" and word[i + 1] in "ie" else "f" if x == "p" else x for i, x in enumerate(word)]
+                rows += [f"w{k}\told\t{' '.join(word)}", f"w{k}\tnew\t{' '.join(after)}"]
+                k += 1
+    return corpus.load_long(spark, text="\n".join(rows))
+
+
+@query()
+def train_full(spark, d):
+    """Conditioned classes of a corpus made by rule, from loading to the verdict against permuted contexts."""
+    from lautwerk.plans.train import train
+
+    return train(_toy(spark)).conditioned
+
+
+@query()
+def train_classes(spark, d):
+    from lautwerk.plans.train import train
+
+    return train(_toy(spark)).classes
