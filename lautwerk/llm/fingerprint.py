@@ -169,9 +169,9 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     names = docs.select(block.alias("block")).distinct().withColumn("many", F.expr(f"block div {GROUP}"))
     few = names.groupBy("many").agg(F.min("block").alias("first"))
     few = few.withColumn("then", F.lead("first").over(Window.orderBy("many")))
-    least = names.agg(F.min("block").alias("least"))
+    round_trip = names.agg(F.max("many").alias("many"), F.min("block").alias("least"))
     follow = F.lead("block").over(Window.partitionBy("many").orderBy("block"))
-    names = names.withColumn("follow", follow).join(few, "many").crossJoin(F.broadcast(least))
+    names = names.withColumn("follow", follow).join(few, "many").join(round_trip, "many", "left")
     names = names.select("block", F.coalesce("follow", "then", "least").alias("follow"))
     heads = rows.groupBy("block").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("o"), "doc_id", *columns)).alias("head"))
     heads = heads.select(F.col("block").alias("follow"), F.struct(*[F.col(f"head.{c}").alias(c) for c in columns]).alias("head"))
