@@ -586,3 +586,41 @@ def train_classes(spark, d):
     from lautwerk.plans.train import train
 
     return train(_toy(spark)).classes
+
+
+_EDGES = """
+  e AS (SELECT p_partkey AS a, min(p_partkey) OVER (PARTITION BY p_name, p_size) AS b FROM part
+        UNION SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand, p_type, p_size) FROM part),
+  u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+  reach(a, b) AS (SELECT p_partkey, p_partkey FROM part UNION SELECT reach.a, u.b FROM reach JOIN u ON reach.b = u.a),
+  comp AS (SELECT a AS p_partkey, min(b) AS comp FROM reach GROUP BY 1)"""
+
+
+def _components(spark, d) -> DataFrame:
+    from lautwerk.operators.graph import Scratch, label_components
+
+    parts = read(spark, d, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    return label_components(parts, "p_partkey", [["p_name", "p_size"], ["p_brand", "p_type", "p_size"]], Scratch(spark, "components"))
+
+
+@query(f"WITH RECURSIVE {_EDGES} SELECT p_partkey, comp FROM comp")
+def components(spark, d):
+    return _components(spark, d)
+
+
+@query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT comp, (row_number() OVER (ORDER BY comp) - 1) % 5 AS fold FROM (SELECT DISTINCT comp FROM comp)) SELECT p_partkey, CAST(fold AS BIGINT) AS fold FROM comp JOIN r USING (comp)")
+def folds(spark, d):
+    from lautwerk.operators.graph import ranked
+
+    comp = _components(spark, d)
+    dealt = ranked(comp.select("comp").distinct(), "comp").select("comp", (F.col("place") % 5).alias("fold"))
+    return comp.join(dealt, "comp").select("p_partkey", "fold")
+
+
+@query()
+def evaluate_full(spark, d):
+    """Held-out prediction on the corpus made by rule."""
+    from lautwerk.plans.evaluate import predictive as evaluate
+    from lautwerk.sources.corpus import publish
+
+    return evaluate(publish(_toy(spark)), 4)

@@ -207,3 +207,56 @@ def test_stream_counts(spark, tmp_path):
     q = running_counts(stream).writeStream.outputMode("complete").format("memory").queryName("counts").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.source, r["count"]) for r in spark.table("counts").collect()} == {("p", 2), ("t", 1)}
+
+
+def test_tables_of_links(spark):
+    from lautwerk.operators import tables
+
+    rows = ["cognate_id\tlect_id\tsegments"]
+    for k in range(12):
+        c, tone = ("b", "²") if k % 2 else ("p", "⁵")
+        rows += [f"{k}\ta\t{c} a t", f"{k}\tb\tp a{tone}", f"{k}\tc\tp a{tone}"]
+    sets = corpus.publish(corpus.load_long(spark, text="\n".join(rows)))
+    links = pairwise.aligned(pairwise.form_pairs(sets))
+    at = tables.bound(links, sets).cache()
+    gaps = {(r.lect_a, r.lect_b, r.source, r.target): r["count"] for r in tables.gap_rows(at).collect()}
+    assert gaps["a", "b", "t", "∅"] == 12 and gaps["a", "c", "t", "∅"] == 12
+    tones = {(r.lect_a, r.lect_b, r.source_tone, r.target_tone): r["count"] for r in tables.tonal_counts(at).collect()}
+    assert tones["b", "c", "⁵", "⁵"] == 6 and tones["a", "b", "", "²"] == 6
+    assert [(r.a, r.b, r.shared) for r in tables.duplicate_lects(sets).collect()] == [("b", "c", 12)]
+    seen = classes.reconciled(links, sets)
+    band = {r.tuple: (r.low, r.high) for r in tables.class_intervals(seen, 50).collect()}
+    assert all(0 <= low <= high <= 1 for low, high in band.values()) and len(band) >= 3
+    assert tables.dimension_rules(at).count() >= 0
+
+
+def test_dependency_folds(spark):
+    from lautwerk.operators.graph import Scratch
+    from lautwerk.plans.evaluate import folds
+
+    rows = [(f"s{i}", f"c{i // 2}", "" if i % 5 else "e", "") for i in range(30)]
+    sets = spark.createDataFrame(rows, "set_id string, cognate_id string, etymon_group string, source_group string")
+    got = {r.set_id: r.fold for r in folds(sets, 3, Scratch(spark, "folds")).collect()}
+    assert len(got) == 30 and all(got[f"s{2 * i}"] == got[f"s{2 * i + 1}"] for i in range(15))
+    assert len({got[f"s{i}"] for i in range(0, 30, 5)}) == 1 and len(set(got.values())) == 3
+
+
+def test_held_out_prediction(spark):
+    r = plans.QUERIES["evaluate_full"](spark, SF).first()
+    assert r.n > 100 and r.top1 > 0.7 and r.log_loss < 1.5
+
+
+def test_cldf(spark):
+    from lautwerk.sources.cldf import from_cldf
+
+    forms = spark.createDataFrame([("1", "x", "p a"), ("2", "y", "f a"), ("3", "y", None)], "ID string, Language_ID string, Segments string")
+    cognates = spark.createDataFrame([("1", "c", "false"), ("2", "c", "true"), ("3", "c", "false")], "Form_ID string, Cognateset_ID string, Doubt string")
+    assert [tuple(r) for r in from_cldf(forms, cognates).collect()] == [("c", "x", "p a")]
+
+
+def test_ranks_over_blocks(spark):
+    from lautwerk.operators.graph import ranked
+
+    ids = [-9, 0, 1, 5000, 4096 * 4096 * 3, 7, 2**40]
+    got = {r.i: r.place for r in ranked(spark.createDataFrame([(i,) for i in ids], "i long"), "i").collect()}
+    assert got == {i: k for k, i in enumerate(sorted(ids))}
