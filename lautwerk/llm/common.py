@@ -1,99 +1,17 @@
-"""What the operators of this subpackage share: scratch tables, components, labelled samples."""
+"""What the operators of this subpackage share: tables, labelled samples, cuts of scores."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lautwerk.operators.graph import Scratch, components, scratch_root
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = tempfile.mkdtemp(prefix="lautwerk-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-class Scratch:
-    """Tables written into the shared folder, which cut lineage and outlive executors.
-
-    ``drop`` removes those that no later step reads; what a returned frame
-    still reads stays for the owner of the folder to clean.
-    """
+__all__ = ["Scratch", "components", "cut_between", "fold", "labelled_sample", "scratch_root", "table"]
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.base = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-        self.count = 0
 
-    def keep(self, df: DataFrame, label: str = "t") -> DataFrame:
-        self.count += 1
-        path = f"{self.base}/{label}{self.count}"
-        schema = df.schema
-        df.write.parquet(path)
-        out = self.spark.read.schema(schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, *frames: DataFrame) -> None:
-        jvm = self.spark._jvm
-        for df in frames:
-            if "_scratch_path" not in df.__dict__:
-                continue
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """Connected components of ``edges(a, b)`` (longs): ``node, comp`` for each node with an edge to another.
-
-    ``comp`` is the smallest node reachable.  Each round hooks every node onto
-    its smallest neighbour (a minimum, summed up before the shuffle, so hubs
-    don't concentrate in a task), shortens the chains of hooks, and contracts
-    the graph to what is left; rounds grow with the logarithm of the graph.
-    """
-    spark = scratch.spark
-    left = scratch.keep(
-        edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges"
-    )
-    rounds: list[DataFrame] = []
-    while not left.isEmpty():
-        both = left.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(
-            left.select(F.col("b").alias("node"), F.col("a").alias("to"))
-        )
-        hook = both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("up"))
-        hook = scratch.keep(hook, "hook")
-        up = hook.select(F.col("node").alias("up"), F.col("up").alias("up2"))
-        twice = hook.join(up, "up").select("node", F.col("up2").alias("up"))
-        up4 = twice.select(F.col("node").alias("up"), F.col("up").alias("up2"))
-        hooked = scratch.keep(twice.join(up4, "up").select("node", F.col("up2").alias("up")), "up")
-        scratch.drop(hook)
-        rounds.append(hooked)
-        a = hooked.select(F.col("node").alias("a"), F.col("up").alias("ua"))
-        b = hooked.select(F.col("node").alias("b"), F.col("up").alias("ub"))
-        fresh = left.join(a, "a").join(b, "b").where("ua <> ub")
-        fresh = fresh.select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct()
-        fresh = scratch.keep(fresh, "edges")
-        scratch.drop(left)
-        left = fresh
-    scratch.drop(left)
-    if not rounds:
-        return spark.createDataFrame([], "node long, comp long")
-    out = rounds[0].withColumnRenamed("up", "comp")
-    for later in rounds[1:]:
-        step = later.select(F.col("node").alias("comp"), "up")
-        out = out.join(step, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp"))
-    out = scratch.keep(out, "comp")
-    scratch.drop(*rounds)
-    return out
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def fold(column: str = "doc_id"):
