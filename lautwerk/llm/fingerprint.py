@@ -6,16 +6,22 @@ parts; every digest goes to one cell of each part, and a cell keeps a count,
 the exclusive or of its digests, and that of their checks.  Two sketches are
 subtracted cell by cell; cells that then hold one digest only are peeled, and
 what they give is taken from the digest's other cells, until nothing is left:
-the digests in which two versions differ.  If peeling gets stuck, it is tried
-again on larger sketches, whose digests are first dealt to shards, so that
-work stays in proportion to the text.
+the digests in which two versions differ.  Comparisons whose peeling gets
+stuck are tried again on larger sketches.
 
 The likeness of two fingerprints is that of their sets, intersection over
 union, from the sets' sizes and the number of peeled digests.
 
-Everything is DataFrame functions.  Each document meets the next one in a
-block of consecutive ids; a block's last document meets the first of the next
-block by a join on blocks.  So texts are shuffled once.
+Everything is DataFrame functions.  Cells are rows: a sketch is a grouped
+count and exclusive or, so subtracting is the same aggregation with a sign, and
+a step of peeling is one pass that lets every pure cell of one part give its
+digest back to the cells of all three (within a part no digest is pure twice).
+Passes keep the partitioning by document, so none shuffles, and a long
+document is many rows, not a large one.
+
+Each document meets the next one in a block of consecutive ids; a block's last
+document meets the first of the next block by a join on blocks.  So texts are
+shuffled once.
 
 Defined cases: a null text is an empty one, which has one empty paragraph;
 null ids come first; documents of one id are ordered by text; the only row of
@@ -24,140 +30,96 @@ a table is its own successor; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Cells of a fingerprint; of a shard's sketches in the order in which they are tried; digests of a shard, on average.
-CELLS, LADDER, SHARD = 24, (36, 108, 324, 972, 2916), 16
-#: Ids of a block, blocks of a group of blocks, rounds of peeling.
-BLOCK, GROUP, ROUNDS = 512, 4096, 40
+from lautwerk.llm.common import Scratch
 
-def digests(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.split(text, r"\n|(?<=[.!?]) "), lambda p: F.xxhash64(p)))
+#: Cells of a part of a fingerprint; cells of a part of a comparison's sketch are FACTORS[try] x both sets' digests / 3 + SPARE.
+CELLS, FACTORS, SPARE = 8, (0.7, 1.5, 4.0), 6
+#: Passes of peeling, a part's cells in each, in turn.
+PASSES = 24
+#: Ids of a block, blocks of a group of blocks.
+BLOCK, GROUP = 512, 4096
+#: The row of a comparison that counts peeled digests.
+TALLY = -1
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def digests(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.split(text, r"\n|(?<=[.!?]) "), lambda p: F.xxhash64(p)))
 
 
 def check(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit(101))
 
 
-def place(digest: Column, part: int, third: Column) -> Column:
+def place(digest: Column, part: int, third: Column, salt: Column) -> Column:
     """The cell of a digest in one of the three parts."""
-    return F.pmod(F.xxhash64(digest, F.lit(part)), third) + third * part
-
-
-def placed(own: Column, third: Column) -> Column:
-    """Digests with their three cells and check."""
-    return F.transform(
-        own, lambda d: F.struct(d.alias("k"), check(d).alias("h"), *[place(d, p, third).alias(f"p{p}") for p in range(3)], F.lit(1).alias("c"))
-    )
-
-
-def touches(x: Column, cell: Column) -> Column:
-    return (x["p0"] == cell) | (x["p1"] == cell) | (x["p2"] == cell)
-
-
-def _merge(cell: Column, x: Column, sign: int) -> Column:
-    return F.struct(
-        (cell["c"] + x["c"] * sign).cast("int").alias("c"), cell["k"].bitwiseXOR(x["k"]).alias("k"), cell["h"].bitwiseXOR(x["h"]).alias("h")
-    )
-
-
-def sketch(own: Column, cells: Column) -> Column:
-    """Cells (a multiple of three) of a set of digests."""
-    third = F.floor(cells / 3).cast("long")
-    empty = F.struct(F.lit(0).alias("c"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
-    return let(
-        placed(own, third),
-        lambda all_: F.transform(
-            F.sequence(F.lit(0).cast("long"), cells - 1),
-            lambda i: F.aggregate(F.filter(all_, lambda x: touches(x, i)), empty, lambda acc, x: _merge(acc, x, 1)),
-        ),
+    return F.pmod(F.xxhash64(digest, F.lit(part), salt), third) + third * part
+
+
+def _summed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells of rows: counts with their signs, exclusive ors of digests and of checks; cells that are empty go."""
+    out = rows.groupBy(*keys, "cell").agg(F.sum("c").alias("c"), F.bit_xor("k").alias("k"), F.bit_xor("h").alias("h"))
+    return out.where((F.col("c") != 0) | (F.col("k") != 0) | (F.col("h") != 0))
+
+
+def sketched(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells of ``rows(keys.., third, salt, d, sign)``, a row for each digest."""
+    cells = F.explode(F.array(*[place(F.col("d"), p, F.col("third"), F.col("salt")) for p in range(3)]))
+    each = rows.select(*keys, F.col("sign").alias("c"), F.col("d").alias("k"), check(F.col("d")).alias("h"), cells.alias("cell"))
+    return _summed(each, keys)
+
+
+def peeled(cells: DataFrame, keys: list[str], passes: int = PASSES) -> DataFrame:
+    """``keys.., found, stuck`` of subtracted sketches: digests that were recovered, and cells that are left; keys hold third and salt.
+
+    A pass looks at one part: a pure cell gives its digest, with the opposite
+    sign, to its three cells (itself among them), and one to the tally.
+    """
+    for n in range(passes):
+        part, third = n % 3, F.col("third")
+        own = F.struct("cell", "c", "k", "h")
+        pure = (F.col("cell") >= third * part) & (F.col("cell") < third * (part + 1)) & (F.abs("c") == 1) & (check(F.col("k")) == F.col("h"))
+        gives = [F.struct(place(F.col("k"), p, third, F.col("salt")).alias("cell"), (-F.col("c")).alias("c"), F.col("k"), F.col("h")) for p in range(3)]
+        tally = F.struct(F.lit(TALLY).cast("long").alias("cell"), F.lit(1).cast("long").alias("c"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
+        rows = cells.select(*keys, F.explode(F.when(pure, F.array(own, *gives, tally)).otherwise(F.array(own))).alias("x"))
+        cells = _summed(rows.select(*keys, "x.*"), keys)
+    return cells.groupBy(*keys).agg(
+        F.sum(F.when(F.col("cell") == TALLY, F.col("c")).otherwise(0)).alias("found"), F.count_if(F.col("cell") != TALLY).alias("stuck")
     )
 
 
-def subtracted(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: _merge(x, y, -1))
-
-
-def peeled(cells: Column) -> Column:
-    """Digests that a subtracted sketch holds; null if peeling gets stuck."""
-    third = F.floor(F.size(cells) / 3).cast("long")
-    state = F.struct(cells.alias("cells"), F.array().cast("array<bigint>").alias("found"), F.lit(True).alias("go"))
-
-    def pure(now: Column) -> Column:
-        ones = F.filter(now, lambda x: (F.abs(x["c"]) == 1) & (check(x["k"]) == x["h"]))
-        return F.transform(
-            F.array_distinct(ones),
-            lambda x: F.struct(x["k"].alias("k"), x["h"].alias("h"), *[place(x["k"], p, third).alias(f"p{p}") for p in range(3)], x["c"].alias("c")),
-        )
-
-    def taken(s: Column, ones: Column) -> Column:
-        left = F.transform(
-            s["cells"], lambda cell, i: F.aggregate(F.filter(ones, lambda x: touches(x, i.cast("long"))), cell, lambda acc, x: _merge(acc, x, -1))
-        )
-        return F.struct(left.alias("cells"), F.concat(s["found"], F.transform(ones, lambda x: x["k"])).alias("found"), (F.size(ones) > 0).alias("go"))
-
-    def step(s: Column, _: Column) -> Column:
-        return F.when(~s["go"], s).otherwise(let(pure(s["cells"]), lambda ones: taken(s, ones)))
-
-    def result(s: Column) -> Column:
-        clear = ~F.exists(s["cells"], lambda x: (x["c"] != 0) | (x["k"] != 0) | (x["h"] != 0))
-        return F.when(clear, s["found"])
-
-    return F.aggregate(F.array_repeat(F.lit(0), ROUNDS), state, step, result)
-
-
-def shards(own: Column, count: Column) -> Column:
-    """Digests dealt to ``count`` (a power of two) shards, in two steps."""
-    bits = F.log2(count).cast("int")
-    first = F.call_function("shiftleft", F.lit(1).cast("long"), F.floor(bits / 2).cast("int"))
-    then = F.floor(count / first).cast("long")
-
-    def of(d: Column) -> Column:
-        return F.xxhash64(d, F.lit(7))
-
-    def sub(part: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0).cast("long"), then - 1), lambda b: F.filter(part, lambda d: F.pmod(F.floor(of(d) / 65536), then) == b))
-
-    return F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), first - 1), lambda a: sub(F.filter(own, lambda d: F.pmod(of(d), first) == a))))
-
-
-def difference(own: Column, other: Column, own_cells: Column, other_cells: Column) -> Column:
-    """How many digests two sets differ in: first from their fingerprints, then from shards' sketches, larger until they peel."""
-    most = F.greatest(F.size(own), F.size(other))
-    count = F.call_function("shiftleft", F.lit(1).cast("long"), F.ceil(F.log2(F.greatest(F.lit(1.0), most / SHARD))).cast("int"))
-
-    def shard(x: Column) -> Column:
-        tried = F.aggregate(
-            F.array(*[F.lit(m).cast("long") for m in LADDER]),
-            F.lit(None).cast("bigint"),
-            lambda acc, m: F.when(acc.isNotNull(), acc).otherwise(F.size(peeled(subtracted(sketch(x["a"], m), sketch(x["b"], m)))).cast("bigint")),
-        )
-        # beyond the last rung: two digests alike in all cells; counted as they are
-        return F.coalesce(tried, (F.size(F.array_except(x["a"], x["b"])) + F.size(F.array_except(x["b"], x["a"]))).cast("bigint"))
-
-    def retried(n: Column) -> Column:
-        both = F.arrays_zip(shards(own, n).alias("a"), shards(other, n).alias("b"))
-        return F.aggregate(both, F.lit(0).cast("bigint"), lambda acc, x: acc + shard(x))
-
-    first = F.size(peeled(subtracted(own_cells, other_cells))).cast("bigint")
-    return let(first, lambda found: F.when(found.isNotNull() & (found >= 0), found).otherwise(let(count, retried)))
-
-
-def likeness(own: Column, other: Column, own_cells: Column, other_cells: Column) -> Column:
-    total = (F.size(own) + F.size(other)).cast("double")
-    return let(difference(own, other, own_cells, other_cells), lambda d: (total - d) / (total + d))
-
-
-def written(cells: Column) -> Column:
-    return F.array_join(F.transform(cells, lambda x: F.concat_ws(".", x["c"].cast("string"), F.lower(F.hex(x["k"])), F.lower(F.hex(x["h"])))), ",")
+def differences(pairs: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
+    """``keys.., differ``: how many digests the arrays a and b of each row of ``pairs`` differ in.
+
+    Rows whose arrays are equal have no cells and differ in nothing.
+    """
+    left, out = pairs, None
+    size = F.size("a") + F.size("b")
+    for n, factor in enumerate(FACTORS):
+        signed = F.concat(*[F.transform(c, lambda d: F.struct(d.alias("d"), F.lit(s).cast("long").alias("sign"))) for c, s in (("a", 1), ("b", -1))])
+        rows = left.repartition(*keys).select(*keys, F.ceil(size * F.lit(factor) / 3 + SPARE).cast("long").alias("third"), F.lit(n).alias("salt"), F.explode(signed).alias("x"))
+        inner = [*keys, "third", "salt"]
+        found = scratch.keep(peeled(sketched(rows.select(*inner, "x.*"), inner), inner), "peeled")
+        ok = found.where("stuck = 0").select(*keys, F.col("found").alias("differ"))
+        out = ok if out is None else out.unionByName(ok)
+        stuck = found.where("stuck > 0").select(*keys)
+        if stuck.isEmpty():
+            break
+        left = pairs.join(stuck, keys, "left_semi")
+        if n + 1 == len(FACTORS):  # beyond the last size: counted as they are
+            plain = (F.size(F.array_except("a", "b")) + F.size(F.array_except("b", "a"))).cast("long")
+            out = out.unionByName(left.select(*keys, plain.alias("differ")))
+    return pairs.select(*keys).join(out, keys, "left").select(*keys, F.coalesce("differ", F.lit(0)).cast("long").alias("differ"))
+
+
+def written(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys.., written``: sketches of (keys.., d) of a fixed size, as text."""
+    inner = rows.select(*keys, F.lit(CELLS).cast("long").alias("third"), F.lit(0).alias("salt"), "d", F.lit(1).cast("long").alias("sign"))
+    cell = F.concat_ws(".", F.col("cell").cast("string"), F.col("c").cast("string"), F.lower(F.hex("k")), F.lower(F.hex("h")))
+    cells = sketched(inner, [*keys, "third", "salt"]).select(*keys, F.struct("cell", cell.alias("text")).alias("x"))
+    return cells.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["text"]), ",").alias("written"))
 
 
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -182,6 +144,7 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited version, and their likenesses."""
+    scratch = Scratch(docs.sparkSession, "fingerprint")
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = with_next(base, ["text"])
     n = F.length("text")
@@ -193,15 +156,26 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         digests(F.col("next_text")).alias("after"),
         F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"),
     )
-    rows = rows.select("doc_id", "n_chars", "own", "after", digests(F.col("edited")).alias("changed"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    cells = F.lit(CELLS).cast("long")
-    rows = rows.select("*", *[sketch(F.col(c), cells).alias(f"{c}_cells") for c in ("own", "after", "changed")])
-    return rows.select(
-        "doc_id",
-        "n_chars",
-        "edited_sha256",
-        written(F.col("own_cells")).alias("fingerprint"),
-        written(F.col("changed_cells")).alias("edited_fingerprint"),
-        likeness(*[F.col(c) for c in ("own", "changed", "own_cells", "changed_cells")]).alias("near_edited"),
-        likeness(*[F.col(c) for c in ("own", "after", "own_cells", "after_cells")]).alias("near_next"),
-    )
+    rows = rows.select(
+        F.monotonically_increasing_id().alias("row"), "doc_id", "n_chars", "own", "after",
+        digests(F.col("edited")).alias("changed"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+    )
+    rows = scratch.keep(rows, "rows")
+    arrays = rows.select("row", "own", "after", "changed")
+    pairs = arrays.select("row", F.explode(F.array(*[F.struct(F.lit(w).alias("which"), F.col("own").alias("a"), F.col(c).alias("b")) for w, c in enumerate(("changed", "after"))])).alias("x"))
+    pairs = pairs.select("row", "x.*")
+    differ = differences(pairs, ["row", "which"], scratch)
+    differ = differ.groupBy("row").agg(*[F.max(F.when(F.col("which") == w, F.col("differ"))).alias(c) for w, c in enumerate(("edited_differ", "next_differ"))])
+    sketches = arrays.repartition("row").select("row", F.explode(F.array(*[F.struct(F.lit(w).alias("which"), F.col(c).alias("a")) for w, c in enumerate(("own", "changed"))])).alias("x"))
+    shown = written(sketches.select("row", "x.which", F.explode("x.a").alias("d")), ["row", "which"])
+    shown = shown.groupBy("row").agg(*[F.max(F.when(F.col("which") == w, F.col("written"))).alias(c) for w, c in enumerate(("fingerprint", "edited_fingerprint"))])
+
+    def likeness(other: str, number: str) -> Column:
+        total = (F.size("own") + F.size(other)).cast("double")
+        return (total - F.col(number)) / (total + F.col(number))
+
+    out = rows.join(differ, "row").join(shown, "row")
+    return out.select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        likeness("changed", "edited_differ").alias("near_edited"), likeness("after", "next_differ").alias("near_next"),
+    )

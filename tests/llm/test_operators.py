@@ -200,13 +200,22 @@ def test_order_over_blocks(spark):
     assert got == {i: str(ids[(k + 1) % len(ids)]) for k, i in enumerate(ids)}
 
 
-def test_larger_sketches_after_failure(spark):
+def test_larger_sketches_after_failure(spark, monkeypatch):
     a, b = list(range(0, 400)), list(range(200, 700))
-    df = spark.createDataFrame([(a, b)], "a array<long>, b array<long>").select(*[F.transform(c, lambda x: F.xxhash64(x)).alias(c) for c in "ab"])
-    cells = F.lit(fingerprint.CELLS).cast("long")
-    small = [fingerprint.sketch(F.col(c), cells) for c in "ab"]
-    row = df.select(fingerprint.peeled(fingerprint.subtracted(*small)).alias("p"), fingerprint.difference(F.col("a"), F.col("b"), *small).alias("d")).first()
-    assert row.p is None and row.d == 500
+    df = spark.createDataFrame([(1, a, b), (2, a, a), (3, a, a + [9999])], "row long, a array<long>, b array<long>")
+    df = df.select("row", *[F.transform(c, lambda x: F.xxhash64(x)).alias(c) for c in "ab"])
+    for factors in (fingerprint.FACTORS, (0.001, 0.002, 2.0), (0.001,)):
+        monkeypatch.setattr(fingerprint, "FACTORS", factors)
+        got = {r.row: r.differ for r in fingerprint.differences(df, ["row"], common.Scratch(spark, "d")).collect()}
+        assert got == {1: 500, 2: 0, 3: 1}
+
+
+def test_peeling_recovers_the_difference(spark):
+    rows = [(1, 40, 0, d, 1) for d in range(20)] + [(1, 40, 0, d, -1) for d in range(15, 40)] + [(2, 3, 0, d, 1) for d in range(200)]
+    df = spark.createDataFrame(rows, "row long, third long, salt int, d long, sign long")
+    keys = ["row", "third", "salt"]
+    got = {r.row: r for r in fingerprint.peeled(fingerprint.sketched(df, keys), keys).collect()}
+    assert (got[1].found, got[1].stuck) == (35, 0) and got[2].stuck == 9
 
 
 # --- packing
@@ -268,7 +277,7 @@ def test_near_duplicates_against_brute_force(docs):
 
 def test_large_groups_of_copies(spark, monkeypatch):
     monkeypatch.setattr(minhash, "SMALL", 4)
-    monkeypatch.setattr(minhash, "LEVELS", 3)
+    monkeypatch.setattr(minhash, "DEEP", 2)
     rng = random.Random(4)
     base = [f"w{rng.randint(0, 400)}" for _ in range(120)]
     rows = []
