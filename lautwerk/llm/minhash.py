@@ -11,15 +11,17 @@ pairs above the threshold keep meeting down to small nodes, while a passage
 that many documents share loses its hold from level to level.  Trees are
 repeated until the recall of pairs at the threshold is near one.
 
-Nodes that are still large at the last level hold a group of mutual copies:
-all members are compared with one of them, and those that don't end in its
-component are compared with all the node's members, by a join that Spark can
-split.  So no cap drops a pair.
+A few shallow trees come first.  Of their candidates each class's likeliest
+partner and the smallest of its likely ones are confirmed on the full sets, so
+a large group of copies becomes a component.  The other trees go deep, but only
+through nodes that hold several components, and only for pairs across; nodes
+that are still large at the end are met exactly, by a join that Spark can
+split: whoever isn't in the component of the node's head meets all members.
+So no cap drops a pair.
 
 Candidates must pass a necessary bound on set sizes and a wide bound on the
-signatures' agreement, and links are confirmed on the full sets.  First each
-class's likeliest candidate is confirmed; then all candidates whose ends are
-still in different components are.
+signatures' agreement; all whose ends are in different components by then are
+confirmed on the full sets.
 
 Defined cases: a null text has no words; documents without words have an empty
 set and are linked with nothing; texts of fewer words than a shingle are one
@@ -40,10 +42,14 @@ from lautwerk.llm.common import Scratch, components
 SHINGLE = 5
 #: A link needs 100 x intersection >= PERCENT x union.
 PERCENT = 75
-#: Trees, coordinates of the signature that nodes below the root select from, members of a small node, levels.
-TREES, LANES, SMALL, LEVELS = 12, 64, 32, 8
+#: Trees, coordinates of the signature that nodes below the root select from, members of a small node.
+TREES, LANES, SMALL = 12, 64, 12
+#: Trees whose links are confirmed first, steps below the root in these and in the other trees.
+FIRST, SHALLOW, DEEP = 4, 2, 7
 #: Lanes of two signatures that agree at least, of 64: over four deviations below what is expected at the threshold.
 AGREE = 34
+#: Agreement of pairs that are most likely links.
+LIKELY = 54
 #: Root coordinates: one for each tree, and a second one for every third tree, so 1 / threshold on average.
 ROOTS = TREES + TREES // 3
 
@@ -140,60 +146,76 @@ def alike(percent: int) -> Column:
     return (small * 100 >= large * percent) & (agreement("a", "b") >= AGREE)
 
 
-def _child(level: int) -> Column:
-    """The children of a node that a class goes to: one selected lane always, a second one for a third of the nodes."""
+def _child(step: int) -> Column:
+    """The children of a node that a class goes to, by two selected lanes at once: one child always, a second one for 78 % of the nodes."""
     packed = F.array(*[F.col(f"l{k}") for k in range(LANES // 8)])
 
-    def at(salt: int) -> Column:
-        lane = F.pmod(F.xxhash64("node", F.lit(salt), F.lit(level)), F.lit(LANES)).cast("int")
-        word = F.element_at(packed, (F.shiftright(lane, 3) + 1).cast("int"))
-        value = F.call_function("shiftrightunsigned", word, (lane.bitwiseAND(F.lit(7)) * 8).cast("int")).bitwiseAND(F.lit(255))
-        return F.xxhash64("node", lane, value, F.lit(salt), F.lit(level))
+    def lane(salt: int) -> list[Column]:
+        at = F.pmod(F.xxhash64("node", F.lit(salt), F.lit(step)), F.lit(LANES)).cast("int")
+        word = F.element_at(packed, (F.shiftright(at, 3) + 1).cast("int"))
+        return [at, F.call_function("shiftrightunsigned", word, (at.bitwiseAND(F.lit(7)) * 8).cast("int")).bitwiseAND(F.lit(255))]
 
-    second = F.pmod(F.xxhash64("node", F.lit(77), F.lit(level)), F.lit(3)) == 0
-    return F.explode(F.array_compact(F.array(at(1), F.when(second, at(2)))))
+    def child(salt: int) -> Column:
+        return F.xxhash64("node", *lane(salt), *lane(salt + 1), F.lit(salt), F.lit(step))
 
+    second = F.pmod(F.xxhash64("node", F.lit(77), F.lit(step)), F.lit(100)) < 78
+    return F.explode(F.array_compact(F.array(child(1), F.when(second, child(3)))))
 
-def _pairs(left: DataFrame, right: DataFrame, on, percent: int, less: bool) -> DataFrame:
-    """Candidates among rows that share a node; both sides bring id, n and lanes."""
-    a = left.select(F.col("node").alias("anode"), F.col("key").alias("a"), F.col("n").alias("an"), *_lanes("a"))
-    b = right.select(F.col("node").alias("bnode"), F.col("key").alias("b"), F.col("n").alias("bn"), *_lanes("b"))
-    order = F.col("a") < F.col("b") if less else F.col("a") != F.col("b")
-    met = a.join(b, (F.col("anode") == F.col("bnode")) & order & alike(percent) & (F.lit(True) if on is None else on))
+
+def _met(left: DataFrame, right: DataFrame, percent: int, less: bool, apart: bool) -> DataFrame:
+    """Candidates among rows that share a node; apart: only of different components."""
+    named = []
+    for side, rows in (("a", left), ("b", right)):
+        more = [F.col("comp").alias(f"{side}comp")] if apart else []
+        named.append(rows.select(F.col("node").alias(f"{side}node"), F.col("key").alias(side), F.col("n").alias(f"{side}n"), *_lanes(side), *more))
+    on = (F.col("anode") == F.col("bnode")) & (F.col("a") < F.col("b") if less else F.col("a") != F.col("b")) & alike(percent)
+    if apart:
+        on = on & (F.col("acomp") != F.col("bcomp"))
+    met = named[0].join(named[1], on)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), agreement("a", "b").alias("agree"))
 
 
-def candidates(classes: DataFrame, scratch: Scratch, percent: int) -> tuple[DataFrame, DataFrame | None]:
-    """Pairs (a, b, agree) that met in a small node or with the head of a large last one, and the rows of those last nodes."""
-    second = [(TREES + t // 3, t) for t in range(0, TREES, 3)]
-    picks = [(t, t) for t in range(TREES)] + second
-    start = F.explode(F.array(*[F.xxhash64(F.lit(c), F.lit(t), F.element_at("roots", c + 1)) for c, t in picks])).alias("node")
-    rows = classes.select("key", "n", *[F.col("lanes")[k].alias(f"l{k}") for k in range(LANES // 8)], start)
-    found, held = [], []
-    for level in range(LEVELS):
-        size = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        rows = scratch.keep(rows.join(size, "node"), f"level{level}_")
-        held.append(rows)
-        small = rows.where(F.col("size") <= SMALL)
-        found.append(scratch.keep(_pairs(small, small, None, percent, True).distinct(), "met"))
-        rows = rows.where(F.col("size") > SMALL).drop("size")
-        if rows.isEmpty():
-            rows = None
+def roots(classes: DataFrame) -> DataFrame:
+    """A row for each class, tree and selected root coordinate, where another class goes to the same node."""
+    picks = [(t, t) for t in range(TREES)] + [(TREES + t // 3, t) for t in range(0, TREES, 3)]
+    start = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(c), F.lit(t), F.element_at("roots", c + 1)).alias("node")) for c, t in picks]))
+    rows = classes.select("key", "n", *[F.col("lanes")[k].alias(f"l{k}") for k in range(LANES // 8)], start.alias("r"))
+    rows = rows.select("key", "n", *[f"l{k}" for k in range(LANES // 8)], "r.*")
+    return rows.join(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "node").drop("size")
+
+
+def explore(rows: DataFrame, steps: int, scratch: Scratch, percent: int, apart: bool) -> DataFrame:
+    """Pairs (a, b, agree) that meet in small nodes, or in nodes that are still large after the last step.
+
+    apart: components of classes are known; nodes within one component end, and only pairs across count.
+    """
+    columns = ["key", "n", *[f"l{k}" for k in range(LANES // 8)], *(["comp"] if apart else [])]
+    kept, last = [], None
+    for step in range(steps + 1):
+        size = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), *([F.min("comp").alias("low"), F.max("comp").alias("high")] if apart else []))
+        size = size.where("size > 1 and low <> high" if apart else "size > 1").select("node", "size")
+        sized = scratch.keep(rows.join(size, "node"), f"step{step}_")
+        kept.append(sized)
+        large = sized.where(F.col("size") > SMALL)
+        if large.isEmpty():
             break
-        if level < LEVELS - 1:
-            rows = rows.select("key", "n", *[f"l{k}" for k in range(LANES // 8)], _child(level).alias("node"))
-    last = None
-    if rows is not None:
-        last = scratch.keep(rows, "last")
-        head = F.min(F.struct("key", "n", *[f"l{k}" for k in range(LANES // 8)])).alias("h")
-        heads = last.groupBy("node").agg(head).select("node", "h.*")
-        found.append(scratch.keep(_pairs(heads, last, None, percent, False).distinct(), "met"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    out = scratch.keep(out.distinct(), "candidates")
-    scratch.drop(*held, *found)
-    return out, last
+        if step == steps:
+            last = large
+        else:
+            rows = large.select(*columns, _child(step).alias("node"))
+    small = _all([x.where(F.col("size") <= SMALL).select("node", *columns) for x in kept])
+    pairs = _met(small, small, percent, True, apart)
+    if last is not None and not apart:
+        head = F.min(F.struct(*columns)).alias("h")
+        pairs = pairs.unionByName(_met(last.groupBy("node").agg(head).select("node", "h.*"), last, percent, False, False))
+    elif last is not None:
+        # whoever isn't in the component of the node's head meets all its members
+        head = last.groupBy("node").agg(F.min_by("comp", "key").alias("head"))
+        out = last.join(head, "node").where("comp <> head")
+        pairs = pairs.unionByName(_met(out, last, percent, False, True))
+    pairs = scratch.keep(pairs.distinct(), "candidates")
+    scratch.drop(*kept)
+    return pairs
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -219,6 +241,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(both * 100 >= union * percent).select("a", "b")
 
 
+def _all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for more in frames[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
@@ -227,12 +256,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     usable = sigs.where("n > 0 and doc_id is not null")
     classes = usable.groupBy("key").agg(F.min(F.struct("doc_id", "n", "roots", "lanes")).alias("m"))
     classes = scratch.keep(classes.select("key", "m.*"), "classes")
-    pairs, last = candidates(classes, scratch, percent)
     ids = classes.select("key", "doc_id")
-
-    def sets_for(these: DataFrame) -> DataFrame:
-        ends = these.select(F.col("a").alias("key")).unionByName(these.select(F.col("b").alias("key"))).distinct()
-        return scratch.keep(sets_of(docs, ids.join(ends, "key")), "sets")
+    rows = scratch.keep(roots(classes), "roots")
+    sets = scratch.keep(sets_of(docs, ids.join(rows.select("key").distinct(), "key")), "sets")
 
     def across(these: DataFrame, comp: DataFrame) -> DataFrame:
         ca = comp.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
@@ -240,30 +266,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         joined = these.join(ca, "a", "left").join(cb, "b", "left")
         return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
-    sets = sets_for(pairs)
-    both = pairs.select(F.col("a").alias("key"), F.col("b").alias("to"), "agree").unionByName(
-        pairs.select(F.col("b").alias("key"), F.col("a").alias("to"), "agree")
-    )
-    best = both.groupBy("key").agg(F.min(F.struct(-F.col("agree"), "to")).alias("m"))
-    best = best.select(F.least("key", "m.to").alias("a"), F.greatest("key", "m.to").alias("b")).distinct()
-    first = scratch.keep(confirmed(best, sets, percent), "links")
-    comp = components(first, scratch)
-    second = scratch.keep(confirmed(across(pairs, comp), sets, percent), "links")
-    links = first.unionByName(second)
-    scratch.drop(comp, sets, pairs)
-    comp = components(links, scratch)
-    if last is not None:
-        led = last.join(comp.select(F.col("node").alias("key"), "comp"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-        head = led.groupBy("node").agg(F.min_by("comp", "key").alias("head"))
-        out = led.join(head, "node").where("comp <> head").drop("comp", "head")
-        rest = scratch.keep(across(_pairs(out, last, None, percent, False).distinct(), comp), "rest")
-        if not rest.isEmpty():
-            sets = sets_for(rest)
-            third = scratch.keep(confirmed(rest, sets, percent), "links")
-            scratch.drop(comp, sets)
-            comp = components(links.unionByName(third), scratch)
-            scratch.drop(third)
-        scratch.drop(rest, last)
+    # a few shallow trees; the likeliest partner of each class, and the smallest of its likely ones, so that a large group soon hangs together
+    pairs = explore(rows.where(F.col("tree") < FIRST).drop("tree"), SHALLOW, scratch, percent, False)
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "agree"))
+    best = both.groupBy("a").agg(F.min(F.struct(-F.col("agree"), "b"))["b"].alias("b"), F.min(F.when(F.col("agree") >= LIKELY, F.col("b"))).alias("c"))
+    best = best.select("a", F.explode(F.array_compact(F.array("b", "c"))).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = [scratch.keep(confirmed(best.distinct(), sets, percent), "links")]
+    comp = components(links[0], scratch)
+    # what is left of these trees' candidates, and all other trees, deep, for pairs across components
+    known = comp.select(F.col("node").alias("key"), "comp")
+    others = rows.where(F.col("tree") >= FIRST).drop("tree").join(known, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    more = explore(others, DEEP, scratch, percent, True).select("a", "b")
+    left = across(pairs.select("a", "b"), comp).unionByName(more).distinct()
+    links.append(scratch.keep(confirmed(left, sets, percent), "links"))
+    scratch.drop(comp, sets, pairs, rows, more)
+    comp = components(_all(links), scratch)
     labelled = ids.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     smallest = labelled.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     labelled = labelled.join(smallest, "comp").select(F.col("key").alias("ckey"), "component_id")
@@ -273,7 +290,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")
     )
     out = scratch.keep(out, "result")
-    scratch.drop(sigs, classes, first, second, comp)
+    scratch.drop(sigs, classes, comp, *links)
     return out
 
 
