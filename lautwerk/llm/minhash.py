@@ -16,7 +16,7 @@ partner and the smallest of its likely ones are confirmed on the full sets, so
 a large group of copies becomes a component.  The other trees go deep, but only
 through nodes that hold several components, and only for pairs across; nodes
 that are still large at the end are met exactly, by a join that Spark can
-split: whoever isn't in the component of the node's head meets all members.
+split: whoever isn't in the component of most members meets all of them.
 So no cap drops a pair.
 
 Candidates must pass a necessary bound on set sizes and a wide bound on the
@@ -45,7 +45,7 @@ PERCENT = 75
 #: Trees, coordinates of the signature that nodes below the root select from, members of a small node.
 TREES, LANES, SMALL = 12, 64, 12
 #: Trees whose links are confirmed first, steps below the root in these and in the other trees.
-FIRST, SHALLOW, DEEP = 4, 2, 7
+FIRST, SHALLOW, DEEP = 4, 2, 12
 #: Lanes of two signatures that agree at least, of 64: over four deviations below what is expected at the threshold.
 AGREE = 34
 #: Agreement of pairs that are most likely links.
@@ -209,9 +209,9 @@ def explore(rows: DataFrame, steps: int, scratch: Scratch, percent: int, apart:
         head = F.min(F.struct(*columns)).alias("h")
         pairs = pairs.unionByName(_met(last.groupBy("node").agg(head).select("node", "h.*"), last, percent, False, False))
     elif last is not None:
-        # whoever isn't in the component of the node's head meets all its members
-        head = last.groupBy("node").agg(F.min_by("comp", "key").alias("head"))
-        out = last.join(head, "node").where("comp <> head")
+        # whoever isn't in the component that most members are in meets all members
+        most = last.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("node").agg(F.max_by("comp", F.struct("m", "comp")).alias("most"))
+        out = last.join(most, "node").where("comp <> most")
         pairs = pairs.unionByName(_met(out, last, percent, False, True))
     pairs = scratch.keep(pairs.distinct(), "candidates")
     scratch.drop(*kept)
