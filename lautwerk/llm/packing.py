@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 CAPACITY = 4096
 END_ID = 2
-#: Chunks that a worker remembers before it starts anew.
+#: Chunks, and words without marks at their end, that a worker remembers before it starts anew.
 CACHE = 800_000
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _TOKENIZERS: dict = {}
 _SPACE = re.compile(r"[ \n]+")
@@ -45,21 +46,30 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
 
     def ids(self, texts: list) -> list[bytes]:
         """Splits at plain spaces and line breaks only: the tokenizer drops white space and merges nothing across it."""
         chunks = [_SPACE.split(t) if t else [] for t in texts]
-        known = self.known
+        known, stems = self.known, self.stems
         if len(known) > CACHE:
             known.clear()
-        met = {c for own in chunks for c in own if c not in known}
-        # letters, then one mark at most: the marks are a match of their own, and letters are folded anyway
-        parts = {c: (c[:-1].lower(), c[-1]) if c[-1:] in ".,;" and c[:-1].isascii() and c[:-1].isalpha() else (c.lower() if c.isascii() else c, "") for c in met}
-        fresh = list({p for both in parts.values() for p in both if p not in known})
+        if len(stems) > CACHE:
+            stems.clear()
+        parts = {}
+        for own in chunks:
+            for c in own:
+                if c not in known and c not in parts:
+                    # letters, then marks: the marks are a match of their own; letters are folded anyway
+                    word = c.rstrip(MARKS)
+                    whole = len(word) == len(c) or not word.lower().isalpha()
+                    word = c if whole else word
+                    parts[c] = (word.lower() if word.isascii() else word, "" if whole else c[len(word) :])
+        fresh = list({p for both in parts.values() for p in both if p not in stems})
         if fresh:
             got = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-            known.update((c, array("I", e.ids).tobytes()) for c, e in zip(fresh, got))
-        known.update((c, known[a] + known[b] if b else known[a]) for c, (a, b) in parts.items())
+            stems.update((c, array("I", e.ids).tobytes()) for c, e in zip(fresh, got))
+        known.update((c, stems[word] + stems[marks] if marks else stems[word]) for c, (word, marks) in parts.items())
         return [b"".join(map(known.__getitem__, own)) for own in chunks]
 
 
