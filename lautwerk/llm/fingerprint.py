@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 from lautwerk.llm.common import Scratch
 
 #: Cells of a part of a fingerprint; cells of a part of a comparison's sketch are FACTORS[try] x both sets' digests / 3 + SPARE.
-CELLS, FACTORS, SPARE = 8, (0.7, 1.5, 4.0), 6
+CELLS, FACTORS, SPARE = 8, (1.5, 3.0, 8.0), 6
 #: Passes of peeling, a part's cells in each, in turn.
-PASSES = 24
+PASSES = 18
 #: Ids of a block, blocks of a group of blocks.
 BLOCK, GROUP = 512, 4096
 #: The row of a comparison that counts peeled digests.
