@@ -11,13 +11,15 @@ pairs above the threshold keep meeting down to small nodes, while a passage
 that many documents share loses its hold from level to level.  Trees are
 repeated until the recall of pairs at the threshold is near one.
 
-A few shallow trees come first.  Of their candidates each class's likeliest
-partner and the smallest of its likely ones are confirmed on the full sets, so
-a large group of copies becomes a component.  The other trees go deep, but only
-through nodes that hold several components, and only for pairs across; nodes
-that are still large at the end are met exactly, by a join that Spark can
-split: whoever isn't in the component of most members meets all of them.
-So no cap drops a pair.
+A few trees come first.  Of their candidates each class's likeliest partner and
+the smallest of its likely ones are confirmed on the full sets, so a large
+group of copies becomes a component.  The other trees go only through nodes
+that hold several components, and only for pairs across.  A pair at the
+threshold loses its hold with every step, so no tree takes more than two:
+nodes that are still large then, of the first trees too, are met exactly, on
+the full sets, by tiles of their members (whoever isn't in the component of
+most members meets all of them), and a tile gives no more links than it joins
+components.  So no cap drops a pair.
 
 Candidates must pass a necessary bound on set sizes and a wide bound on the
 signatures' agreement; all whose ends are in different components by then are
@@ -45,7 +47,9 @@ PERCENT = 75
 #: Trees, coordinates of the signature that nodes below the root select from, members of a small node.
 TREES, LANES, SMALL = 12, 64, 12
 #: Trees whose links are confirmed first, steps below the root in these and in the other trees.
-FIRST, SHALLOW, DEEP = 4, 2, 12
+FIRST, SHALLOW, DEEP = 4, 2, 2
+#: Members of a block of a large node; two blocks are a tile.
+TILE = 256
 #: Lanes of two signatures that agree at least, of 64: over four deviations below what is expected at the threshold.
 AGREE = 34
 #: Agreement of pairs that are most likely links.
@@ -184,10 +188,11 @@ def roots(classes: DataFrame) -> DataFrame:
     return rows.join(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "node").drop("size")
 
 
-def explore(rows: DataFrame, steps: int, scratch: Scratch, percent: int, apart: bool) -> DataFrame:
-    """Pairs (a, b, agree) that meet in small nodes, or in nodes that are still large after the last step.
+def explore(rows: DataFrame, steps: int, scratch: Scratch, percent: int, apart: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs (a, b, agree) that meet in small nodes, and the members (node, key) of nodes that are still large after the last step.
 
-    apart: components of classes are known; nodes within one component end, and only pairs across count.
+    apart: components of classes are known; nodes within one component end, and only pairs across count; else
+    the pairs of each last large node's head count, too.
     """
     columns = ["key", "n", *[f"l{k}" for k in range(LANES // 8)], *(["comp"] if apart else [])]
     kept, last = [], None
@@ -208,14 +213,85 @@ def explore(rows: DataFrame, steps: int, scratch: Scratch, percent: int, apart:
     if last is not None and not apart:
         head = F.min(F.struct(*columns)).alias("h")
         pairs = pairs.unionByName(_met(last.groupBy("node").agg(head).select("node", "h.*"), last, percent, False, False))
-    elif last is not None:
-        # whoever isn't in the component that most members are in meets all members
-        most = last.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("node").agg(F.max_by("comp", F.struct("m", "comp")).alias("most"))
-        out = last.join(most, "node").where("comp <> most")
-        pairs = pairs.unionByName(_met(out, last, percent, False, True))
     pairs = scratch.keep(pairs.distinct(), "candidates")
+    last = None if last is None else scratch.keep(last.select("node", "key"), "last")
     scratch.drop(*kept)
-    return pairs
+    return pairs, last
+
+
+def tile_links(left: list[np.ndarray], right: list[np.ndarray], cl: np.ndarray, cr: np.ndarray, percent: int, width: int = 4096) -> list[tuple[int, int]]:
+    """Places (in left, in right) of links between sets of different components cl, cr: as few as join what is linked."""
+    own = [*left, *right]
+    member = np.repeat(np.arange(len(own)), [len(x) for x in own])
+    values, code, times = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    shared = np.cumsum(times > 1) - 1
+    stays = times[code] > 1
+    member, code = member[stays], shared[code[stays]]
+    order = np.argsort(code, kind="stable")
+    member, code = member[order], code[order]
+    both = np.zeros((len(left), len(right)), np.int64)
+    for start in range(0, int(shared[-1]) + 1 if len(shared) else 0, width):
+        low, high = np.searchsorted(code, [start, start + width])
+        held = np.zeros((len(own), width), np.float32)
+        held[member[low:high], code[low:high] - start] = 1
+        both += np.rint(held[: len(left)] @ held[len(left) :].T).astype(np.int64)
+    n = np.array([len(x) for x in own], np.int64)
+    union = n[: len(left), None] + n[None, len(left) :] - both
+    i, j = np.nonzero((both * 100 >= union * percent) & (cl[:, None] != cr[None, :]))
+    if not len(i):
+        return []
+    _, first = np.unique(np.stack([cl[i], cr[j]], 1), axis=0, return_index=True)
+    up, out = {}, []
+
+    def top(c: int) -> int:
+        while up.get(c, c) != c:
+            up[c] = c = up.get(up[c], up[c])
+        return c
+
+    for k in first.tolist():
+        a, b = top(int(cl[i[k]])), top(int(cr[j[k]]))
+        if a != b:
+            up[a] = b
+            out.append((int(i[k]), int(j[k])))
+    return out
+
+
+def met_exactly(last: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components within nodes (node, key, comp), by comparing full sets.
+
+    Members fall into blocks by a hash; those of a node's commonest component have blocks of their own, which
+    don't meet each other.  Each two blocks are a tile, so a node of any size is dealt out.
+    """
+    counts = last.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("m"))
+    nodes = counts.groupBy("node").agg(F.max(F.struct("m", "comp")).alias("most"), F.sum("m").alias("size"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    nodes = nodes.select(
+        "node",
+        F.col("most.comp").alias("most"),
+        F.ceil((F.col("size") - F.col("most.m")) / TILE).cast("int").alias("others"),
+        F.ceil(F.col("most.m") / TILE).cast("int").alias("same"),
+    )
+    deal = F.xxhash64("key", "node")
+    rows = last.join(nodes, "node")
+    block = F.when(F.col("comp") == F.col("most"), F.col("others") + F.pmod(deal, F.col("same"))).otherwise(F.pmod(deal, F.col("others"))).cast("int")
+    rows = rows.withColumn("block", block)
+    ends = F.when(F.col("block") < F.col("others"), F.col("others") + F.col("same")).otherwise(F.col("others")) - 1
+    rows = rows.select("node", "key", "comp", "block", F.explode(F.sequence(F.lit(0), ends)).alias("other"))
+    rows = rows.select("node", "key", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        block, key, comp = (t[c].to_numpy() for c in ("block", "key", "comp"))
+        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        l, r = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        links = []
+        if len(l) and len(r) and (comp != comp[0]).any():
+            own = t["own"].combine_chunks()
+            flat, at = own.flatten().to_numpy(), np.concatenate([[0], np.cumsum(own.value_lengths().to_numpy())])
+            of = lambda rows: [flat[at[x] : at[x + 1]] for x in rows]
+            links = tile_links(of(l), of(r), comp[l], comp[r], percent)
+        a, b = key[l[[x for x, _ in links]]], key[r[[y for _, y in links]]]
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    return rows.join(sets, "key").groupBy("node", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -266,20 +342,23 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         joined = these.join(ca, "a", "left").join(cb, "b", "left")
         return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
-    # a few shallow trees; the likeliest partner of each class, and the smallest of its likely ones, so that a large group soon hangs together
-    pairs = explore(rows.where(F.col("tree") < FIRST).drop("tree"), SHALLOW, scratch, percent, False)
+    # a few trees; the likeliest partner of each class, and the smallest of its likely ones, so that a large group soon hangs together
+    pairs, early = explore(rows.where(F.col("tree") < FIRST).drop("tree"), SHALLOW, scratch, percent, False)
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "agree"))
     best = both.groupBy("a").agg(F.min(F.struct(-F.col("agree"), "b"))["b"].alias("b"), F.min(F.when(F.col("agree") >= LIKELY, F.col("b"))).alias("c"))
     best = best.select("a", F.explode(F.array_compact(F.array("b", "c"))).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links = [scratch.keep(confirmed(best.distinct(), sets, percent), "links")]
     comp = components(links[0], scratch)
-    # what is left of these trees' candidates, and all other trees, deep, for pairs across components
+    # what is left of these trees' candidates, and all other trees, for pairs across components; last large nodes of all trees exactly
     known = comp.select(F.col("node").alias("key"), "comp")
-    others = rows.where(F.col("tree") >= FIRST).drop("tree").join(known, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    more = explore(others, DEEP, scratch, percent, True).select("a", "b")
-    left = across(pairs.select("a", "b"), comp).unionByName(more).distinct()
+    labels = lambda these: these.join(known, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    more, late = explore(labels(rows.where(F.col("tree") >= FIRST).drop("tree")), DEEP, scratch, percent, True)
+    left = across(pairs.select("a", "b"), comp).unionByName(more.select("a", "b")).distinct()
     links.append(scratch.keep(confirmed(left, sets, percent), "links"))
-    scratch.drop(comp, sets, pairs, rows, more)
+    large = [x for x in (early, late) if x is not None]
+    if large:
+        links.append(scratch.keep(met_exactly(labels(_all(large)), sets, percent), "links"))
+    scratch.drop(comp, sets, pairs, rows, more, *large)
     comp = components(_all(links), scratch)
     labelled = ids.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     smallest = labelled.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

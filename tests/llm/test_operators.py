@@ -293,6 +293,60 @@ def test_large_groups_of_copies(spark, monkeypatch):
     assert got == want
 
 
+def test_links_in_a_dense_group(spark):
+    rng = random.Random(8)
+    fresh = iter(range(10**6))
+
+    def edited(words, n):
+        own = list(words)
+        for k in rng.sample(range(len(own)), n):
+            own[k] = f"x{next(fresh)}"
+        return own
+
+    base, rows = [f"w{k}" for k in range(404)], []
+    for pair in range(800):
+        own = edited(base, 3)
+        rows += [(2 * pair + k, " ".join(edited(own, 6)), "s") for k in range(2)]
+    sets = [minhash.shingles(t) for _, t, _ in rows]
+    values, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    held = np.zeros((len(sets), len(values)), np.float32)
+    held[np.repeat(np.arange(len(sets)), [len(x) for x in sets]), code] = 1
+    both = held[:, times > 1] @ held[:, times > 1].T
+    n = held.sum(1)
+    links = both * 100 >= minhash.PERCENT * (n[:, None] + n[None] - both)
+    assert 0.6 < np.mean(both / (n[:, None] + n[None] - both)) < 0.7
+    want = np.arange(len(sets))
+    for _ in range(len(sets)):
+        least = np.where(links, want[None], len(sets)).min(1)
+        if (least == want).all():
+            break
+        want = least
+    assert 800 < len(set(want.tolist())) < 1500
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs_of(spark, rows)).collect()}
+    assert sum(got[i] != c for i, c in enumerate(want.tolist())) == 0
+
+
+def test_tiles_join_what_is_linked(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "TILE", 8)
+    rng = np.random.default_rng(3)
+    own = {k: np.unique(np.concatenate([np.arange(100), rng.integers(200, 230, 12) + 1000 * (k % 9)])) for k in range(90)}
+    comp = {k: 0 if k < 40 else k for k in own}
+    sets = spark.createDataFrame([(k, x.tolist()) for k, x in own.items()], "key long, own array<long>")
+    last = spark.createDataFrame([(7, k, c) for k, c in comp.items()] + [(8, 1, 0), (8, 2, 0)], "node long, key long, comp long")
+    links = minhash.met_exactly(last, sets, 85).collect()
+    true = lambda a, b: 100 * len(np.intersect1d(own[a], own[b])) >= 85 * len(np.union1d(own[a], own[b]))
+    assert all(true(r.a, r.b) and comp[r.a] != comp[r.b] for r in links)
+
+    def parts(pairs):
+        up = dict(comp)
+        for a, b in pairs:
+            x, y = up[a], up[b]
+            up = {k: x if v == y else v for k, v in up.items()}
+        return {frozenset(k for k in up if up[k] == v) for v in up.values()}
+
+    assert parts([(r.a, r.b) for r in links]) == parts([(a, b) for a in own for b in own if a < b and true(a, b)])
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     rows = minhash.near_duplicates(odd).collect()
     assert len(rows) == len(ODD)
