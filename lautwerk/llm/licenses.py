@@ -1,9 +1,11 @@
 """License scans by sentence rules.
 
-A text is cut into sentences (at line ends, and after . ! ? ; before white
-space), each sentence is normalised (lower case, everything but letters and
-digits as one space), and those that stand in a table of known licence
-sentences become identifiers.  The identifiers of a text, in order, are
+A text is cut into pieces (at line ends, and after . ! ? ; before white
+space), each piece is normalised (lower case, everything but letters and
+digits as one space, so comment marks go; those of letters, rem and dnl, go
+too), and where a piece, or a run of pieces without an empty line between
+them, is a known licence sentence, it becomes an identifier: sentences may be
+wrapped and stand in comment blocks.  The longest run from a piece counts.  The identifiers of a text, in order, are
 matched against ordered licence rules: each rule is a run of identifiers, and
 a text holds the rule's licence where the run stands in it, other sentences
 aside.  Earlier rules win over later ones of the same family that they
@@ -77,11 +79,21 @@ COVERED = {"BSD-2-Clause": "BSD-3-Clause"}
 def identifiers(text: Column) -> Column:
     """Identifiers of a text's known sentences, in order."""
     known = F.create_map(*[F.lit(x) for k, v in SENTENCES.items() for x in (v, k)])
-    shortest, longest = min(map(len, SENTENCES.values())), max(map(len, SENTENCES.values()))
-    cut = F.split(F.coalesce(text, F.lit("")), r"\n+|(?<=[.!?;])[ \t\r\n]+")
-    near = F.filter(cut, lambda s: F.length(s).between(shortest, 2 * longest) & s.rlike("(?i)licen[sc]e|granted|warrant|redistribut|copyright|endorse|copies"))
-    plain = F.transform(near, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    return F.filter(F.transform(plain, lambda s: F.element_at(known, s)), lambda k: k.isNotNull())
+    # \n: end of a piece, \f: the same at an empty line, which no sentence crosses
+    s = F.lower(F.translate(text, "\f", " "))
+    for pattern, by in (
+        (r"\n[^a-z0-9]*\n", "\f"),
+        (r"(?<![^\n\f])[^a-z0-9\n\f]*(?:rem|dnl)(?=[ \t])", ""),
+        (r"(?<=[.!?;])[ \t\r\n]+", "\n"),
+        (r"[^a-z0-9\n\f]+", " "),
+        (r"[ \n]*\f[ \n\f]*", "\f"),
+        (r" ?\n[ \n]*", "\n"),
+    ):
+        s = F.regexp_replace(s, pattern, by)
+    each = "|".join(v.replace(" ", r"[ \n]") for v in sorted(SENTENCES.values(), key=lambda v: (-len(v), v)))
+    runs = F.regexp_extract_all(F.concat(F.lit("\f"), F.trim(s), F.lit("\f")), F.lit(rf"(?<=[\n\f])(?:{each})(?=[\n\f])"), F.lit(0))
+    ids = F.transform(runs, lambda r: F.element_at(known, F.translate(r, "\n", " ")))
+    return F.when(text.rlike("(?i)licen[sc]e|granted|warrant|redistribut|copyright|endorse|copies"), ids).otherwise(F.array().cast("array<string>"))
 
 
 def matched(ids: Column) -> Column:

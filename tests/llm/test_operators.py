@@ -430,6 +430,41 @@ def test_licence_sentences_and_rules(spark):
     assert rows[3].sentence_ids == [] or rows[3].sentence_ids == ["bsd-grant"]
 
 
+def test_wrapped_licences(spark):
+    import textwrap
+
+    mit = [
+        "The MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    ]
+    bsd = [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ]
+    apache = [
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at", "http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    ]
+    gpl = ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."]
+    want = {
+        "MIT": (mit, ["mit-title", "mit-grant", "mit-notice"]), "BSD-3-Clause": (bsd, ["bsd-grant", "bsd-source", "bsd-binary", "bsd-name"]),
+        "Apache-2.0": (apache, ["apache-2-long", "apache-comply", "apache-copy", "apache-unless"]), "GPL-2.0-or-later": (gpl, ["gpl-2-free"]),
+    }
+    texts, answers = [], []
+    for name, (parts, ids) in want.items():
+        for mark in ("", "# ", " * ", "// ", "REM "):
+            lines = "\n\n".join(textwrap.fill(x, 72) for x in parts).split("\n")
+            texts.append("x = 1\n\n" + "\r\n".join((mark + x).rstrip() for x in lines) + "\n\ny = 2")
+            answers.append((ids, [name]))
+    parted = "Released under\n\nthe MIT License"
+    texts += [parted, "Released under the MIT\nLicense", "not Released under the MIT\nLicense", "." + "- " * 500 + "\nthe MIT license\nmore", "\n" * 50_000 + "copyright"]
+    answers += [(["mit-title"], []), (["mit-released"], ["MIT"]), ([], []), (["mit-title"], []), ([], [])]
+    rows = licenses.scanned(docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)])).orderBy("doc_id").collect()
+    assert [(r.sentence_ids, r.licences) for r in rows] == answers
+
+
 def test_licences_of_odd_rows(odd, none):
     assert licenses.summary(odd).count() == len(ODD) and licenses.summary(none).count() == 0
 
