@@ -160,7 +160,7 @@ class Field:
 
 
 def skip_edges(keys: list[str]) -> list[tuple[int, int]]:
-    """Links each mention to the last one of the same key, and a number's first mention to that of a longer number ending in it."""
+    """Links each mention to the last one of the same key, and a number's first mention to those of all longer numbers ending in it."""
     out, last, first = [], {}, {}
     for k, key in enumerate(keys):
         if key in last:
@@ -168,9 +168,12 @@ def skip_edges(keys: list[str]) -> list[tuple[int, int]]:
         last[key] = k
         first.setdefault(key, k)
     numbers = sorted((x for x in first if x.isdigit() and len(x) >= MIN_DIGITS), key=lambda x: x[::-1])
-    for a, b in zip(numbers, numbers[1:]):
-        if b.endswith(a):
-            out.append((first[a], first[b]))
+    ends = []  # the numbers that the present one ends in
+    for b in numbers:
+        while ends and not b.endswith(ends[-1]):
+            ends.pop()
+        out += [(first[a], first[b]) for a in ends]
+        ends.append(b)
     return out
 
 

@@ -90,6 +90,17 @@ def test_field_labels_distant_repeats():
     assert all("998877665" not in t for _, t in added)
 
 
+def test_a_number_is_tied_to_all_that_end_in_it():
+    keys = ["5551234567", "0015551234567", "495551234567", "a@b.c", "95551234567", "5551234567", "1234567"]
+    numbers = [k for k in keys if k.isdigit()]
+    want = {(keys.index(a), keys.index(b)) for a in numbers for b in numbers if a != b and b.endswith(a)}
+    assert sorted(pii.skip_edges(keys)) == sorted(want | {(0, 5)})
+    text = "call 5551234567 or 0015551234567, from abroad +495551234567"
+    base = pii.base_spans(text)
+    assert [(k, text[s:e]) for s, k, e in base] == [(3, "+495551234567")]
+    assert ("phone", "5551234567") in {(pii.KINDS[k], text[s:e]) for s, k, e in pii.added_spans(text, base, pii.Field())}
+
+
 def test_messages_agree_with_enumeration():
     rng = np.random.default_rng(1)
     unary = rng.normal(size=(3, pii.N_LABELS))
