@@ -10,7 +10,10 @@ the digests in which two versions differ.  Comparisons whose peeling gets
 stuck are tried again on larger sketches.
 
 The likeness of two fingerprints is that of their sets, intersection over
-union, from the sets' sizes and the number of peeled digests.
+union, from the sets' sizes and the number of peeled digests.  It isn't read
+from the returned fingerprints, whose fixed 24 cells can't be peeled for more
+than about 20 differences, but from sketches made for each comparison from the
+full sets and sized for both.
 
 Everything is DataFrame functions.  Cells are rows: a sketch is a grouped
 count and exclusive or, so subtracting is the same aggregation with a sign, and
