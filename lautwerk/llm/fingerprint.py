@@ -6,14 +6,22 @@ parts; every digest goes to one cell of each part, and a cell keeps a count,
 the exclusive or of its digests, and that of their checks.  Two sketches are
 subtracted cell by cell; cells that then hold one digest only are peeled, and
 what they give is taken from the digest's other cells, until nothing is left:
-the digests in which two versions differ.  Comparisons whose peeling gets
-stuck are tried again on larger sketches.
+the digests in which two versions differ.
+
+A fingerprint is a sketch with its set's size and a parity estimator: 256 bits,
+of which each digest flips one.  Parts have a power of two of cells, and a
+larger sketch folds to a smaller one of the same set, so fingerprints of
+different sizes can be subtracted.  A fingerprint is made so large that it
+peels by itself; those that don't are made anew, larger.  Hence it can also be
+unfolded: its digests are recovered and put into a larger sketch.
 
 The likeness of two fingerprints is that of their sets, intersection over
-union, from the sets' sizes and the number of peeled digests.  It isn't read
-from the returned fingerprints, whose fixed 24 cells can't be peeled for more
-than about 20 differences, but from sketches made for each comparison from the
-full sets and sized for both.
+union, from the sizes and the number of digests that peeling their difference
+recovers.  The estimators' bits that differ say how large the sketches to be
+subtracted should be; where peeling gets stuck, the comparison is tried again
+with larger ones, as often as it takes.  A likeness so depends on the two
+fingerprints only; as sketches are sums, the cells of a difference are summed
+up from both sets' digests at once.
 
 Everything is DataFrame functions.  Cells are rows: a sketch is a grouped
 count and exclusive or, so subtracting is the same aggregation with a sign, and
@@ -22,28 +30,36 @@ digest back to the cells of all three (within a part no digest is pure twice).
 Passes keep the partitioning by document, so none shuffles, and a long
 document is many rows, not a large one.
 
-Each document meets the next one in a block of consecutive ids; a block's last
-document meets the first of the next block by a join on blocks.  So texts are
-shuffled once.
+Each document meets the next one in a block of neighbouring ids; a block's last
+document meets the first of the next block by a join on blocks.  Blocks are
+cut by quantiles of the ids, so sparse or hashed ids fill them evenly.  Texts
+are shuffled once.
 
 Defined cases: a null text is an empty one, which has one empty paragraph;
-null ids come first; documents of one id are ordered by text; the only row of
-a table is its own successor; an empty table gives an empty result.
+null ids come first, and rows of one id are in the order of their texts'
+digests; the only row of a table is its own successor; repeated rows have
+equal fingerprints; texts of any length are used whole; columns besides doc_id
+and text aren't looked at, whatever their names; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lautwerk.llm.common import Scratch
 
-#: Cells of a part of a fingerprint; cells of a part of a comparison's sketch are FACTORS[try] x both sets' digests / 3 + SPARE.
-CELLS, FACTORS, SPARE = 8, (1.5, 3.0, 8.0), 6
+#: Cells of a part: the power of two from LOAD x digests + SPARE up; 64-bit words of the estimator.
+LOAD, SPARE, WORDS = 0.55, 8, 4
+#: A sketch that got stuck is followed by one of so many times the cells.
+GROW = 4
 #: Passes of peeling, a part's cells in each, in turn.
 PASSES = 18
-#: Ids of a block, blocks of a group of blocks.
-BLOCK, GROUP = 512, 4096
+#: Rows of a block, about; pieces of the ids' range that are as populous as each other; blocks of a group of blocks.
+BLOCK, PIECES, GROUP = 512, 64, 4096
 #: The row of a comparison that counts peeled digests.
 TALLY = -1
 
@@ -56,9 +72,36 @@ def check(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit(101))
 
 
-def place(digest: Column, part: int, third: Column, salt: Column) -> Column:
-    """The cell of a digest in one of the three parts."""
-    return F.pmod(F.xxhash64(digest, F.lit(part), salt), third) + third * part
+def third_for(n: Column) -> Column:
+    """Cells of a part for n digests."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.ceil(F.log2(n.cast("double") * LOAD + SPARE)).cast("int"))
+
+
+def place(digest: Column, part: int, third: Column) -> Column:
+    """The cell of a digest in one of the three parts; with a smaller power of two it is the folded cell."""
+    return F.xxhash64(digest, F.lit(part)).bitwiseAND(third - 1) + third * part
+
+
+def parity(sets: Column) -> Column:
+    """The estimator of an array of digests: WORDS longs whose bits tell an odd number of digests from an even one."""
+
+    def word(k: int) -> Column:
+        def flip(acc: Column, d: Column) -> Column:
+            at = F.xxhash64(d, F.lit(7)).bitwiseAND(F.lit(64 * WORDS - 1)).cast("int")
+            bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)))
+            return acc.bitwiseXOR(F.when(F.shiftright(at, 6) == k, bit).otherwise(F.lit(0).cast("long")))
+
+        return F.aggregate(sets, F.lit(0).cast("long"), flip)
+
+    return F.array(*[word(k) for k in range(WORDS)])
+
+
+def estimated(a: Column, b: Column, sizes: Column) -> Column:
+    """How many digests two sets differ in, about, by their estimators; where these are full, all of both."""
+    odd = reduce(lambda x, y: x + y, [F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(WORDS)])
+    bits = 64 * WORDS
+    share = 1 - 2 * odd / F.lit(float(bits))
+    return F.least(F.when(share > 0.1, -F.ln(share) * (bits / 2) * 1.15).otherwise(sizes.cast("double")), sizes.cast("double"))
 
 
 def _summed(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -68,24 +111,25 @@ def _summed(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def sketched(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Cells of ``rows(keys.., third, salt, d, sign)``, a row for each digest."""
-    cells = F.explode(F.array(*[place(F.col("d"), p, F.col("third"), F.col("salt")) for p in range(3)]))
+    """Cells of ``rows(keys.., third, d, sign)``, a row for each digest."""
+    cells = F.explode(F.array(*[place(F.col("d"), p, F.col("third")) for p in range(3)]))
     each = rows.select(*keys, F.col("sign").alias("c"), F.col("d").alias("k"), check(F.col("d")).alias("h"), cells.alias("cell"))
     return _summed(each, keys)
 
 
 def peeled(cells: DataFrame, keys: list[str], passes: int = PASSES) -> DataFrame:
-    """``keys.., found, stuck`` of subtracted sketches: digests that were recovered, and cells that are left; keys hold third and salt.
+    """``keys.., found, stuck`` of subtracted sketches: digests that were recovered, and cells that are left; keys hold third.
 
     A pass looks at one part: a pure cell gives its digest, with the opposite
     sign, to its three cells (itself among them), and one to the tally.
     """
+    zero = F.lit(0).cast("long")
     for n in range(passes):
         part, third = n % 3, F.col("third")
         own = F.struct("cell", "c", "k", "h")
         pure = (F.col("cell") >= third * part) & (F.col("cell") < third * (part + 1)) & (F.abs("c") == 1) & (check(F.col("k")) == F.col("h"))
-        gives = [F.struct(place(F.col("k"), p, third, F.col("salt")).alias("cell"), (-F.col("c")).alias("c"), F.col("k"), F.col("h")) for p in range(3)]
-        tally = F.struct(F.lit(TALLY).cast("long").alias("cell"), F.lit(1).cast("long").alias("c"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
+        gives = [F.struct(place(F.col("k"), p, third).alias("cell"), (-F.col("c")).alias("c"), F.col("k"), F.col("h")) for p in range(3)]
+        tally = F.struct(F.lit(TALLY).cast("long").alias("cell"), F.lit(1).cast("long").alias("c"), zero.alias("k"), zero.alias("h"))
         rows = cells.select(*keys, F.explode(F.when(pure, F.array(own, *gives, tally)).otherwise(F.array(own))).alias("x"))
         cells = _summed(rows.select(*keys, "x.*"), keys)
     return cells.groupBy(*keys).agg(
@@ -93,52 +137,80 @@ def peeled(cells: DataFrame, keys: list[str], passes: int = PASSES) -> DataFrame
     )
 
 
-def differences(pairs: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
-    """``keys.., differ``: how many digests the arrays a and b of each row of ``pairs`` differ in.
+def differences(pairs: DataFrame, keys: list[str], scratch: Scratch) -> tuple[DataFrame, int]:
+    """``keys.., differ, third`` of ``pairs(keys.., a, b, third)``: how many digests a and b differ in, and the cells that took; and the tries.
 
-    Rows whose arrays are equal have no cells and differ in nothing.
+    Sketches of a and b with ``third`` cells a part are subtracted and peeled;
+    what gets stuck is tried again with GROW times the cells until nothing is
+    left.  Pairs whose sketches are equal differ in nothing.
     """
-    left, out = pairs, None
-    size = F.size("a") + F.size("b")
-    for n, factor in enumerate(FACTORS):
+    left, out, tries = pairs, None, 0
+    while True:
         signed = F.concat(*[F.transform(c, lambda d: F.struct(d.alias("d"), F.lit(s).cast("long").alias("sign"))) for c, s in (("a", 1), ("b", -1))])
-        rows = left.repartition(*keys).select(*keys, F.ceil(size * F.lit(factor) / 3 + SPARE).cast("long").alias("third"), F.lit(n).alias("salt"), F.explode(signed).alias("x"))
-        inner = [*keys, "third", "salt"]
-        found = scratch.keep(peeled(sketched(rows.select(*inner, "x.*"), inner), inner), "peeled")
-        ok = found.where("stuck = 0").select(*keys, F.col("found").alias("differ"))
+        rows = left.select(*keys, "third", F.explode(signed).alias("x")).select(*keys, "third", "x.*")
+        inner = [*keys, "third"]
+        found = scratch.keep(peeled(sketched(rows, inner), inner), "peeled")
+        tries += 1
+        ok = found.where("stuck = 0").select(*keys, F.col("found").alias("differ"), "third")
         out = ok if out is None else out.unionByName(ok)
         stuck = found.where("stuck > 0").select(*keys)
         if stuck.isEmpty():
             break
-        left = pairs.join(stuck, keys, "left_semi")
-        if n + 1 == len(FACTORS):  # beyond the last size: counted as they are
-            plain = (F.size(F.array_except("a", "b")) + F.size(F.array_except("b", "a"))).cast("long")
-            out = out.unionByName(left.select(*keys, plain.alias("differ")))
-    return pairs.select(*keys).join(out, keys, "left").select(*keys, F.coalesce("differ", F.lit(0)).cast("long").alias("differ"))
+        left = pairs.join(stuck, keys, "left_semi").withColumn("third", F.col("third") * GROW**tries)
+    done = pairs.select(*keys, F.col("third").alias("first")).join(out, keys, "left")
+    return done.select(*keys, F.coalesce("differ", F.lit(0)).cast("long").alias("differ"), F.coalesce("third", "first").alias("third")), tries
 
 
 def written(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys.., written``: sketches of (keys.., d) of a fixed size, as text."""
-    inner = rows.select(*keys, F.lit(CELLS).cast("long").alias("third"), F.lit(0).alias("salt"), "d", F.lit(1).cast("long").alias("sign"))
+    """``keys.., cells``: sketches of (keys.., third, d) as text, a cell as place.count.digest.check."""
     cell = F.concat_ws(".", F.col("cell").cast("string"), F.col("c").cast("string"), F.lower(F.hex("k")), F.lower(F.hex("h")))
-    cells = sketched(inner, [*keys, "third", "salt"]).select(*keys, F.struct("cell", cell.alias("text")).alias("x"))
-    return cells.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["text"]), ",").alias("written"))
+    cells = sketched(rows.withColumn("sign", F.lit(1).cast("long")), [*keys, "third"]).select(*keys, F.struct("cell", cell.alias("text")).alias("x"))
+    return cells.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["text"]), ",").alias("cells"))
+
+
+def heading(n: Column, third: Column, bits: Column) -> Column:
+    """What stands before the cells of a fingerprint: size of the set, cells of a part, estimator."""
+    return F.concat_ws(":", n.cast("string"), third.cast("string"), *[F.lower(F.hex(bits[k])) for k in range(WORDS)])
+
+
+def blocks(docs: DataFrame) -> Column:
+    """The block of each row by its doc_id (a long), in the order of ids; null ids by their texts' digests, before all others.
+
+    The pieces of the range between quantiles hold about as many rows each and
+    are cut evenly, so as many blocks come out as rows ask for.
+    """
+    steps = [k / PIECES for k in range(1, PIECES)]
+    ids = docs.where("doc_id is not null").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.approx_percentile("doc_id", steps, 10000).alias("q")).first()
+    id_ = F.col("doc_id")
+    bare = F.shiftrightunsigned(F.col("digest").bitwiseXOR(F.lit(-(1 << 63))), 44) - (1 << 22)  # 2 ** 20 blocks below all others
+    if not ids.n:
+        return bare
+    cuts = sorted({ids.low, *ids.q, ids.high + 1})
+    per = max(1, -(-ids.n // (PIECES * BLOCK)))
+    out, first = F.lit(None).cast("long"), 0
+    for a, b in zip(cuts, cuts[1:]):
+        width = max(1, -(-(b - a) // per))
+        out = F.when((id_ >= F.lit(a)) & (id_ < F.lit(b)), F.expr(f"cast((doc_id - {a}L) div {width}L as long)") + first).otherwise(out)
+        first += -(-(b - a) // width)
+    return F.when(id_.isNull(), bare).otherwise(out)
 
 
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``docs(doc_id, text, ...)`` with next_<column> of the row that follows in the order of doc_id, text; the first follows the last."""
-    block = F.coalesce(F.expr(f"doc_id div {BLOCK}"), F.lit(-(1 << 60)))
-    rows = docs.select("doc_id", *columns, block.alias("block"))
-    ahead = F.lead(F.struct(*columns)).over(Window.partitionBy("block").orderBy(F.col("doc_id").asc_nulls_first(), "text"))
+    """``docs(doc_id, text, ...)`` with next_<column> of the row that follows in the order of doc_id and text's digest; the first follows the last."""
+    docs = docs.withColumn("digest", F.xxhash64("text"))
+    block = blocks(docs)
+    order = [F.col("doc_id").asc_nulls_first(), "digest", "text"]
+    rows = docs.select("doc_id", "digest", *columns, block.alias("block"))
+    ahead = F.lead(F.struct(*columns)).over(Window.partitionBy("block").orderBy(*order))
     met = rows.withColumn("ahead", ahead)
-    names = docs.select(block.alias("block")).distinct().withColumn("many", F.expr(f"block div {GROUP}"))
+    names = docs.select(block.alias("block")).distinct().withColumn("many", F.floor(F.col("block") / GROUP))
     few = names.groupBy("many").agg(F.min("block").alias("first"))
     few = few.withColumn("then", F.lead("first").over(Window.orderBy("many")))
-    round_trip = names.agg(F.max("many").alias("many"), F.min("block").alias("least"))
+    least = names.agg(F.min("block").alias("least"))
     follow = F.lead("block").over(Window.partitionBy("many").orderBy("block"))
-    names = names.withColumn("follow", follow).join(few, "many").join(round_trip, "many", "left")
+    names = names.withColumn("follow", follow).join(few, "many").crossJoin(F.broadcast(least))
     names = names.select("block", F.coalesce("follow", "then", "least").alias("follow"))
-    heads = rows.groupBy("block").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("o"), "doc_id", *columns)).alias("head"))
+    heads = rows.groupBy("block").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("o"), "doc_id", "digest", *columns)).alias("head"))
     heads = heads.select(F.col("block").alias("follow"), F.struct(*[F.col(f"head.{c}").alias(c) for c in columns]).alias("head"))
     heads = names.join(heads, "follow").select("block", "head")
     joined = met.join(heads, "block", "left").withColumn("ahead", F.coalesce("ahead", "head"))
@@ -148,7 +220,7 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited version, and their likenesses."""
     scratch = Scratch(docs.sparkSession, "fingerprint")
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = with_next(base, ["text"])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
@@ -164,14 +236,27 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         digests(F.col("edited")).alias("changed"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
     )
     rows = scratch.keep(rows, "rows")
-    arrays = rows.select("row", "own", "after", "changed")
-    pairs = arrays.select("row", F.explode(F.array(*[F.struct(F.lit(w).alias("which"), F.col("own").alias("a"), F.col(c).alias("b")) for w, c in enumerate(("changed", "after"))])).alias("x"))
-    pairs = pairs.select("row", "x.*")
-    differ = differences(pairs, ["row", "which"], scratch)
-    differ = differ.groupBy("row").agg(*[F.max(F.when(F.col("which") == w, F.col("differ"))).alias(c) for w, c in enumerate(("edited_differ", "next_differ"))])
-    sketches = arrays.repartition("row").select("row", F.explode(F.array(*[F.struct(F.lit(w).alias("which"), F.col(c).alias("a")) for w, c in enumerate(("own", "changed"))])).alias("x"))
-    shown = written(sketches.select("row", "x.which", F.explode("x.a").alias("d")), ["row", "which"])
-    shown = shown.groupBy("row").agg(*[F.max(F.when(F.col("which") == w, F.col("written"))).alias(c) for w, c in enumerate(("fingerprint", "edited_fingerprint"))])
+    bits = {c: parity(F.col(c)) for c in ("own", "after", "changed")}
+    arrays = rows.select("row", "own", "after", "changed", *[b.alias(f"bits_{c}") for c, b in bits.items()]).repartition("row")
+
+    def meeting(which: int, a: str, b: str | None) -> Column:
+        """One subtraction: of two sets, or of a set from nothing, which tells whether its own sketch peels."""
+        if b is None:
+            none = F.array().cast("array<bigint>")
+            return F.struct(F.lit(which).alias("which"), F.col(a).alias("a"), none.alias("b"), third_for(F.size(a)).alias("third"))
+        guess = estimated(F.col(f"bits_{a}"), F.col(f"bits_{b}"), F.size(a) + F.size(b))
+        return F.struct(F.lit(which).alias("which"), F.col(a).alias("a"), F.col(b).alias("b"), third_for(guess).alias("third"))
+
+    meetings = [meeting(0, "own", "changed"), meeting(1, "own", "after"), meeting(2, "own", None), meeting(3, "changed", None)]
+    pairs = arrays.select("row", F.explode(F.array(*meetings)).alias("x")).select("row", "x.*")
+    differ, _ = differences(pairs, ["row", "which"], scratch)
+    wide = [F.max(F.when(F.col("which") == w, F.col(c))).alias(name) for w, c, name in ((0, "differ", "edited_differ"), (1, "differ", "next_differ"), (2, "third", "third"), (3, "third", "edited_third"))]
+    differ = scratch.keep(differ.groupBy("row").agg(*wide), "differ")
+    sized = rows.select("row", "own", "changed").join(differ.select("row", "third", "edited_third"), "row")
+    sketches = F.explode(F.array(*[F.struct(F.lit(w).alias("which"), F.col(c).alias("a"), F.col(t).alias("third")) for w, (c, t) in enumerate((("own", "third"), ("changed", "edited_third")))]))
+    sketches = sized.select("row", sketches.alias("x")).select("row", "x.which", "x.third", F.explode("x.a").alias("d"))
+    shown = written(sketches, ["row", "which"])
+    shown = shown.groupBy("row").agg(*[F.max(F.when(F.col("which") == w, F.col("cells"))).alias(c) for w, c in enumerate(("cells", "edited_cells"))])
 
     def likeness(other: str, number: str) -> Column:
         total = (F.size("own") + F.size(other)).cast("double")
@@ -179,6 +264,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     out = rows.join(differ, "row").join(shown, "row")
     return out.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        "doc_id", "n_chars", "edited_sha256",
+        F.concat_ws(";", heading(F.size("own"), F.col("third"), bits["own"]), "cells").alias("fingerprint"),
+        F.concat_ws(";", heading(F.size("changed"), F.col("edited_third"), bits["changed"]), "edited_cells").alias("edited_fingerprint"),
         likeness("changed", "edited_differ").alias("near_edited"), likeness("after", "next_differ").alias("near_next"),
     )

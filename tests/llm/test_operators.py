@@ -196,6 +196,85 @@ def test_fingerprints_against_sets(docs):
         assert by_text.setdefault(r.text, got[r.doc_id].fingerprint) == got[r.doc_id].fingerprint
 
 
+def cells_of(text):
+    """Size, cells of a part and cells {place: [count, digest, check]} of a fingerprint, from its text alone."""
+    head, cells = text.split(";")
+    n, third = map(int, head.split(":")[:2])
+    out = {}
+    for x in filter(None, cells.split(",")):
+        at, c, k, h = x.split(".")
+        out[int(at)] = [int(c), int(k, 16), int(h, 16)]
+    return n, third, out
+
+
+def peel(third, cells, places):
+    """Digests {digest: sign} that a sketch gives, or None if it gets stuck."""
+    out, cells = {}, {at: list(x) for at, x in cells.items()}
+    while True:
+        pure = [(at, x) for at, x in cells.items() if abs(x[0]) == 1 and x[1] in places and places[x[1]][3] == x[2]]
+        if not pure:
+            return None if any(any(x) for x in cells.values()) else out
+        sign, k, h = pure[0][1]
+        out[k] = sign
+        for p in range(3):
+            at = (places[k][p] & (third - 1)) + third * p
+            x = cells.setdefault(at, [0, 0, 0])
+            cells[at] = [x[0] - sign, x[1] ^ k, x[2] ^ h]
+
+
+def folded(third, cells, to):
+    out = {}
+    for at, (c, k, h) in cells.items():
+        part, inner = divmod(at, third)
+        x = out.setdefault((inner & (to - 1)) + to * part, [0, 0, 0])
+        x[0], x[1], x[2] = x[0] + c, x[1] ^ k, x[2] ^ h
+    return out
+
+
+def likeness_of(a, b, places):
+    """From two returned fingerprints alone: both folded to the smaller one's cells and subtracted, unfolded and larger where that gets stuck."""
+    (na, ta, ca), (nb, tb, cb) = cells_of(a), cells_of(b)
+    to, tries = min(ta, tb), 0
+    while True:
+        sides = []
+        for third, cells in ((ta, ca), (tb, cb)):
+            if to <= third:
+                sides.append(folded(third, cells, to))
+                continue
+            wider = {}
+            for d in peel(third, cells, places):
+                for p in range(3):
+                    x = wider.setdefault((places[d][p] & (to - 1)) + to * p, [0, 0, 0])
+                    x[0], x[1], x[2] = x[0] + 1, x[1] ^ d, x[2] ^ places[d][3]
+            sides.append(wider)
+        less = {at: [sides[0].get(at, [0, 0, 0])[0] - sides[1].get(at, [0, 0, 0])[0]] + [sides[0].get(at, [0, 0, 0])[i] ^ sides[1].get(at, [0, 0, 0])[i] for i in (1, 2)] for at in {**sides[0], **sides[1]}}
+        found = peel(to, less, places)
+        if found is not None:
+            return (na + nb - len(found)) / (na + nb + len(found)), tries
+        to, tries = to * 4, tries + 1
+
+
+def test_likeness_comes_from_the_returned_fingerprints(docs, spark):
+    got = fingerprint.fingerprints(docs).orderBy("doc_id").collect()
+    own = docs.select(F.explode(fingerprint.digests(F.coalesce("text", F.lit("")))).alias("d"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    ids = sorted(texts)
+    edited = [texts[i][: len(texts[i]) - len(texts[i]) // 2] + texts[ids[(k + 1) % len(ids)]][: len(texts[i]) // 2] for k, i in enumerate(ids)]
+    more = spark.createDataFrame([(t,) for t in edited], "text string").select(F.explode(fingerprint.digests(F.col("text"))).alias("d"))
+    wide = F.lit(1 << 40)
+    hashes = own.union(more).distinct().select("d", *[fingerprint.place(F.col("d"), p, wide).alias(f"p{p}") for p in range(3)], fingerprint.check(F.col("d")).alias("h"))
+    u = lambda x: x & (2**64 - 1)
+    places = {u(r.d): (r.p0, r.p1 - (1 << 40), r.p2 - (2 << 40), u(r.h)) for r in hashes.collect()}
+    retried = 0
+    for k, r in enumerate(got):
+        near, tries = likeness_of(r.fingerprint, r.edited_fingerprint, places)
+        assert near == pytest.approx(r.near_edited), r.doc_id
+        near, more_tries = likeness_of(r.fingerprint, got[(k + 1) % len(got)].fingerprint, places)
+        assert near == pytest.approx(r.near_next), r.doc_id
+        retried += (tries > 0) + (more_tries > 0)
+    assert retried > 0
+
+
 def test_fingerprints_of_odd_rows(odd, none, spark):
     rows = fingerprint.fingerprints(odd).collect()
     assert len(rows) == len(ODD) and all(0 <= r.near_next <= 1 for r in rows)
@@ -204,29 +283,47 @@ def test_fingerprints_of_odd_rows(odd, none, spark):
     assert alone.near_next == 1.0
 
 
-def test_order_over_blocks(spark):
-    ids = [-5000, -1, 0, 3, 511, 512, 9_000_000, 9_000_001, 2**40]
-    df = docs_of(spark, [(i, str(i), "s") for i in ids])
-    got = {r.doc_id: r.next_text for r in fingerprint.with_next(df, ["text"]).collect()}
-    assert got == {i: str(ids[(k + 1) % len(ids)]) for k, i in enumerate(ids)}
+def test_order_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "BLOCK", 1)
+    ids = [-5000, -1, 0, 3, 511, 512, 9_000_000, 9_000_001, 2**40, -(2**62)]
+    for some in (ids, ids[:1], [7, 7, 7]):
+        df = docs_of(spark, [(i, str(i), "s") for i in some])
+        got = {r.doc_id: r.next_text for r in fingerprint.with_next(df, ["text"]).collect()}
+        order = sorted(some)
+        assert got == {i: str(order[(k + 1) % len(order)]) for k, i in enumerate(order)}
+    bare = docs_of(spark, [(None, f"t{i}", "s") for i in range(20)] + [(5, "x", "s")])
+    rows = fingerprint.with_next(bare, ["text"]).collect()
+    follow = {r.text: r.next_text for r in rows}
+    seen, at = [], "x"
+    for _ in rows:
+        at = follow[at]
+        seen.append(at)
+    assert len(set(seen)) == 21 and at == "x"
+    assert max(r.n for r in fingerprint_blocks(spark).collect()) < 8 * 4
+
+
+def fingerprint_blocks(spark):
+    sparse = spark.range(2000).select(F.xxhash64("id").alias("doc_id"), F.lit("t").alias("text"), F.lit(0).cast("long").alias("digest"))
+    return sparse.select(fingerprint.blocks(sparse).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
 
 
-def test_larger_sketches_after_failure(spark, monkeypatch):
+def test_larger_sketches_after_failure(spark):
     a, b = list(range(0, 400)), list(range(200, 700))
     df = spark.createDataFrame([(1, a, b), (2, a, a), (3, a, a + [9999])], "row long, a array<long>, b array<long>")
     df = df.select("row", *[F.transform(c, lambda x: F.xxhash64(x)).alias(c) for c in "ab"])
-    for factors in (fingerprint.FACTORS, (0.001, 0.002, 2.0), (0.001,)):
-        monkeypatch.setattr(fingerprint, "FACTORS", factors)
-        got = {r.row: r.differ for r in fingerprint.differences(df, ["row"], common.Scratch(spark, "d")).collect()}
-        assert got == {1: 500, 2: 0, 3: 1}
+    for third, least in ((8, 2), (512, 1)):
+        out, tries = fingerprint.differences(df.withColumn("third", F.lit(third).cast("long")), ["row"], common.Scratch(spark, "d"))
+        got = {r.row: r for r in out.collect()}
+        assert {k: r.differ for k, r in got.items()} == {1: 500, 2: 0, 3: 1} and tries >= least
+        assert got[1].third > 8 and got[3].third == third
 
 
 def test_peeling_recovers_the_difference(spark):
-    rows = [(1, 40, 0, d, 1) for d in range(20)] + [(1, 40, 0, d, -1) for d in range(15, 40)] + [(2, 3, 0, d, 1) for d in range(200)]
-    df = spark.createDataFrame(rows, "row long, third long, salt int, d long, sign long")
-    keys = ["row", "third", "salt"]
+    rows = [(1, 64, d, 1) for d in range(20)] + [(1, 64, d, -1) for d in range(15, 40)] + [(2, 4, d, 1) for d in range(200)]
+    df = spark.createDataFrame(rows, "row long, third long, d long, sign long")
+    keys = ["row", "third"]
     got = {r.row: r for r in fingerprint.peeled(fingerprint.sketched(df, keys), keys).collect()}
-    assert (got[1].found, got[1].stuck) == (35, 0) and got[2].stuck == 9
+    assert (got[1].found, got[1].stuck) == (35, 0) and got[2].stuck == 12
 
 
 # --- packing
