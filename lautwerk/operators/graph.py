@@ -4,32 +4,46 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is set."""
+    """The shared folder that the cluster names; where none is set, the warehouse, or in local mode a folder of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
+    if not root and spark.sparkContext.master.split("[")[0] == "local":
         root = tempfile.mkdtemp(prefix="lautwerk-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    return (root or f"{spark.conf.get('spark.sql.warehouse.dir')}/lautwerk").rstrip("/")
+
+
+#: The folder of the scratch that is open, if any: scratches made meanwhile lie in it.
+_open: ContextVar[str | None] = ContextVar("lautwerk_scratch", default=None)
 
 
 class Scratch:
     """Tables written into the shared folder, which cut lineage and outlive executors.
 
     ``drop`` removes those that no later step reads; what a returned frame
-    still reads stays for the owner of the folder to clean.
+    still reads stays until its owner no longer needs it.  An owner opens a
+    scratch (``with``) around calls whose own scratches shall lie in it, and
+    removes them all with ``clear`` once their results are written elsewhere.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.base = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self.base = f"{_open.get() or scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
 
+    def __enter__(self) -> Scratch:
+        self._token = _open.set(self.base)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _open.reset(self._token)
+
     def keep(self, df: DataFrame, label: str = "t") -> DataFrame:
         self.count += 1
         path = f"{self.base}/{label}{self.count}"
@@ -39,13 +53,17 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def _delete(self, where: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self, *frames: DataFrame) -> None:
-        jvm = self.spark._jvm
         for df in frames:
-            if "_scratch_path" not in df.__dict__:
-                continue
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            if "_scratch_path" in df.__dict__:
+                self._delete(df._scratch_path)
+
+    def clear(self) -> None:
+        self._delete(self.base)
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
