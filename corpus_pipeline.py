@@ -62,7 +62,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        with Scratch(spark, "stage") as own:
+            docs = scratch.keep(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        own.clear()
         if last is not None:
             scratch.drop(last)
         last = docs
