@@ -11,32 +11,45 @@ pairs above the threshold keep meeting down to small nodes, while a passage
 that many documents share loses its hold from level to level.  Trees are
 repeated until the recall of pairs at the threshold is near one.
 
+A node whose members are close to the whole node gains nothing by branching:
+as soon as the mean similarity of its members, estimated from the signatures,
+reaches DENSE, it is met exactly; so are nodes that are still large after the
+last step.  Such nodes of all trees that share members make up one group, so
+each pair of a group is compared once, however many nodes it shares.  A group
+is compared on the full sets, by tiles of its members: whoever isn't in the
+component of most members meets all of them, and a tile gives no more links
+than it joins components.  So no cap drops a pair; the work of a group grows
+with the members outside its largest component times all of them.
+
 A few trees come first.  Of their candidates each class's likeliest partner and
 the smallest of its likely ones are confirmed on the full sets, so a large
 group of copies becomes a component.  The other trees go only through nodes
-that hold several components, and only for pairs across.  A pair at the
-threshold loses its hold with every step, so no tree takes more than two:
-nodes that are still large then, of the first trees too, are met exactly, on
-the full sets, by tiles of their members (whoever isn't in the component of
-most members meets all of them), and a tile gives no more links than it joins
-components.  So no cap drops a pair.
+that hold several components, and only for pairs across.
+
+Candidates of small nodes must pass a necessary bound on set sizes and a wide
+bound on the signatures' agreement, four deviations below what is expected at
+the threshold; all whose ends are in different components by then are confirmed
+on the full sets.  What a pair at the threshold of 0.75 is missed with is the
+chance that it never meets (below 0.001 over all trees, even if its nodes stay
+large without being dense for all DEEP steps) and that of the bound (below
+0.0001).
 
-Candidates must pass a necessary bound on set sizes and a wide bound on the
-signatures' agreement; all whose ends are in different components by then are
-confirmed on the full sets.
+Full sets are made again from the texts of those classes that are candidates.
 
 Defined cases: a null text has no words; documents without words have an empty
 set and are linked with nothing; texts of fewer words than a shingle are one
-shingle; a null id is linked with nothing, has no component and is kept;
-repeated rows of an id are one document of the group each, with the same
-answer; an empty table gives an empty result.
+shingle, texts of any length are read whole; a similarity of exactly the
+threshold links; a null id is linked with nothing, has no component and is
+kept; repeated rows of an id are one document of the group each, with the same
+answer (``one_of_each`` keeps one of them); columns besides doc_id and text
+aren't looked at, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lautwerk.llm.common import Scratch, components
@@ -47,9 +60,15 @@ PERCENT = 75
 #: Trees, coordinates of the signature that nodes below the root select from, members of a small node.
 TREES, LANES, SMALL = 12, 64, 12
 #: Trees whose links are confirmed first, steps below the root in these and in the other trees.
-FIRST, SHALLOW, DEEP = 4, 2, 2
-#: Members of a block of a large node; two blocks are a tile.
-TILE = 256
+FIRST, SHALLOW, DEEP = 4, 4, 4
+#: Mean similarity of members from which a large node is met exactly instead of branching again.
+DENSE = 0.55
+#: Members and shingles of a block of a group, about; two blocks are a tile.
+TILE, MASS = 1024, 500_000
+#: Parts that the members of a node are dealt to where its size meets them.
+SALTS = 16
+#: Classes whose texts are fetched by a broadcast of their ids, at most; more of them are joined by a shuffle.
+FETCH = 500_000
 #: Lanes of two signatures that agree at least, of 64: over four deviations below what is expected at the threshold.
 AGREE = 34
 #: Agreement of pairs that are most likely links.
@@ -104,7 +123,7 @@ def signature(own: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, key (of the set), roots (array), lanes (array of 8 longs, a byte for each lane)."""
+    """doc_id, mark (of the text), n, key (of the set), roots (array), lanes (array of 8 longs, a byte for each lane)."""
 
     @F.arrow_udf("n long, key long, roots array<int>, lanes array<long>")
     def sign(texts: pa.Array) -> pa.Array:
@@ -125,7 +144,7 @@ def signed(docs: DataFrame) -> DataFrame:
             names=["n", "key", "roots", "lanes"],
         )
 
-    return docs.select("doc_id", sign(F.col("text")).alias("s")).select("doc_id", "s.*")
+    return docs.select("doc_id", F.xxhash64("text").alias("mark"), sign(F.col("text")).alias("s")).select("doc_id", "mark", "s.*")
 
 
 def agreement(a: str, b: str) -> Column:
@@ -179,44 +198,100 @@ def _met(left: DataFrame, right: DataFrame, percent: int, less: bool, apart: boo
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), agreement("a", "b").alias("agree"))
 
 
-def roots(classes: DataFrame) -> DataFrame:
+def roots(classes: DataFrame, scratch: Scratch) -> DataFrame:
     """A row for each class, tree and selected root coordinate, where another class goes to the same node."""
     picks = [(t, t) for t in range(TREES)] + [(TREES + t // 3, t) for t in range(0, TREES, 3)]
     start = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(c), F.lit(t), F.element_at("roots", c + 1)).alias("node")) for c, t in picks]))
-    rows = classes.select("key", "n", *[F.col("lanes")[k].alias(f"l{k}") for k in range(LANES // 8)], start.alias("r"))
-    rows = rows.select("key", "n", *[f"l{k}" for k in range(LANES // 8)], "r.*")
-    return rows.join(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "node").drop("size")
+    rows = classes.select("key", start.alias("r")).select("key", "r.*")
+    shared = scratch.keep(_with_totals(rows, {}, lambda whole: whole.where("size > 1").select("node")), "shared")
+    out = scratch.keep(shared.join(classes.select("key", "n", *[F.col("lanes")[k].alias(f"l{k}") for k in range(LANES // 8)]), "key"), "roots")
+    scratch.drop(shared)
+    return out
+
+
+def _with_totals(rows: DataFrame, sums: dict[str, Column], of) -> DataFrame:
+    """``rows`` joined by node with what ``of`` makes of the nodes' sizes and sums.
+
+    Members are summed up in SALTS parts of a node and meet its totals part by part, so a hot node is no hot task.
+    """
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("key", "node"), F.lit(SALTS)))
+    parts = rows.groupBy("node", "salt").agg(F.count(F.lit(1)).alias("size"), *[c.alias(k) for k, c in sums.items()])
+    fold = {"low": F.min, "high": F.max}
+    whole = parts.groupBy("node").agg(F.sum("size").alias("size"), *[fold.get(k, F.sum)(k).alias(k) for k in sums])
+    return rows.join(parts.select("node", "salt").join(of(whole), "node"), ["node", "salt"]).drop("salt")
+
+
+#: Lanes whose lowest bits tell the mean similarity of a node's members.
+BITS = 16
 
 
-def explore(rows: DataFrame, steps: int, scratch: Scratch, percent: int, apart: bool) -> tuple[DataFrame, DataFrame | None]:
-    """Pairs (a, b, agree) that meet in small nodes, and the members (node, key) of nodes that are still large after the last step.
+def with_size(rows: DataFrame, apart: bool) -> DataFrame:
+    """``rows`` of nodes of more than one member (apart: of more than one component), with the node's size and whether it is dense.
+
+    Two members have the same bit in a lane if their tokens there are the
+    same, else in half of all cases.  So the squared surplus of ones over
+    zeros, over the size squared, is on average the share of pairs of members
+    that agree.
+    """
+    ones = {f"b{j}": F.sum(F.shiftrightunsigned(F.col(f"l{j // 8}"), j % 8 * 8).bitwiseAND(F.lit(1))) for j in range(BITS)}
+    ends = {"low": F.min("comp"), "high": F.max("comp")} if apart else {}
+
+    def judged(whole: DataFrame) -> DataFrame:
+        surplus = sum((F.pow((F.col("size") - 2 * F.col(f"b{j}")) / F.col("size"), 2) for j in range(BITS)), F.lit(0.0)) / BITS
+        whole = whole.where("size > 1 and low <> high" if apart else "size > 1")
+        return whole.select("node", "size", ((F.col("size") > SMALL) & (surplus >= DENSE)).alias("dense"))
+
+    return _with_totals(rows, ones | ends, judged)
+
+
+def explore(rows: DataFrame, steps: int, scratch: Scratch, percent: int, apart: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs (a, b, agree) that meet in small nodes, and the members (node, key, n) of dense nodes and of those still large after the last step.
 
     apart: components of classes are known; nodes within one component end, and only pairs across count; else
-    the pairs of each last large node's head count, too.
+    the pairs with the heads of the latter nodes count, too.  A level is dropped once the next one is written.
     """
     columns = ["key", "n", *[f"l{k}" for k in range(LANES // 8)], *(["comp"] if apart else [])]
-    kept, last = [], None
+    found, level, large = [], None, []
     for step in range(steps + 1):
-        size = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), *([F.min("comp").alias("low"), F.max("comp").alias("high")] if apart else []))
-        size = size.where("size > 1 and low <> high" if apart else "size > 1").select("node", "size")
-        sized = scratch.keep(rows.join(size, "node"), f"step{step}_")
-        kept.append(sized)
-        large = sized.where(F.col("size") > SMALL)
-        if large.isEmpty():
+        sized = scratch.keep(with_size(rows, apart), f"step{step}_")
+        if level is not None:
+            scratch.drop(level)
+        level = sized
+        small, rest = sized.where(F.col("size") <= SMALL), sized.where(F.col("size") > SMALL)
+        found.append(scratch.keep(_met(small, small, percent, True, apart), "met"))
+        if rest.isEmpty():
+            break
+        ends = rest if step == steps else rest.where("dense")
+        large.append(scratch.keep(ends.select("node", "key", "n"), "large"))
+        if not apart:
+            found.append(scratch.keep(_met_heads(ends, columns, percent), "met"))
+        rest = rest.where("not dense")
+        if step == steps or rest.isEmpty():
             break
-        if step == steps:
-            last = large
-        else:
-            rows = large.select(*columns, _child(step).alias("node"))
-    small = _all([x.where(F.col("size") <= SMALL).select("node", *columns) for x in kept])
-    pairs = _met(small, small, percent, True, apart)
-    if last is not None and not apart:
-        head = F.min(F.struct(*columns)).alias("h")
-        pairs = pairs.unionByName(_met(last.groupBy("node").agg(head).select("node", "h.*"), last, percent, False, False))
-    pairs = scratch.keep(pairs.distinct(), "candidates")
-    last = None if last is None else scratch.keep(last.select("node", "key"), "last")
-    scratch.drop(*kept)
-    return pairs, last
+        rows = rest.select(*columns, _child(step).alias("node"))
+    pairs = scratch.keep(_all(found).distinct(), "candidates")
+    scratch.drop(level, *found)
+    return pairs, large
+
+
+def _met_heads(members: DataFrame, columns: list[str], percent: int) -> DataFrame:
+    """Candidates of nodes' members with the first one of their node; heads are copied to as many keys as members of a hot node are dealt to."""
+    head = members.groupBy("node").agg(F.min(F.struct(*columns)).alias("h")).select("node", "h.*")
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    head = head.withColumn("salt", salts).withColumn("node", F.xxhash64("node", "salt"))
+    dealt = members.withColumn("node", F.xxhash64("node", F.pmod(F.xxhash64("key", "node"), F.lit(SALTS))))
+    return _met(head, dealt, percent, False, False)
+
+
+def grouped(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """``node, key, n``: members (node, key, n) of nodes that share members, under one node; each key once."""
+    least = members.groupBy("node").agg(F.min("key").alias("least"))
+    star = members.join(least, "node").where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b")).distinct()
+    comp = components(star, scratch)
+    rows = members.select("key", "n").distinct().join(comp.withColumnRenamed("node", "key").withColumnRenamed("comp", "node"), "key")
+    out = scratch.keep(rows.select("node", "key", "n"), "groups")
+    scratch.drop(comp)
+    return out
 
 
 def tile_links(left: list[np.ndarray], right: list[np.ndarray], cl: np.ndarray, cr: np.ndarray, percent: int, width: int = 4096) -> list[tuple[int, int]]:
@@ -256,22 +331,20 @@ def tile_links(left: list[np.ndarray], right: list[np.ndarray], cl: np.ndarray,
     return out
 
 
-def met_exactly(last: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join the components within nodes (node, key, comp), by comparing full sets.
+def met_exactly(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components within groups (node, key, n, comp), by comparing full sets.
 
-    Members fall into blocks by a hash; those of a node's commonest component have blocks of their own, which
-    don't meet each other.  Each two blocks are a tile, so a node of any size is dealt out.
+    Members fall into blocks by a hash; those of a group's commonest component have blocks of their own, which
+    don't meet each other.  Each two blocks are a tile, so a group of any size is dealt out.
     """
-    counts = last.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("m"))
-    nodes = counts.groupBy("node").agg(F.max(F.struct("m", "comp")).alias("most"), F.sum("m").alias("size"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    nodes = nodes.select(
-        "node",
-        F.col("most.comp").alias("most"),
-        F.ceil((F.col("size") - F.col("most.m")) / TILE).cast("int").alias("others"),
-        F.ceil(F.col("most.m") / TILE).cast("int").alias("same"),
+    counts = groups.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("mass"))
+    nodes = counts.groupBy("node").agg(F.max(F.struct("m", "comp", "mass")).alias("most"), F.sum("m").alias("size"), F.sum("mass").alias("mass"), F.count(F.lit(1)).alias("comps"))
+    blocks = lambda m, mass: F.greatest(F.ceil(m / TILE), F.ceil(mass / MASS), F.lit(1)).cast("int")
+    nodes = nodes.where("comps > 1").select(
+        "node", F.col("most.comp").alias("most"), blocks(F.col("size") - F.col("most.m"), F.col("mass") - F.col("most.mass")).alias("others"), blocks(F.col("most.m"), F.col("most.mass")).alias("same")
     )
     deal = F.xxhash64("key", "node")
-    rows = last.join(nodes, "node")
+    rows = groups.join(nodes, "node")
     block = F.when(F.col("comp") == F.col("most"), F.col("others") + F.pmod(deal, F.col("same"))).otherwise(F.pmod(deal, F.col("others"))).cast("int")
     rows = rows.withColumn("block", block)
     ends = F.when(F.col("block") < F.col("others"), F.col("others") + F.col("same")).otherwise(F.col("others")) - 1
@@ -295,7 +368,7 @@ def met_exactly(last: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``key, own``: the full sets of the classes wanted (key, doc_id of a member)."""
+    """``key, own``: the full sets of the classes wanted (a written table: key, doc_id of a member)."""
 
     @F.arrow_udf("own array<long>, key long")
     def full(texts: pa.Array) -> pa.Array:
@@ -304,7 +377,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             [pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64())), pa.array([key_of(x) for x in own], pa.int64())], names=["own", "key"]
         )
 
-    met = docs.select("doc_id", "text").join(wanted, "doc_id").select("key", full(F.col("text")).alias("f"))
+    few = wanted.count() <= FETCH
+    met = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id").select("key", full(F.col("text")).alias("f"))
     return met.where(F.col("key") == F.col("f.key")).select("key", "f.own")  # an id may stand for several texts
 
 
@@ -324,59 +398,96 @@ def _all(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "minhash")
+def _across(these: DataFrame, comp: DataFrame) -> DataFrame:
+    """Pairs whose ends are in different components."""
+    ca = comp.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
+    cb = comp.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
+    joined = these.join(ca, "a", "left").join(cb, "b", "left")
+    return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
+def labelled(docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """A row for each document: doc_id, mark, n, key, and first_id, first_key of the group's first document (by id, then key)."""
     sigs = scratch.keep(signed(docs), "signed")
     usable = sigs.where("n > 0 and doc_id is not null")
     classes = usable.groupBy("key").agg(F.min(F.struct("doc_id", "n", "roots", "lanes")).alias("m"))
     classes = scratch.keep(classes.select("key", "m.*"), "classes")
     ids = classes.select("key", "doc_id")
-    rows = scratch.keep(roots(classes), "roots")
-    sets = scratch.keep(sets_of(docs, ids.join(rows.select("key").distinct(), "key")), "sets")
-
-    def across(these: DataFrame, comp: DataFrame) -> DataFrame:
-        ca = comp.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
-        cb = comp.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
-        joined = these.join(ca, "a", "left").join(cb, "b", "left")
-        return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
+    rows = roots(classes, scratch)
     # a few trees; the likeliest partner of each class, and the smallest of its likely ones, so that a large group soon hangs together
     pairs, early = explore(rows.where(F.col("tree") < FIRST).drop("tree"), SHALLOW, scratch, percent, False)
+    ends = lambda these: these.select(F.col("a").alias("key")).unionByName(these.select(F.col("b").alias("key")))
+
+    def fetched(keys: DataFrame) -> DataFrame:
+        wanted = scratch.keep(ids.join(keys.distinct(), "key"), "wanted")
+        out = scratch.keep(sets_of(docs, wanted), "sets")
+        scratch.drop(wanted)
+        return out
+
+    sets = [fetched(ends(pairs))]
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "agree"))
     best = both.groupBy("a").agg(F.min(F.struct(-F.col("agree"), "b"))["b"].alias("b"), F.min(F.when(F.col("agree") >= LIKELY, F.col("b"))).alias("c"))
     best = best.select("a", F.explode(F.array_compact(F.array("b", "c"))).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = [scratch.keep(confirmed(best.distinct(), sets, percent), "links")]
+    links = [scratch.keep(confirmed(best.distinct(), sets[0], percent), "links")]
     comp = components(links[0], scratch)
-    # what is left of these trees' candidates, and all other trees, for pairs across components; last large nodes of all trees exactly
+    # what is left of these trees' candidates, and all other trees, for pairs across components; groups of dense nodes of all trees exactly
     known = comp.select(F.col("node").alias("key"), "comp")
-    labels = lambda these: these.join(known, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    more, late = explore(labels(rows.where(F.col("tree") >= FIRST).drop("tree")), DEEP, scratch, percent, True)
-    left = across(pairs.select("a", "b"), comp).unionByName(more.select("a", "b")).distinct()
-    links.append(scratch.keep(confirmed(left, sets, percent), "links"))
-    large = [x for x in (early, late) if x is not None]
+    named = lambda these: these.join(known, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    more, late = explore(named(rows.where(F.col("tree") >= FIRST).drop("tree")), DEEP, scratch, percent, True)
+    scratch.drop(rows)
+    left = scratch.keep(_across(pairs.select("a", "b"), comp).unionByName(more.select("a", "b")).distinct(), "left")
+    scratch.drop(pairs, more)
+    large, wanted = [*early, *late], ends(left)
     if large:
-        links.append(scratch.keep(met_exactly(labels(_all(large)), sets, percent), "links"))
-    scratch.drop(comp, sets, pairs, rows, more, *large)
+        plain = grouped(_all(large), scratch)
+        groups = scratch.keep(named(plain), "groups")
+        scratch.drop(plain, *large)
+        several = groups.groupBy("node").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("node")
+        wanted = wanted.unionByName(groups.join(several, "node", "left_semi").select("key"))
+    sets.append(fetched(wanted.join(sets[0].select("key"), "key", "left_anti")))
+    links.append(scratch.keep(confirmed(left, _all(sets), percent), "links"))
+    scratch.drop(comp, left)
+    if large:
+        links.append(scratch.keep(met_exactly(groups, _all(sets), percent), "links"))
+        scratch.drop(groups)
+    scratch.drop(*sets)
     comp = components(_all(links), scratch)
-    labelled = ids.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    smallest = labelled.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    labelled = labelled.join(smallest, "comp").select(F.col("key").alias("ckey"), "component_id")
-    out = sigs.join(labelled, (F.col("key") == F.col("ckey")) & F.col("doc_id").isNotNull(), "left")
-    component = F.coalesce("component_id", "doc_id")
-    out = out.select(
-        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")
-    )
-    out = scratch.keep(out, "result")
+    named = ids.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    first = named.groupBy("comp").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    named = named.join(first, "comp").select(F.col("key").alias("ckey"), F.col("first.doc_id").alias("first_id"), F.col("first.key").alias("first_key"))
+    out = sigs.join(named, (F.col("key") == F.col("ckey")) & F.col("doc_id").isNotNull(), "left")
+    out = scratch.keep(out.select("doc_id", "mark", "n", "key", "first_id", "first_key"), "result")
     scratch.drop(sigs, classes, comp, *links)
     return out
 
 
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept."""
+    out = labelled(docs, percent, Scratch(docs.sparkSession, "minhash"))
+    component = F.coalesce("first_id", "doc_id")
+    return out.select(
+        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")
+    )
+
+
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each group."""
-    gone = near_duplicates(docs, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one row of each group: that of the smallest id, and of the smallest key where an id stands for several texts.
+
+    Rows are told apart by id and text; of several rows with the same id and
+    words one stays, too.  Rows without an id or without words all stay.
+    """
+    out = labelled(docs, percent, Scratch(docs.sparkSession, "minhash"))
+    mark = "_".join(["mark", *sorted(docs.columns)])[:64]
+    with_words = out.where("first_id is not null")
+    gone = with_words.where("doc_id <> first_id or key <> first_key").select("doc_id", F.col("mark").alias(mark)).distinct()
+    again = with_words.where("doc_id = first_id and key = first_key").groupBy("doc_id", F.col("mark").alias(mark)).agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    marked = docs.withColumn(mark, F.xxhash64("text"))
+    rest = marked.join(gone, ["doc_id", mark], "left_anti")
+    if again.isEmpty():
+        return rest.select(*docs.columns)
+    order = Window.partitionBy("doc_id", mark).orderBy(F.lit(0))
+    once = rest.join(again, ["doc_id", mark], "left_semi").withColumn("place", F.row_number().over(order)).where("place = 1")
+    return rest.join(again, ["doc_id", mark], "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
 SUMMARY_SQL = f"""

@@ -385,7 +385,6 @@ def test_near_duplicates_against_brute_force(docs):
 
 def test_large_groups_of_copies(spark, monkeypatch):
     monkeypatch.setattr(minhash, "SMALL", 4)
-    monkeypatch.setattr(minhash, "DEEP", 2)
     rng = random.Random(4)
     base = [f"w{rng.randint(0, 400)}" for _ in range(120)]
     rows = []
@@ -440,7 +439,7 @@ def test_tiles_join_what_is_linked(spark, monkeypatch):
     own = {k: np.unique(np.concatenate([np.arange(100), rng.integers(200, 230, 12) + 1000 * (k % 9)])) for k in range(90)}
     comp = {k: 0 if k < 40 else k for k in own}
     sets = spark.createDataFrame([(k, x.tolist()) for k, x in own.items()], "key long, own array<long>")
-    last = spark.createDataFrame([(7, k, c) for k, c in comp.items()] + [(8, 1, 0), (8, 2, 0)], "node long, key long, comp long")
+    last = spark.createDataFrame([(7, k, len(own[k]), c) for k, c in comp.items()] + [(8, 1, 100, 0), (8, 2, 100, 0)], "node long, key long, n int, comp long")
     links = minhash.met_exactly(last, sets, 85).collect()
     true = lambda a, b: 100 * len(np.intersect1d(own[a], own[b])) >= 85 * len(np.union1d(own[a], own[b]))
     assert all(true(r.a, r.b) and comp[r.a] != comp[r.b] for r in links)
@@ -455,6 +454,46 @@ def test_tiles_join_what_is_linked(spark, monkeypatch):
     assert parts([(r.a, r.b) for r in links]) == parts([(a, b) for a in own for b in own if a < b and true(a, b)])
 
 
+def test_one_row_of_each_group(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    near, other = text + " more", " ".join(f"v{k}" for k in range(30))
+    rows = [(1, text, "s"), (1, text, "s"), (2, near, "s"), (3, near, "s"), (3, other, "s"), (None, text, "s"), (4, "", "s"), (4, "", "s"), (1, near, "s")]
+    kept = sorted(((r.doc_id, r.text) for r in minhash.one_of_each(docs_of(spark, rows, CLASH)).collect()), key=str)
+    groups = {near: 0, text: 0}
+    for i, t in kept:
+        if i is not None and t in groups:
+            groups[t] += 1
+    assert sum(groups.values()) == 1 and (3, other) in kept and (None, text) in kept and kept.count((4, "")) == 2 and len(kept) == 5
+
+
+def test_recall_in_groups_near_the_threshold(spark, monkeypatch):
+    # pairs at 0.75 to 0.80 among nodes that stay large without being dense: only the trees can find them
+    monkeypatch.setattr(minhash, "DENSE", 2.0)
+    monkeypatch.setattr(minhash, "SMALL", 6)
+    rng = random.Random(5)
+    rows, n, pairs = [], 0, 0
+    for group in range(6):
+        base = [f"g{group}w{k}" for k in range(250)]
+        for _ in range(60):
+            own = list(base)
+            for k in rng.sample(range(250), 25):
+                own[k] = f"x{(n := n + 1)}"
+            two = []
+            for _ in range(2):
+                twin = list(own)
+                for k in rng.sample(range(250), 3):
+                    twin[k] = f"x{(n := n + 1)}"
+                two.append(" ".join(twin))
+            rows += [(2 * pairs, two[0], "s"), (2 * pairs + 1, two[1], "s")]
+            pairs += 1
+    sets, want = brute_components({i: t for i, t, _ in rows})
+    linked = [i for i in range(pairs) if want[2 * i] == want[2 * i + 1]]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs_of(spark, rows)).collect()}
+    found = sum(got[2 * i] == got[2 * i + 1] for i in linked)
+    alike = [len(sets[2 * i] & sets[2 * i + 1]) / len(sets[2 * i] | sets[2 * i + 1]) for i in linked]
+    assert len(linked) > 200 and sum(x < 0.85 for x in alike) > 100 and found >= 0.99 * len(linked), (found, len(linked))
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     rows = minhash.near_duplicates(odd).collect()
     assert len(rows) == len(ODD)
