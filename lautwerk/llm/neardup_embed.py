@@ -16,12 +16,16 @@ one edge to its smallest partner in the pair's own components.
 
 Defined cases: a null label, and a vector that is null, zero, or holds null or
 non-finite components, is linked with nothing; vectors of different lengths
-aren't linked; a null id is linked with nothing and kept; repeated ids are rows
-of their own; an empty table gives an empty result.
+aren't linked; a cosine of exactly the threshold links; a null id is linked
+with nothing and kept; repeated ids are rows of their own (all kept if the
+smallest); columns besides those named aren't looked at, whatever their names;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,8 +34,8 @@ from pyspark.sql import functions as F
 from lautwerk.llm.common import Scratch, components
 
 THRESHOLD = 0.98
-#: Vectors that the axes are fitted on, at most; classes of a tile, about; axes whose cells choose tiles; dimensions of a step.
-SAMPLE, TILE, AXES, STEP = 4096, 1024, 3, 16
+#: Vectors that the axes are fitted on, at most; classes of a tile, about; axes whose cells choose tiles, at most; dimensions of a step; rows compared at once.
+SAMPLE, TILE, AXES, STEP, ROWS = 4096, 2048, 5, 16, 512
 SLACK = 1e-9
 
 
@@ -64,7 +68,10 @@ def linked(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray, threshold
 
 
 def compare(left: pd.DataFrame, right: pd.DataFrame | None, basis: np.ndarray | None, threshold: float) -> pd.DataFrame:
-    """Links of a tile with another, or within it: class, links (by class sizes), up (smallest class of its component here)."""
+    """Links of a tile with another, or within it: class, links (by class sizes), up (smallest class of its component here).
+
+    Rows of the left tile are taken ROWS at a time, which bounds what is held at once.
+    """
 
     def matrices(side):
         own = np.array(side["vector"].tolist(), float)
@@ -73,32 +80,30 @@ def compare(left: pd.DataFrame, right: pd.DataFrame | None, basis: np.ndarray |
 
     u, x = matrices(left)
     v, y = (u, x) if right is None else matrices(right)
-    i, j = linked(x, y, u, v, threshold)
-    a, na = left["class"].to_numpy(), left["size"].to_numpy()
-    b, nb = (a, na) if right is None else (right["class"].to_numpy(), right["size"].to_numpy())
-    if right is None:
+    n, shift = len(left), 0 if right is None else len(left)
+    names = left["class"].to_numpy() if right is None else np.concatenate([left["class"].to_numpy(), right["class"].to_numpy()])
+    sizes = left["size"].to_numpy() if right is None else np.concatenate([left["size"].to_numpy(), right["size"].to_numpy()])
+    links, parent = np.zeros(len(names)), np.arange(len(names))
+    for k in range(0, n, ROWS):
+        i, j = linked(x[k : k + ROWS], y, u[k : k + ROWS], v, threshold)
+        i = i + k
+        j = j + shift
         apart = i != j
         i, j = i[apart], j[apart]
-        ends = pd.DataFrame({"class": a[i], "links": nb[j]})
-    else:
-        ends = pd.DataFrame({"class": np.concatenate([a[i], b[j]]), "links": np.concatenate([nb[j], na[i]])})
-    if ends.empty:
-        return pd.DataFrame({"class": np.empty(0, np.int64), "links": np.empty(0, np.int64), "up": np.empty(0, np.int64)})
-    out = ends.groupby("class", as_index=False)["links"].sum()
-    place = {c: k for k, c in enumerate(out["class"])}
-    parent = np.arange(len(out))
-    p, q = np.array([place[c] for c in a[i]]), np.array([place[c] for c in b[j]])
-    while True:  # smallest label over links, with halving of the paths
-        low = np.minimum(parent[p], parent[q])
-        fresh = parent.copy()
-        np.minimum.at(fresh, parent[p], low)
-        np.minimum.at(fresh, parent[q], low)
-        fresh = fresh[fresh]
-        if (fresh == parent).all():
-            break
-        parent = fresh
-    out["up"] = out["class"].to_numpy()[parent]
-    return out.astype("int64")
+        links += np.bincount(i, sizes[j], len(names))
+        if right is not None:
+            links += np.bincount(j, sizes[i], len(names))
+        while (parent[i] != parent[j]).any():  # the larger root hooks onto the smaller one, then paths are halved to the end
+            p, q = parent[i], parent[j]
+            low = np.minimum(p, q)
+            np.minimum.at(parent, p, low)
+            np.minimum.at(parent, q, low)
+            while (parent[parent] != parent).any():
+                parent = parent[parent]
+    least = np.full(len(names), np.iinfo(np.int64).max)
+    np.minimum.at(least, parent, names)
+    some = links > 0
+    return pd.DataFrame({"class": names[some], "links": links[some].astype(np.int64), "up": least[parent][some]})
 
 
 def valid() -> Column:
@@ -115,8 +120,11 @@ def near_duplicates(
     spark = table.sparkSession
     scratch = Scratch(spark, "embed")
     rows = table.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"), F.col(label).alias("label"))
-    usable = rows.where(valid() & F.col("vec_id").isNotNull())
-    classes = usable.groupBy("label", "vector").agg(F.min("vec_id").alias("class"), F.count(F.lit(1)).alias("size"))
+    # 128 bits stand for a vector of a label, so vectors themselves are no keys
+    keyed = rows.withColumns({"ok": valid() & F.col("vec_id").isNotNull(), "h1": F.xxhash64("label", "vector"), "h2": F.xxhash64(F.lit(17), "vector", "label")})
+    usable = keyed.where("ok")
+    classes = usable.groupBy("h1", "h2").agg(F.min(F.struct("vec_id", "label", "vector")).alias("m"), F.count(F.lit(1)).alias("size"))
+    classes = classes.select("h1", "h2", F.col("m.label").alias("label"), F.col("m.vector").alias("vector"), F.col("m.vec_id").alias("class"), "size")
     sample = usable.select("vector").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()["vector"].tolist()
     bases = {}
     for d in {len(v) for v in sample}:
@@ -136,31 +144,30 @@ def near_duplicates(
             f["cell"] = out
             yield f
 
-    classes = classes.mapInPandas(cells, "label " + rows.schema["label"].dataType.simpleString() + ", vector array<double>, class long, size long, cell array<int>")
-    classes = first = scratch.keep(classes.withColumn("dim", F.size("vector")), "classes")
+    kind = rows.schema["label"].dataType.simpleString()
+    classes = classes.mapInPandas(cells, f"h1 long, h2 long, label {kind}, vector array<double>, class long, size long, cell array<int>")
+    classes = scratch.keep(classes.withColumn("dim", F.size("vector")), "classes")
     # as many axes as it takes for a label's cells to be about a tile each
     sizes = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("members"))
-    used = F.floor(F.log(F.greatest(F.lit(1.0), F.col("members") / TILE)) / F.log(F.lit(4.0))).cast("int")
-    sizes = sizes.select("label", "dim", F.least(used, F.lit(AXES)).alias("used"))
-    classes = classes.join(sizes, ["label", "dim"]).withColumn("cell", F.slice("cell", F.lit(1), F.least("used", F.size("cell")))).drop("used")
-    classes = scratch.keep(classes, "celled")
-    counts = classes.groupBy("label", "dim", "cell").agg(F.count(F.lit(1)).alias("members"))
+    used = F.ceil(F.log(F.greatest(F.lit(1.0), F.col("members") / TILE)) / F.log(F.lit(4.0))).cast("int")
+    sizes = scratch.keep(sizes.select("label", "dim", F.least(used, F.lit(AXES), F.col("dim")).alias("used")), "sizes")
+    celled = classes.join(sizes, ["label", "dim"]).withColumn("cell", F.slice("cell", F.lit(1), F.col("used")))
+    counts = celled.groupBy("label", "dim", "used", "cell").agg(F.count(F.lit(1)).alias("members"))
     counts = scratch.keep(counts.withColumn("tiles", F.ceil(F.col("members") / TILE).cast("int")), "cells")
-    dealt = classes.join(counts.drop("members"), ["label", "dim", "cell"])
-    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int"))
-    tiles = counts.select("label", "dim", "cell", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
-    name = F.xxhash64("label", "dim", "cell", "tile")
-    tiles = tiles.withColumn("name", name)
-    other = tiles.select(*[F.col(c).alias(f"o_{c}") for c in tiles.columns])
-    near = F.forall(F.arrays_zip(F.col("cell").alias("p"), F.col("o_cell").alias("q")), lambda z: F.abs(z["p"] - z["q"]) <= 1)
-    pairs = tiles.join(
-        other, (F.col("label") == F.col("o_label")) & (F.col("dim") == F.col("o_dim")) & (F.col("name") <= F.col("o_name")) & near
-    ).select(F.col("name").alias("left"), F.col("o_name").alias("right"))
-    pairs = scratch.keep(pairs, "pairs")
+    tile = F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int").alias("tile")
+    name = F.xxhash64("label", "dim", "cell", "tile").alias("name")
+    dealt = celled.join(counts.select("label", "dim", "cell", "tiles"), ["label", "dim", "cell"]).select("*", tile).select(name, "class", "size", "vector")
+    tiles = counts.select("label", "dim", "used", "cell", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
+    # a tile meets the tiles of its own and of the neighbouring cells: an equi-join on the cell
+    steps = [(k, list(off)) for k in range(AXES + 1) for off in itertools.product((-1, 0, 1), repeat=k)]
+    steps = F.broadcast(spark.createDataFrame(steps, "used int, step array<int>"))
+    near = tiles.withColumn("left", name).join(steps, "used").select("label", "dim", F.zip_with("cell", "step", lambda c, o: c + o).alias("cell"), "left")
+    other = tiles.select("label", "dim", "cell", name.alias("right"))
+    pairs = scratch.keep(near.join(other, ["label", "dim", "cell"]).where("left <= right").select("left", "right"), "pairs")
     sides = pairs.select(F.col("left").alias("name"), "left", "right").unionByName(
         pairs.where("left <> right").select(F.col("right").alias("name"), "left", "right")
     )
-    placed = dealt.select(name.alias("name"), "class", "size", "vector").join(sides, "name")
+    placed = dealt.join(sides, "name")
 
     def kernel(key, pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = key
@@ -173,20 +180,18 @@ def near_duplicates(
     met = scratch.keep(met, "met")
     links = met.groupBy("class").agg(F.sum("links").alias("links"))
     comp = components(met.select(F.col("class").alias("a"), F.col("up").alias("b")), scratch)
-    known = classes.select("label", "vector", "class", "size").join(links, "class", "left").join(comp.withColumnRenamed("node", "class"), "class", "left")
-    known = known.select("label", "vector", "size", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("comp", "class").alias("component"))
-    known = known.select(*[F.col(c).alias(f"k_{c}") for c in known.columns])
-    ok = valid() & F.col("vec_id").isNotNull()
-    out = rows.withColumn("ok", ok).join(known, F.col("ok") & (F.col("label") == F.col("k_label")) & (F.col("vector") == F.col("k_vector")), "left")
-    component = F.coalesce("k_component", "vec_id")
+    known = classes.select("h1", "h2", "class", "size").join(links, "class", "left").join(comp.withColumnRenamed("node", "class"), "class", "left")
+    known = known.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "size", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("comp", "class").alias("component"))
+    out = keyed.select("vec_id", "ok", "h1", "h2").join(known, F.col("ok") & (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")), "left")
+    component = F.coalesce("component", "vec_id")
     out = out.select(
         "vec_id",
-        F.coalesce(F.col("k_links") + F.col("k_size") - 1, F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce(F.col("links") + F.col("size") - 1, F.lit(0)).cast("long").alias("n_links"),
         component.alias("component_id"),
         F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"),
     )
     out = scratch.keep(out, "result")
-    scratch.drop(first, classes, counts, pairs, met)
+    scratch.drop(classes, sizes, counts, pairs, met, comp)
     return out
 
 
