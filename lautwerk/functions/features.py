@@ -6,6 +6,7 @@ heights and depths of vowels) and from diacritics that add a feature.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -32,6 +33,7 @@ MARKS = {"ʰ": "aspirated", "ʷ": "labialized", "ʲ": "palatalized", "ˠ": "vela
 TONES = frozenset("¹²³⁴⁵⁰⁶⁷⁸⁹˥˦˧˨˩")
 #: Sonority by manner, loudest last.
 SONORITY = (("stop", 1), ("affricate", 1), ("click", 1), ("implosive", 1), ("fricative", 2), ("nasal", 3), ("lateral", 4), ("trill", 4), ("tap", 4), ("approximant", 5), ("vowel", 6))
+UNKNOWN = 3
 
 
 @lru_cache(maxsize=1)
@@ -110,34 +112,61 @@ def segment(word: str) -> list[str]:
     return out
 
 
+def segment_word(word: str) -> list[str]:
+    """Graphemes of a word that may hold stress marks: cut at them, each piece segmented, the mark put on the piece's first vowel."""
+    out: list[str] = []
+    mark = ""
+    for piece in re.split("([ˈˌ])", word):
+        if piece in ("ˈ", "ˌ"):
+            mark = piece
+            continue
+        own = segment(piece)
+        if mark and own:
+            at = next((k for k, g in enumerate(own) if "vowel" in features(g.rstrip("".join(TONES)))), 0)
+            own[at] = mark + own[at]
+            mark = ""
+        out += own
+    return out
+
+
 def sonority(grapheme: str) -> int:
+    """By manner: a lateral approximant is a liquid, a lateral fricative a fricative; 3 for what isn't known."""
     own = features(grapheme)
-    return next((v for name, v in reversed(SONORITY) if name in own), 3)
+    if "lateral" in own and "fricative" in own:
+        return 2
+    return next((v for name, v in reversed(SONORITY) if name in own), UNKNOWN)
+
 
+def is_syllabic(grapheme: str) -> bool:
+    return "syllabic" in features(grapheme)
 
-def nuclei(scores: list[int]) -> list[int]:
-    """Vowels and syllabic peaks; without any, the loudest segment from liquids up that stands above its neighbours."""
+
+def nuclei(scores: list[int], syllabic: list[bool] | None = None) -> list[int]:
+    """Syllabic segments, vowels, and strict peaks from liquids up; without any, the first of the loudest segments."""
     n = len(scores)
-    vowels = [k for k in range(n) if scores[k] >= 6]
-    peaks = [k for k in range(n) if 4 <= scores[k] < 6 and (k == 0 or scores[k - 1] < scores[k]) and (k == n - 1 or scores[k + 1] < scores[k])]
-    near = set(vowels) | {v - 1 for v in vowels} | {v + 1 for v in vowels}
-    out = sorted(set(vowels) | {p for p in peaks if p not in near and not vowels})
+    out = []
+    for k, s in enumerate(scores):
+        peak = s >= 4 and (k == 0 or scores[k - 1] < s) and (k == n - 1 or scores[k + 1] < s)
+        if s >= 6 or peak or (syllabic is not None and syllabic[k]):
+            out.append(k)
     if not out and n:
         out = [max(range(n), key=lambda k: (scores[k], -k))]
     return out
 
 
-def syllable_breaks(graphemes: list[str]) -> list[int]:
-    """Indices that start a syllable after the first: the onset is as large as sonority rises towards the nucleus."""
+def syllable_breaks(graphemes: list[str], given: list[int] | None = None) -> list[int]:
+    """Indices that start a syllable after the first; those that are given, if any are.
+
+    Else an onset is as large as sonority doesn't fall towards the nucleus.
+    """
+    if given:
+        return sorted({b for b in given if 0 < b < len(graphemes)})
     scores = [sonority(g) for g in graphemes]
-    tops = nuclei(scores)
+    tops = nuclei(scores, [is_syllabic(g) for g in graphemes])
     out = []
     for a, b in zip(tops, tops[1:]):
-        if b == a + 1:
-            out.append(b)
-            continue
-        at = b - 1
-        while at - 1 > a and scores[at - 1] < scores[at]:
+        at = b
+        while at - 1 > a and (at == b or scores[at - 1] <= scores[at]):
             at -= 1
         out.append(at)
     return out

@@ -6,30 +6,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def doublets(forms: DataFrame, set_column: str, lect: str, form: str, cap: int = 8) -> DataFrame:
-    """One row per set and combination of its lects' forms, at most ``cap`` in mixed radix, the first lect fastest.
-
-    Combination i picks form i mod n of the first lect, then goes on with i div
-    n.  No combination below the cap reaches a lect's forms beyond the cap, so
-    no more of them are gathered.
+def combinations(forms: DataFrame, set_column: str, lect: str, form: str, cap: int = 8) -> DataFrame:
+    """``set, lect, k, combination, combinations``: which form (by its rank k among those of its lect) each combination of a set picks.
+
+    Combinations are at most ``cap``, in mixed radix, the first lect fastest:
+    combination i picks form i mod n of the first lect, then goes on with i
+    div n.  So form k of a lect whose lects before it have p combinations is
+    picked by those i with i div p mod n = k - 1; none below the cap reaches
+    further forms than the cap.
     """
-    w = Window.partitionBy(set_column, lect)
-    rows = forms.select(set_column, lect, form, F.row_number().over(w.orderBy(form)).alias("k"), F.count(F.lit(1)).over(w).alias("n"))
-    per_lect = rows.where(F.col("k") <= cap).groupBy(set_column, lect).agg(
-        F.array_sort(F.collect_list(form)).alias("forms"), F.least(F.max("n"), F.lit(1 << 20)).alias("n")
-    )
-    lects = F.array_sort(F.collect_list(F.struct(F.col(lect).alias("lect"), "n", "forms")))
-    per_set = per_lect.groupBy(set_column).agg(lects.alias("lects"))
-    product = F.aggregate("lects", F.lit(1).cast("long"), lambda acc, x: F.least(acc * x["n"], F.lit(cap).cast("long")))
-    each = per_set.select(set_column, "lects", product.alias("combinations"), F.explode(F.sequence(F.lit(0).cast("long"), product - 1)).alias("combination"))
-    start = F.struct(F.col("combination").alias("left"), F.array().cast("array<string>").alias("picked"))
-
-    def pick(s: Column, x: Column) -> Column:
-        at = F.element_at(x["forms"], (s["left"] % x["n"] + 1).cast("int")).cast("string")
-        return F.struct(F.floor(s["left"] / x["n"]).cast("long").alias("left"), F.concat(s["picked"], F.array(F.concat_ws("=", x["lect"], at))).alias("picked"))
-
-    picked = F.aggregate("lects", start, pick, lambda s: F.array_join(s["picked"], ","))
-    return each.select(set_column, "combination", picked.alias("forms"), (1.0 / F.col("combinations")).alias("confidence"))
+    per = forms.groupBy(set_column, lect).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(set_column).orderBy(lect).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(set_column)
+    many = F.lit(float(cap))
+    stride = F.least(F.coalesce(F.product(F.least(F.col("n").cast("double"), many)).over(before), F.lit(1.0)), many).cast("long")
+    total = F.least(F.product(F.least(F.col("n").cast("double"), many)).over(whole), many).cast("long")
+    sized = per.select(set_column, lect, "n", stride.alias("stride"), total.alias("combinations"))
+    each = sized.withColumn("combination", F.explode(F.sequence(F.lit(0).cast("long"), F.col("combinations") - 1)))
+    k = F.floor(F.col("combination") / F.col("stride")).cast("long") % F.col("n") + 1
+    return each.select(set_column, lect, k.cast("int").alias("k"), "combination", "combinations")
+
+
+def doublets(forms: DataFrame, set_column: str, lect: str, form: str, cap: int = 8) -> DataFrame:
+    """One row per set and combination of its lects' forms: ``set, combination, forms, confidence``."""
+    w = Window.partitionBy(set_column, lect).orderBy(form)
+    rows = forms.select(set_column, lect, form, F.row_number().over(w).alias("k")).where(F.col("k") <= cap)
+    met = combinations(forms, set_column, lect, form, cap).join(rows, [set_column, lect, "k"])
+    named = F.struct(F.col(lect).alias("lect"), F.concat_ws("=", F.col(lect), F.col(form).cast("string")).alias("text"))
+    out = met.groupBy(set_column, "combination").agg(F.array_sort(F.collect_list(named)).alias("all"), F.first("combinations").alias("combinations"))
+    return out.select(set_column, "combination", F.array_join(F.transform("all", lambda x: x["text"]), ",").alias("forms"), (1.0 / F.col("combinations")).alias("confidence"))
 
 
 def group_weights(df: DataFrame, label: Column, key: str) -> DataFrame:

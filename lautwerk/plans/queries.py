@@ -532,19 +532,6 @@ def nml(spark, d):
 # --- without SQL: kernels and training
 
 
-@query()
-def syllables(spark, d):
-    """Syllable breaks of the words of part names."""
-    from lautwerk.functions.features import segment, syllable_breaks
-
-    @F.udf("array<int>")
-    def breaks(word: str) -> list[int]:
-        return syllable_breaks(segment(word))
-
-    words = words_of_c(spark, d).select(F.explode(F.array("one", "two")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("count"))
-    return words.select("word", "count", F.concat_ws(",", breaks("word").cast("array<string>")).alias("breaks"))
-
-
 @query()
 def align_spans(spark, d):
     """Alignment with spans and feature distances of the words of part names."""
