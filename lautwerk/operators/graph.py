@@ -44,12 +44,19 @@ class Scratch:
     def __exit__(self, *_) -> None:
         _open.reset(self._token)
 
-    def keep(self, df: DataFrame, label: str = "t") -> DataFrame:
+    def keep(self, df: DataFrame, label: str = "t", bucket: str | None = None) -> DataFrame:
+        """``df``, written and read back; bucket: a column by which it stays dealt out, so grouping by it (and more) takes no shuffle."""
         self.count += 1
         path = f"{self.base}/{label}{self.count}"
         schema = df.schema
-        df.write.parquet(path)
-        out = self.spark.read.schema(schema).parquet(path)
+        if bucket:
+            name = f"lautwerk_{uuid.uuid4().hex}"
+            parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            df.write.format("parquet").bucketBy(parts, bucket).option("path", path).saveAsTable(name)
+            out = self.spark.table(name)
+        else:
+            df.write.parquet(path)
+            out = self.spark.read.schema(schema).parquet(path)
         out._scratch_path = path
         return out
 
