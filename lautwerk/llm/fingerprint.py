@@ -27,13 +27,14 @@ Everything is DataFrame functions.  Cells are rows: a sketch is a grouped
 count and exclusive or, so subtracting is the same aggregation with a sign, and
 a step of peeling is one pass that lets every pure cell of one part give its
 digest back to the cells of all three (within a part no digest is pure twice).
-Passes keep the partitioning by document, so none shuffles, and a long
-document is many rows, not a large one.
+A long document is many rows, not a large one.
 
 Each document meets the next one in a block of neighbouring ids; a block's last
 document meets the first of the next block by a join on blocks.  Blocks are
 cut by quantiles of the ids, so sparse or hashed ids fill them evenly.  Texts
-are shuffled once.
+are shuffled once, to their blocks; what is made of them is written bucketed by
+block, and all that follows is grouped and joined by block first, so neither
+digests nor fingerprints are shuffled.
 
 Defined cases: a null text is an empty one, which has one empty paragraph;
 null ids come first, and rows of one id are in the order of their texts'
@@ -69,7 +70,8 @@ def digests(text: Column) -> Column:
 
 
 def check(digest: Column) -> Column:
-    return F.xxhash64(digest, F.lit(101))
+    """32 bits."""
+    return F.xxhash64(digest, F.lit(101)).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
 def third_for(n: Column) -> Column:
@@ -127,7 +129,9 @@ def peeled(cells: DataFrame, keys: list[str], passes: int = PASSES) -> DataFrame
     for n in range(passes):
         part, third = n % 3, F.col("third")
         own = F.struct("cell", "c", "k", "h")
+        # one digest: its check and its place must be this cell's
         pure = (F.col("cell") >= third * part) & (F.col("cell") < third * (part + 1)) & (F.abs("c") == 1) & (check(F.col("k")) == F.col("h"))
+        pure = pure & (place(F.col("k"), part, third) == F.col("cell"))
         gives = [F.struct(place(F.col("k"), p, third).alias("cell"), (-F.col("c")).alias("c"), F.col("k"), F.col("h")) for p in range(3)]
         tally = F.struct(F.lit(TALLY).cast("long").alias("cell"), F.lit(1).cast("long").alias("c"), zero.alias("k"), zero.alias("h"))
         rows = cells.select(*keys, F.explode(F.when(pure, F.array(own, *gives, tally)).otherwise(F.array(own))).alias("x"))
@@ -142,7 +146,7 @@ def differences(pairs: DataFrame, keys: list[str], scratch: Scratch) -> tuple[Da
 
     Sketches of a and b with ``third`` cells a part are subtracted and peeled;
     what gets stuck is tried again with GROW times the cells until nothing is
-    left.  Pairs whose sketches are equal differ in nothing.
+    left.  Pairs whose sketches are equal differ in nothing and have no row.
     """
     left, out, tries = pairs, None, 0
     while True:
@@ -153,19 +157,19 @@ def differences(pairs: DataFrame, keys: list[str], scratch: Scratch) -> tuple[Da
         tries += 1
         ok = found.where("stuck = 0").select(*keys, F.col("found").alias("differ"), "third")
         out = ok if out is None else out.unionByName(ok)
-        stuck = found.where("stuck > 0").select(*keys)
+        stuck = scratch.keep(found.where("stuck > 0").select(*keys), "stuck")
         if stuck.isEmpty():
-            break
+            return out, tries
         left = pairs.join(stuck, keys, "left_semi").withColumn("third", F.col("third") * GROW**tries)
-    done = pairs.select(*keys, F.col("third").alias("first")).join(out, keys, "left")
-    return done.select(*keys, F.coalesce("differ", F.lit(0)).cast("long").alias("differ"), F.coalesce("third", "first").alias("third")), tries
 
 
 def written(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys.., cells``: sketches of (keys.., third, d) as text, a cell as place.count.digest.check."""
-    cell = F.concat_ws(".", F.col("cell").cast("string"), F.col("c").cast("string"), F.lower(F.hex("k")), F.lower(F.hex("h")))
-    cells = sketched(rows.withColumn("sign", F.lit(1).cast("long")), [*keys, "third"]).select(*keys, F.struct("cell", cell.alias("text")).alias("x"))
-    return cells.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["text"]), ",").alias("cells"))
+    """``keys.., cells``: array of the sketches of (keys.., which, third, d) as text, a cell as place.count.digest.check; which: 0, 1, ..."""
+    cell = F.concat_ws(".", F.lower(F.hex("cell")), F.col("c").cast("string"), F.lower(F.hex("k")), F.lower(F.hex("h")))
+    cells = sketched(rows.withColumn("sign", F.lit(1).cast("long")), [*keys, "which", "third"]).select(*keys, F.struct("which", "cell", cell.alias("text")).alias("x"))
+    each = cells.groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("x"))
+    text = [F.array_join(F.transform(F.filter("x", lambda c: c["which"] == w), lambda c: c["text"]), ",") for w in (0, 1)]  # noqa: B023
+    return each.select(*keys, F.array(*text).alias("cells"))
 
 
 def heading(n: Column, third: Column, bits: Column) -> Column:
@@ -214,7 +218,7 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     heads = heads.select(F.col("block").alias("follow"), F.struct(*[F.col(f"head.{c}").alias(c) for c in columns]).alias("head"))
     heads = names.join(heads, "follow").select("block", "head")
     joined = met.join(heads, "block", "left").withColumn("ahead", F.coalesce("ahead", "head"))
-    return joined.select("doc_id", *columns, *[F.col(f"ahead.{c}").alias(f"next_{c}") for c in columns])
+    return joined.select("block", "doc_id", *columns, *[F.col(f"ahead.{c}").alias(f"next_{c}") for c in columns])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -225,47 +229,53 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.select(
-        "doc_id",
+        "block", "doc_id",
         n.cast("long").alias("n_chars"),
         digests(F.col("text")).alias("own"),
         digests(F.col("next_text")).alias("after"),
         F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"),
-    )
+    )
     rows = rows.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", "n_chars", "own", "after",
+        F.monotonically_increasing_id().alias("row"), "block", "doc_id", "n_chars", "own", "after",
         digests(F.col("edited")).alias("changed"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
     )
-    rows = scratch.keep(rows, "rows")
-    bits = {c: parity(F.col(c)) for c in ("own", "after", "changed")}
-    arrays = rows.select("row", "own", "after", "changed", *[b.alias(f"bits_{c}") for c, b in bits.items()]).repartition("row")
+    rows = rows.withColumns({f"bits_{c}": parity(F.col(c)) for c in ("own", "after", "changed")} | {f"n_{c}": F.size(c) for c in ("own", "after", "changed")})
+    rows = scratch.keep(rows, "rows", bucket="block")
+    keys = ["block", "row"]
 
     def meeting(which: int, a: str, b: str | None) -> Column:
         """One subtraction: of two sets, or of a set from nothing, which tells whether its own sketch peels."""
-        if b is None:
-            none = F.array().cast("array<bigint>")
-            return F.struct(F.lit(which).alias("which"), F.col(a).alias("a"), none.alias("b"), third_for(F.size(a)).alias("third"))
-        guess = estimated(F.col(f"bits_{a}"), F.col(f"bits_{b}"), F.size(a) + F.size(b))
-        return F.struct(F.lit(which).alias("which"), F.col(a).alias("a"), F.col(b).alias("b"), third_for(guess).alias("third"))
+        other = F.array().cast("array<bigint>") if b is None else F.col(b)
+        size = F.size(a) if b is None else estimated(F.col(f"bits_{a}"), F.col(f"bits_{b}"), F.size(a) + F.size(b))
+        return F.struct(F.lit(which).alias("which"), F.col(a).alias("a"), other.alias("b"), third_for(size).alias("third"))
 
     meetings = [meeting(0, "own", "changed"), meeting(1, "own", "after"), meeting(2, "own", None), meeting(3, "changed", None)]
-    pairs = arrays.select("row", F.explode(F.array(*meetings)).alias("x")).select("row", "x.*")
-    differ, _ = differences(pairs, ["row", "which"], scratch)
-    wide = [F.max(F.when(F.col("which") == w, F.col(c))).alias(name) for w, c, name in ((0, "differ", "edited_differ"), (1, "differ", "next_differ"), (2, "third", "third"), (3, "third", "edited_third"))]
-    differ = scratch.keep(differ.groupBy("row").agg(*wide), "differ")
-    sized = rows.select("row", "own", "changed").join(differ.select("row", "third", "edited_third"), "row")
-    sketches = F.explode(F.array(*[F.struct(F.lit(w).alias("which"), F.col(c).alias("a"), F.col(t).alias("third")) for w, (c, t) in enumerate((("own", "third"), ("changed", "edited_third")))]))
-    sketches = sized.select("row", sketches.alias("x")).select("row", "x.which", "x.third", F.explode("x.a").alias("d"))
-    shown = written(sketches, ["row", "which"])
-    shown = shown.groupBy("row").agg(*[F.max(F.when(F.col("which") == w, F.col("cells"))).alias(c) for w, c in enumerate(("cells", "edited_cells"))])
+    pairs = rows.select(*keys, F.explode(F.array(*meetings)).alias("x")).select(*keys, "x.*")
+    differ, _ = differences(pairs, [*keys, "which"], scratch)
+    wide = [F.max(F.when(F.col("which") == w, F.col(c))).alias(name) for w, c, name in ((0, "differ", "edited"), (1, "differ", "next"), (2, "third", "third"), (3, "third", "edited_third"))]
+    # what is known of each row, by block: a map of its rows
+    by_row = differ.groupBy(*keys).agg(*wide)
+    known = by_row.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("row", F.struct("edited", "next", "third", "edited_third")))).alias("known"))
+    found = F.try_element_at("known", "row")
+    rows = rows.join(known.hint("shuffle_hash"), "block", "left").withColumn("found", found).drop("known")
+    third = F.coalesce("found.third", third_for(F.col("n_own")))
+    edited_third = F.coalesce("found.edited_third", third_for(F.col("n_changed")))
+    sketches = F.explode(F.array(*[F.struct(F.lit(w).alias("which"), F.col(c).alias("a"), t.alias("third")) for w, (c, t) in enumerate((("own", third), ("changed", edited_third)))]))
+    sketches = rows.select(*keys, sketches.alias("x")).select(*keys, "x.which", "x.third", F.explode("x.a").alias("d"))
+    shown = written(sketches, keys)
 
     def likeness(other: str, number: str) -> Column:
-        total = (F.size("own") + F.size(other)).cast("double")
-        return (total - F.col(number)) / (total + F.col(number))
+        total, apart = (F.col("n_own") + F.col(other)).cast("double"), F.coalesce(f"found.{number}", F.lit(0))
+        return (total - apart) / (total + apart)
 
-    out = rows.join(differ, "row").join(shown, "row")
+    about = F.struct(
+        "doc_id", "n_chars", "edited_sha256", heading(F.col("n_own"), third, F.col("bits_own")).alias("head"), heading(F.col("n_changed"), edited_third, F.col("bits_changed")).alias("edited_head"),
+        likeness("n_changed", "edited").alias("near_edited"), likeness("n_after", "next").alias("near_next"),
+    )
+    packed = rows.select(*keys, about.alias("about")).groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("row", "about"))).alias("all"))
+    out = shown.join(packed.hint("shuffle_hash"), "block").select("cells", F.element_at("all", F.col("row")).alias("a"))
     return out.select(
-        "doc_id", "n_chars", "edited_sha256",
-        F.concat_ws(";", heading(F.size("own"), F.col("third"), bits["own"]), "cells").alias("fingerprint"),
-        F.concat_ws(";", heading(F.size("changed"), F.col("edited_third"), bits["changed"]), "edited_cells").alias("edited_fingerprint"),
-        likeness("changed", "edited_differ").alias("near_edited"), likeness("after", "next_differ").alias("near_next"),
+        "a.doc_id", "a.n_chars", "a.edited_sha256",
+        F.concat_ws(";", "a.head", F.col("cells")[0]).alias("fingerprint"), F.concat_ws(";", "a.edited_head", F.col("cells")[1]).alias("edited_fingerprint"),
+        "a.near_edited", "a.near_next",
     )

@@ -203,7 +203,7 @@ def cells_of(text):
     out = {}
     for x in filter(None, cells.split(",")):
         at, c, k, h = x.split(".")
-        out[int(at)] = [int(c), int(k, 16), int(h, 16)]
+        out[int(at, 16)] = [int(c), int(k, 16), int(h, 16)]
     return n, third, out
 
 
@@ -314,7 +314,7 @@ def test_larger_sketches_after_failure(spark):
     for third, least in ((8, 2), (512, 1)):
         out, tries = fingerprint.differences(df.withColumn("third", F.lit(third).cast("long")), ["row"], common.Scratch(spark, "d"))
         got = {r.row: r for r in out.collect()}
-        assert {k: r.differ for k, r in got.items()} == {1: 500, 2: 0, 3: 1} and tries >= least
+        assert {k: r.differ for k, r in got.items()} == {1: 500, 3: 1} and tries >= least
         assert got[1].third > 8 and got[3].third == third
 
 
