@@ -64,7 +64,7 @@ FIRST, SHALLOW, DEEP = 4, 4, 4
 #: Mean similarity of members from which a large node is met exactly instead of branching again.
 DENSE = 0.55
 #: Members and shingles of a block of a group, about; two blocks are a tile.
-TILE, MASS = 1024, 500_000
+TILE, MASS = 512, 250_000
 #: Parts that the members of a node are dealt to where its size meets them.
 SALTS = 16
 #: Classes whose texts are fetched by a broadcast of their ids, at most; more of them are joined by a shuffle.
