@@ -60,7 +60,7 @@ def dirichlet_nll(masses: list[Column]) -> Column:
     return F.when(total > 0, lgamma(total + total) - lgamma(total) + len(masses) * lgamma(alpha) - gain).otherwise(0.0)
 
 
-def nml_normalizer(n: Column, outcomes: int) -> Column:
+def nml_normalizer(n: Column, outcomes: int | Column) -> Column:
     """Logarithm of the multinomial's normalised-maximum-likelihood sum, by the recurrence over outcomes."""
     x = n.cast("double")
 
@@ -69,12 +69,12 @@ def nml_normalizer(n: Column, outcomes: int) -> Column:
         choose = lgamma(x + 1) - lgamma(h + 1) - lgamma(x - h + 1)
         return F.exp(choose + xlogx(h) + xlogx(x - h) - xlogx(x))
 
-    below, here = F.lit(1.0), F.aggregate(F.sequence(F.lit(0), n.cast("int")), F.lit(0.0), lambda a, h: a + term(h))
-    if outcomes == 1:
-        return F.lit(0.0)
-    for k in range(3, outcomes + 1):
-        below, here = here, here + x / (k - 2) * below
-    return F.when(n > 0, F.ln(here)).otherwise(0.0)
+    two = F.aggregate(F.sequence(F.lit(0), n.cast("int")), F.lit(0.0), lambda a, h: a + term(h))
+    k = F.lit(outcomes) if isinstance(outcomes, int) else outcomes
+    pair = F.struct(F.lit(1.0).alias("below"), two.alias("here"))
+    steps = F.when(k > 2, F.sequence(F.lit(1), k.cast("int") - 2)).otherwise(F.array().cast("array<int>"))
+    last = F.aggregate(steps, pair, lambda p, j: F.struct(p["here"].alias("below"), (p["here"] + x / j * p["below"]).alias("here")), lambda p: p["here"])
+    return F.when((n > 0) & (k > 1), F.ln(last)).otherwise(0.0)
 
 
 def min_commit(n: Column, scale: float = 0.5) -> Column:

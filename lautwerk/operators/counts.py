@@ -58,3 +58,11 @@ def class_buckets(observations: DataFrame, set_column: str, slot: str, symbol: s
     tokens = F.array_join(F.array_sort(F.collect_set(F.concat_ws("=", slot, symbol))), ",")
     rows = observations.groupBy(set_column).agg(tokens.alias("tuple")).groupBy("tuple").agg(F.count(F.lit(1)).alias("count"))
     return rows.withColumn("class_id", F.row_number().over(Window.orderBy(F.desc("count"), "tuple")).cast("long") - 1)
+
+
+def supporting(sets: DataFrame, key: str, set_column: str, order: str) -> DataFrame:
+    """``key, sets, supporting``: the distinct sets of each class in the order of the corpus, joined by commas."""
+    rows = sets.groupBy(key, set_column).agg(F.min(order).alias("at"))
+    listed = F.array_sort(F.collect_list(F.struct("at", F.col(set_column).alias("name"))))
+    out = rows.groupBy(key).agg(F.count(F.lit(1)).alias("sets"), listed.alias("all"))
+    return out.select(key, "sets", F.array_join(F.transform("all", lambda x: x["name"].cast("string")), ",").alias("supporting"))

@@ -370,7 +370,7 @@ j AS (SELECT te.w, r.p, r.place, q.square, q.top FROM te JOIN r USING (source, t
 b AS (SELECT least(floor(top * 10), 9) AS bin, sum(w) AS m, sum(CASE WHEN place = 1 THEN w ELSE 0 END) AS hit, sum(w * top) AS said FROM j GROUP BY 1)
 SELECT CAST(sum(w) AS BIGINT) AS n, round(sum(-w * ln(p)) / sum(w), 6) AS log_loss, round(sum(CASE WHEN place = 1 THEN w ELSE 0 END) / sum(w), 6) AS top1,
   round(sum(CASE WHEN place <= 3 THEN w ELSE 0 END) / sum(w), 6) AS top_k, round(sum(w * (square - 2 * p + 1)) / sum(w), 6) AS brier,
-  (SELECT round(sum(abs(hit - said)) / sum(m), 6) FROM b) AS ece FROM j
+  round(sum(CASE WHEN top < 0.5 THEN w ELSE 0 END) / sum(w), 6) AS abstained, (SELECT round(sum(abs(hit - said)) / sum(m), 6) FROM b) AS ece FROM j
 """)
 def predictive(spark, d):
     fold = F.conv(F.substring(F.md5(F.col("user_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % 5
@@ -378,7 +378,7 @@ def predictive(spark, d):
     e = read(spark, d, "events", "user_id", "event_id", "event_type")
     e = e.select(fold.alias("fold"), F.col("event_type").alias("source"), F.lead("event_type").over(w).alias("target")).where("target is not null")
     rows = prediction.score(prediction.predict(e.where("fold <> 0"), e.where("fold = 0")))
-    return rows.select("n", *[r6(c).alias(c) for c in ("log_loss", "top1", "top_k", "brier", "ece")])
+    return rows.select("n", *[r6(c).alias(c) for c in ("log_loss", "top1", "top_k", "brier", "abstained", "ece")])
 
 
 def _em_sql(rounds: int) -> str:
