@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lautwerk.llm.common import texts_of
+
 #: Code points of a leaf, and of the first window on either side of a border.
 LEAF, WINDOW = 2048, 32
 
@@ -131,7 +133,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         c = codec(path, pattern)
-        return pa.array([c.encode(t or "") for t in texts.to_pylist()], pa.list_(pa.int32()))
+        return pa.array([c.encode(t or "") for t in texts_of(texts)], pa.list_(pa.int32()))
 
     return docs.withColumn(out, ids(F.col(text)))
 
@@ -142,7 +144,7 @@ def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str
     @F.arrow_udf("binary")
     def back(tokens: pa.Array) -> pa.Array:
         c = codec(path, pattern)
-        return pa.array([c.decode(t or []) for t in tokens.to_pylist()], pa.binary())
+        return pa.array([c.decode(t or []) for t in texts_of(tokens)], pa.binary())
 
     return docs.withColumn(out, back(F.col(ids)))
 
@@ -155,7 +157,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         c, sha = codec(path, pattern), hashlib.sha256
         count, ids_sha, out_sha = [], [], []
         shown = c.text_of.__getitem__
-        for t in texts.to_pylist():
+        for t in texts_of(texts):
             ids = c.encode(t or "")
             count.append(len(ids))
             ids_sha.append(sha(b" ".join(map(shown, ids))).hexdigest())

@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from lautwerk.operators.graph import Scratch, components, scratch_root
 
-__all__ = ["Scratch", "components", "cut_between", "fold", "labelled_sample", "scratch_root", "table"]
+__all__ = ["Scratch", "components", "cut_between", "fold", "labelled_sample", "scratch_root", "table", "texts_of"]
+
+
+def texts_of(texts, size: int = 256):
+    """The strings of an Arrow array, a few at a time, so that a batch isn't held twice."""
+    for k in range(0, len(texts), size):
+        yield from texts.slice(k, size).to_pylist()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lautwerk.llm.common import Scratch, components
+from lautwerk.llm.common import Scratch, components, texts_of
 
 SHINGLE = 5
 #: A link needs 100 x intersection >= PERCENT x union.
@@ -128,7 +128,7 @@ def signed(docs: DataFrame) -> DataFrame:
     @F.arrow_udf("n long, key long, roots array<int>, lanes array<long>")
     def sign(texts: pa.Array) -> pa.Array:
         n, key, roots, lanes = [], [], [], []
-        for t in texts.to_pylist():
+        for t in texts_of(texts):
             own = shingles(t)
             n.append(len(own))
             key.append(key_of(own))
@@ -372,7 +372,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     @F.arrow_udf("own array<long>, key long")
     def full(texts: pa.Array) -> pa.Array:
-        own = [shingles(t) for t in texts.to_pylist()]
+        own = [shingles(t) for t in texts_of(texts)]
         return pa.StructArray.from_arrays(
             [pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64())), pa.array([key_of(x) for x in own], pa.int64())], names=["own", "key"]
         )

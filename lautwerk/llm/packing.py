@@ -30,6 +30,8 @@ CAPACITY = 4096
 END_ID = 2
 #: Chunks, and words without marks at their end, that a worker remembers before it starts anew.
 CACHE = 800_000
+#: Documents whose pieces are put together at once.
+PART = 1024
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _TOKENIZERS: dict = {}
@@ -39,12 +41,13 @@ _SPACE = re.compile(r"[ \n]+")
 class Words:
     """Ids of texts, chunk by chunk, as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.cache = cache
         self.known: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
 
@@ -52,9 +55,9 @@ class Words:
         """Splits at plain spaces and line breaks only: the tokenizer drops white space and merges nothing across it."""
         chunks = [_SPACE.split(t) if t else [] for t in texts]
         known, stems = self.known, self.stems
-        if len(known) > CACHE:
+        if len(known) > self.cache:
             known.clear()
-        if len(stems) > CACHE:
+        if len(stems) > self.cache:
             stems.clear()
         parts = {}
         for own in chunks:
@@ -73,11 +76,11 @@ class Words:
         return [b"".join(map(known.__getitem__, own)) for own in chunks]
 
 
-def words(path: str) -> Words:
+def words(path: str, cache: int = CACHE) -> Words:
     """One per Python worker."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = Words(path)
-    return _TOKENIZERS[path]
+    if (path, cache) not in _TOKENIZERS:
+        _TOKENIZERS[path, cache] = Words(path, cache)
+    return _TOKENIZERS[path, cache]
 
 
 def pieces(total: int, capacity: int = CAPACITY) -> list[int]:
@@ -88,23 +91,22 @@ def pieces(total: int, capacity: int = CAPACITY) -> list[int]:
     return out
 
 
-def packed(docs: DataFrame, path: str, end_id: int = END_ID, capacity: int = CAPACITY, tokens: bool = True) -> DataFrame:
+def packed(docs: DataFrame, path: str, end_id: int = END_ID, capacity: int = CAPACITY, tokens: bool = True, cache: int = CACHE) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, bucket, ids_crc32 and, if asked for, its ids.
 
-    ``capacity`` is a power of two.  Sequence ids join the partition's number
+    ``capacity`` is a power of two; ``cache`` bounds what a worker remembers, which costs no more than time.  Sequence ids join the partition's number
     and the row's place in it; the order of rows within a partition is that of
     the input, so a task that is run again gives the same ids.
     """
     close = np.array([end_id], "<u4").tobytes()
     fields = "start long, length long, ids_crc32 long, doc_tokens long" + (", tokens array<int>" if tokens else "")
 
-    @F.arrow_udf(f"array<struct<{fields.replace(' long', ':long').replace(' array', ':array')}>>")
-    def cut(texts: pa.Array) -> pa.Array:
+    def rows_of(texts: list) -> pa.Array:
+        """Arrays of pieces of a few texts."""
         start, length, crc, total, held, offsets = [], [], [], [], [], [0]
-        own = words(path)
-        listed = texts.to_pylist()
-        for k in range(0, len(listed), 256):
-            for ids in own.ids(listed[k : k + 256]):
+        own = words(path, cache)
+        for k in range(0, len(texts), 256):
+            for ids in own.ids(texts[k : k + 256]):
                 ids += close
                 n, at = len(ids) // 4, 0
                 for size in pieces(n, capacity):
@@ -127,6 +129,11 @@ def packed(docs: DataFrame, path: str, end_id: int = END_ID, capacity: int = CAP
         rows = pa.StructArray.from_arrays(columns, names=names)
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
 
+    @F.arrow_udf(f"array<struct<{fields.replace(' long', ':long').replace(' array', ':array')}>>")
+    def cut(texts: pa.Array) -> pa.Array:
+        parts = [rows_of(texts.slice(k, PART).to_pylist()) for k in range(0, max(1, len(texts)), PART)]
+        return parts[0] if len(parts) == 1 else pa.concat_arrays(parts)
+
     out = docs.select("doc_id", F.explode(cut(F.col("text"))).alias("p")).select("doc_id", "p.*")
     return out.select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens",

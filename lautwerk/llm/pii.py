@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lautwerk.llm.common import texts_of
+
 KINDS = ("email", "ip", "card", "phone")
 #: At most so many documents, of at most so many code points, train the field.
 MAX_DOCS, MAX_CHARS = 2_000, 16_000
@@ -291,7 +293,7 @@ def found(docs: DataFrame, field: Field) -> DataFrame:
     @F.arrow_udf("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
     def scan(texts: pa.Array) -> pa.Array:
         counts, sha, spans, added = [], [], [], []
-        for t in texts.to_pylist():
+        for t in texts_of(texts):
             if not t or not _QUICK.search(t):
                 counts.append((0, 0, 0, 0))
                 sha.append(empty)
@@ -319,7 +321,7 @@ def redacted(docs: DataFrame, field: Field) -> DataFrame:
     @F.arrow_udf("string")
     def mask(texts: pa.Array) -> pa.Array:
         out = []
-        for t in texts.to_pylist():
+        for t in texts_of(texts):
             if t and _QUICK.search(t):
                 base = base_spans(t)
                 parts, last = [], 0
