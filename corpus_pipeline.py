@@ -46,7 +46,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Pieces of power-of-two lengths, with their ids."""
     import public_tokenizers
 
-    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # other stages' workers are still there, so this one's remember less
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), cache=150_000)
 
 
 STAGES = [
