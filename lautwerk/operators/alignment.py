@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,7 +35,17 @@ class Costs:
     max_chunk: int = MAX_CHUNK
     reorder: bool = True
 
+    def __post_init__(self):
+        self.known: dict = {}
+
     def link(self, s: tuple, t: tuple) -> float:
+        """Cost of a link; each pair of spans is costed once."""
+        out = self.known.get((s, t))
+        if out is None:
+            out = self.known[s, t] = self.fresh(s, t)
+        return out
+
+    def fresh(self, s: tuple, t: tuple) -> float:
         if (s, t) in self.chunks:
             return self.chunks[s, t]
         if not s or not t:
@@ -48,6 +59,7 @@ class Costs:
         return sum(self.one(a, b) for a, b in zip(s, t)) + (UNEQUAL + EXTRA) * apart + PRIOR_STEP * self.tier(s, t)
 
 
+@lru_cache(maxsize=1 << 18)
 def reordering(s: tuple, t: tuple) -> list[int] | None:
     """For equal-length spans of the same symbols in another order: where each went, leftmost first."""
     if len(s) != len(t) or not 2 <= len(s) <= MAX_REORDER or s == t or sorted(s) != sorted(t):
@@ -81,7 +93,15 @@ def align(source: list[str], target: list[str], costs: Costs) -> tuple[list[tupl
                     if c < best - EPSILON:
                         best, how = c, (k, l)
             if costs.reorder:
-                for k in range(2, min(i, j, MAX_REORDER) + 1):
+                balance: dict = {}
+                for k in range(1, min(i, j, MAX_REORDER) + 1):
+                    # spans that hold the same symbols leave no balance
+                    for x, sign in ((source[i - k], 1), (target[j - k], -1)):
+                        balance[x] = balance.get(x, 0) + sign
+                        if not balance[x]:
+                            del balance[x]
+                    if balance or k < 2:
+                        continue
                     s, t = tuple(source[i - k : i]), tuple(target[j - k : j])
                     if cost[i - k][j - k] < far and reordering(s, t) is not None:
                         c = cost[i - k][j - k] + costs.link(s, t) + LENGTH_PRICE * (2 * k - 2)

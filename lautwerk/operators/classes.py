@@ -10,39 +10,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lautwerk.functions.features import features, nuclei, sonority, syllable_breaks
+from lautwerk.functions.features import features
 from lautwerk.operators.alignment import GAP
+from lautwerk.operators.contexts import environments
+from lautwerk.operators.counts import published
+from lautwerk.operators.grouping import group_weights
 
 # Gates of the search.
 MIN_IMMEDIATE, MIN_LONG, DOMINANT, DEPTH, MAX_COMMITS, DRAWS = 3, 5, 0.6, 3, 12, 99
 EPSILON = 1e-12
 
 
-def contexts(word: list[str]) -> list[list[str]]:
-    """Tokens ``slot:feature`` of each position: neighbours, two and three away, anywhere before and after, place in word and syllable."""
-    own = [features(g) for g in word]
-    n = len(word)
-    breaks = syllable_breaks(word)
-    tops = nuclei([sonority(g) for g in word])
-    syllable = [sum(b <= k for b in breaks) for k in range(n)]
-    last = syllable[-1] if n else 0
-    out = []
-    for k in range(n):
-        tokens = set()
-        for slot, at in (("preceding", k - 1), ("following", k + 1), ("preceding@2", k - 2), ("following@2", k + 2), ("preceding@3", k - 3), ("following@3", k + 3)):
-            if 0 <= at < n:
-                tokens |= {f"{slot}:{f}=+" for f in own[at]}
-        for slot, side in (("somewhere_preceding", own[:k]), ("somewhere_following", own[k + 1 :])):
-            tokens |= {f"{slot}:{f}=+" for x in side for f in x}
-        tokens.add("position:" + ("initial" if k == 0 else "final" if k == n - 1 else "medial"))
-        top = next((t for t in tops if syllable[t] == syllable[k]), None)
-        tokens.add("role:" + ("nucleus" if top == k else "onset" if top is not None and k < top else "coda"))
-        from_end = last - syllable[k]
-        tokens.add("syllable:" + ("initial" if syllable[k] == 0 else ("final", "penultimate", "antepenultimate")[from_end] if from_end < 3 else "other"))
-        out.append(sorted(tokens))
-    return out
-
-
 def reconciled(links: DataFrame, sets: DataFrame) -> DataFrame:
     """``set_id, weight, members`` (lect, position, grapheme): components of linked positions of a set.
 
@@ -50,9 +28,9 @@ def reconciled(links: DataFrame, sets: DataFrame) -> DataFrame:
     out; a kept segment that a lect has lost gets that lect's gap as a member.
     """
     words = sets.groupBy("set_id").agg(F.map_from_entries(F.collect_list(F.struct("lect_id", F.col("segments.grapheme")))).alias("words"))
-    share = F.lit(1.0) / F.count(F.lit(1)).over(Window.partitionBy("etymon_group"))
     base = sets.select("set_id", "confidence", "etymon_group").distinct()
-    weights = base.withColumn("weight", F.when(F.col("etymon_group") == "", F.col("confidence")).otherwise(F.col("confidence") * share)).select("set_id", "weight")
+    shares = group_weights(base.where("etymon_group <> ''"), F.col("etymon_group"), "set_id").select("set_id", F.col("weight").alias("share"))
+    weights = base.join(shares, "set_id", "left").select("set_id", (F.col("confidence") * F.coalesce("share", F.lit(1.0))).alias("weight"))
     grouped = links.groupBy("set_id").agg(F.collect_list(F.struct("lect_a", "lect_b", "links")).alias("all")).join(words, "set_id").join(weights, "set_id")
     schema = "set_id string, weight double, members array<struct<lect:string,pos:int,grapheme:string>>"
 
@@ -104,8 +82,7 @@ def buckets(observations: DataFrame) -> DataFrame:
     lects = F.array_join(F.transform("members", lambda m: m["lect"]), ",")
     rows = observations.select("set_id", "weight", F.array_join(key, " ~ ").alias("tuple"), lects.alias("lects"))
     rows = rows.groupBy("tuple", "lects").agg(F.sum("weight").alias("count"), F.count_distinct("set_id").alias("sets"))
-    rows = rows.withColumn("rate", F.col("count") / F.sum("count").over(Window.partitionBy("lects")))
-    return rows.withColumn("class_id", F.row_number().over(Window.orderBy(F.desc("count"), "tuple")).cast("long") - 1)
+    return published(rows.withColumn("rate", F.col("count") / F.sum("count").over(Window.partitionBy("lects"))))
 
 
 class Bucket:
@@ -158,15 +135,15 @@ class Bucket:
                 found = (rank, t, d)
         return (found[1], found[2]) if found else None
 
-    def rules(self) -> list[tuple[list[str], np.ndarray, float]]:
+    def rules(self, depth: int = DEPTH, commits: int = MAX_COMMITS) -> list[tuple[list[str], np.ndarray, float]]:
         """Decision list: commit what the best predicate holds, refined by further ones, and go on with the rest."""
         live, out = np.ones(len(self.tokens), bool), []
-        while len(out) < MAX_COMMITS:
+        while len(out) < commits:
             won = self.best(live)
             if won is None:
                 break
             tokens, inside, margin = [won[0]], live & self.columns[won[0]], -won[1]
-            while len(tokens) < DEPTH and (more := self.best(inside)):
+            while len(tokens) < depth and (more := self.best(inside)):
                 tokens.append(more[0])
                 inside = inside & self.columns[more[0]]
             out.append((sorted(tokens), inside, margin))
@@ -202,20 +179,26 @@ RULES = "pivot_lect string, pivot string, decision int, environment string, outc
 def conditioned(observations: DataFrame, sets: DataFrame, draws: int = DRAWS, seed: int = 20260815) -> DataFrame:
     """Conditioned classes of every pivot (lect, grapheme): environment, sister outcome, contrast outside, and verdict against permuted contexts.
 
-    Observations that agree in tokens and outcomes are summed before they come
-    to a pivot's kernel, which so grows with the vocabulary, not with the corpus.
+    Environments are looked up by distinct words.
     """
-
-    @F.udf("array<array<string>>")
-    def all_contexts(word):
-        return contexts(list(word))
-
-    held = sets.select("set_id", F.col("lect_id").alias("pivot_lect"), all_contexts(F.col("segments.grapheme")).alias("contexts"))
+    form = F.xxhash64("segments", "breaks", "syllables")
+    words = sets.select(form.alias("word"), F.col("segments.grapheme").alias("graphemes"), F.col("syllables").alias("given"), F.col("breaks").alias("morphemes"), F.col("segments.stress").alias("stress"))
+    held = environments(words.dropDuplicates(["word"]))
     rows = observations.select("set_id", "weight", "members", F.explode("members").alias("m")).where(F.col("m.pos") >= 0)
     rows = rows.select("set_id", "weight", F.col("m.lect").alias("pivot_lect"), F.col("m.pos").alias("pos"), F.col("m.grapheme").alias("pivot"), "members")
-    rows = rows.join(held, ["set_id", "pivot_lect"]).withColumn("tokens", F.element_at("contexts", F.col("pos") + 1))
+    named = sets.select("set_id", F.col("lect_id").alias("pivot_lect"), form.alias("word"))
+    rows = rows.join(named, ["set_id", "pivot_lect"]).join(held, ["word", "pos"])
     sisters = F.filter("members", lambda m: (m["lect"] != F.col("pivot_lect")) & (m["grapheme"] != GAP))
     rows = rows.withColumn("sisters", F.transform(sisters, lambda m: F.struct(m["lect"].alias("lect"), m["grapheme"].alias("grapheme")))).where("size(sisters) > 0")
+    return searched(rows.select("pivot_lect", "pivot", "tokens", "sisters", "weight"), draws, seed)
+
+
+def searched(rows: DataFrame, draws: int = DRAWS, seed: int = 20260815, depth: int = DEPTH, commits: int = MAX_COMMITS) -> DataFrame:
+    """Decision lists of ``rows(pivot_lect, pivot, tokens, sisters, weight)``, one for each pivot.
+
+    Observations that agree in tokens and outcomes are summed before they come
+    to a pivot's kernel, which so grows with the vocabulary, not with the corpus.
+    """
     rows = rows.groupBy("pivot_lect", "pivot", "tokens", "sisters").agg(F.sum("weight").alias("weight"))
 
     def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -225,7 +208,7 @@ def conditioned(observations: DataFrame, sets: DataFrame, draws: int = DRAWS, se
         bucket = Bucket([frozenset(pdf["tokens"].iloc[k]) for k in order], [outcomes[k] for k in order], pdf["weight"].to_numpy(float)[order])
         if bucket.weight.sum() < 4 or max(bucket.kinds.values(), default=0) < 2:
             return pd.DataFrame(columns=names)
-        found = bucket.rules()
+        found = bucket.rules(depth, commits)
         if not found:
             return pd.DataFrame(columns=names)
         digest = sum(ord(c) * 31**k for k, c in enumerate("".join(map(str, key)))) % 2**32
@@ -247,20 +230,34 @@ def conditioned(observations: DataFrame, sets: DataFrame, draws: int = DRAWS, se
     return rows.groupBy("pivot_lect", "pivot").applyInPandas(kernel, RULES)
 
 
+def changes(rules: DataFrame) -> DataFrame:
+    """Conditioned classes as changes: ``lect, class_id, input, outcome, environment, displacement, count, margin, delta`` (arrays of tokens)."""
+
+    @F.pandas_udf("array<string>")
+    def moved(inputs: pd.Series, outcomes: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(inputs, outcomes):
+            x, y = features(a), features(b)
+            out.append([f"-{f}" for f in sorted(x - y)] + [f"+{f}" for f in sorted(y - x)])
+        return pd.Series(out)
+
+    order = Window.orderBy("pivot_lect", "pivot", "decision", "outcome")
+    rows = rules.withColumns({"class_id": F.row_number().over(order).cast("long") - 1, "to": F.regexp_extract("outcome", "=([^ ]*)$", 1)})
+    return rows.select(
+        F.col("pivot_lect").alias("lect"), "class_id", F.col("pivot").alias("input"), F.col("to").alias("outcome"), F.split("environment", ";").alias("environment"),
+        moved("pivot", "to").alias("displacement"), "count", "margin", (-F.col("margin")).alias("delta"),
+    )
+
+
 def events(rules: DataFrame) -> DataFrame:
-    """Proposed changes: conditioned classes of one pivot lect that share an environment and change in the same way, pooled."""
-
-    @F.udf("string")
-    def change(pivot: str, outcome: str) -> str:
-        to = outcome.split("=")[-1]
-        a, b = features(pivot), features(to)
-        return ",".join([f"-{f}" for f in sorted(a - b)] + [f"+{f}" for f in sorted(b - a)])
-
-    rows = rules.withColumn("to", F.regexp_extract("outcome", "=(.*)$", 1)).where("pivot <> to").withColumn("shift", change("pivot", "outcome"))
-    members = F.array_join(F.array_sort(F.collect_set(F.concat_ws(" > ", "pivot", "outcome"))), ", ")
-    return rows.groupBy("pivot_lect", "environment", "shift").agg(
-        members.alias("members"), F.count_distinct("pivot").alias("inputs"), F.sum("count").alias("count"), F.min("margin").alias("margin")
-    )
+    """Proposed changes of the conditioned classes: groups whose members all agree, with their pooled count and weakest evidence."""
+    from lautwerk.operators import events as proposing
+
+    rows = changes(rules)
+    members = proposing.proposed(rows).join(rows, ["lect", "class_id"])
+    out = proposing.built(members, ["lect", "axis", "group"])
+    common = proposing.shared(members.select("lect", "axis", "group", "class_id", "environment"), ["lect", "axis", "group"], "environment")
+    return out.join(common.select("lect", "axis", "group", F.array_join("shared", ";").alias("environment")), ["lect", "axis", "group"]).drop("group")
 
 
 def cost_outliers(costs: DataFrame) -> DataFrame:

@@ -10,16 +10,16 @@ from lautwerk.functions.stats import wilson
 GAP = "∅"
 
 
-def pair_counts(pairs: DataFrame, weight: Column | None = None) -> DataFrame:
-    """``source, target, count`` with the totals of both sides, the share of the source and its Wilson interval.
+def pair_counts(pairs: DataFrame, weight: Column | None = None, by: list[str] = ()) -> DataFrame:
+    """``by.., source, target, count`` with the totals of both sides, the share of the source and its Wilson interval.
 
     Totals are windows over the counted table, which is as small as the inventories.
     """
     n = F.sum(weight) if weight is not None else F.count(F.lit(1))
-    rows = pairs.groupBy("source", "target").agg(n.alias("count"))
+    rows = pairs.groupBy(*by, "source", "target").agg(n.alias("count"))
     rows = rows.withColumns({
-        "source_total": F.sum("count").over(Window.partitionBy("source")),
-        "target_total": F.sum("count").over(Window.partitionBy("target")),
+        "source_total": F.sum("count").over(Window.partitionBy(*by, "source")),
+        "target_total": F.sum("count").over(Window.partitionBy(*by, "target")),
     })
     low, high = wilson(F.col("count"), F.col("source_total"))
     return rows.withColumns({"rate": F.col("count") / F.col("source_total"), "low": low, "high": high})
@@ -57,7 +57,12 @@ def class_buckets(observations: DataFrame, set_column: str, slot: str, symbol: s
     """
     tokens = F.array_join(F.array_sort(F.collect_set(F.concat_ws("=", slot, symbol))), ",")
     rows = observations.groupBy(set_column).agg(tokens.alias("tuple")).groupBy("tuple").agg(F.count(F.lit(1)).alias("count"))
-    return rows.withColumn("class_id", F.row_number().over(Window.orderBy(F.desc("count"), "tuple")).cast("long") - 1)
+    return published(rows)
+
+
+def published(classes: DataFrame) -> DataFrame:
+    """Classes (tuple, count, ...) numbered in the order of their counts, then of their tuples; a table of classes is as small as the inventories' combinations that occur."""
+    return classes.withColumn("class_id", F.row_number().over(Window.orderBy(F.desc("count"), "tuple")).cast("long") - 1)
 
 
 def supporting(sets: DataFrame, key: str, set_column: str, order: str) -> DataFrame:

@@ -159,9 +159,6 @@ def promoted(model: Pairwise, aligned: list, max_chunk: int) -> dict:
     return out
 
 
-LINKS = "set_id string, lect_a string, lect_b string, weight double, a_len int, b_len int, links array<struct<s_start:int,s_len:int,t_start:int,t_len:int>>, cost double"
-
-
 def form_pairs(sets: DataFrame) -> DataFrame:
     """Every two lects of a set, in order of their names; sets without confidence are left out."""
     rows = sets.where("confidence > 0").select("set_id", "lect_id", "confidence", F.col("segments.grapheme").alias("word"))
@@ -170,40 +167,68 @@ def form_pairs(sets: DataFrame) -> DataFrame:
     return a.join(b, "set_id").where("lect_a < lect_b")
 
 
+MODEL = "source string, target string, count double, source_total double, cost double, kind string"
+
+
 def trained(pairs: DataFrame, by: tuple[str, ...] = ("lect_a", "lect_b"), max_chunk: int = 3) -> DataFrame:
-    """``by.., source, target, count, source_total, cost, kind`` of a model for each group: counted symbol pairs and promoted chunks."""
+    """``by.., source, target, count, source_total, cost, kind`` of a model for each group: counted symbol pairs, promoted chunks, and its inventory.
+
+    A group's distinct pairs of forms, weighted, come to one kernel: a vocabulary, whatever the corpus' size.
+    """
     weighed = pairs.groupBy(*by, "source", "target").agg(F.sum("weight").alias("weight"))
     types = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
-    schema = ", ".join(f"{c} {types[c]}" for c in by) + ", source string, target string, count double, source_total double, cost double, kind string"
+    schema = ", ".join(f"{c} {types[c]}" for c in by) + ", " + MODEL
 
     def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = sorted((list(s), list(t), float(w)) for s, t, w in zip(pdf["source"], pdf["target"], pdf["weight"]))
         m = train_pair(rows, max_chunk)
         out = [(*key, s, t, n, m.of_source[s], m.one(s, t), "segment") for (s, t), n in sorted(m.counts.items())]
         out += [(*key, " ".join(s), " ".join(t), 0.0, 0.0, c, "chunk") for (s, t), c in sorted(m.chunks.items())]
+        out += [(*key, g, g, 0.0, 0.0, 0.0, "inventory") for g in sorted(m.log_z)]
         return pd.DataFrame(out, columns=[x.strip().split(" ")[0] for x in schema.split(", ")])
 
     return weighed.groupBy(*by).applyInPandas(kernel, schema)
 
 
-def aligned(pairs: DataFrame, max_chunk: int = 3) -> DataFrame:
-    """Links of all pairs under the model trained on their lects."""
-
-    def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        weights: dict = defaultdict(float)
-        for s, t, w in zip(pdf["source"], pdf["target"], pdf["weight"]):
-            weights[tuple(s), tuple(t)] += float(w)
-        model = train_pair([(list(s), list(t), w) for (s, t), w in sorted(weights.items())], max_chunk)
-        known, out = {}, []
-        for i, s, t, w in zip(pdf["set_id"], pdf["source"], pdf["target"], pdf["weight"]):
-            both = tuple(s), tuple(t)
-            if both not in known:
-                known[both] = align(list(s), list(t), model.costs(max_chunk))
-            links, cost = known[both]
-            out.append((i, *key, float(w), len(s), len(t), [dict(zip(("s_start", "s_len", "t_start", "t_len"), x)) for x in links], cost))
-        return pd.DataFrame(out, columns=[x.strip().split(" ")[0] for x in LINKS.replace("struct<s_start:int,s_len:int,t_start:int,t_len:int>", "s").split(", ")])
-
-    return pairs.groupBy("lect_a", "lect_b").applyInPandas(kernel, LINKS)
+def rebuilt(rows: pd.DataFrame) -> Pairwise:
+    """A model from its rows."""
+    part = {k: rows[rows["kind"] == k] for k in ("segment", "chunk", "inventory")}
+    alpha, log_z = prior(sorted(part["inventory"]["source"]))
+    counts = {(s, t): n for s, t, n in zip(part["segment"]["source"], part["segment"]["target"], part["segment"]["count"])}
+    moves: dict = defaultdict(float)
+    for (s, t), n in sorted(counts.items()):
+        moves[move(s, t)] += n
+    chunks = {(tuple(s.split(" ")), tuple(t.split(" "))): c for s, t, c in zip(part["chunk"]["source"], part["chunk"]["target"], part["chunk"]["cost"])}
+    return Pairwise(counts, alpha, log_z, dict(moves), chunks)
+
+
+#: Tasks that the distinct pairs of two lects are dealt to, when they are aligned under their model.
+DEAL = 8
+
+
+def aligned(pairs: DataFrame, max_chunk: int = 3, models: DataFrame | None = None) -> DataFrame:
+    """Links of all pairs under the model trained on their lects; each distinct pair of forms is aligned once and joined back."""
+    by = ["lect_a", "lect_b"]
+    models = trained(pairs, max_chunk=max_chunk) if models is None else models
+    deal = F.pmod(F.xxhash64("source", "target"), F.lit(DEAL)).cast("int").alias("deal")
+    forms = pairs.select(*by, "source", "target").distinct().select("*", deal)
+    copies = models.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))))
+    schema = "lect_a string, lect_b string, source array<string>, target array<string>, links array<struct<s_start:int,s_len:int,t_start:int,t_len:int>>, cost double"
+    names = ("s_start", "s_len", "t_start", "t_len")
+
+    def kernel(key: tuple, words: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        if words.empty:
+            return pd.DataFrame(columns=[*by, "source", "target", "links", "cost"])
+        costs = rebuilt(model).costs(max_chunk)
+        out = []
+        for s, t in zip(words["source"], words["target"]):
+            links, cost = align(list(s), list(t), costs)
+            out.append((*key[:2], list(s), list(t), [dict(zip(names, x)) for x in links], cost))
+        return pd.DataFrame(out, columns=[*by, "source", "target", "links", "cost"])
+
+    done = forms.groupBy(*by, "deal").cogroup(copies.groupBy(*by, "deal")).applyInPandas(kernel, schema)
+    met = pairs.join(done, [*by, "source", "target"])
+    return met.select("set_id", *by, "weight", F.size("source").alias("a_len"), F.size("target").alias("b_len"), "links", "cost")
 
 
 def set_costs(links: DataFrame) -> DataFrame:

@@ -43,34 +43,49 @@ def tonal_counts(positions: DataFrame) -> DataFrame:
     return rows.groupBy("lect_a", "lect_b", F.col("source.tone").alias("source_tone"), F.col("target.tone").alias("target_tone")).agg(F.sum("weight").alias("count"))
 
 
-def dimension_rules(positions: DataFrame, dimension: str = "tone", least: float = 3.0) -> DataFrame:
-    """Cross-dimensional correspondences: for each feature of the source's grapheme, the target's tone (length, stress) where it holds and where it doesn't.
+def dimension_rules(positions: DataFrame, dimension: str = "tone", least: float = 3.0, context_is_target: bool = False, lect_internal: bool = False) -> DataFrame:
+    """Cross-dimensional correspondences: for each feature of the one side's grapheme, the other side's tone (length, stress) where it holds and where it doesn't.
 
-    ``delta`` is the change of a two-by-two code; rows whose rate isn't above the contrast, or whose delta isn't below zero, are left out.
+    context_is_target: the environment is read in the target, the value in the source; lect_internal: both in the
+    former.  ``delta`` is the change of a two-by-two code; rows whose rate isn't above the contrast, or whose delta
+    isn't below zero, are left out.
     """
-    from lautwerk.functions.features import features
-    from lautwerk.functions.stats import xlogx
+    from lautwerk.operators.contexts import described
+    from lautwerk.operators.crossdim import value_delta
 
-    @F.udf("array<string>")
-    def own(g: str):
-        return sorted(features(g))
-
-    base = positions.where(f"source is not null and target is not null and target.{dimension} <> ''")
-    base = base.groupBy("lect_a", "lect_b", F.col("source.grapheme").alias("g"), F.col(f"target.{dimension}").alias("value")).agg(F.sum("weight").alias("w"))
+    there = "target" if context_is_target else "source"
+    here = there if lect_internal else "source" if context_is_target else "target"
+    base = positions.where(f"source is not null and target is not null and {here}.{dimension} <> ''")
+    base = base.groupBy("lect_a", "lect_b", F.col(f"{there}.grapheme").alias("grapheme"), F.col(f"{here}.{dimension}").alias("value")).agg(F.sum("weight").alias("w"))
     values = base.groupBy("lect_a", "lect_b", "value").agg(F.sum("w").alias("value_mass"))
     whole = base.groupBy("lect_a", "lect_b").agg(F.sum("w").alias("mass"))
-    held = base.withColumn("feature", F.explode(own("g"))).groupBy("lect_a", "lect_b", "feature", "value").agg(F.sum("w").alias("a"))
+    own = described(base).select("grapheme", F.explode("features").alias("feature"))
+    held = base.join(own, "grapheme").groupBy("lect_a", "lect_b", "feature", "value").agg(F.sum("w").alias("a"))
     inside = F.sum("a").over(Window.partitionBy("lect_a", "lect_b", "feature"))
     rows = held.withColumn("inside", inside).join(values, ["lect_a", "lect_b", "value"]).join(whole, ["lect_a", "lect_b"])
     rows = rows.withColumns({"outside": F.col("mass") - F.col("inside"), "c": F.col("value_mass") - F.col("a")}).where("outside > 0")
-
-    def code(hit, total):
-        return xlogx(total) - xlogx(hit) - xlogx(total - hit)
-
-    delta = 2 * (code(F.col("a"), F.col("inside")) + code(F.col("c"), F.col("outside")) - code(F.col("value_mass"), F.col("mass"))) + F.ln("mass")
+    delta = value_delta(F.col("a"), F.col("inside"), F.col("c"), F.col("outside"))
     rows = rows.withColumns({"delta": delta, "rate": F.col("a") / F.col("inside"), "contrast_rate": F.col("c") / F.col("outside")})
     kept = rows.where((F.col("a") >= least) & (F.col("rate") > F.col("contrast_rate")) & (F.col("delta") < 0))
-    return kept.select("lect_a", "lect_b", "feature", F.lit(dimension).alias("dimension"), "value", F.col("a").alias("count"), "rate", "contrast_rate", "delta")
+    return kept.select(
+        "lect_a", "lect_b", F.lit(context_is_target).alias("context_is_target"), F.lit(lect_internal).alias("lect_internal"), "feature", F.lit(dimension).alias("dimension"), "value",
+        F.col("a").alias("count"), F.col("inside").alias("total"), "rate", F.col("c").alias("contrast_count"), F.col("outside").alias("contrast_total"), "contrast_rate", "delta",
+    )
+
+
+def all_dimension_rules(positions: DataFrame, least: float = 3.0) -> DataFrame:
+    """Both orientations, across lects and within each, of tone, length and stress; rules within a lect are kept once, from the pair of the largest mass."""
+    from lautwerk.operators.crossdim import lifted
+
+    out = None
+    for dimension in ("tone", "length", "stress"):
+        for context_is_target in (False, True):
+            for internal in (False, True):
+                rows = dimension_rules(positions, dimension, least, context_is_target, internal)
+                out = rows if out is None else out.unionByName(rows)
+    lect = F.when(F.col("context_is_target"), F.col("lect_b")).otherwise(F.col("lect_a"))
+    inner = out.where("lect_internal").withColumns({"lect": lect, "pair": F.concat_ws(">", "lect_a", "lect_b")})
+    return out.where("not lect_internal").unionByName(lifted(inner, ["lect", "feature", "dimension", "value"]).drop("lect", "pair"))
 
 
 def class_intervals(observations: DataFrame, draws: int = 200, alpha: float = 0.05) -> DataFrame:

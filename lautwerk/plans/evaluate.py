@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lautwerk.functions.features import distance
@@ -25,25 +25,60 @@ def folds(sets: DataFrame, k: int, scratch: Scratch) -> DataFrame:
 
 
 def symbols(links: DataFrame) -> DataFrame:
-    """``pair, source, target``: symbols bound one to one by links of rows with source and target words."""
-    one = links.select("pair", "source", "target", F.explode("links").alias("l")).where("l.s_len = 1 and l.t_len = 1")
-    return one.select("pair", F.element_at("source", F.col("l.s_start") + 1).alias("source"), F.element_at("target", F.col("l.t_start") + 1).alias("target"))
+    """``pair, fold, source, target``: symbols bound one to one by links of rows with source and target words."""
+    one = links.select("pair", "fold", "source", "target", F.explode("links").alias("l")).where("l.s_len = 1 and l.t_len = 1")
+    return one.select("pair", "fold", F.element_at("source", F.col("l.s_start") + 1).alias("source"), F.element_at("target", F.col("l.t_start") + 1).alias("target"))
+
+
+def held_out(rows: DataFrame) -> DataFrame:
+    """``pair, kind, observed, p, place, square, top`` of predicting ``rows(pair, fold, source, target)`` of each fold from the others of its pair.
+
+    Counts of all folds are made once; what a fold leaves is their difference.  Inventories are a pair's own, of what
+    its other folds hold, and one unknown category.
+    """
+    by = Window.partitionBy("pair", "fold", "source")
+    each = rows.groupBy("pair", "fold", "source", "target").agg(F.count(F.lit(1)).alias("here"))
+    whole = each.groupBy("pair", "source", "target").agg(F.sum("here").alias("all"))
+    folds = each.select("pair", "fold", "source").distinct()
+    held = each.groupBy("pair", "fold", "target").agg(F.sum("here").alias("t_here"))
+    targets = each.groupBy("pair", "target").agg(F.sum("here").alias("t_all"))
+    grid = folds.join(targets, "pair").join(held, ["pair", "fold", "target"], "left").withColumn("t_n", F.col("t_all") - F.coalesce("t_here", F.lit(0))).where("t_n > 0")
+    grid = grid.join(whole, ["pair", "source", "target"], "left").join(each, ["pair", "fold", "source", "target"], "left")
+    n = F.coalesce("all", F.lit(0)) - F.coalesce("here", F.lit(0))
+    k = F.count(F.lit(1)).over(by)
+    t_all = F.sum("t_n").over(by)
+    grid = grid.withColumns({
+        "unconditioned": (n + 1.0) / (F.sum(n).over(by) + k + 1), "inventory": (F.col("t_n") + 1.0) / (t_all + k + 1),
+        "rest_unconditioned": 1.0 / (F.sum(n).over(by) + k + 1), "rest_inventory": 1.0 / (t_all + k + 1),
+    })
+    out = None
+    for kind in ("unconditioned", "inventory"):
+        p = F.col(kind)
+        one = grid.withColumns({"place": F.row_number().over(by.orderBy(F.desc(kind), "target")), "square": F.sum(p * p).over(by), "top": F.max(p).over(by), "p": p, "kind": F.lit(kind)})
+        seen = one.where("here is not null").select("pair", "kind", F.col("here").alias("observed"), "p", "place", "square", "top")
+        # held-out symbols that training hasn't met: the unknown category's share
+        rest = one.groupBy("pair", "fold", "source", "kind").agg(F.max(f"rest_{kind}").alias("p"), F.max("square").alias("square"), F.max("top").alias("top"))
+        fresh = each.join(grid.select("pair", "fold", "source", "target"), ["pair", "fold", "source", "target"], "left_anti").join(rest, ["pair", "fold", "source"])
+        fresh = fresh.select("pair", "kind", F.col("here").alias("observed"), "p", F.lit(None).cast("int").alias("place"), "square", "top")
+        both = seen.unionByName(fresh)
+        out = both if out is None else out.unionByName(both)
+    return out
 
 
 def predictive(sets: DataFrame, k: int = 5, scratch: Scratch | None = None) -> DataFrame:
-    """Scores of predicting each held-out target symbol from its source: log loss, top-1, top-k, Brier, calibration.
+    """``kind`` and scores of predicting each held-out target symbol from its source: log loss, top-1, top-k, Brier, abstention, calibration.
 
-    Training rows of all folds are aligned side by side, a fold being part of
-    the name of a pair; held-out words are aligned symbol by symbol without a model.
+    Words are aligned once, symbol by symbol without a model, as held-out words
+    are, so no fold's alignment depends on another's.
     """
     scratch = scratch or Scratch(sets.sparkSession, "evaluate")
     dealt = folds(sets, k, scratch)
     pairs = pairwise.form_pairs(sets).join(dealt, "set_id")
-    name = F.concat_ws("/", F.col("fold").cast("string"), "lect_a", "lect_b")
-    held = align_pairs(pairs.select(name.alias("pair"), "source", "target"), prior_costs(distance, max_chunk=1))
-    every = sets.sparkSession.range(k).select(F.col("id").cast("int").alias("out"))
-    rest = pairs.crossJoin(F.broadcast(every)).where("fold <> out")
-    rest = rest.select(F.concat_ws("/", F.col("out").cast("string"), "lect_a", "lect_b").alias("pair"), "source", "target")
-    learnt = align_pairs(rest, prior_costs(distance, max_chunk=1))
-    keyed = [symbols(x).select(F.concat_ws("|", "pair", "source").alias("source"), "target") for x in (learnt, held)]
-    return prediction.score(prediction.predict(*keyed))
+    words = align_pairs(pairs.select("source", "target").distinct(), prior_costs(distance, max_chunk=1))
+    met = pairs.select(F.concat_ws(">", "lect_a", "lect_b").alias("pair"), "fold", "source", "target").join(words, ["source", "target"])
+    rows = held_out(symbols(met))
+    out = None
+    for kind in ("unconditioned", "inventory"):
+        one = prediction.score(rows.where(F.col("kind") == kind)).withColumn("kind", F.lit(kind))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -544,37 +544,6 @@ def align_spans(spark, d):
     return align_pairs(pairs, prior_costs(distance, tier=chunk_tier)).select("one", "two", "count", F.size("links").cast("long").alias("links"), r6("cost").alias("cost"))
 
 
-def _toy(spark: SparkSession):
-    """Two lects by rule: k becomes tʃ before front vowels, p becomes f everywhere."""
-    from lautwerk.sources import corpus
-
-    rows = ["cognate_id\tlect_id\tsegments"]
-    k = 0
-    for c in "ptkbdmns":
-        for v in "ieou":
-            for w in "tnsl":
-                word = [c, v, w, "a"]
-                after = ["tʃ" if x == "k" and word[i + 1] in "ie" else "f" if x == "p" else x for i, x in enumerate(word)]
-                rows += [f"w{k}\told\t{' '.join(word)}", f"w{k}\tnew\t{' '.join(after)}"]
-                k += 1
-    return corpus.load_long(spark, text="\n".join(rows))
-
-
-@query()
-def train_full(spark, d):
-    """Conditioned classes of a corpus made by rule, from loading to the verdict against permuted contexts."""
-    from lautwerk.plans.train import train
-
-    return train(_toy(spark)).conditioned
-
-
-@query()
-def train_classes(spark, d):
-    from lautwerk.plans.train import train
-
-    return train(_toy(spark)).classes
-
-
 _EDGES = """
   e AS (SELECT p_partkey AS a, min(p_partkey) OVER (PARTITION BY p_name, p_size) AS b FROM part
         UNION SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand, p_type, p_size) FROM part),
@@ -602,12 +571,3 @@ def folds(spark, d):
     comp = _components(spark, d)
     dealt = ranked(comp.select("comp").distinct(), "comp").select("comp", (F.col("place") % 5).alias("fold"))
     return comp.join(dealt, "comp").select("p_partkey", "fold")
-
-
-@query()
-def evaluate_full(spark, d):
-    """Held-out prediction on the corpus made by rule."""
-    from lautwerk.plans.evaluate import predictive as evaluate
-    from lautwerk.sources.corpus import publish
-
-    return evaluate(publish(_toy(spark)), 4)

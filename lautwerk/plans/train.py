@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass, fields
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lautwerk.operators import classes, pairwise
+from lautwerk.operators import classes, counts, pairwise, tables
+from lautwerk.operators.graph import Scratch
 from lautwerk.operators.resampling import draw
 from lautwerk.sources import corpus
 
@@ -30,20 +32,70 @@ class Options:
         return cls(**values)
 
 
-@dataclass
 class Model:
-    """Tables of a run; each is a DataFrame that is computed when it is read."""
-
-    options: Options
-    sets: DataFrame
-    pairs: DataFrame
-    segments: DataFrame
-    links: DataFrame
-    observations: DataFrame
-    classes: DataFrame
-    conditioned: DataFrame
-    events: DataFrame
-    outliers: DataFrame
+    """Tables of a run.  What several of them read is written into the shared folder once; the rest is computed when it is read."""
+
+    def __init__(self, sets: DataFrame, options: Options):
+        self.options = options
+        self.scratch = Scratch(sets.sparkSession, "train")
+        self.sets = self.scratch.keep(sets, "sets")
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return self.scratch.keep(pairwise.form_pairs(self.sets), "pairs")
+
+    @cached_property
+    def models(self) -> DataFrame:
+        return self.scratch.keep(pairwise.trained(self.pairs, max_chunk=self.options.max_chunk), "models")
+
+    @cached_property
+    def links(self) -> DataFrame:
+        return self.scratch.keep(pairwise.aligned(self.pairs, self.options.max_chunk, self.models), "links")
+
+    @cached_property
+    def positions(self) -> DataFrame:
+        return self.scratch.keep(tables.bound(self.links, self.sets), "positions")
+
+    @cached_property
+    def observations(self) -> DataFrame:
+        return self.scratch.keep(classes.reconciled(self.links, self.sets), "observations")
+
+    @cached_property
+    def conditioned(self) -> DataFrame:
+        return self.scratch.keep(classes.conditioned(self.observations, self.sets, self.options.null_draws, self.options.seed), "conditioned")
+
+    @property
+    def segments(self) -> DataFrame:
+        one = self.positions.where("source is not null and target is not null").select("lect_a", "lect_b", F.col("source.grapheme").alias("source"), F.col("target.grapheme").alias("target"), "weight")
+        return counts.pair_counts(one, F.col("weight"), ["lect_a", "lect_b"])
+
+    @property
+    def chunks(self) -> DataFrame:
+        return self.models.where("kind = 'chunk'").drop("kind", "count", "source_total")
+
+    @property
+    def gaps(self) -> DataFrame:
+        return tables.gap_rows(self.positions)
+
+    @property
+    def tones(self) -> DataFrame:
+        return tables.tonal_counts(self.positions)
+
+    @property
+    def xdims(self) -> DataFrame:
+        return tables.all_dimension_rules(self.positions)
+
+    @property
+    def classes(self) -> DataFrame:
+        return classes.buckets(self.observations)
+
+    @property
+    def events(self) -> DataFrame:
+        return classes.events(self.conditioned)
+
+    @property
+    def outliers(self) -> DataFrame:
+        return classes.cost_outliers(pairwise.set_costs(self.links))
 
     def fit(self) -> DataFrame:
         """One row: lects, sets, pairs, mean cost per segment, and the share of classes above noise."""
@@ -54,30 +106,33 @@ class Model:
         return one.crossJoin(cost).crossJoin(rules)
 
     def provenance(self) -> dict:
-        """Options and an order-free checksum of the corpus."""
-        row = self.sets.agg(F.bit_xor(F.xxhash64("set_id", "lect_id", F.to_json("segments"), "confidence")).alias("x"), F.count(F.lit(1)).alias("n")).first()
-        return {"options": asdict(self.options), "checksum": f"{(row.x or 0) & (2**64 - 1):016x}", "forms": row.n}
+        """Options and an order-free checksum of the corpus: a sum of row hashes, to which equal rows add up."""
+        row = checksum(self.sets).first()
+        return {"options": asdict(self.options), "checksum": row.checksum, "forms": row.forms}
+
+
+def checksum(sets: DataFrame) -> DataFrame:
+    """One row: ``checksum, forms``; the sum of md5 prefixes of the rows, modulo 2 ** 61."""
+    text = F.concat_ws("|", "set_id", "lect_id", F.array_join("segments.grapheme", " "), F.col("confidence").cast("double").cast("string"), "etymon_group")
+    part = F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("decimal(20,0)")
+    return sets.agg(F.lower(F.hex((F.sum(part) % F.lit(2**61).cast("decimal(20,0)")).cast("long"))).alias("checksum"), F.count(F.lit(1)).alias("forms"))
 
 
 def train(forms: DataFrame, options: Options | None = None) -> Model:
     """All tables from loaded forms; refuses empty forms and confidences outside 0..1."""
     options = options or Options()
-    sets = corpus.publish(forms, options.min_lects)
-    wrong = corpus.faults(sets).select("set_id").first()
+    clash = corpus.label_conflicts(forms).first()
+    if clash is not None:
+        raise ValueError(f"set {clash.cognate_id}: {clash.label} is {clash.first} and {clash.last}")
+    model = train_sets(corpus.publish(forms, options.min_lects), options)
+    wrong = corpus.faults(model.sets).select("set_id").first()
     if wrong is not None:
         raise ValueError(f"set {wrong.set_id}: empty form or confidence outside 0..1")
-    return train_sets(sets, options)
+    return model
 
 
 def train_sets(sets: DataFrame, options: Options) -> Model:
-    pairs = pairwise.form_pairs(sets)
-    links = pairwise.aligned(pairs, options.max_chunk).cache()
-    observations = classes.reconciled(links, sets).cache()
-    found = classes.conditioned(observations, sets, options.null_draws, options.seed).cache()
-    return Model(
-        options=options, sets=sets, pairs=pairs, segments=pairwise.trained(pairs, max_chunk=options.max_chunk), links=links, observations=observations,
-        classes=classes.buckets(observations), conditioned=found, events=classes.events(found), outliers=classes.cost_outliers(pairwise.set_costs(links)),
-    )
+    return Model(sets, options)
 
 
 def shuffled_sets(sets: DataFrame, replicates: int) -> DataFrame:

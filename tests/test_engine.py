@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from lautwerk.functions import features, stats
 from lautwerk.functions.environments import is_subset, key, most_specific
-from lautwerk.operators import alignment, classes, grouping, pairwise, splits
+from lautwerk.operators import alignment, classes, contexts, crossdim, events, grouping, pairwise, splits
 from lautwerk.plans import queries as plans
 from lautwerk.plans import render
 from lautwerk.plans.train import Options, null_costs, train
@@ -21,6 +21,20 @@ from lautwerk.sources import corpus
 SF = "/root/testdata/sf0.001"
 
 
+def toy(spark):
+    """Two lects by rule: k becomes tʃ before front vowels, p becomes f everywhere."""
+    rows = ["cognate_id\tlect_id\tsegments"]
+    k = 0
+    for c in "ptkbdmns":
+        for v in "ieou":
+            for w in "tnsl":
+                word = [c, v, w, "a"]
+                after = ["tʃ" if x == "k" and word[i + 1] in "ie" else "f" if x == "p" else x for i, x in enumerate(word)]
+                rows += [f"w{k}\told\t{' '.join(word)}", f"w{k}\tnew\t{' '.join(after)}"]
+                k += 1
+    return corpus.load_long(spark, text="\n".join(rows))
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
@@ -70,9 +84,11 @@ def test_split_score(spark):
 
 
 def test_syllables():
-    want = {"pater": [2], "kasa": [2], "jam": [], "ngata": [3], "amiko": [1, 3]}
+    want = {"pater": [2], "kasa": [2], "jam": [], "ngata": [3], "amiko": [1, 3], "strata": [4], "kartli": [3], "mbundu": [4], "filius": [2, 4]}
     got = {w: features.syllable_breaks(list(w)) for w in want}
     assert got == want
+    assert features.syllable_breaks(list("apta")) == [1] and features.syllable_breaks(list("apta"), [2]) == [2]
+    assert features.sonority("ɬ") == 2 and features.sonority("l") == 4
 
 
 def test_distances_and_displacement():
@@ -147,21 +163,21 @@ def test_doublets_become_combinations(spark):
 
 
 def test_training_finds_the_rule(spark):
-    model = train(plans._toy(spark))
+    model = train(toy(spark))
     tuples = {r.tuple: r for r in model.classes.collect()}
     assert tuples["new=f ~ old=p"].sets == 16 and "new=tʃ ~ old=k" in tuples and tuples["new=tʃ ~ old=k"]["count"] == 8
     rules = model.conditioned.where("standing = 'above_noise'").collect()
     assert rules and {r.pivot for r in rules if r.pivot_lect == "old"} == {"k"}
     assert all(r.rate > r.contrast_rate for r in rules)
     assert model.events.count() >= 0 and model.fit().first().sets == 128
-    assert render.summary(model).first().value == "LECTS\tnew,old"
+    assert render.summary(model).first().value == "LECTS\tnew old" and render.model_report(model).count() > 5 and render.rule_lines(model.conditioned).count() > 0
     assert '"format_version": 1' in render.to_json(model)
     with pytest.raises(ValueError, match="colour"):
         Options.of({"colour": 1})
 
 
 def test_names_of_lects_do_not_matter(spark):
-    forms = plans._toy(spark)
+    forms = toy(spark)
     other = forms.withColumn("lect_id", F.when(F.col("lect_id") == "old", "aaa").otherwise("zzz"))
     a, b = train(forms), train(other)
     assert sorted(r["count"] for r in a.classes.collect()) == sorted(r["count"] for r in b.classes.collect())
@@ -177,7 +193,7 @@ def test_chance_is_declined(spark):
 
 
 def test_shuffled_corpora_cost_more(spark):
-    sets = corpus.publish(plans._toy(spark))
+    sets = corpus.publish(toy(spark))
     own = pairwise.set_costs(pairwise.aligned(pairwise.form_pairs(sets))).agg(F.avg("cost")).first()[0]
     null = [r.cost for r in null_costs(sets, 2).collect()]
     assert len(null) == 2 and min(null) > own
@@ -185,7 +201,7 @@ def test_shuffled_corpora_cost_more(spark):
 
 def test_refused_corpora(spark):
     with pytest.raises(ValueError, match="confidence"):
-        train(plans._toy(spark).withColumn("confidence", F.lit(2.0)))
+        train(toy(spark).withColumn("confidence", F.lit(2.0)))
 
 
 def test_shared_members(spark):
@@ -194,9 +210,19 @@ def test_shared_members(spark):
     assert got == {("a", "b"): 2, ("a", "c"): 1, ("b", "c"): 1}
 
 
-def test_contexts():
-    got = classes.contexts(["p", "a", "t"])
+def test_contexts(spark):
+    rows = [("w", list("pat"), [], [2], ["", "primary", ""])]
+    words = spark.createDataFrame(rows, "word string, graphemes array<string>, given array<int>, morphemes array<int>, stress array<string>")
+    got = {r.pos: r.tokens for r in contexts.environments(words).collect()}
     assert "following:vowel=+" in got[0] and "position:initial" in got[0] and "preceding@2:stop=+" in got[2]
+    assert "morpheme:only" in got[2] and "stress:primary" in got[1] and "following_stress:primary" in got[0]
+
+
+def test_events_are_groups_that_agree():
+    base = {"environment": ["following:vowel=+"], "displacement": ["+voiced"], "count": 10}
+    rows = [dict(base, class_id=k, input=i, outcome=o) for k, (i, o) in enumerate((("p", "b"), ("t", "d"), ("k", "ɡ")))] + [dict(base, class_id=9, input="p", outcome="v", environment=["preceding:nasal=+"])]
+    assert [[m["class_id"] for m in g] for g in events.cliques(rows, "environment")] == [[0, 1, 2]]
+    assert crossdim.negated("tax=+") == "tax=-" and crossdim.negated("tax=-") == "tax=+" and crossdim.negated("tone=≠2") == "tone=2"
 
 
 def test_stream_counts(spark, tmp_path):
@@ -242,8 +268,11 @@ def test_dependency_folds(spark):
 
 
 def test_held_out_prediction(spark):
-    r = plans.QUERIES["evaluate_full"](spark, SF).first()
-    assert r.n > 100 and r.top1 > 0.7 and r.log_loss < 1.5
+    from lautwerk.plans.evaluate import predictive
+
+    rows = {r.kind: r for r in predictive(corpus.publish(toy(spark)), 4).collect()}
+    r = rows["unconditioned"]
+    assert r.n > 100 and r.top1 > 0.7 and r.log_loss < rows["inventory"].log_loss
 
 
 def test_cldf(spark):
