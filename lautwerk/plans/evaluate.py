@@ -72,11 +72,12 @@ def predictive(sets: DataFrame, k: int = 5, scratch: Scratch | None = None) -> D
     are, so no fold's alignment depends on another's.
     """
     scratch = scratch or Scratch(sets.sparkSession, "evaluate")
+    sets = scratch.keep(sets, "sets")
     dealt = folds(sets, k, scratch)
-    pairs = pairwise.form_pairs(sets).join(dealt, "set_id")
+    pairs = scratch.keep(pairwise.form_pairs(sets).join(dealt, "set_id"), "pairs")
     words = align_pairs(pairs.select("source", "target").distinct(), prior_costs(distance, max_chunk=1))
     met = pairs.select(F.concat_ws(">", "lect_a", "lect_b").alias("pair"), "fold", "source", "target").join(words, ["source", "target"])
-    rows = held_out(symbols(met))
+    rows = scratch.keep(held_out(scratch.keep(symbols(met), "symbols")), "held")
     out = None
     for kind in ("unconditioned", "inventory"):
         one = prediction.score(rows.where(F.col("kind") == kind)).withColumn("kind", F.lit(kind))
