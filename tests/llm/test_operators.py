@@ -101,6 +101,13 @@ def test_a_number_is_tied_to_all_that_end_in_it():
     assert ("phone", "5551234567") in {(pii.KINDS[k], text[s:e]) for s, k, e in pii.added_spans(text, base, pii.Field())}
 
 
+def test_addresses_that_are_spelt_out_are_looked_at(spark):
+    rows = [(1, "write to jo.doe (at) example (dot) org, or to jo.doe(at)example(dot)org", "s"), (2, "we met at home. then we left", "s")]
+    assert pii._QUICK.search(rows[0][1]) and len(pii.other_mentions(rows[0][1], [])) == 2
+    found = {r.doc_id: r.spans for r in pii.found(docs_of(spark, rows, CLASH), pii.Field()).collect()}
+    assert found[2] == ""
+
+
 def test_messages_agree_with_enumeration():
     rng = np.random.default_rng(1)
     unary = rng.normal(size=(3, pii.N_LABELS))
@@ -539,6 +546,15 @@ def test_block_scoring_equals_single_texts(monkeypatch):
     assert np.array_equal(whole, np.concatenate([model.worst([t]) for t in texts]))
 
 
+def test_toxicity_of_held_out_rows(spark):
+    d, l = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    known = l.where("toxic is not null").groupBy("doc_id").agg(F.min("toxic").alias("toxic"))
+    some = d.join(F.broadcast(known.select("doc_id")), "doc_id").select(*d.columns)
+    rows = toxicity.scored(some, l).join(known, "doc_id").where("held_out").collect()
+    toxic, clean = [r for r in rows if r.toxic == 1], [r for r in rows if r.toxic == 0]
+    assert len(toxic) > 50 and np.mean([r.predicted for r in toxic]) > 0.7 and np.mean([r.predicted for r in clean]) < 0.05
+
+
 def test_quality_ranks_held_out_rows(spark):
     d, l = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
     rows = quality.scored(d, l).join(l.where("quality is not null"), "doc_id").where("held_out").collect()
