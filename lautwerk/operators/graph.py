@@ -69,6 +69,10 @@ class Scratch:
             if "_scratch_path" in df.__dict__:
                 self._delete(df._scratch_path)
 
+    def remove(self, name: str) -> None:
+        """What lies under a name of the scratch, written by tasks themselves."""
+        self._delete(f"{self.base}/{name}")
+
     def clear(self) -> None:
         self._delete(self.base)
 
