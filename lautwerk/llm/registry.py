@@ -78,16 +78,37 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.summary(table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lautwerk.llm import warc
+
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lautwerk.llm import conversations
+
+    return conversations.summary(table(spark, sf_dir, "conversations"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lautwerk.llm import hardneg
+
+    return hardneg.mined(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_embed_neardup, op3_fingerprint, op4_packing, op5_minhash, op6_toxicity, op7_licenses, op8_byte_bpe, op9_quality, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_pii, op2_embed_neardup, op3_fingerprint, op4_packing, op5_minhash, op6_toxicity, op7_licenses, op8_byte_bpe, op9_quality, op10_line_dedup, op11_warc, op12_conversations, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from lautwerk.llm import licenses, linededup, minhash, neardup_embed
+    from lautwerk.llm import conversations, hardneg, licenses, linededup, minhash, neardup_embed, warc
 
     return {
         "op2_embed_neardup": neardup_embed.SUMMARY_SQL,
         "op5_minhash": minhash.SUMMARY_SQL,
         "op7_licenses": licenses.summary_sql(),
         "op10_line_dedup": linededup.SUMMARY_SQL,
+        "op11_warc": warc.SUMMARY_SQL,
+        "op12_conversations": conversations.summary_sql(),
+        "op13_hard_negatives": hardneg.SUMMARY_SQL,
     }
