@@ -41,8 +41,8 @@ def nll(masses: list[Column]) -> Column:
 
 
 def lgamma(x: Column) -> Column:
-    """Log gamma of a positive number (Spark has none)."""
-    y = x.cast("double") - 1
+    """Log gamma of a positive number (Spark has none); null for others."""
+    y = F.when(x > 0, x.cast("double") - 1)
     series = F.lit(LANCZOS[0])
     for k, c in enumerate(LANCZOS[1:], 1):
         series = series + F.lit(c) / (y + k)
@@ -60,8 +60,15 @@ def dirichlet_nll(masses: list[Column]) -> Column:
     return F.when(total > 0, lgamma(total + total) - lgamma(total) + len(masses) * lgamma(alpha) - gain).otherwise(0.0)
 
 
+#: Up to this n the two-outcome sum is added up; beyond it its asymptotic series is exact to ten digits.
+SUMMED = 1000
+
+
 def nml_normalizer(n: Column, outcomes: int | Column) -> Column:
-    """Logarithm of the multinomial's normalised-maximum-likelihood sum, by the recurrence over outcomes."""
+    """Logarithm of the multinomial's normalised-maximum-likelihood sum, by the recurrence over outcomes.
+
+    The sum for two outcomes is one more than Ramanujan's Q(n), whose series stands in for n terms where n is large.
+    """
     x = n.cast("double")
 
     def term(h: Column) -> Column:
@@ -69,7 +76,11 @@ def nml_normalizer(n: Column, outcomes: int | Column) -> Column:
         choose = lgamma(x + 1) - lgamma(h + 1) - lgamma(x - h + 1)
         return F.exp(choose + xlogx(h) + xlogx(x - h) - xlogx(x))
 
-    two = F.aggregate(F.sequence(F.lit(0), n.cast("int")), F.lit(0.0), lambda a, h: a + term(h))
+    few = F.least(n, F.lit(SUMMED)).cast("int")
+    added = F.aggregate(F.sequence(F.lit(0), few), F.lit(0.0), lambda a, h: a + term(h))
+    root = F.sqrt(math.pi / 2 * x)
+    series = root + 2 / 3 + root / (12 * x) - 4 / (135 * x) + root / (288 * x * x) + 8 / (2835 * x * x)
+    two = F.when(n > SUMMED, series).otherwise(added)
     k = F.lit(outcomes) if isinstance(outcomes, int) else outcomes
     pair = F.struct(F.lit(1.0).alias("below"), two.alias("here"))
     steps = F.when(k > 2, F.sequence(F.lit(1), k.cast("int") - 2)).otherwise(F.array().cast("array<int>"))
