@@ -194,7 +194,7 @@ def search(queries: DataFrame, lists: Lists, members: DataFrame, same: bool, k:
 
         def visits(frames, start=start, end=end):
             for f in frames:
-                at, to = [], []
+                at, to, narrowed = [], [], list(f["windows"])
                 length = f["vector"].map(len).to_numpy()
                 for d in np.unique(length) if len(f) else ():
                     mine = np.flatnonzero(length == d)
@@ -203,6 +203,8 @@ def search(queries: DataFrame, lists: Lists, members: DataFrame, same: bool, k:
                         low, high = _windows(f["windows"].iloc[i])
                         found = dict(f["kth"].iloc[i] or {})
                         kth = np.array([found.get(n, -np.inf) for n in range(len(low))], float)
+                        # members below what is known already needn't come back
+                        narrowed[i] = [{"low": max(int(a), found.get(n, -LARGEST)), "high": int(b)} for n, (a, b) in enumerate(zip(low, high))]
                         up, down = most[row][:, None], least[row][:, None]
                         inside = (up >= low) & (down <= high)
                         # the order doesn't depend on what was found, so a round goes on where the last one ended
@@ -211,7 +213,7 @@ def search(queries: DataFrame, lists: Lists, members: DataFrame, same: bool, k:
                         order = order[(inside & (up >= kth))[order].any(1)]
                         at += [i] * len(order)
                         to += names[order].tolist()
-                yield f.drop(columns="kth").iloc[at].assign(cluster=to)
+                yield f.drop(columns="kth").assign(windows=narrowed).iloc[at].assign(cluster=to)
 
         met = scratch.keep(state.mapInPandas(visits, f"anchor long, label long, vector array<double>, windows {windows}, cluster long"), f"visits{start}_")
         if met.isEmpty():

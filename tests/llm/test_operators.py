@@ -540,10 +540,10 @@ def test_block_scoring_equals_single_texts(monkeypatch):
     table = np.random.default_rng(0).normal(size=toxicity.BUCKETS)
     model = toxicity.Subwords(table, 0.0, 1.0)
     texts = ["one two", "", None, "three.four five", " x ", "\n", "last"]
-    whole = model.worst(texts)
+    whole = model.values(texts)
     monkeypatch.setattr(toxicity, "BLOCK", 1)
-    assert np.array_equal(whole, model.worst(texts)) and np.isneginf(whole[1]) and np.isneginf(whole[2])
-    assert np.array_equal(whole, np.concatenate([model.worst([t]) for t in texts]))
+    assert np.array_equal(whole, model.values(texts)) and np.isneginf(whole[1]) and np.isneginf(whole[2])
+    assert np.array_equal(whole, np.concatenate([model.values([t]) for t in texts]))
 
 
 def test_toxicity_of_held_out_rows(spark):
