@@ -1,10 +1,10 @@
 """Alignment of symbol sequences: a join on order whose links are spans.
 
-The kernel fills a table of prefixes; a link takes k source and l target
-symbols, up to a chunk each, or one equal-length span of up to eight whose
-symbols are reordered.  It runs in Arrow batches, one row per pair, so pairs
-spread over tasks as the input does; what it needs to know is a small cost
-object that is shipped with it.
+A link takes k source and l target symbols, up to a chunk each, or one
+equal-length span of up to eight whose symbols are reordered.  ``align`` says
+for one pair what the least links are; ``align_pairs`` finds the same for whole
+Arrow batches at once (``lattice``), so pairs spread over tasks as the input
+does; what it needs to know is a small cost object that is shipped with it.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -128,6 +129,14 @@ def prior_costs(distance: Callable[[str, str], float], max_chunk: int = MAX_CHUN
     return Costs(one=distance, max_chunk=max_chunk, tier=tier or (lambda s, t: 0.0))
 
 
+def as_rows(links: np.ndarray, pairs: int) -> list[list[dict]]:
+    """Links of each of so many pairs, as rows."""
+    out: list[list[dict]] = [[] for _ in range(pairs)]
+    for k, *x in links.tolist():
+        out[k].append(dict(zip(("s_start", "s_len", "t_start", "t_len"), x)))
+    return out
+
+
 LINK = T.StructType([T.StructField(n, T.IntegerType()) for n in ("s_start", "s_len", "t_start", "t_len")])
 
 
@@ -136,9 +145,13 @@ def align_pairs(pairs: DataFrame, costs: Costs, source: str = "source", target:
     schema = T.StructType(list(pairs.schema.fields) + [T.StructField("links", T.ArrayType(LINK)), T.StructField("cost", T.DoubleType())])
 
     def kernel(batches):
+        from lautwerk.operators import lattice
+
         for pdf in batches:
-            done = [align(list(s), list(t), costs) for s, t in zip(pdf[source], pdf[target])]
-            extra = pd.DataFrame({"links": [[dict(zip(("s_start", "s_len", "t_start", "t_len"), x)) for x in links] for links, _ in done], "cost": [c for _, c in done]}, index=pdf.index)
-            yield pd.concat([pdf, extra], axis=1)
+            symbols = sorted({x for c in (source, target) for w in pdf[c] for x in w})
+            one = np.array([[costs.one(a, b) for b in symbols] for a in symbols]).reshape(len(symbols), len(symbols))
+            coded = lattice.Coded(symbols, one, costs.chunks, costs.max_chunk, costs.reorder, np.array([[costs.gap(g, True) for g in symbols], [costs.gap(g, False) for g in symbols]]))
+            links, cost = lattice.align_many(pdf[source], pdf[target], coded)
+            yield pd.concat([pdf, pd.DataFrame({"links": as_rows(links, len(pdf)), "cost": cost}, index=pdf.index)], axis=1)
 
     return pairs.mapInPandas(kernel, schema)

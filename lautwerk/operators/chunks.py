@@ -6,6 +6,7 @@ and changed, deletions, insertions, links, lengths.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,3 +78,50 @@ def overlaps(chunks: DataFrame, by: list[str] = ()) -> DataFrame:
     known = rows.select(*by, F.col("source").alias("s"), F.col("target").alias("t"))
     met = inner.where(shorter).join(known, [*by, "s", "t"]).groupBy(*by, "source", "target").agg(F.count(F.lit(1)).alias("overlaps"))
     return rows.join(met, [*by, "source", "target"], "left").select(*by, "source", "target", F.coalesce("overlaps", F.lit(0)).alias("overlaps"))
+
+
+PARTS = "source array<string>, target array<string>, identity int, changed int, deletions int, insertions int, gap_links int, links int, changed_source array<string>, changed_target array<string>, gone array<string>"
+
+
+def taken_apart(models: DataFrame) -> DataFrame:
+    """``lect_a, lect_b`` and PARTS of the promoted chunks of trained models: each is aligned again symbol by symbol, without its own row.
+
+    changed_* and gone are the features of the first changed pair and of the first lost or won symbol.
+    """
+    from lautwerk.functions.features import features
+    from lautwerk.operators.lattice import Coded, align_many
+    from lautwerk.operators.pairwise import rebuilt
+
+    names = ["lect_a", "lect_b", *[x.split(" ")[0] for x in PARTS.split(", ")]]
+
+    def kernel(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        m = rebuilt(rows)
+        every = sorted(m.chunks)
+        if not every:
+            return pd.DataFrame(columns=names)
+        whole = m.coded()
+        links, _ = align_many([s for s, _ in every], [t for _, t in every], Coded(whole.symbols, whole.one, max_chunk=1, reorder=False))
+        out = []
+        for k, (s, t) in enumerate(every):
+            own = links[links[:, 0] == k][:, 1:].tolist()
+            pairs = [(s[a], t[b]) for a, n, b, l in own if n == l]
+            gone = [s[a] if n else t[b] for a, n, b, l in own if n != l]
+            moved = [p for p in pairs if p[0] != p[1]]
+            lost, won = sum(n > l for _, n, _, l in own), sum(n < l for _, n, _, l in own)
+            look = lambda x: sorted(features(x)) if x else []
+            first = moved[0] if moved else (None, None)
+            out.append((*key, list(s), list(t), len(pairs) - len(moved), len(moved), lost, won, lost + won, len(own), look(first[0]), look(first[1]), look(gone[0] if gone else None)))
+        return pd.DataFrame(out, columns=names)
+
+    return models.groupBy("lect_a", "lect_b").applyInPandas(kernel, f"lect_a string, lect_b string, {PARTS}")
+
+
+def diagnosed(models: DataFrame) -> DataFrame:
+    """Promoted chunks of trained models with their parts, ``process``, ``transparency`` and ``overlaps``."""
+    by = ["lect_a", "lect_b"]
+    rows = taken_apart(models)
+    rows = rows.join(overlaps(rows, by), [*by, "source", "target"])
+    name = process(F.col("identity"), F.col("changed"), F.col("deletions"), F.col("insertions"), F.col("changed_source"), F.col("changed_target"), F.col("gone"))
+    rows = rows.withColumn("process", name)
+    score = transparency(F.size("source"), F.size("target"), F.col("identity"), F.col("changed"), F.col("deletions"), F.col("insertions"), F.col("gap_links"), F.col("links"), F.col("overlaps"), F.col("process"))
+    return rows.withColumn("transparency", score).drop("changed_source", "changed_target", "gone", "gap_links")

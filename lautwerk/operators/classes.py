@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -12,9 +13,9 @@ from pyspark.sql import functions as F
 
 from lautwerk.functions.features import features
 from lautwerk.operators.alignment import GAP
-from lautwerk.operators.contexts import environments
 from lautwerk.operators.counts import published
 from lautwerk.operators.grouping import group_weights
+from lautwerk.operators.pairwise import word_environments
 
 # Gates of the search.
 MIN_IMMEDIATE, MIN_LONG, DOMINANT, DEPTH, MAX_COMMITS, DRAWS = 3, 5, 0.6, 3, 12, 99
@@ -26,20 +27,27 @@ def reconciled(links: DataFrame, sets: DataFrame) -> DataFrame:
 
     Components with two positions of one lect, or of one lect only, are left
     out; a kept segment that a lect has lost gets that lect's gap as a member.
+    Sets of the same words are reconciled once, on the first of them.
     """
-    words = sets.groupBy("set_id").agg(F.map_from_entries(F.collect_list(F.struct("lect_id", F.col("segments.grapheme")))).alias("words"))
+    name = F.xxhash64("segments", "breaks", "syllables") if "breaks" in sets.columns else F.xxhash64("segments")
+    forms = sets.groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("lect_id", name.alias("word")))).alias("forms"))
+    first = forms.groupBy("forms").agg(F.min("set_id").alias("first"))
+    whose = forms.join(first, "forms").select("set_id", "first")
+    own = first.select(F.col("first").alias("set_id"))
+    words = sets.join(own, "set_id", "left_semi").groupBy("set_id").agg(F.map_from_entries(F.collect_list(F.struct("lect_id", F.col("segments.grapheme")))).alias("words"))
     base = sets.select("set_id", "confidence", "etymon_group").distinct()
     shares = group_weights(base.where("etymon_group <> ''"), F.col("etymon_group"), "set_id").select("set_id", F.col("weight").alias("share"))
     weights = base.join(shares, "set_id", "left").select("set_id", (F.col("confidence") * F.coalesce("share", F.lit(1.0))).alias("weight"))
-    grouped = links.groupBy("set_id").agg(F.collect_list(F.struct("lect_a", "lect_b", "links")).alias("all")).join(words, "set_id").join(weights, "set_id")
-    schema = "set_id string, weight double, members array<struct<lect:string,pos:int,grapheme:string>>"
+    each = links.join(own, "set_id", "left_semi").groupBy("set_id")
+    grouped = each.agg(F.collect_list(F.struct("lect_a", "lect_b", F.col("flat" if "flat" in links.columns else "links").alias("links"))).alias("all")).join(words, "set_id")
+    schema = "first string, members array<struct<lect:string,pos:int,grapheme:string>>"
 
     def kernel(batches):
         from lautwerk.operators.pairwise import bound_positions
 
         for pdf in batches:
             out = []
-            for i, every, held, w in zip(pdf["set_id"], pdf["all"], pdf["words"], pdf["weight"]):
+            for i, every, held in zip(pdf["set_id"], pdf["all"], pdf["words"]):
                 held = dict(held)
                 parent = {(lect, k): (lect, k) for lect, word in held.items() for k in range(len(word))}
 
@@ -70,10 +78,10 @@ def reconciled(links: DataFrame, sets: DataFrame) -> DataFrame:
                     members = [(lect, k, held[lect][k]) for lect, k in own]
                     members += [(lect, -1, GAP) for lect in sorted(set().union(*(lost[x] for x in own)) - set(lects))]
                     if len(members) > 1:
-                        out.append((i, float(w), [dict(zip(("lect", "pos", "grapheme"), m)) for m in sorted(members)]))
-            yield pd.DataFrame(out, columns=["set_id", "weight", "members"])
+                        out.append((i, [dict(zip(("lect", "pos", "grapheme"), m)) for m in sorted(members)]))
+            yield pd.DataFrame(out, columns=["first", "members"])
 
-    return grouped.mapInPandas(kernel, schema)
+    return whose.join(grouped.mapInPandas(kernel, schema), "first").join(weights, "set_id").select("set_id", "weight", "members")
 
 
 def buckets(observations: DataFrame) -> DataFrame:
@@ -86,66 +94,93 @@ def buckets(observations: DataFrame) -> DataFrame:
 
 
 class Bucket:
-    """Weighted observations of one pivot: sets of tokens, and the outcome of each sister lect."""
+    """Weighted observations of one pivot: sets of tokens, and the outcome of each sister lect.
 
-    def __init__(self, tokens: list[frozenset], outcomes: list[dict], weight: np.ndarray):
-        self.tokens, self.outcomes, self.weight = tokens, outcomes, weight
+    All tokens are scored together: a matrix of tokens by observations times the masses of the outcomes, a block of
+    observations at a time.
+    """
+
+    BLOCK = 1 << 14
+
+    def __init__(self, tokens: list[frozenset], outcomes: list[dict], weight: np.ndarray, scorer: str = "bic"):
+        self.outcomes, self.weight, self.scorer = outcomes, weight, scorer
         self.sisters = sorted({lect for o in outcomes for lect in o})
         names = sorted({t for own in tokens for t in own})
-        self.columns, seen = {}, set()
-        for t in names:
-            column = np.array([t in own for own in tokens])
-            if 0 < column.sum() < len(tokens):
-                self.columns[t] = column
-                mark = column.tobytes() if column[0] else (~column).tobytes()
-                seen.add(mark)
-        self.partitions = max(1, len(seen))
+        place = {t: k for k, t in enumerate(names)}
+        held = np.zeros((len(names), len(tokens)), bool)
+        for k, own in enumerate(tokens):
+            held[[place[t] for t in own], k] = True
+        some = held.any(1) & ~held.all(1)
+        self.names, self.held = [t for t, ok in zip(names, some) if ok], held[some]
+        self.long = np.array([t.startswith(("somewhere", "preceding@", "following@", "syllable")) for t in self.names], bool)
+        self.partitions = max(1, len({(h if h[0] else ~h).tobytes() for h in self.held}))
         self.codes, self.kinds = {}, {}
         for lect in self.sisters:
             values = sorted({o[lect] for o in outcomes if lect in o})
-            place = {v: k for k, v in enumerate(values)}
-            self.codes[lect] = np.array([place.get(o.get(lect), -1) for o in outcomes])
+            at = {v: k for k, v in enumerate(values)}
+            self.codes[lect] = np.array([at.get(o.get(lect), -1) for o in outcomes])
             self.kinds[lect] = len(values)
 
-    def delta(self, live: np.ndarray, column: np.ndarray) -> float:
-        """Sum over sister lects of the criterion's change, and the charge for the search."""
-        total, used = 0.0, False
+    def inside(self, masses: np.ndarray) -> np.ndarray:
+        """Masses (observations by columns) summed over what each token holds."""
+        out = np.zeros((len(self.names), masses.shape[1]))
+        for k in range(0, len(masses), self.BLOCK):
+            out += self.held[:, k : k + self.BLOCK].astype(float) @ masses[k : k + self.BLOCK]
+        return out
+
+    def masses(self, live: np.ndarray) -> np.ndarray:
+        """A column for all live mass, then those of each sister's outcomes."""
+        columns = [(self.weight * live)[:, None]]
         for lect in self.sisters:
+            own = np.zeros((len(live), self.kinds[lect]))
             ok = live & (self.codes[lect] >= 0)
-            if self.kinds[lect] < 2 or not (ok & column).any() or not (ok & ~column).any():
-                continue
-            used = True
-            inside = np.bincount(self.codes[lect][ok & column], self.weight[ok & column], self.kinds[lect])
-            outside = np.bincount(self.codes[lect][ok & ~column], self.weight[ok & ~column], self.kinds[lect])
-            total += 2 * (_cost(inside) + _cost(outside) - _cost(inside + outside)) + (self.kinds[lect] - 1) * math.log(max(2.0, self.weight[ok].sum()))
-        return total + 2 * math.log(self.partitions) * (self.partitions > 1) if used else math.inf
+            own[np.flatnonzero(ok), self.codes[lect][ok]] = self.weight[ok]
+            columns.append(own)
+        return np.hstack(columns)
 
     def best(self, live: np.ndarray) -> tuple[str, float] | None:
-        found = None
-        for t, column in self.columns.items():
-            inside, outside = self.weight[live & column].sum(), self.weight[live & ~column].sum()
-            long = t.startswith(("somewhere", "preceding@", "following@", "syllable"))
-            if min(inside, outside) < (MIN_LONG if long else MIN_IMMEDIATE):
-                continue
-            if long and max((_top(self.codes[x], self.weight, live & column) for x in self.sisters), default=0) < DOMINANT:
+        """The predicate of the least score below zero, with the charge for the search; gates first, ties by kind, mass and name."""
+        if not self.names:
+            return None
+        masses = self.masses(live)
+        whole, inside = masses.sum(0), self.inside(masses)
+        n_in, n_out = inside[:, 0], whole[0] - inside[:, 0]
+        ok = np.minimum(n_in, n_out) >= np.where(self.long, MIN_LONG, MIN_IMMEDIATE) - EPSILON
+        delta, used, top, at = np.zeros(len(n_in)), np.zeros(len(n_in), bool), np.zeros(len(n_in)), 1
+        for lect in self.sisters:
+            k = self.kinds[lect]
+            own, all_ = inside[:, at : at + k], whole[at : at + k]
+            at += k
+            mass, n = own.sum(1), all_.sum()
+            top = np.maximum(top, np.divide(own.max(1), mass, out=np.zeros(len(mass)), where=mass > EPSILON))
+            both = (mass > EPSILON) & (n - mass > EPSILON)
+            if k < 2 or not both.any():
                 continue
-            d = self.delta(live, column)
-            rank = (round(d, 9), long, int((live & column).sum()), t)
-            if d < -EPSILON and (found is None or rank < found[0]):
-                found = (rank, t, d)
-        return (found[1], found[2]) if found else None
+            rest = np.maximum(all_ - own, 0.0)
+            rest[rest < EPSILON] = 0.0
+            gain = 2 * (row_codes(own, self.scorer) + row_codes(rest, self.scorer) - row_codes(all_[None, :], self.scorer))
+            if self.scorer == "bic":
+                gain = gain + (k - 1) * math.log(max(2.0, n))
+            delta, used = delta + np.where(both, gain, 0.0), used | both
+        delta = delta + 2 * math.log(self.partitions)
+        ok &= used & (delta < -EPSILON) & (~self.long | (top >= DOMINANT))
+        if not ok.any():
+            return None
+        count = self.inside(live[:, None].astype(float))[:, 0]
+        won = min(np.flatnonzero(ok), key=lambda k: (round(delta[k], 9), self.long[k], int(count[k]), self.names[k]))
+        return self.names[won], float(delta[won])
 
     def rules(self, depth: int = DEPTH, commits: int = MAX_COMMITS) -> list[tuple[list[str], np.ndarray, float]]:
         """Decision list: commit what the best predicate holds, refined by further ones, and go on with the rest."""
-        live, out = np.ones(len(self.tokens), bool), []
+        live, out, column = np.ones(len(self.weight), bool), [], dict(zip(self.names, self.held))
         while len(out) < commits:
             won = self.best(live)
             if won is None:
                 break
-            tokens, inside, margin = [won[0]], live & self.columns[won[0]], -won[1]
+            tokens, inside, margin = [won[0]], live & column[won[0]], -won[1]
             while len(tokens) < depth and (more := self.best(inside)):
                 tokens.append(more[0])
-                inside = inside & self.columns[more[0]]
+                inside = inside & column[more[0]]
             out.append((sorted(tokens), inside, margin))
             live = live & ~inside
         return out
@@ -153,9 +188,9 @@ class Bucket:
     def null_margin(self, rng: np.random.Generator, draws: int = DRAWS) -> np.ndarray:
         """Largest margins when contexts are dealt anew among the observations."""
         codes, out = self.codes, []
-        whole = np.ones(len(self.tokens), bool)
+        whole = np.ones(len(self.weight), bool)
         for _ in range(draws):
-            order = rng.permutation(len(self.tokens))
+            order = rng.permutation(len(self.weight))
             self.codes = {lect: c[order] for lect, c in codes.items()}
             won = self.best(whole)
             out.append(-won[1] if won else 0.0)
@@ -168,6 +203,49 @@ def _cost(mass: np.ndarray) -> float:
     return float(mass.sum() * math.log(mass.sum()) - (mass * np.log(mass)).sum()) if len(mass) else 0.0
 
 
+def _nml(mass: np.ndarray) -> float:
+    """Stochastic complexity: the likelihood's code, and the logarithm of its normaliser by the recurrence over outcomes."""
+    return _cost(mass) + _normalizer(int(round(mass.sum())), len(mass))
+
+
+@lru_cache(maxsize=1 << 16)
+def _normalizer(n: int, kinds: int) -> float:
+    if n < 1 or kinds < 2:
+        return 0.0
+    root = math.sqrt(math.pi / 2 * n)
+    if n > 1000:
+        here = root + 2 / 3 + root / (12 * n) - 4 / (135 * n) + root / (288 * n * n) + 8 / (2835 * n * n)
+    else:
+        h = np.arange(n + 1, dtype=float)
+        gamma = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
+        x = lambda v: np.where(v > 0, v * np.log(np.maximum(v, 1)), 0.0)
+        here = float(np.exp(gamma[n] - gamma - gamma[::-1] + x(h) + x(n - h) - n * math.log(n)).sum())
+    below = 1.0
+    for k in range(3, kinds + 1):
+        below, here = here, here + n / (k - 2) * below
+    return math.log(here)
+
+
+def _dirichlet(mass: np.ndarray) -> float:
+    """Negative log marginal likelihood under a symmetric prior of the group's own mass."""
+    n, g = mass.sum(), math.lgamma
+    each = n / len(mass)
+    return g(2 * n) - g(n) - sum(g(c + each) - g(each) for c in mass) if n > 0 else 0.0
+
+
+def row_codes(mass: np.ndarray, scorer: str) -> np.ndarray:
+    """Code length of each row of masses."""
+    if scorer == "dirichlet":
+        return np.array([_dirichlet(m) for m in mass])
+    x = lambda v: np.where(v > 0, v * np.log(np.where(v > 0, v, 1.0)), 0.0)
+    out = x(mass.sum(1)) - x(mass).sum(1)
+    return out + np.array([_normalizer(int(round(n)), mass.shape[1]) for n in mass.sum(1)]) if scorer == "nml" else out
+
+
+#: Code length of the masses of a group, by the name of the scorer.
+CODES = {"bic": _cost, "nml": _nml, "dirichlet": _dirichlet}
+
+
 def _top(codes: np.ndarray, weight: np.ndarray, at: np.ndarray) -> float:
     ok = at & (codes >= 0)
     return float(np.bincount(codes[ok], weight[ok]).max() / weight[ok].sum()) if ok.any() else 0.0
@@ -176,24 +254,23 @@ def _top(codes: np.ndarray, weight: np.ndarray, at: np.ndarray) -> float:
 RULES = "pivot_lect string, pivot string, decision int, environment string, outcome string, count double, rate double, contrast_count double, contrast_rate double, margin double, p_value double, standing string"
 
 
-def conditioned(observations: DataFrame, sets: DataFrame, draws: int = DRAWS, seed: int = 20260815) -> DataFrame:
+def conditioned(observations: DataFrame, sets: DataFrame, draws: int = DRAWS, seed: int = 20260815, scorer: str = "bic", held: DataFrame | None = None) -> DataFrame:
     """Conditioned classes of every pivot (lect, grapheme): environment, sister outcome, contrast outside, and verdict against permuted contexts.
 
     Environments are looked up by distinct words.
     """
     form = F.xxhash64("segments", "breaks", "syllables")
-    words = sets.select(form.alias("word"), F.col("segments.grapheme").alias("graphemes"), F.col("syllables").alias("given"), F.col("breaks").alias("morphemes"), F.col("segments.stress").alias("stress"))
-    held = environments(words.dropDuplicates(["word"]))
+    held = word_environments(sets) if held is None else held
     rows = observations.select("set_id", "weight", "members", F.explode("members").alias("m")).where(F.col("m.pos") >= 0)
     rows = rows.select("set_id", "weight", F.col("m.lect").alias("pivot_lect"), F.col("m.pos").alias("pos"), F.col("m.grapheme").alias("pivot"), "members")
     named = sets.select("set_id", F.col("lect_id").alias("pivot_lect"), form.alias("word"))
     rows = rows.join(named, ["set_id", "pivot_lect"]).join(held, ["word", "pos"])
     sisters = F.filter("members", lambda m: (m["lect"] != F.col("pivot_lect")) & (m["grapheme"] != GAP))
     rows = rows.withColumn("sisters", F.transform(sisters, lambda m: F.struct(m["lect"].alias("lect"), m["grapheme"].alias("grapheme")))).where("size(sisters) > 0")
-    return searched(rows.select("pivot_lect", "pivot", "tokens", "sisters", "weight"), draws, seed)
+    return searched(rows.select("pivot_lect", "pivot", "tokens", "sisters", "weight"), draws, seed, scorer=scorer)
 
 
-def searched(rows: DataFrame, draws: int = DRAWS, seed: int = 20260815, depth: int = DEPTH, commits: int = MAX_COMMITS) -> DataFrame:
+def searched(rows: DataFrame, draws: int = DRAWS, seed: int = 20260815, depth: int = DEPTH, commits: int = MAX_COMMITS, scorer: str = "bic") -> DataFrame:
     """Decision lists of ``rows(pivot_lect, pivot, tokens, sisters, weight)``, one for each pivot.
 
     Observations that agree in tokens and outcomes are summed before they come
@@ -205,7 +282,7 @@ def searched(rows: DataFrame, draws: int = DRAWS, seed: int = 20260815, depth: i
         names = [x.split(" ")[0] for x in RULES.split(", ")]
         outcomes = [{s["lect"]: s["grapheme"] for s in own} for own in pdf["sisters"]]
         order = sorted(range(len(pdf)), key=lambda k: (sorted(outcomes[k].items()), list(pdf["tokens"].iloc[k])))
-        bucket = Bucket([frozenset(pdf["tokens"].iloc[k]) for k in order], [outcomes[k] for k in order], pdf["weight"].to_numpy(float)[order])
+        bucket = Bucket([frozenset(pdf["tokens"].iloc[k]) for k in order], [outcomes[k] for k in order], pdf["weight"].to_numpy(float)[order], scorer)
         if bucket.weight.sum() < 4 or max(bucket.kinds.values(), default=0) < 2:
             return pd.DataFrame(columns=names)
         found = bucket.rules(depth, commits)

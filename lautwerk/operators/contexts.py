@@ -147,9 +147,46 @@ def tokens(words: DataFrame) -> DataFrame:
 
 
 def environments(words: DataFrame) -> DataFrame:
-    """``word, pos, tokens``: the environment of each place, sorted."""
-    text = F.concat_ws(":", "slot", "feature")
-    return tokens(words).groupBy("word", "pos").agg(F.array_sort(F.collect_set(text)).alias("tokens"))
+    """``word, pos, tokens``: the environment of each place, sorted: the tokens of ``tokens``, made of arrays within a word, so that no token is shuffled."""
+    rows = placed(words.select("word", "graphemes", "given"))
+    dims = described(rows)
+    none = F.array().cast("array<string>")
+    held = rows.join(dims.select("grapheme", F.transform("features", lambda f: F.concat(f, F.lit("=+"))).alias("features")), "grapheme", "left")
+    cell = F.struct("pos", "syllable", F.coalesce("features", none).alias("features"), "role", "in_word", "position")
+    cells = held.groupBy("word").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    shape = shapes(rows, dims)
+    kinds = F.array_compact(F.array(F.concat(F.lit("shape="), "shape"), F.concat(F.lit("nucleus="), "nucleus"), F.concat(F.lit("weight="), "weight")))
+    shape = shape.groupBy("word").agg(F.collect_list(F.struct("syllable", kinds.alias("kinds"))).alias("shapes"))
+    met = cells.join(shape, "word", "left").join(words.select("word", "morphemes", "stress"), "word")
+    each = met.select("*", F.posexplode("cells").alias("pos", "c"))
+    n = F.size("cells")
+
+    def named(slot, features):
+        return F.transform(features, lambda f: F.concat(slot, F.lit(":"), f))
+
+    def of_other(x):
+        off, step = x["pos"] - F.col("pos"), x["syllable"] - F.col("c.syllable")
+        side = F.when(off < 0, "preceding").otherwise("following")
+        near = F.when(F.abs(off) == 1, side).when(F.abs(off) <= 3, F.concat_ws("@", side, F.abs(off).cast("string")))
+        around = F.when(step == 0, "same_syllable").when(step == -1, "previous_syllable").when(step == 1, "next_syllable")
+        slots = F.array_compact(F.array(near, F.concat(F.lit("somewhere_"), side), around))
+        return F.when(off == 0, none).otherwise(F.flatten(F.transform(slots, lambda s: named(s, x["features"]))))
+
+    def of_shape(x):
+        step = x["syllable"] - F.col("c.syllable")
+        return F.when(step == -1, named(F.lit("previous_syllable"), x["kinds"])).when(step == 1, named(F.lit("next_syllable"), x["kinds"])).otherwise(none)
+
+    place, index = morpheme_placement(F.col("pos"), n, F.coalesce("morphemes", F.array().cast("array<int>")))
+    broken = F.size(F.coalesce("morphemes", F.array().cast("array<int>"))) > 0
+    stress = lambda k: F.nullif(F.try_element_at("stress", k), F.lit(""))
+    single = {
+        "position": F.col("c.position"), "role": F.col("c.role"), "syllable": F.col("c.in_word"), "morpheme": F.when(broken, place), "morpheme_index": F.when(broken, index.cast("string")),
+        "stress": stress(F.col("pos") + 1), "preceding_stress": F.when(F.col("pos") > 0, stress(F.greatest(F.col("pos"), F.lit(1)))), "following_stress": stress(F.col("pos") + 2),
+    }
+    own = F.array_compact(F.array(*[F.concat(F.lit(f"{k}:"), c) for k, c in single.items()]))
+    shaped = F.coalesce(F.flatten(F.transform("shapes", of_shape)), none)
+    every = F.concat(F.flatten(F.transform("cells", of_other)), shaped, own)
+    return each.select("word", "pos", F.array_sort(F.array_distinct(every)).alias("tokens"))
 
 
 def candidates(vocabulary: DataFrame, slots: tuple[str, ...] = ("preceding", "following")) -> DataFrame:

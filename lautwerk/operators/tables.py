@@ -11,11 +11,12 @@ from lautwerk.operators.resampling import bootstrap_rates
 
 
 def bound(links: DataFrame, sets: DataFrame) -> DataFrame:
-    """``lect_a, lect_b, set_id, weight, source, target`` (segments, null on the side of a gap) of links of one and one, and of gaps."""
+    """``lect_a, lect_b, set_id, weight, source, target`` (segments, null on the side of a gap) of links of one and one, and of gaps; of chunks, their parts."""
     words = sets.select("set_id", "lect_id", "segments")
     a = words.select("set_id", F.col("lect_id").alias("lect_a"), F.col("segments").alias("sa"))
     b = words.select("set_id", F.col("lect_id").alias("lect_b"), F.col("segments").alias("sb"))
-    each = links.select("set_id", "lect_a", "lect_b", "weight", F.explode("links").alias("l")).join(a, ["set_id", "lect_a"]).join(b, ["set_id", "lect_b"])
+    flat = "flat" if "flat" in links.columns else "links"
+    each = links.select("set_id", "lect_a", "lect_b", "weight", F.explode(flat).alias("l")).join(a, ["set_id", "lect_a"]).join(b, ["set_id", "lect_b"])
     one = each.where("l.s_len = 1 and l.t_len = 1")
     lost, won = each.where("l.t_len = 0"), each.where("l.s_len = 0")
     s, t = F.element_at("sa", F.col("l.s_start") + 1), F.element_at("sb", F.col("l.t_start") + 1)

@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lautwerk.operators import classes, counts, pairwise, tables
+from lautwerk.operators import chunks, classes, counts, crossdim, pairwise, splits, tables
 from lautwerk.operators.graph import Scratch
 from lautwerk.operators.resampling import draw
 from lautwerk.sources import corpus
@@ -21,6 +21,13 @@ class Options:
     permutations: int = 0
     seed: int = 20260815
     min_lects: int = 2
+    #: bic, nml or dirichlet: how splits are scored.
+    scorer: str = "bic"
+    #: Least count of a cross-dimensional rule's value, and rounds of its search.
+    cross_least: float = crossdim.LEAST
+    cross_rounds: int = crossdim.ROUNDS
+    #: Whether rules found on the first alignment price the second.
+    feedback: bool = True
 
     @classmethod
     def of(cls, values: dict) -> Options:
@@ -29,6 +36,8 @@ class Options:
         for k in values:
             if k not in known:
                 raise ValueError(f"unknown option: {k}")
+        if values.get("scorer", "bic") not in splits.SCORERS:
+            raise ValueError(f"scorer must be one of {splits.SCORERS}")
         return cls(**values)
 
 
@@ -48,9 +57,52 @@ class Model:
     def models(self) -> DataFrame:
         return self.scratch.keep(pairwise.trained(self.pairs, max_chunk=self.options.max_chunk), "models")
 
+    @cached_property
+    def first_links(self) -> DataFrame:
+        """Links under symbols and chunks alone, which rules are searched on."""
+        return self.scratch.keep(pairwise.aligned(self.pairs, self.options.max_chunk, self.models), "first")
+
+    @cached_property
+    def environments(self) -> DataFrame:
+        return self.scratch.keep(pairwise.word_environments(self.sets), "environments")
+
+    @cached_property
+    def singles(self) -> DataFrame:
+        return self.scratch.keep(pairwise.single_links(self.first_links), "singles")
+
+    @cached_property
+    def words(self) -> DataFrame:
+        """``lect_id, word, form`` of the distinct words of each lect."""
+        return self.sets.select("lect_id", F.xxhash64("segments", "breaks", "syllables").alias("word"), F.col("segments").alias("form")).dropDuplicates(["lect_id", "word"])
+
+    @cached_property
+    def pair_rules(self) -> DataFrame:
+        """Rules of each pair of lects, conditioned by either side's environment."""
+        return self.scratch.keep(pairwise.conditions(self.singles, self.environments, self.options.scorer), "rules")
+
+    @property
+    def tones(self) -> DataFrame:
+        toned = self.singles.where("a_seg.tone <> '' or b_seg.tone <> ''")
+        return toned.groupBy("lect_a", "lect_b", F.col("a_seg.tone").alias("source_tone"), F.col("b_seg.tone").alias("target_tone")).agg(F.sum("weight").alias("count"))
+
+    @cached_property
+    def cross(self) -> DataFrame:
+        """Cross-dimensional rules of every pair, pass and dimension; those within a lect once, from the pair of the largest mass."""
+        seen = crossdim.contexts_of(self.singles, self.words.dropDuplicates(["word"]).select("word", "form"))
+        rows = self.scratch.keep(crossdim.discovered(seen, self.options.cross_least, self.options.cross_rounds, self.options.scorer), "cross")
+        rows = rows.where(crossdim.publishable(F.col("environment"), "dimension"))
+        lect = F.when(F.col("context_is_target"), F.col("lect_b")).otherwise(F.col("lect_a"))
+        inner = rows.where("lect_internal").withColumns({"lect": lect, "pair": F.concat_ws(">", "lect_a", "lect_b")})
+        return rows.where("not lect_internal").unionByName(crossdim.lifted(inner, ["lect", "environment", "dimension", "value"]).drop("lect", "pair"))
+
     @cached_property
     def links(self) -> DataFrame:
-        return self.scratch.keep(pairwise.aligned(self.pairs, self.options.max_chunk, self.models), "links")
+        """Links that follow the rules of the first ones: conditioned symbols, tones, cross-dimensional rules."""
+        if not self.options.feedback:
+            return self.first_links
+        places = self.words.select("lect_id", "word", F.posexplode("form.grapheme").alias("pos", "grapheme"))
+        rules = self.scratch.keep(pairwise.holding(self.pair_rules, self.environments, places), "holding")
+        return self.scratch.keep(pairwise.aligned(self.pairs, self.options.max_chunk, self.models, rules, self.tones, self.cross), "links")
 
     @cached_property
     def positions(self) -> DataFrame:
@@ -62,7 +114,7 @@ class Model:
 
     @cached_property
     def conditioned(self) -> DataFrame:
-        return self.scratch.keep(classes.conditioned(self.observations, self.sets, self.options.null_draws, self.options.seed), "conditioned")
+        return self.scratch.keep(classes.conditioned(self.observations, self.sets, self.options.null_draws, self.options.seed, self.options.scorer, self.environments), "conditioned")
 
     @property
     def segments(self) -> DataFrame:
@@ -78,12 +130,9 @@ class Model:
         return tables.gap_rows(self.positions)
 
     @property
-    def tones(self) -> DataFrame:
-        return tables.tonal_counts(self.positions)
-
-    @property
-    def xdims(self) -> DataFrame:
-        return tables.all_dimension_rules(self.positions)
+    def chunk_report(self) -> DataFrame:
+        """Promoted chunks taken apart: what their parts are, the process, how plainly they read, how many others lie within."""
+        return chunks.diagnosed(self.models)
 
     @property
     def classes(self) -> DataFrame:
