@@ -122,7 +122,8 @@ class Matrix:
             marks = self.marks()
             divisions = len({min(m, m[::-1]) for m in marks})
             scores = self.deltas(least, divisions)
-            taken = {marks[k] for k in done}
+            # a single predicate has published both of its sides
+            taken = {m for k in done for m in ((marks[k], marks[k][::-1]) if len(self.parts[k]) == 1 else (marks[k],))}
             best = None
             for k, score in enumerate(scores):
                 if not score < 0 or k in done or marks[k] in taken or any(self._within(k, other) for other in shut):
@@ -281,7 +282,7 @@ def discovered(observations: DataFrame, least: float = LEAST, rounds: int = ROUN
                 for v in sorted({x[d] for x in seen} - {""}):
                     tests.append((f"{name}={v}", np.array([x is not None and x[d] == v for x in own])))
             for predicate, mark in tests:
-                known = there & ~(key[3] and slot == "self" and predicate.startswith(f"{key[4]}="))
+                known = np.zeros_like(there) if key[3] and slot == "self" and predicate.startswith(f"{key[4]}=") else there
                 told += [f"{slot}:{predicate}", negated(f"{slot}:{predicate}")]
                 holds += [mark & known, ~mark & known]
                 defined += [known, known]

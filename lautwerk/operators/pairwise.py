@@ -94,11 +94,11 @@ class Pairwise:
         c = CONCENTRATION
         return self.layered(s, t, 0.5 * math.log((c + self.of_source.get(s, 0.0)) * (c + self.of_target.get(t, 0.0)) / n**2))
 
-    def coded(self, max_chunk: int = 3) -> Coded:
+    def coded(self, max_chunk: int = 3, reorder: bool = True) -> Coded:
         """As arrays; without any counts, costs are distances."""
         names = sorted(self.log_z)
         one = self.one if self.counts else distance
-        return Coded(names, np.array([[one(a, b) for b in names] for a in names]).reshape(len(names), len(names)), self.chunks, max_chunk)
+        return Coded(names, np.array([[one(a, b) for b in names] for a in names]).reshape(len(names), len(names)), self.chunks, max_chunk, reorder)
 
     def costs(self, max_chunk: int = 3) -> Costs:
         return Costs(one=self.one, chunks=self.chunks, tier=chunk_tier, max_chunk=max_chunk)
@@ -475,7 +475,7 @@ def cross_holds(environment: list[str], form, pos: int) -> bool:
 NO_RULES = "array<struct<pos:int,partner:string,count:double,size:int,place:int>>"
 
 
-def aligned(pairs: DataFrame, max_chunk: int = 3, models: DataFrame | None = None, rules: DataFrame | None = None, tones: DataFrame | None = None, cross: DataFrame | None = None) -> DataFrame:
+def aligned(pairs: DataFrame, max_chunk: int = 3, models: DataFrame | None = None, rules: DataFrame | None = None, tones: DataFrame | None = None, cross: DataFrame | None = None, reorder: bool = True) -> DataFrame:
     """Links of all pairs under the model trained on their lects, as they are and with chunks taken apart (``flat``); each distinct pair of words is aligned once and joined back.
 
     rules: those of ``holding``; tones: counts of tones (``tables.tonal_counts``); cross: rows of ``crossdim.discovered``.
@@ -505,7 +505,7 @@ def aligned(pairs: DataFrame, max_chunk: int = 3, models: DataFrame | None = Non
         if words.empty:
             return pd.DataFrame(columns=names)
         m = rebuilt(model)
-        coded = m.coded(max_chunk)
+        coded = m.coded(max_chunk, reorder)
         toned = model[model["kind"] == "tone"]
         told = model[model["kind"] == "cross"]
         cross = []

@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lautwerk.operators import classes, counts, pairwise, tables
+from lautwerk.functions.features import features
+from lautwerk.operators import classes, counts, crossdim, pairwise, tables
+from lautwerk.operators.graph import Scratch
 from lautwerk.plans import render
 from lautwerk.plans.queries import C_SQL, PREDICATES, lines_of_x, query, r6, read, words_of_c
 from lautwerk.plans.rule_queries import MIX
@@ -192,6 +194,88 @@ def class_search(spark, d):
     return out.select("pivot", "environment", "outcome", "count", r6("rate").alias("rate"), r6("contrast_rate").alias("contrast_rate"), F.round("margin", 3).alias("margin"))
 
 
+# --- rules in the costs of alignment, and what conditions a tone
+
+
+#: Counts of a model of two lects, and its rules for l ~ ɾ: side, tokens, count; the most specific one that holds counts.
+_COUNTED = {**{(g, g): 40.0 for g in "abcdefghijklmnopqrstuvwxyz"}, ("l", "ɾ"): 30.0}
+_FOLLOWED = [("source", ["following:vowel=+"], 24.0), ("source", ["following:vowel=+", "position:initial"], 3.0), ("target", ["preceding:vowel=+"], 12.0)]
+
+
+def _said() -> pairwise.Pairwise:
+    alpha, log_z = pairwise.prior(sorted({x for pair in _COUNTED for x in pair}))
+    moves: dict = {}
+    for (s, t), n in sorted(_COUNTED.items()):
+        moves[pairwise.move(s, t)] = moves.get(pairwise.move(s, t), 0.0) + n
+    return pairwise.Pairwise(dict(_COUNTED), alpha, log_z, moves, {})
+
+
+def _followed_sql() -> str:
+    m = _said()
+    names = sorted(m.log_z)
+    known = ", ".join(f"('{a}{b}', {m.one(a, b)!r})" for a in names for b in names)
+    plain, initial, after = (m.under_rule("l", "ɾ", n) for _, _, n in _FOLLOWED)
+    vowel = lambda word, k: f"({k} BETWEEN 1 AND length({word}) AND contains('aeiouy', {word}[CAST({k} AS INT)]))"
+    rule = f"CASE WHEN w[i + 1] || v[j] <> 'lɾ' THEN NULL WHEN i = 0 AND {vowel('w', 'i + 2')} THEN {initial!r} WHEN {vowel('w', 'i + 2')} THEN {plain!r} WHEN {vowel('v', 'j - 1')} THEN {after!r} END"
+    first = f"list_transform(range(0, length(v) + 1), lambda j: least(line[j + 1] + 0.5, CASE WHEN j > 0 THEN line[j] + coalesce({rule}, costs[w[i + 1] || v[j]]) END))"
+    return f"""
+WITH RECURSIVE c AS (SELECT map_from_entries(list((a, b))) AS costs FROM (VALUES {known}) t(a, b)),
+p AS (SELECT w, regexp_replace(regexp_replace(w, 'l([aeiou])', 'ɾ\\1', 'g'), 'lɾ', 'ɾ', 'g') AS v FROM ({_TITLES})),
+d AS (SELECT w, v, CAST(0 AS BIGINT) AS i, list_transform(range(0, length(v) + 1), lambda j: CAST(0.5 * j AS DOUBLE)) AS line FROM p
+  UNION ALL
+  SELECT w, v, i + 1, list_transform(range(1, len(a) + 1), lambda j: list_min(list_transform(range(1, j + 1), lambda k: a[k] + 0.5 * (j - k)))) FROM (SELECT w, v, i, {first} AS a FROM d, c WHERE i < length(w)))
+SELECT w AS set_id, CAST(length(v) AS INT) AS b_len, round(line[length(v) + 1], 6) AS cost FROM d WHERE i = length(w)
+"""
+
+
+@query(_followed_sql())
+def rule_costs(spark, d):
+    """Alignments whose costs follow conditioned rules: words of titles with ɾ for l before a vowel, where an l before ɾ is lost, under a model with rules of both sides."""
+    word = F.col("word")
+    new = F.regexp_replace(F.regexp_replace(word, "l([aeiou])", "ɾ$1"), "lɾ", "ɾ")
+    segment = lambda g: F.struct(g.alias("grapheme"), *[F.lit("").alias(x) for x in ("tone", "length", "stress")])
+    none = F.array().cast("array<int>")
+    each = F.explode(F.array(F.struct(F.lit("old").alias("lect_id"), word.alias("form")), F.struct(F.lit("xnew").alias("lect_id"), new.alias("form"))))
+    sets = title_words(spark, d).select(word.alias("set_id"), each.alias("f")).select("set_id", "f.lect_id", F.lit(1.0).alias("confidence"), F.transform(counts.letters(F.col("f.form")), segment).alias("segments"), none.alias("breaks"), none.alias("syllables"))
+    m = _said()
+    rows = [("old", "xnew", s, t, n, 0.0, 0.0, "segment") for (s, t), n in m.counts.items()] + [("old", "xnew", g, g, 0.0, 0.0, 0.0, "inventory") for g in m.log_z]
+    models = spark.createDataFrame(rows, "lect_a string, lect_b string, source string, target string, count double, source_total double, cost double, kind string")
+    told = [("old", "xnew", side, "l" if side == "source" else "ɾ", "ɾ" if side == "source" else "l", tokens, n, k) for k, (side, tokens, n) in enumerate(_FOLLOWED)]
+    rules = spark.createDataFrame(told, "lect_a string, lect_b string, side string, pivot string, partner string, tokens array<string>, count double, decision long")
+    scratch = Scratch(spark, "rules")
+    sets = scratch.keep(sets, "sets")
+    name = F.xxhash64("segments", "breaks", "syllables").alias("word")
+    places = sets.select("lect_id", name, F.posexplode("segments.grapheme").alias("pos", "grapheme")).distinct()
+    held = scratch.keep(pairwise.holding(rules, pairwise.word_environments(sets), places), "held")
+    out = pairwise.aligned(pairwise.form_pairs(sets), 1, models, held, reorder=False)
+    return out.select("set_id", "b_len", r6("cost").alias("cost"))
+
+
+_VOICELESS = "".join(g for g in "abcdefghijklmnopqrstuvwxyz" if "voiceless" in features(g))
+
+
+@query(f"""
+WITH p AS (SELECT w, unnest(range(2, length(w) + 1)) AS i FROM ({_TITLES})), v AS (SELECT CASE WHEN contains('{_VOICELESS}', w[i - 1]) THEN '⁵' ELSE '²' END AS tone FROM p WHERE contains('aeiou', w[i])),
+n AS (SELECT tone, count(*) AS n FROM v GROUP BY 1)
+SELECT t AS context_is_target, t AS lect_internal, 'preceding:voiced=' || CASE tone WHEN '²' THEN '+' ELSE '-' END AS environment, tone AS value, CAST(n AS DOUBLE) AS count, CAST(n AS DOUBLE) AS total,
+  CAST(0 AS DOUBLE) AS contrast_count, CAST((SELECT sum(n) FROM n o WHERE o.tone <> n.tone) AS DOUBLE) AS contrast_total FROM n, (VALUES (true), (false)) t(t)
+""")
+def cross_found(spark, d):
+    """All passes of the cross-dimensional search over words of titles, whose vowels are low after something voiced in one of two lects: found across the lects and within the toned one."""
+    vowel = lambda g: g.isin(*"aeiou")
+    letters = counts.letters(F.col("word"))
+    tone = lambda g, k: F.when(~vowel(g) | (k == 0), "").when(F.element_at("l", F.greatest(k, F.lit(1))).isin(*_VOICELESS), "⁵").otherwise("²")
+    seg = lambda toned: F.transform("l", lambda g, k: F.struct(g.alias("grapheme"), (tone(g, k) if toned else F.lit("")).alias("tone"), F.lit("").alias("length"), F.lit("").alias("stress")))
+    words = title_words(spark, d).select(letters.alias("l")).select(seg(False).alias("plain"), seg(True).alias("toned"))
+    words = words.select("*", F.xxhash64("plain").alias("a_word"), F.xxhash64("toned", F.lit(1)).alias("b_word"))
+    at = lambda c: F.element_at(c, F.col("k") + 1)
+    each = words.select("*", F.explode(F.sequence(F.lit(0), F.size("plain") - 1)).alias("k"))
+    singles = each.select(F.lit("plain").alias("lect_a"), F.lit("toned").alias("lect_b"), F.lit(1.0).alias("weight"), "a_word", F.col("k").alias("a_pos"), at("plain").alias("a_seg"), "b_word", F.col("k").alias("b_pos"), at("toned").alias("b_seg"))
+    forms = words.select(F.col("a_word").alias("word"), F.col("plain").alias("form")).unionByName(words.select(F.col("b_word").alias("word"), F.col("toned").alias("form")))
+    found = crossdim.discovered(crossdim.contexts_of(singles, forms))
+    return found.select("context_is_target", "lect_internal", "environment", "value", "count", "total", "contrast_count", "contrast_total")
+
+
 # --- cross-dimensional tables and sinks
 
 
@@ -281,8 +365,6 @@ def markdown_table(spark, d):
 @query("SELECT p_brand, p_type, p_name || ', \"' || p_size || '\"' AS note FROM part WHERE p_size > 45")
 def csv_export(spark, d):
     """A table written as CSV and read back."""
-    from lautwerk.operators.graph import Scratch
-
     path = f"{Scratch(spark, 'csv').base}/table"
     render.to_csv(read(spark, d, "part", "p_brand", "p_type", "p_name", "p_size").where("p_size > 45").select("p_brand", "p_type", F.expr("concat(p_name, ', \"', p_size, '\"')").alias("note")), path)
     return corpus.read_table(spark, path, sep=",")
