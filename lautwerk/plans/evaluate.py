@@ -83,3 +83,113 @@ def predictive(sets: DataFrame, k: int = 5, scratch: Scratch | None = None) -> D
         one = prediction.score(rows.where(F.col("kind") == kind)).withColumn("kind", F.lit(kind))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+# --- models trained without a fold
+
+
+def fold_name(fold, lect):
+    """A lect of the training that leaves a fold out: folds are part of the lects' names, so all of them train side by side."""
+    return F.concat_ws("/", fold.cast("string"), lect)
+
+
+class FoldModels:
+    """Training without each fold, at once: symbols, rules of both sides, and what they say of the fold that was left out.
+
+    A fold's pairs are aligned symbol by symbol under the model that hasn't seen them.
+    """
+
+    def __init__(self, sets: DataFrame, k: int = 5, scorer: str = "bic"):
+        self.k = k
+        self.scratch = scratch = Scratch(sets.sparkSession, "folds")
+        self.sets = scratch.keep(sets, "sets")
+        pairs = scratch.keep(pairwise.form_pairs(self.sets).join(folds(self.sets, k, scratch), "set_id"), "pairs")
+        others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda x: x != F.col("fold")))
+        named = lambda rows: rows.withColumns({c: fold_name(F.col("without"), F.col(c)) for c in ("lect_a", "lect_b")})
+        self.training = named(pairs.withColumn("without", others))
+        self.left_out = named(pairs.withColumn("without", F.col("fold")))
+        self.models = pairwise.trained(self.training)
+        self.environments = scratch.keep(pairwise.word_environments(self.sets), "environments")
+        singles = pairwise.single_links(pairwise.aligned(self.training, 1, self.models))
+        self.rules = scratch.keep(pairwise.conditions(scratch.keep(singles, "singles"), self.environments, scorer), "rules")
+        words = self.sets.select("lect_id", F.xxhash64("segments", "breaks", "syllables").alias("word"), F.posexplode("segments.grapheme").alias("pos", "grapheme")).distinct()
+        every = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+        words = words.withColumn("without", every).select(fold_name(F.col("without"), F.col("lect_id")).alias("lect_id"), "word", "pos", "grapheme")
+        self.holding = scratch.keep(pairwise.holding(self.rules, self.environments, words), "holding")
+
+    @property
+    def links(self) -> DataFrame:
+        """Left-out pairs, aligned; symbols that the training hasn't met have their prior only."""
+        by, zero = ["lect_a", "lect_b"], F.lit(0.0)
+        met = self.left_out.select(*by, F.explode(F.array_union("source", "target")).alias("source")).distinct()
+        new = met.join(self.models.where("kind = 'inventory'").select(*by, "source"), [*by, "source"], "left_anti")
+        new = new.select(*by, "source", F.col("source").alias("target"), zero.alias("count"), zero.alias("source_total"), zero.alias("cost"), F.lit("inventory").alias("kind"))
+        return pairwise.aligned(self.left_out, 1, self.models.select(*new.columns).unionByName(new))
+
+    def observed(self) -> DataFrame:
+        """``side, lect_a, lect_b, env, source, target, observed`` of both directions, summed; env: the counts of the rules that hold, by partner, or null."""
+        singles = self.scratch.keep(pairwise.single_links(self.links), "left_out")
+        out = None
+        for side, own, other in (("source", "a", "b"), ("target", "b", "a")):
+            held = self.holding.where(F.col("side") == side).select("lect_a", "lect_b", F.col("word").alias(f"{own}_word"), "rules")
+            rows = singles.join(held, ["lect_a", "lect_b", f"{own}_word"], "left")
+            here = F.filter("rules", lambda r: r["pos"] == F.col(f"{own}_pos"))
+            env = F.when(F.size(here) > 0, F.array_sort(F.transform(here, lambda r: F.struct(r["partner"].alias("target"), r["count"].alias("m")))))
+            one = rows.select(F.lit(side).alias("side"), "lect_a", "lect_b", env.alias("env"), F.col(f"{own}_seg.grapheme").alias("source"), F.col(f"{other}_seg.grapheme").alias("target"), "weight")
+            out = one if out is None else out.unionByName(one)
+        return out.groupBy("side", "lect_a", "lect_b", "env", "source", "target").agg(F.sum("weight").alias("observed"))
+
+    def predictions(self, alpha: float = 1.0, tau: float = 1.0) -> DataFrame:
+        """``kind, side, lect_a, lect_b, env, source, target, observed, p, place, square, top`` of what was left out, by the five kinds of ``prediction``."""
+        by = ["side", "lect_a", "lect_b"]
+        seen = self.scratch.keep(self.observed(), "observed")
+        counted = self.models.where("kind = 'segment'").select("lect_a", "lect_b", "source", "target", "count")
+        there = counted.select(F.lit("target").alias("side"), "lect_a", "lect_b", F.col("target").alias("source"), F.col("source").alias("target"), "count")
+        counted = self.scratch.keep(counted.withColumn("side", F.lit("source")).unionByName(there), "counted")
+        targets = counted.groupBy(*by, "target").agg(F.sum("count").alias("t_n"))
+        unknown = targets.select(*by).distinct().select(*by, F.lit(prediction.UNKNOWN).alias("target"), F.lit(0.0).alias("t_n"))
+        grid = seen.select(*by, "env", "source").distinct().join(targets.unionByName(unknown), by).join(counted, [*by, "source", "target"], "left")
+
+        @F.pandas_udf("double")
+        def apart(a, b):
+            return a.combine(b, lambda x, y: 1.0 if y == prediction.UNKNOWN else distance(x, y))
+
+        far = grid.select("source", "target").distinct().withColumn("d", apart("source", "target"))
+        grid = grid.join(far, ["source", "target"])
+        n = F.coalesce("count", F.lit(0.0))
+        none = F.array().cast("array<struct<target:string,m:double>>")
+        m = F.aggregate(F.coalesce("env", none), F.lit(0.0), lambda s, r: s + F.when(r["target"] == F.col("target"), r["m"]).otherwise(0.0))
+        raw = {
+            "conditioned": alpha + F.when(F.col("env").isNotNull(), m).otherwise(n), "unconditioned": alpha + n, "identity": F.when(F.col("source") == F.col("target"), 1.0).otherwise(1e-6),
+            "inventory": F.col("t_n") + 1.0, "feature": F.exp(-F.col("d") / tau),
+        }
+        kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.greatest(c, F.lit(prediction.FLOOR)).alias("mass")) for k, c in raw.items()]))
+        rows = grid.select(*by, "env", "source", "target", kinds.alias("x")).select(*by, "env", "source", "target", "x.*")
+        context = Window.partitionBy("kind", *by, "env", "source")
+        rows = rows.withColumn("p", F.col("mass") / F.sum("mass").over(context)).drop("mass")
+        rows = rows.withColumns({"place": F.row_number().over(context.orderBy(F.desc("p"), "target")), "square": F.sum(F.col("p") * F.col("p")).over(context), "top": F.max("p").over(context)})
+        # a symbol that the training never had is the unknown category
+        known = targets.select(*by, "target", F.lit(True).alias("known"))
+        told = seen.join(known, [*by, "target"], "left").withColumn("target", F.when(F.col("known"), F.col("target")).otherwise(prediction.UNKNOWN)).drop("known")
+        told = told.groupBy(*by, "env", "source", "target").agg(F.sum("observed").alias("observed"))
+        same = [F.equal_null(rows[c], told[c]) if c == "env" else rows[c] == told[c] for c in (*by, "env", "source", "target")]
+        return rows.join(told, same).select("kind", *[rows[c] for c in (*by, "env", "source", "target")], "observed", "p", "place", "square", "top")
+
+    def scores(self) -> DataFrame:
+        """``kind`` and scores of all that was left out."""
+        rows = self.scratch.keep(self.predictions(), "predictions")
+        out = None
+        for kind in prediction.KINDS:
+            one = prediction.score(rows.where(F.col("kind") == kind)).withColumn("kind", F.lit(kind))
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    def confirmed(self, full: DataFrame) -> DataFrame:
+        """Rules of the whole corpus (``pairwise.conditions``) with the verdict of what the same rules, found without a fold, gain on it over unconditioned counts."""
+        rows = self.scratch.keep(self.predictions(), "gains").where("kind in ('conditioned', 'unconditioned') and env is not null")
+        by = ["side", "lect_a", "lect_b", "source", "target"]
+        both = rows.groupBy(*by, "env").agg(F.sum(F.when(F.col("kind") == "conditioned", F.col("observed"))).alias("observed"), F.sum(F.when(F.col("kind") == "conditioned", F.ln("p")).otherwise(-F.ln("p"))).alias("gain"))
+        lect = lambda c: F.expr(f"substr({c}, instr({c}, '/') + 1)")
+        fold = F.split_part("lect_a", F.lit("/"), F.lit(1)).cast("int")
+        held = both.select(fold.alias("fold"), lect("lect_a").alias("lect_a"), lect("lect_b").alias("lect_b"), "side", F.col("source").alias("pivot"), F.col("target").alias("partner"), "observed", "gain")
+        return prediction.confirmed(full, held, ["lect_a", "lect_b", "side", "pivot", "partner"])

@@ -143,6 +143,14 @@ def evaluate_full(spark, d):
     return evaluate(corpus.publish(rule_forms(spark, d)), 4)
 
 
+@query()
+def evaluate_trained(spark, d):
+    """Scores of the five kinds of prediction of each fold of title words by models that were trained without it."""
+    from lautwerk.plans.evaluate import FoldModels
+
+    return FoldModels(corpus.publish(rule_forms(spark, d)), 3).scores()
+
+
 @query(f"""
 WITH {_RULE_C}, x AS (SELECT CAST('0x' || substr(md5(id), 1, 8) AS BIGINT) % 5 AS fold, o AS s, n AS t FROM m), e AS (SELECT fold, s, t, count(*) AS here FROM x GROUP BY 1, 2, 3),
 wh AS (SELECT s, t, sum(here) AS n FROM e GROUP BY 1, 2), f AS (SELECT DISTINCT fold, s FROM e), g AS (SELECT t, sum(here) AS tn FROM e GROUP BY 1), h AS (SELECT fold, t, sum(here) AS th FROM e GROUP BY 1, 2),

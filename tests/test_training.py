@@ -281,3 +281,28 @@ def test_aligned_pairs_from_the_command_line(tmp_path, capsys, spark, monkeypatc
     assert cli.main(["align", str(tmp_path / "c.tsv"), "--lect-a", "a", "--options", '{"null_draws": 5}']) == 0
     out = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
     assert len(out) == 9 and {r["lect_b"] for r in out} == {"b"} and sum(x["source_length"] for x in out[0]["links"]) == 2
+
+
+def test_models_without_a_fold_predict_it(spark):
+    """A rule that holds everywhere is found without each fold, helps on it, and is confirmed; unconditioned counts are checked by hand."""
+    from lautwerk.plans.evaluate import FoldModels
+
+    rng, rows = random.Random(5), ["cognate_id\tlect_id\tsegments"]
+    for k in range(150):
+        c, v = rng.choice("ptk"), rng.choice("aiueo")
+        rows += [f"{k}\ta\tm {c} {v} n", f"{k}\tb\tm {'tʃ' if c == 't' and v in 'ie' else c} {v} n"]
+    sets = corpus.publish(corpus.load_long(spark, text="\n".join(rows)))
+    e = FoldModels(sets, 3)
+    got = {r.kind: r for r in e.scores().collect()}
+    assert set(got) == {"conditioned", "unconditioned", "identity", "inventory", "feature"} and all(r.n == 1200 for r in got.values())
+    assert got["conditioned"].log_loss < got["unconditioned"].log_loss < got["inventory"].log_loss and got["conditioned"].top1 >= got["unconditioned"].top1
+    held = [r for r in e.predictions().where("kind = 'unconditioned' and side = 'source' and source = 't'").collect()]
+    fold_of = {r.set_id: r.fold for r in e.left_out.select("set_id", "fold").collect()}
+    for r in held:
+        without = int(r.lect_a.split("/")[0])
+        train_t = [rows[1 + 2 * k + 1].split("\t")[2].split()[1] for k in range(150) if fold_of[str(k)] != without and rows[1 + 2 * k].split("\t")[2].split()[1] == "t"]
+        kinds = {x for k in range(150) if fold_of[str(k)] != without for x in rows[2 + 2 * k].split("\t")[2].split()}
+        assert math.isclose(r.p, (1 + train_t.count(r.target)) / (len(train_t) + len(kinds) + 1))
+    full = pairwise.conditions(pairwise.single_links(pairwise.aligned(pairwise.form_pairs(sets), 1)), e.environments)
+    told = {(r.side, r.pivot, r.partner): r.verdict for r in e.confirmed(full).collect()}
+    assert told["source", "t", "t"] == "confirmed"
