@@ -215,7 +215,9 @@ def search(queries: DataFrame, lists: Lists, members: DataFrame, same: bool, k:
                         to += names[order].tolist()
                 yield f.drop(columns="kth").assign(windows=narrowed).iloc[at].assign(cluster=to)
 
-        met = scratch.keep(state.mapInPandas(visits, f"anchor long, label long, vector array<double>, windows {windows}, cluster long"), f"visits{start}_")
+        # few bytes, but a product with all centroids each: as many tasks as a shuffle has
+        spread = state.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "anchor")
+        met = scratch.keep(spread.mapInPandas(visits, f"anchor long, label long, vector array<double>, windows {windows}, cluster long"), f"visits{start}_")
         if met.isEmpty():
             scratch.drop(met)
             break
