@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lautwerk.operators.graph import Scratch
+
 
 def written_apart(sequences: DataFrame, lect: str, symbols: str) -> DataFrame:
     """``lect, other, grapheme, first, second``: the grapheme is used by lect and never by other, which writes its two pieces side by side.
 
-    Only distinct graphemes and distinct neighbours of each lect are joined.
+    Sequences are read once: what is written and kept are the distinct (lect,
+    symbol, next symbol), which grow with the vocabulary; all joins are on them.
+    Null symbols neither stand nor neighbour anything.
     """
-    # each sequence is read once: its distinct symbols, and its distinct neighbours as two symbols parted by a mark
-    n = F.greatest(F.size(symbols) - 1, F.lit(0))
-    both = F.zip_with(F.slice(symbols, 1, n), F.slice(symbols, 2, n), lambda a, b: F.concat(a, F.lit("\x01"), b))
-    every = sequences.select(F.col(lect).alias("lect"), F.explode(F.array_distinct(F.concat(F.col(symbols), both))).alias("x")).distinct()
-    words = every.where(~F.contains("x", F.lit("\x01"))).select("lect", F.col("x").alias("grapheme"))
-    pieces = every.where(F.contains("x", F.lit("\x01"))).select(F.col("lect").alias("other"), *[F.split_part("x", F.lit("\x01"), F.lit(k)).alias(c) for k, c in ((1, "first"), (2, "second"))])
-    pieces = pieces.withColumn("grapheme", F.concat("first", "second"))
+    scratch = Scratch(sequences.sparkSession, "drift")
+    each = F.explode(F.arrays_zip(F.col(symbols).alias("first"), F.slice(symbols, 2, F.greatest(F.size(symbols) - 1, F.lit(0))).alias("second")))
+    seen = scratch.keep(sequences.where(F.size(symbols) > 0).select(F.col(lect).alias("lect"), each.alias("x")).select("lect", "x.*").distinct(), "neighbours")
+    words = scratch.keep(seen.where("first is not null").select("lect", F.col("first").alias("grapheme")).distinct(), "words")
+    pieces = seen.where("first is not null and second is not null").select(F.col("lect").alias("other"), "first", "second", F.concat("first", "second").alias("grapheme"))
     met = pieces.join(words, "grapheme").where("lect <> other")
     own = words.select(F.col("lect").alias("other"), "grapheme")
     return met.join(own, ["other", "grapheme"], "left_anti").select("lect", "other", "grapheme", "first", "second")

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Draws that one digest serves, by eight of its hexadecimal digits each.
+PER_DIGEST = 4
+#: A number below 2**32 stands for as many copies as it reaches of these: the distribution function of a Poisson variable of mean one.
+STEPS = [math.floor(2**32 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(12)]
+
 
 def draw(*parts: Column) -> Column:
     """An integer below 2**32 from a digest of the parts."""
@@ -17,6 +24,7 @@ def bootstrap_rates(counts: DataFrame, group: str, label: str, n: str, draws: in
 
     ``counts`` has a row for each (group, label); groups are numbered by their
     order.  A draw is a multiplicity for each group, so rows aren't copied.
+    Numbers need the order of all groups; ``hashed_rates`` needs none.
     """
     spark = counts.sparkSession
     groups = counts.select(group).distinct()
@@ -29,6 +37,52 @@ def bootstrap_rates(counts: DataFrame, group: str, label: str, n: str, draws: in
     return rows.select("draw", label, (F.col("mass") / F.sum("mass").over(Window.partitionBy("draw"))).alias("rate"))
 
 
+def observation_group(label: Column | None, own: Column) -> Column:
+    """The group that is drawn as a whole: the rows of a label, and where it is null or empty a row's own id; the two never meet."""
+    alone = F.concat(F.lit("own:"), own.cast("string"))
+    return alone if label is None else F.when(F.coalesce(label, F.lit("")) != "", F.concat(F.lit("of:"), label)).otherwise(alone)
+
+
+def hashed_masses(counts: DataFrame, group: str, labels: list[str], n: str, draws: int, seed: int = 0) -> DataFrame:
+    """``draw, labels.., mass``: each draw takes a group as often as a hash of (seed, draw, group) says, about once on average.
+
+    Multiplicities of different groups are independent, so nothing is numbered
+    and no size is known beforehand: one aggregation, summed up before its
+    shuffle, whose result is as large as the labels times the draws.  Every
+    label has every draw, with mass 0 where none of its groups was taken.  A
+    group whose name is null counts as one group.  Without rows: no rows.
+    """
+    blocks = math.ceil(draws / PER_DIGEST)
+    rows = counts.select(*labels, F.col(n).alias("lw_n"), F.coalesce(F.col(group).cast("string"), F.lit("")).alias("lw_group"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("lw_block"))
+    rows = rows.withColumn("lw_digest", F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("lw_block").cast("string"), "lw_group").cast("binary")))
+    rows = rows.withColumns({f"lw_{k}": F.conv(F.substring("lw_digest", 8 * k + 1, 8), 16, 10).cast("long") for k in range(PER_DIGEST)})
+
+    def times(k: int) -> Column:
+        out = F.when(F.col(f"lw_{k}") < STEPS[0], 0)
+        for copies, step in enumerate(STEPS[1:], 1):
+            out = out.when(F.col(f"lw_{k}") < step, copies)
+        return out.otherwise(len(STEPS))
+
+    sums = rows.groupBy(*labels, "lw_block").agg(*[F.sum(F.col("lw_n") * times(k)).alias(f"lw_m{k}") for k in range(PER_DIGEST)])
+    each = F.explode(F.array(*[F.struct((F.col("lw_block") * PER_DIGEST + k).alias("draw"), F.col(f"lw_m{k}").alias("mass")) for k in range(PER_DIGEST)]))
+    return sums.select(*labels, each.alias("lw_x")).select("lw_x.draw", *labels, "lw_x.mass").where(F.col("draw") < draws)
+
+
+def hashed_rates(counts: DataFrame, group: str, label: str, n: str, draws: int, seed: int = 0, whole: DataFrame | None = None) -> DataFrame:
+    """``draw, label, rate``: masses of hashed draws over those of all labels, or of ``whole`` (group, n); 0 in a draw that took nothing."""
+    masses = hashed_masses(counts, group, [label], n, draws, seed)
+    totals = hashed_masses(whole if whole is not None else counts, group, [], n, draws, seed).withColumnRenamed("mass", "lw_total")
+    # a row for each draw
+    met = masses.join(F.broadcast(totals), "draw", "left")
+    return met.select("draw", label, F.when(F.col("lw_total") > 0, F.col("mass") / F.col("lw_total")).otherwise(0.0).alias("rate"))
+
+
+def percentile_intervals(rates: DataFrame, label: str, alpha: float = 0.05) -> DataFrame:
+    """``label, low, high``: percentiles of each label's rates over the draws, within 0 and 1."""
+    q = F.percentile("rate", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
+    return rates.groupBy(label).agg(q.alias("q")).select(label, F.greatest(F.col("q")[0], F.lit(0.0)).alias("low"), F.least(F.col("q")[1], F.lit(1.0)).alias("high"))
+
+
 def pairing_shuffle(pairs: DataFrame, key: str, left: str, right: str, within: str, replicates: int) -> DataFrame:
     """``replicate, key, left, right``: each replicate deals the right sides anew among the rows of a group, in the order of a digest."""
     spark = pairs.sparkSession
