@@ -102,7 +102,7 @@ class Bucket:
 
     BLOCK = 1 << 14
 
-    def __init__(self, tokens: list[frozenset], outcomes: list[dict], weight: np.ndarray, scorer: str = "bic"):
+    def __init__(self, tokens: list[frozenset], outcomes: list[dict], weight: np.ndarray, scorer: str = "bic", charge: bool = True):
         self.outcomes, self.weight, self.scorer = outcomes, weight, scorer
         self.sisters = sorted({lect for o in outcomes for lect in o})
         names = sorted({t for own in tokens for t in own})
@@ -113,7 +113,7 @@ class Bucket:
         some = held.any(1) & ~held.all(1)
         self.names, self.held = [t for t, ok in zip(names, some) if ok], held[some]
         self.long = np.array([t.startswith(("somewhere", "preceding@", "following@", "syllable")) for t in self.names], bool)
-        self.partitions = max(1, len({(h if h[0] else ~h).tobytes() for h in self.held}))
+        self.partitions = max(1, len({(h if h[0] else ~h).tobytes() for h in self.held})) if charge else 1
         self.codes, self.kinds = {}, {}
         for lect in self.sisters:
             values = sorted({o[lect] for o in outcomes if lect in o})
@@ -254,8 +254,8 @@ def _top(codes: np.ndarray, weight: np.ndarray, at: np.ndarray) -> float:
 RULES = "pivot_lect string, pivot string, decision int, environment string, outcome string, count double, rate double, contrast_count double, contrast_rate double, margin double, p_value double, standing string"
 
 
-def conditioned(observations: DataFrame, sets: DataFrame, draws: int = DRAWS, seed: int = 20260815, scorer: str = "bic", held: DataFrame | None = None) -> DataFrame:
-    """Conditioned classes of every pivot (lect, grapheme): environment, sister outcome, contrast outside, and verdict against permuted contexts.
+def pivot_rows(observations: DataFrame, sets: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """``set_id, pivot_lect, pivot, tokens, sisters, weight``: each position with a sister's symbol, as a pivot in its environment.
 
     Environments are looked up by distinct words.
     """
@@ -267,14 +267,43 @@ def conditioned(observations: DataFrame, sets: DataFrame, draws: int = DRAWS, se
     rows = rows.join(named, ["set_id", "pivot_lect"]).join(held, ["word", "pos"])
     sisters = F.filter("members", lambda m: (m["lect"] != F.col("pivot_lect")) & (m["grapheme"] != GAP))
     rows = rows.withColumn("sisters", F.transform(sisters, lambda m: F.struct(m["lect"].alias("lect"), m["grapheme"].alias("grapheme")))).where("size(sisters) > 0")
-    return searched(rows.select("pivot_lect", "pivot", "tokens", "sisters", "weight"), draws, seed, scorer=scorer)
+    return rows.select("set_id", "pivot_lect", "pivot", "tokens", "sisters", "weight")
 
 
-def searched(rows: DataFrame, draws: int = DRAWS, seed: int = 20260815, depth: int = DEPTH, commits: int = MAX_COMMITS, scorer: str = "bic") -> DataFrame:
+def conditioned(observations: DataFrame, sets: DataFrame, draws: int = DRAWS, seed: int = 20260815, scorer: str = "bic", held: DataFrame | None = None, charge: bool = True) -> DataFrame:
+    """Conditioned classes of every pivot (lect, grapheme): environment, sister outcome, contrast outside, and verdict against permuted contexts."""
+    return searched(pivot_rows(observations, sets, held).drop("set_id"), draws, seed, scorer=scorer, charge=charge)
+
+
+def conditioned_masses(rows: DataFrame, rules: DataFrame, by: list[str]) -> DataFrame:
+    """``by.., tuple, n``: the mass of ``rows`` (``pivot_rows``) that each conditioned class holds.
+
+    A position belongs to the first decision of its pivot whose environment
+    holds there.  Rows that agree are summed first; a pivot's decisions are at
+    most MAX_COMMITS, and meet them in one join.
+    """
+    rows = rows.groupBy(*by, "pivot_lect", "pivot", "tokens", "sisters").agg(F.sum("weight").alias("weight"))
+    lists = rules.select("pivot_lect", "pivot", "decision", F.split("environment", ";").alias("environment")).distinct()
+    lists = lists.groupBy("pivot_lect", "pivot").agg(F.array_sort(F.collect_list(F.struct("decision", "environment"))).alias("decisions"))
+    first = F.filter("decisions", lambda r: F.size(F.array_except(r["environment"], F.col("tokens"))) == 0)
+    named = F.array_join(F.transform(F.array_sort("sisters"), lambda m: F.concat_ws("=", m["lect"], m["grapheme"])), " ")
+    met = rows.join(lists, ["pivot_lect", "pivot"]).select(*by, "pivot_lect", "pivot", F.try_element_at(first, F.lit(1)).alias("d"), named.alias("outcome"), "weight")
+    known = rules.select("pivot_lect", "pivot", "decision", "environment", "outcome")
+    met = met.where("d is not null").withColumn("decision", F.col("d.decision")).join(known, ["pivot_lect", "pivot", "decision", "outcome"])
+    return met.groupBy(*by, conditioned_key().alias("tuple")).agg(F.sum("weight").alias("n"))
+
+
+def conditioned_key() -> Column:
+    """The name of a conditioned class: pivot, outcome and environment."""
+    return F.concat(F.concat_ws("=", "pivot_lect", "pivot"), F.lit(" ~ "), "outcome", F.lit(" / "), "environment")
+
+
+def searched(rows: DataFrame, draws: int = DRAWS, seed: int = 20260815, depth: int = DEPTH, commits: int = MAX_COMMITS, scorer: str = "bic", charge: bool = True) -> DataFrame:
     """Decision lists of ``rows(pivot_lect, pivot, tokens, sisters, weight)``, one for each pivot.
 
     Observations that agree in tokens and outcomes are summed before they come
     to a pivot's kernel, which so grows with the vocabulary, not with the corpus.
+    charge: whether scores pay for the number of partitions searched.
     """
     rows = rows.groupBy("pivot_lect", "pivot", "tokens", "sisters").agg(F.sum("weight").alias("weight"))
 
@@ -282,7 +311,7 @@ def searched(rows: DataFrame, draws: int = DRAWS, seed: int = 20260815, depth: i
         names = [x.split(" ")[0] for x in RULES.split(", ")]
         outcomes = [{s["lect"]: s["grapheme"] for s in own} for own in pdf["sisters"]]
         order = sorted(range(len(pdf)), key=lambda k: (sorted(outcomes[k].items()), list(pdf["tokens"].iloc[k])))
-        bucket = Bucket([frozenset(pdf["tokens"].iloc[k]) for k in order], [outcomes[k] for k in order], pdf["weight"].to_numpy(float)[order], scorer)
+        bucket = Bucket([frozenset(pdf["tokens"].iloc[k]) for k in order], [outcomes[k] for k in order], pdf["weight"].to_numpy(float)[order], scorer, charge)
         if bucket.weight.sum() < 4 or max(bucket.kinds.values(), default=0) < 2:
             return pd.DataFrame(columns=names)
         found = bucket.rules(depth, commits)

@@ -92,3 +92,20 @@ def pairing_shuffle(pairs: DataFrame, key: str, left: str, right: str, within: s
     w = Window.partitionBy(*by).orderBy(draw(F.col("replicate"), F.col(key)), key)
     b = copies.select(*by, right, F.row_number().over(w).alias("place"))
     return a.join(b, [*by, "place"]).drop("place")
+
+
+def dealt(df: DataFrame, by: list[str], order: Column, tie: str, name: str, bits: int = 12) -> DataFrame:
+    """``df`` with the place (from 0) of each row in its group, in the order of a draw (below 2**32), then of ``tie``.
+
+    Draws spread evenly, so their leading bits cut a group of any size into even
+    blocks: rows are numbered within blocks, and only the blocks' counts, at most
+    2**bits of a group, are summed up in order.
+    """
+    rows = df.withColumn("lw_draw", order)
+    rows = rows.withColumn("lw_block", F.shiftright("lw_draw", 32 - bits))
+    sizes = rows.groupBy(*by, "lw_block").agg(F.count(F.lit(1)).alias("lw_size"))
+    before = Window.partitionBy(*by).orderBy("lw_block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*by, "lw_block", F.coalesce(F.sum("lw_size").over(before), F.lit(0)).alias("lw_offset"))
+    within = F.row_number().over(Window.partitionBy(*by, "lw_block").orderBy("lw_draw", tie)) - 1
+    met = rows.withColumn("lw_within", within).join(sizes, [*by, "lw_block"])
+    return met.withColumn(name, F.col("lw_within") + F.col("lw_offset")).select(*df.columns, name)

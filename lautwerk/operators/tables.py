@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lautwerk.functions.stats import wilson
 from lautwerk.operators.alignment import GAP
-from lautwerk.operators.resampling import bootstrap_rates
+from lautwerk.operators.resampling import hashed_rates, observation_group, percentile_intervals
 
 
 def bound(links: DataFrame, sets: DataFrame) -> DataFrame:
@@ -89,16 +89,44 @@ def all_dimension_rules(positions: DataFrame, least: float = 3.0) -> DataFrame:
     return out.where("not lect_internal").unionByName(lifted(inner, ["lect", "feature", "dimension", "value"]).drop("lect", "pair"))
 
 
-def class_intervals(observations: DataFrame, draws: int = 200, alpha: float = 0.05) -> DataFrame:
-    """Percentile intervals of classes' rates when sets are drawn with replacement."""
+UNITS = ("auto", "etymon_group", "source_group", "set")
+
+
+def units(sets: DataFrame, unit: str = "auto") -> DataFrame:
+    """``set_id, unit``: the observation group of each set: those of one etymon or source group, else the set itself.
+
+    auto: etymon groups where any set names one, else sets.
+    """
+    if unit not in UNITS:
+        raise ValueError(f"unit must be one of {UNITS}")
+    own = F.col("cognate_id" if "cognate_id" in sets.columns else "set_id")
+    each = sets.select("set_id", own.alias("own"), *[c for c in ("etymon_group", "source_group") if c in sets.columns]).dropDuplicates(["set_id"])
+    if unit == "auto":
+        unit = "etymon_group" if "etymon_group" in sets.columns and not sets.where("etymon_group <> ''").isEmpty() else "set"
+    return each.select("set_id", observation_group(None if unit == "set" else F.col(unit), F.col("own")).alias("unit"))
+
+
+def class_intervals(observations: DataFrame, draws: int = 200, alpha: float = 0.05, sets: DataFrame | None = None, unit: str = "auto", conditioned: DataFrame | None = None, seed: int = 0) -> DataFrame:
+    """``tuple, low, high``: percentile intervals of classes' shares of all positions when observation groups are drawn anew.
+
+    sets: which group a set is of (``units``); without them each set is its own.
+    conditioned: masses of further classes by set (``set_id, tuple, n``), which
+    share the denominator but don't add to it; they have been selected on the
+    same data, so their intervals don't price the search.
+    """
     key = F.array_join(F.transform("members", lambda m: F.concat_ws("=", m["lect"], m["grapheme"])), " ~ ")
     counted = observations.groupBy("set_id", key.alias("tuple")).agg(F.sum("weight").alias("n"))
-    rates = bootstrap_rates(counted, "set_id", "tuple", "n", draws)
-    # a class that a draw hasn't met has the rate 0 in it
-    q = F.percentile(F.col("rate"), F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
-    grid = rates.select("draw").distinct().crossJoin(F.broadcast(counted.select("tuple").distinct())).join(rates, ["draw", "tuple"], "left")
-    out = grid.withColumn("rate", F.coalesce("rate", F.lit(0.0))).groupBy("tuple").agg(q.alias("q"))
-    return out.select("tuple", F.greatest(F.col("q")[0], F.lit(0.0)).alias("low"), F.least(F.col("q")[1], F.lit(1.0)).alias("high"))
+    whole = counted
+    if conditioned is not None:
+        counted = counted.unionByName(conditioned.select("set_id", "tuple", "n"))
+    if sets is None:
+        drawn = lambda rows, *c: rows.select(F.concat(F.lit("own:"), "set_id").alias("unit"), *c, "n")
+    else:
+        own = units(sets, unit)
+        drawn = lambda rows, *c: rows.join(own, "set_id").select("unit", *c, "n")
+    counted = drawn(counted, "tuple").groupBy("unit", "tuple").agg(F.sum("n").alias("n"))
+    whole = drawn(whole).groupBy("unit").agg(F.sum("n").alias("n"))
+    return percentile_intervals(hashed_rates(counted, "unit", "tuple", "n", draws, seed, whole), "tuple", alpha)
 
 
 def duplicate_lects(sets: DataFrame) -> DataFrame:

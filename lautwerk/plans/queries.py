@@ -342,6 +342,47 @@ def bootstrap(spark, d):
     return rows.select("event_type", r6(F.col("q")[0]).alias("low"), r6(F.col("q")[1]).alias("high"), "draws")
 
 
+def copies_sql(seed: int, block: str, unit: str) -> str:
+    """The multiplicities of hashed draws in SQL: a list of a digest's four."""
+    piece = f"md5('{seed}-' || {block} || '-' || {unit})"
+    number = f"CAST('0x' || substr({piece}, 8 * k + 1, 8) AS BIGINT)"
+    return "(" + " + ".join(f"CAST({number} >= {t} AS INT)" for t in resampling.STEPS) + ")"
+
+
+def intervals_sql(counted: str, label: str, draws: int, seed: int = 0, whole: str | None = None) -> str:
+    """``label, low, high`` of hashed draws over ``counted`` (unit, label, n); whole: another table (unit, n) of the denominators."""
+    per = resampling.PER_DIGEST
+    return f"""
+cnt AS ({counted}), whole AS ({whole or 'SELECT unit, sum(n) AS n FROM cnt GROUP BY 1'}),
+u AS (SELECT unit, b, k, {copies_sql(seed, 'b', 'unit')} AS times FROM (SELECT DISTINCT unit FROM whole), range({-(-draws // per)}) t(b), range({per}) s(k) WHERE b * {per} + k < {draws}),
+mass AS (SELECT {label}, b, k, sum(n * times) AS m FROM cnt JOIN u USING (unit) GROUP BY ALL), tot AS (SELECT b, k, sum(n * times) AS t FROM whole JOIN u USING (unit) GROUP BY ALL),
+rates AS (SELECT {label}, CASE WHEN t > 0 THEN CAST(m AS DOUBLE) / t ELSE 0 END AS rate FROM mass JOIN tot USING (b, k))
+SELECT {label}, round(greatest(quantile_cont(rate, 0.025), 0), 6) AS low, round(least(quantile_cont(rate, 0.975), 1), 6) AS high FROM rates GROUP BY 1"""
+
+
+def intervals_of(rates, label: str):
+    return resampling.percentile_intervals(rates, label).select(label, r6("low").alias("low"), r6("high").alias("high"))
+
+
+@query(f"WITH {intervals_sql('SELECT CAST(user_id AS VARCHAR) AS unit, event_type, count(*) AS n FROM events GROUP BY 1, 2', 'event_type', 200)}")
+def bootstrap_hashed(spark, d):
+    """Shares of event types when users are drawn anew by hashes, without numbering them."""
+    c = read(spark, d, "events", "user_id", "event_type").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return intervals_of(resampling.hashed_rates(c, "user_id", "event_type", "n", 200), "event_type")
+
+
+_UNIT = "CASE WHEN o_orderpriority < '3' THEN 'of:' || o_custkey ELSE 'own:' || o_orderkey END"
+
+
+@query(f"WITH {intervals_sql(f'SELECT {_UNIT} AS unit, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2', 'o_orderstatus', 100, 7)}")
+def bootstrap_units(spark, d):
+    """Shares of states of orders, of which the urgent ones are drawn together with all urgent ones of their customer, the others each on its own."""
+    rows = read(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
+    unit = resampling.observation_group(F.when(F.col("o_orderpriority") < "3", F.col("o_custkey").cast("string")), F.col("o_orderkey"))
+    c = rows.groupBy(unit.alias("unit"), "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    return intervals_of(resampling.hashed_rates(c, "unit", "o_orderstatus", "n", 100, 7), "o_orderstatus")
+
+
 @query(f"""
 WITH x AS (SELECT p_partkey, one, two, p_brand, rep FROM ({C_SQL}) JOIN part USING (p_partkey), range(5) t(rep)),
 a AS (SELECT rep, p_brand, p_partkey, one, row_number() OVER (PARTITION BY rep, p_brand ORDER BY p_partkey) AS k FROM x),

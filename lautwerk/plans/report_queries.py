@@ -14,7 +14,7 @@ from lautwerk.functions.features import features
 from lautwerk.operators import classes, counts, crossdim, pairwise, tables
 from lautwerk.operators.graph import Scratch
 from lautwerk.plans import render
-from lautwerk.plans.queries import C_SQL, PREDICATES, lines_of_x, query, r6, read, words_of_c
+from lautwerk.plans.queries import C_SQL, PREDICATES, intervals_sql, lines_of_x, query, r6, read, words_of_c
 from lautwerk.plans.rule_queries import MIX
 from lautwerk.sources import corpus
 
@@ -74,6 +74,24 @@ def train_classes(spark, d):
     return rows.select("tuple", r6("count").alias("count"), "sets", r6("rate").alias("rate"), "class_id")
 
 
+_CLASSES = "SELECT 'own:' || id AS unit, 'mid=' || d || ' ~ new=' || n || ' ~ old=' || o AS tuple, CAST(count(*) AS DOUBLE) AS n FROM m GROUP BY 1, 2"
+
+
+@query(f"WITH {_RULE}, {intervals_sql(_CLASSES, 'tuple', 200, 20260815)}")
+def class_intervals(spark, d):
+    """Intervals of the trained model's unconditioned classes when sets are drawn anew."""
+    rows = _model(spark, d).intervals.where(~F.contains("tuple", F.lit(" / ")))
+    return rows.select("tuple", r6("low").alias("low"), r6("high").alias("high"))
+
+
+@query()
+def shuffle_baseline(spark, d):
+    """What training finds in two copies of the corpus whose forms are dealt anew: costs, numbers of classes, the margin that chance reaches."""
+    from lautwerk.plans.train import Options, baseline, null_models
+
+    return baseline(null_models(_model(spark, d).sets, 2, Options()))
+
+
 @query(f"""
 WITH {_RULE}, x AS (SELECT 'mid' AS a, 'new' AS b, d AS s, n AS t FROM m UNION ALL SELECT 'mid', 'old', d, o FROM m UNION ALL SELECT 'new', 'old', n, o FROM m),
 c AS (SELECT a, b, s, t, CAST(count(*) AS DOUBLE) AS n FROM x WHERE s <> '∅' AND t <> '∅' GROUP BY 1, 2, 3, 4)

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, fields
+from dataclasses import asdict, dataclass, fields, replace
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lautwerk.operators import chunks, classes, counts, crossdim, pairwise, splits, tables
 from lautwerk.operators.graph import Scratch
-from lautwerk.operators.resampling import draw
+from lautwerk.operators.resampling import dealt, draw
 from lautwerk.sources import corpus
 
 
@@ -18,7 +18,13 @@ from lautwerk.sources import corpus
 class Options:
     max_chunk: int = 3
     null_draws: int = classes.DRAWS
+    #: Shuffled copies of the corpus that the baseline trains on.
     permutations: int = 0
+    #: Draws of the classes' intervals, and what is drawn as a whole: auto, etymon_group, source_group or set.
+    bootstrap: int = 200
+    bootstrap_unit: str = "auto"
+    #: Whether searches pay for the number of their candidates.
+    charge: bool = True
     seed: int = 20260815
     min_lects: int = 2
     #: bic, nml or dirichlet: how splits are scored.
@@ -38,6 +44,8 @@ class Options:
                 raise ValueError(f"unknown option: {k}")
         if values.get("scorer", "bic") not in splits.SCORERS:
             raise ValueError(f"scorer must be one of {splits.SCORERS}")
+        if values.get("bootstrap_unit", "auto") not in tables.UNITS:
+            raise ValueError(f"bootstrap_unit must be one of {tables.UNITS}")
         return cls(**values)
 
 
@@ -114,7 +122,7 @@ class Model:
 
     @cached_property
     def conditioned(self) -> DataFrame:
-        return self.scratch.keep(classes.conditioned(self.observations, self.sets, self.options.null_draws, self.options.seed, self.options.scorer, self.environments), "conditioned")
+        return self.scratch.keep(classes.conditioned(self.observations, self.sets, self.options.null_draws, self.options.seed, self.options.scorer, self.environments, self.options.charge), "conditioned")
 
     @property
     def segments(self) -> DataFrame:
@@ -138,6 +146,21 @@ class Model:
     def classes(self) -> DataFrame:
         return classes.buckets(self.observations)
 
+    @cached_property
+    def intervals(self) -> DataFrame:
+        """``tuple, low, high`` of unconditioned and conditioned classes, by drawing observation groups anew."""
+        rows = classes.pivot_rows(self.observations, self.sets, self.environments)
+        held = classes.conditioned_masses(rows, self.conditioned, ["set_id"])
+        found = tables.class_intervals(self.observations, self.options.bootstrap, sets=self.sets, unit=self.options.bootstrap_unit, conditioned=held, seed=self.options.seed)
+        return self.scratch.keep(found, "intervals")
+
+    @cached_property
+    def baseline(self) -> DataFrame | None:
+        """What training finds in shuffled copies of the corpus; None without permutations."""
+        if self.options.permutations < 1:
+            return None
+        return self.scratch.keep(baseline(null_models(self.sets, self.options.permutations, self.options)), "baseline")
+
     @property
     def events(self) -> DataFrame:
         return classes.events(self.conditioned)
@@ -184,16 +207,72 @@ def train_sets(sets: DataFrame, options: Options) -> Model:
     return Model(sets, options)
 
 
-def shuffled_sets(sets: DataFrame, replicates: int) -> DataFrame:
-    """``replicate`` copies of the corpus in which each lect's forms are dealt anew over the sets that have it, by a digest."""
-    from pyspark.sql import Window
+def shuffled_sets(sets: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
+    """``replicate`` copies of the corpus in which each lect's forms are dealt anew over the sets that have it, by a digest.
+
+    What belongs to a form (breaks, syllables) goes with it; a set's confidence and groups stay.
+    """
+    of_form = [c for c in ("segments", "breaks", "syllables") if c in sets.columns]
+    of_set = [c for c in sets.columns if c not in ("lect_id", *of_form)]
+    slot = draw(F.lit("slot"), F.concat_ws("|", "lect_id", "set_id"))
+    slots = dealt(sets.select("lect_id", *of_set), ["lect_id"], slot, "set_id", "place")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))).alias("replicate")
+    words = sets.select("lect_id", "set_id", *of_form, every)
+    own = draw(F.lit(seed), F.col("replicate"), F.concat_ws("|", "lect_id", "set_id"))
+    words = dealt(words, ["replicate", "lect_id"], own, "set_id", "place").drop("set_id")
+    return words.join(slots, ["lect_id", "place"]).drop("place")
+
+
+def null_models(sets: DataFrame, replicates: int, options: Options) -> Model:
+    """One training over all shuffled copies: a copy's number is part of its sets' and lects' names, so copies train side by side and never meet.
+
+    Searches aren't charged for their size: what they reach by chance is what is asked.
+    """
+    mixed = shuffled_sets(sets, replicates, options.seed)
+    number = F.col("replicate").cast("string")
+    named = {c: F.concat_ws("/", number, c) for c in ("set_id", "lect_id")}
+    named |= {c: F.when(F.col(c) != "", F.concat_ws("/", number, c)).otherwise(F.col(c)) for c in ("etymon_group", "source_group") if c in sets.columns}
+    mixed = mixed.withColumns(named).drop("replicate")
+    return Model(mixed, replace(options, permutations=0, null_draws=0, charge=False))
+
+
+def replicate_of(name: Column | str) -> Column:
+    return F.split_part(F.col(name) if isinstance(name, str) else name, F.lit("/"), F.lit(1)).cast("long")
+
+
+def null_runs(model: Model) -> DataFrame:
+    """``replicate, cost, unconditioned, conditioned``: mean cost per segment and numbers of classes of each shuffled copy of ``null_models``."""
+    costs = pairwise.set_costs(model.links).groupBy(replicate_of("set_id").alias("replicate")).agg(F.avg("cost").alias("cost"))
+    lect = F.split_part("tuple", F.lit("="), F.lit(1))
+    bare = model.classes.groupBy(replicate_of(lect).alias("replicate")).agg(F.count(F.lit(1)).alias("unconditioned"))
+    held = model.conditioned.groupBy(replicate_of("pivot_lect").alias("replicate")).agg(F.count(F.lit(1)).alias("conditioned"))
+    rows = costs.join(bare, "replicate", "left").join(held, "replicate", "left")
+    return rows.select("replicate", "cost", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("unconditioned", "conditioned")])
+
+
+QUANTILE = 0.95
+
+
+def baseline(model: Model) -> DataFrame:
+    """One row: ``runs, cost_mean, cost_sd, unconditioned_mean, conditioned_mean, search_margin``: what training finds where no forms correspond.
+
+    search_margin: the margin at place floor(0.95 n), from 0, of all n rules of the shuffled copies in order; null without rules.
+    """
+    runs = null_runs(model).agg(
+        F.count(F.lit(1)).alias("runs"), F.avg("cost").alias("cost_mean"), F.coalesce(F.stddev_samp("cost"), F.lit(0.0)).alias("cost_sd"),
+        F.avg("unconditioned").alias("unconditioned_mean"), F.avg("conditioned").alias("conditioned_mean"),
+    )
+    return runs.crossJoin(margin_at(model.conditioned, QUANTILE))
+
 
-    copies = sets.crossJoin(F.broadcast(sets.sparkSession.range(replicates).withColumnRenamed("id", "replicate")))
-    by = ["replicate", "lect_id"]
-    slots = copies.select(*by, "set_id", "confidence", F.row_number().over(Window.partitionBy(*by).orderBy("set_id")).alias("place"))
-    order = Window.partitionBy(*by).orderBy(draw(F.col("replicate"), F.concat_ws("|", "lect_id", "set_id")), "set_id")
-    words = copies.select(*by, "segments", F.row_number().over(order).alias("place"))
-    return slots.join(words, [*by, "place"]).drop("place")
+def margin_at(rules: DataFrame, quantile: float) -> DataFrame:
+    """``search_margin``: the margin at place floor(quantile * n); equal margins are counted first."""
+    counted = rules.groupBy("margin").agg(F.count(F.lit(1)).alias("n"))
+    # distinct margins of classes: as many rows as inventories and replicates give
+    upto = counted.select("margin", F.sum("n").over(Window.orderBy("margin")).alias("upto"))
+    n = rules.agg(F.count(F.lit(1)).alias("n"))
+    at = F.least(F.floor(F.lit(quantile) * F.col("n")), F.col("n") - 1)
+    return upto.crossJoin(F.broadcast(n)).where(F.col("upto") > at).agg(F.min("margin").alias("search_margin"))
 
 
 def null_costs(sets: DataFrame, replicates: int, max_chunk: int = 3) -> DataFrame:
@@ -201,4 +280,4 @@ def null_costs(sets: DataFrame, replicates: int, max_chunk: int = 3) -> DataFram
     mixed = shuffled_sets(sets, replicates).withColumn("set_id", F.concat_ws("/", F.col("replicate").cast("string"), "set_id"))
     pairs = pairwise.form_pairs(mixed).withColumn("lect_a", F.concat_ws("/", F.split_part("set_id", F.lit("/"), F.lit(1)), "lect_a"))
     costs = pairwise.set_costs(pairwise.aligned(pairs, max_chunk))
-    return costs.groupBy(F.split_part("set_id", F.lit("/"), F.lit(1)).cast("long").alias("replicate")).agg(F.avg("cost").alias("cost"))
+    return costs.groupBy(replicate_of("set_id").alias("replicate")).agg(F.avg("cost").alias("cost"))

@@ -9,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lautwerk.functions.features import distance
-from lautwerk.operators import alignment, classes, crossdim, lattice, pairwise
+from lautwerk.operators import alignment, classes, crossdim, lattice, pairwise, resampling, tables
+from lautwerk.operators.resampling import dealt
 from lautwerk.plans import render
-from lautwerk.plans.train import Options, train
+from lautwerk.plans.train import Model, Options, margin_at, null_models, null_runs, train
 from lautwerk.sources import corpus
 
 
@@ -306,3 +307,98 @@ def test_models_without_a_fold_predict_it(spark):
     full = pairwise.conditions(pairwise.single_links(pairwise.aligned(pairwise.form_pairs(sets), 1)), e.environments)
     told = {(r.side, r.pivot, r.partner): r.verdict for r in e.confirmed(full).collect()}
     assert told["source", "t", "t"] == "confirmed"
+
+
+def words_by_rule(spark, groups=False):
+    """Old and new: new has f for p before i, and z for s everywhere."""
+    rows = ["cognate_id\tlect_id\tsegments" + "\tetymon_group" * groups]
+    for k, word in enumerate(a + v + b + w for a in "pstk" for v in "iae" for b in "nsp" for w in "ia"):
+        new = [{"p": "f" if k + 1 < len(word) and word[k + 1] == "i" else "p", "s": "z"}.get(x, x) for k, x in enumerate(word)]
+        for lect, form in (("old", word), ("new", new)):
+            rows.append(f"w{k}\t{lect}\t{' '.join(form)}" + f"\t{'' if k % 4 == 3 else 'g' + str(k // 4)}" * groups)
+    return corpus.load_long(spark, text="\n".join(rows))
+
+
+def copies(seed, draw, unit):
+    """A group's multiplicity, counted plainly."""
+    import hashlib
+
+    piece = hashlib.md5(f"{seed}-{draw // 4}-{unit}".encode()).hexdigest()[8 * (draw % 4) :][:8]
+    return sum(int(piece, 16) >= t for t in resampling.STEPS)
+
+
+def test_hashed_draws_are_poisson_and_equal_plain_counting(spark):
+    rows = [(f"g{k % 300}", "x" if k % 3 else "y", float(k % 5)) for k in range(900)] + [(None, "x", 1.0)]
+    df = spark.createDataFrame(rows, "g string, label string, n double")
+    got = {(r.draw, r.label): r.mass for r in resampling.hashed_masses(df, "g", ["label"], "n", 10, 3).collect()}
+    assert len(got) == 20
+    for (draw, label), mass in got.items():
+        assert mass == sum(n * copies(3, draw, g or "") for g, x, n in rows if x == label)
+    many = [copies(0, d, k) for d in range(40) for k in range(500)]
+    assert abs(np.mean(many) - 1) < 0.03 and abs(np.var(many) - 1) < 0.05
+    assert resampling.hashed_rates(df.limit(0), "g", "label", "n", 10).count() == 0
+
+
+def test_units_of_drawing(spark):
+    sets = spark.createDataFrame([("a", "e", ""), ("b", "e", None), ("c", "", "q"), ("e", None, "q")], "set_id string, etymon_group string, source_group string")
+    unit = lambda u, s=sets: {r.set_id: r.unit for r in tables.units(s, u).collect()}
+    assert unit("auto") == unit("etymon_group") == {"a": "of:e", "b": "of:e", "c": "own:c", "e": "own:e"}
+    assert unit("source_group") == {"a": "own:a", "b": "own:b", "c": "of:q", "e": "of:q"}
+    assert unit("auto", sets.drop("etymon_group")) == unit("set") == {x: f"own:{x}" for x in "abce"}
+    with pytest.raises(ValueError):
+        tables.units(sets, "word")
+
+
+def test_intervals_of_both_kinds_of_classes(spark):
+    model = train(words_by_rule(spark, groups=True), Options(null_draws=9, bootstrap=40))
+    seen = [r.asDict(True) for r in model.observations.collect()]
+    rules = model.conditioned.collect()
+    assert any(r.outcome == "new=f" or r.outcome == "old=p" for r in rules)
+    held = {r.tuple: r.n for r in classes.conditioned_masses(classes.pivot_rows(model.observations, model.sets), model.conditioned, []).collect()}
+    for r in rules:
+        name = f"{r.pivot_lect}={r.pivot} ~ {r.outcome} / {r.environment}"
+        assert held[name] == pytest.approx(r["count"])
+    unit = {r.set_id: r.unit for r in tables.units(model.sets).collect()}
+    assert len(set(unit.values())) < len(unit)
+    got = {r.tuple: (r.low, r.high) for r in model.intervals.collect()}
+    assert set(held) <= set(got)
+    for name in sorted(set(got) - set(held)):
+        rates = []
+        for d in range(40):
+            mass = [(o["weight"] * copies(20260815, d, unit[o["set_id"]]), " ~ ".join(f"{m['lect']}={m['grapheme']}" for m in o["members"]) == name) for o in seen]
+            rates.append(sum(m for m, own in mass if own) / sum(m for m, _ in mass))
+        assert got[name] == pytest.approx(tuple(np.quantile(rates, (0.025, 0.975))))
+
+
+def test_baseline_of_shuffled_forms(spark):
+    options = Options(permutations=3, null_draws=9)
+    model = train(words_by_rule(spark), options)
+    mixed = null_models(model.sets, 3, options)
+    assert mixed.sets.count() == 3 * model.sets.count()
+    forms = lambda rows: sorted((r.lect_id.split("/")[-1], "".join(r.s)) for r in rows.select("lect_id", F.col("segments.grapheme").alias("s")).collect())
+    own = forms(model.sets)
+    for k in range(3):
+        assert forms(mixed.sets.where(F.startswith("set_id", F.lit(f"{k}/")))) == own
+    runs = null_runs(mixed).collect()
+    row = model.baseline.first()
+    assert row.runs == len(runs) == 3 and row.cost_mean == pytest.approx(np.mean([r.cost for r in runs])) and row.cost_sd == pytest.approx(np.std([r.cost for r in runs], ddof=1))
+    assert row.conditioned_mean == pytest.approx(np.mean([r.conditioned for r in runs])) and row.unconditioned_mean == pytest.approx(np.mean([r.unconditioned for r in runs]))
+    margins = sorted(r.margin for r in mixed.conditioned.collect())
+    assert row.search_margin == (margins[min(int(0.95 * len(margins)), len(margins) - 1)] if margins else None)
+    assert row.cost_mean > model.fit().first().cost_per_segment
+    assert Model(model.sets, Options()).baseline is None
+
+
+def test_places_of_dealing(spark):
+    df = spark.range(5000).select("id", (F.col("id") % 2).alias("g"), (F.xxhash64("id") % 500).alias("x"))
+    order = F.abs("x") * 8000000
+    got = dealt(df, ["g"], order, "id", "place", 6).toPandas()
+    for _, own in got.groupby("g"):
+        own = own.assign(k=own.x.abs()).sort_values(["k", "id"])
+        assert list(own.place) == list(range(len(own)))
+
+
+def test_margin_at_a_share(spark):
+    df = spark.createDataFrame([(float(k // 2),) for k in range(41)], "margin double")
+    assert margin_at(df, 0.95).first()[0] == sorted(k // 2 for k in range(41))[int(0.95 * 41)]
+    assert margin_at(df.limit(0), 0.95).first()[0] is None
