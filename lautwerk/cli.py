@@ -20,6 +20,8 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("--options", default="{}", help="training options as flat JSON")
         p.add_argument("--out", help="folder that Spark writes the lines to; else they are printed")
     commands.choices["train"].add_argument("--json", action="store_true")
+    for name in ("train", "align", "outliers"):
+        commands.choices[name].add_argument("--progress", action="store_true", help="stages of training on the error stream")
     for name in ("lect-a", "lect-b"):
         commands.choices["align"].add_argument(f"--{name}", help="only pairs of this lect")
     args = parser.parse_args(argv)
@@ -40,6 +42,8 @@ def main(argv: list[str] | None = None) -> int:
         corpus.unreadable(forms).show(50, truncate=False)
         return 0
     model = train(forms, Options.of(json.loads(args.options)))
+    if args.progress:
+        model.run(lambda stage, done, total: print(f"{done}/{total} {stage}", file=sys.stderr))
     if args.command == "outliers":
         model.outliers.show(20, truncate=False)
         return 0

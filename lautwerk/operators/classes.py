@@ -8,17 +8,18 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lautwerk.functions.features import features
 from lautwerk.operators.alignment import GAP
+from lautwerk.operators.contexts import described
 from lautwerk.operators.counts import published
 from lautwerk.operators.grouping import group_weights
 from lautwerk.operators.pairwise import word_environments
 
 # Gates of the search.
-MIN_IMMEDIATE, MIN_LONG, DOMINANT, DEPTH, MAX_COMMITS, DRAWS = 3, 5, 0.6, 3, 12, 99
+MIN_IMMEDIATE, MIN_LONG, DOMINANT, DEPTH, MAX_COMMITS, DRAWS, RIVALS = 3, 5, 0.6, 3, 12, 99, 8
 EPSILON = 1e-12
 
 
@@ -138,10 +139,8 @@ class Bucket:
             columns.append(own)
         return np.hstack(columns)
 
-    def best(self, live: np.ndarray) -> tuple[str, float] | None:
-        """The predicate of the least score below zero, with the charge for the search; gates first, ties by kind, mass and name."""
-        if not self.names:
-            return None
+    def scored(self, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each predicate's score with the charge for the search, and whether it passes all gates."""
         masses = self.masses(live)
         whole, inside = masses.sum(0), self.inside(masses)
         n_in, n_out = inside[:, 0], whole[0] - inside[:, 0]
@@ -163,25 +162,53 @@ class Bucket:
                 gain = gain + (k - 1) * math.log(max(2.0, n))
             delta, used = delta + np.where(both, gain, 0.0), used | both
         delta = delta + 2 * math.log(self.partitions)
-        ok &= used & (delta < -EPSILON) & (~self.long | (top >= DOMINANT))
-        if not ok.any():
-            return None
+        return delta, ok & used & (delta < -EPSILON) & (~self.long | (top >= DOMINANT))
+
+    def ordered(self, live: np.ndarray, delta: np.ndarray, ok: np.ndarray) -> list[int]:
+        """Predicates that pass, best first: by score, ties by kind, mass and name."""
         count = self.inside(live[:, None].astype(float))[:, 0]
-        won = min(np.flatnonzero(ok), key=lambda k: (round(delta[k], 9), self.long[k], int(count[k]), self.names[k]))
-        return self.names[won], float(delta[won])
+        return sorted(np.flatnonzero(ok), key=lambda k: (round(delta[k], 9), self.long[k], int(count[k]), self.names[k]))
 
-    def rules(self, depth: int = DEPTH, commits: int = MAX_COMMITS) -> list[tuple[list[str], np.ndarray, float]]:
-        """Decision list: commit what the best predicate holds, refined by further ones, and go on with the rest."""
+    def best(self, live: np.ndarray) -> tuple[str, float] | None:
+        """The predicate of the least score below zero."""
+        if not self.names:
+            return None
+        delta, ok = self.scored(live)
+        won = self.ordered(live, delta, ok)
+        return (self.names[won[0]], float(delta[won[0]])) if won else None
+
+    def rivals(self, live: np.ndarray, winner: str) -> tuple[list[str], list[str]]:
+        """Predicates at other slots than the winner's that would have been committed too: those that divide the live rows alike, and of those that divide them otherwise the strongest, one of each division."""
+        delta, ok = self.scored(live)
+        slot = lambda name: name.split(":", 1)[0]
+        mark = lambda h: np.packbits(h if h[0] else ~h).tobytes()
+        own = mark(self.held[self.names.index(winner)][live])
+        alike, others = [], {}
+        for k in self.ordered(live, delta, ok):
+            if slot(self.names[k]) != slot(winner):
+                division = mark(self.held[k][live])
+                if division == own:
+                    alike.append(self.names[k])
+                else:
+                    others.setdefault(division, self.names[k])
+        return alike, list(others.values())[:RIVALS]
+
+    def rules(self, depth: int = DEPTH, commits: int = MAX_COMMITS) -> list[tuple[list[str], np.ndarray, float, list[str], list[str]]]:
+        """Decision list: commit what the best predicate holds, refined by further ones, and go on with the rest.
+
+        Each with its tokens, rows, margin, and the rivals of its first predicate on what was left then.
+        """
         live, out, column = np.ones(len(self.weight), bool), [], dict(zip(self.names, self.held))
         while len(out) < commits:
             won = self.best(live)
             if won is None:
                 break
             tokens, inside, margin = [won[0]], live & column[won[0]], -won[1]
+            alike, others = self.rivals(live, won[0])
             while len(tokens) < depth and (more := self.best(inside)):
                 tokens.append(more[0])
                 inside = inside & column[more[0]]
-            out.append((sorted(tokens), inside, margin))
+            out.append((sorted(tokens), inside, margin, alike, others))
             live = live & ~inside
         return out
 
@@ -251,7 +278,7 @@ def _top(codes: np.ndarray, weight: np.ndarray, at: np.ndarray) -> float:
     return float(np.bincount(codes[ok], weight[ok]).max() / weight[ok].sum()) if ok.any() else 0.0
 
 
-RULES = "pivot_lect string, pivot string, decision int, environment string, outcome string, count double, rate double, contrast_count double, contrast_rate double, margin double, p_value double, standing string"
+RULES = "pivot_lect string, pivot string, decision int, environment string, outcome string, count double, rate double, contrast_count double, contrast_rate double, margin double, p_value double, standing string, alike array<string>, rivals array<string>"
 
 
 def pivot_rows(observations: DataFrame, sets: DataFrame, held: DataFrame | None = None) -> DataFrame:
@@ -322,7 +349,7 @@ def searched(rows: DataFrame, draws: int = DRAWS, seed: int = 20260815, depth: i
         least = max(2, math.ceil(0.5 * math.log2(bucket.weight.sum() + 1)))
         texts = np.array([" ".join(f"{lect}={g}" for lect, g in sorted(o.items())) for o in bucket.outcomes])
         out = []
-        for k, (tokens, inside, margin) in enumerate(found):
+        for k, (tokens, inside, margin, alike, others) in enumerate(found):
             mass, rest = bucket.weight[inside].sum(), bucket.weight[~inside].sum()
             p = (1 + (null >= margin).sum()) / (len(null) + 1)
             for text in sorted(set(texts[inside])):
@@ -330,14 +357,14 @@ def searched(rows: DataFrame, draws: int = DRAWS, seed: int = 20260815, depth: i
                 rate, other = n / mass, m / rest if rest else 0.0
                 if n >= least and rate > other:
                     standing = "above_noise" if p <= 0.05 and n >= 8 else "within_noise"
-                    out.append((*key, k, ";".join(tokens), text, n, rate, m, other, margin, p, standing))
+                    out.append((*key, k, ";".join(tokens), text, n, rate, m, other, margin, p, standing, alike, others))
         return pd.DataFrame(out, columns=names)
 
     return rows.groupBy("pivot_lect", "pivot").applyInPandas(kernel, RULES)
 
 
 def changes(rules: DataFrame) -> DataFrame:
-    """Conditioned classes as changes: ``lect, class_id, input, outcome, environment, displacement, count, margin, delta`` (arrays of tokens)."""
+    """Conditioned classes as changes: ``lect, class_id, input, outcome, environment, displacement, count, margin, delta, alike, rivals`` (arrays of tokens)."""
 
     @F.pandas_udf("array<string>")
     def moved(inputs: pd.Series, outcomes: pd.Series) -> pd.Series:
@@ -351,19 +378,34 @@ def changes(rules: DataFrame) -> DataFrame:
     rows = rules.withColumns({"class_id": F.row_number().over(order).cast("long") - 1, "to": F.regexp_extract("outcome", "=([^ ]*)$", 1)})
     return rows.select(
         F.col("pivot_lect").alias("lect"), "class_id", F.col("pivot").alias("input"), F.col("to").alias("outcome"), F.split("environment", ";").alias("environment"),
-        moved("pivot", "to").alias("displacement"), "count", "margin", (-F.col("margin")).alias("delta"),
+        moved("pivot", "to").alias("displacement"), "count", "margin", (-F.col("margin")).alias("delta"), "alike", "rivals",
     )
 
 
-def events(rules: DataFrame) -> DataFrame:
-    """Proposed changes of the conditioned classes: groups whose members all agree, with their pooled count and weakest evidence."""
+def events(rules: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    """Proposed changes of the conditioned classes: groups whose members all agree, with their pooled count and weakest evidence.
+
+    environment, alike, rivals: what every member states, so a group may be
+    pinned down better than its members.  With the corpus's sets, also name: the
+    features that tell a group's inputs from the rest of the lect's inventory,
+    null where none do.
+    """
     from lautwerk.operators import events as proposing
 
+    by = ["lect", "axis", "group"]
     rows = changes(rules)
-    members = proposing.proposed(rows).join(rows, ["lect", "class_id"])
-    out = proposing.built(members, ["lect", "axis", "group"])
-    common = proposing.shared(members.select("lect", "axis", "group", "class_id", "environment"), ["lect", "axis", "group"], "environment")
-    return out.join(common.select("lect", "axis", "group", F.array_join("shared", ";").alias("environment")), ["lect", "axis", "group"]).drop("group")
+    members = proposing.proposed(rows.drop("alike", "rivals")).join(rows, ["lect", "class_id"])
+    out = proposing.built(members, by)
+    for column, text in (("environment", ";"), ("alike", ";"), ("rivals", ";")):
+        common = proposing.shared(members.select(*by, "class_id", column), by, column)
+        out = out.join(common.select(*by, F.array_join("shared", text).alias(column)), by)
+    if sets is not None:
+        seen = sets.select(F.col("lect_id").alias("lect"), F.explode("segments.grapheme").alias("grapheme")).distinct()
+        inventory = seen.join(described(seen), "grapheme").select("lect", "grapheme", "features")
+        named = members.select("lect", F.concat_ws("/", "axis", F.col("group").cast("string")).alias("group"), F.col("input").alias("grapheme")).distinct()
+        names = proposing.natural_class(named, inventory, ["lect"]).select("lect", F.split_part("group", F.lit("/"), F.lit(1)).alias("axis"), F.split_part("group", F.lit("/"), F.lit(2)).cast("long").alias("group"), "name")
+        out = out.join(names, by, "left")
+    return out.drop("group")
 
 
 def cost_outliers(costs: DataFrame) -> DataFrame:

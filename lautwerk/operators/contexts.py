@@ -34,8 +34,8 @@ def described(graphemes: DataFrame, column: str = "grapheme") -> DataFrame:
     return graphemes.select(F.col(column).alias("grapheme")).distinct().withColumn("f", look("grapheme")).select("grapheme", "f.*")
 
 
-def nuclei(scores: Column, syllabic: Column) -> Column:
-    """Places of syllabic segments, vowels, and strict peaks from liquids up; without any, the first of the loudest."""
+def own_nuclei(scores: Column, syllabic: Column) -> Column:
+    """Places of syllabic segments, vowels, and strict peaks from liquids up."""
     n = F.size(scores)
     at = lambda k: F.element_at(scores, k + 1)
 
@@ -44,7 +44,12 @@ def nuclei(scores: Column, syllabic: Column) -> Column:
         left, right = F.when(k == 0, True).otherwise(F.try_element_at(scores, F.greatest(k, F.lit(1))) < s), F.coalesce(F.try_element_at(scores, k + 2) < s, F.lit(True))
         return (s >= 6) | F.element_at(syllabic, k + 1) | ((s >= 4) & left & right)
 
-    own = F.filter(F.sequence(F.lit(0), n - 1), holds)
+    return F.filter(F.sequence(F.lit(0), n - 1), holds)
+
+
+def nuclei(scores: Column, syllabic: Column) -> Column:
+    """Nuclei of a word; without any of its own, the first of the loudest segments."""
+    own = own_nuclei(scores, syllabic)
     return F.when(F.size(own) > 0, own).otherwise(F.array((F.array_position(scores, F.array_max(scores)) - 1).cast("int")))
 
 
@@ -70,6 +75,20 @@ def syllabified(words: DataFrame) -> DataFrame:
     return out.withColumn("starts", F.when(F.size(F.coalesce(inner, F.array().cast("array<int>"))) > 0, inner).otherwise(breaks(F.col("scores"), F.col("tops"))))
 
 
+def syllable_counts(sets: DataFrame) -> DataFrame:
+    """One row: ``syllabified, inferred``: forms that have syllables (any but the empty), and those whose nucleus is only their loudest segment.
+
+    A form that comes with its syllables infers nothing.  Distinct words are looked at once.
+    """
+    rows = sets.where(F.size("segments") > 0).groupBy(F.xxhash64("segments", "syllables").alias("word")).agg(
+        F.first("segments").alias("s"), F.first("syllables").alias("given"), F.count(F.lit(1)).alias("forms")
+    )
+    rows = syllabified(rows.select("word", F.col("s.grapheme").alias("graphemes"), "given", "forms"))
+    bare = (F.size(own_nuclei(F.col("scores"), F.col("syllabic"))) == 0) & (F.size(F.coalesce("given", F.array().cast("array<int>"))) == 0)
+    zero = F.lit(0).cast("long")
+    return rows.agg(F.coalesce(F.sum("forms"), zero).alias("syllabified"), F.coalesce(F.sum(F.when(bare, F.col("forms"))), zero).alias("inferred"))
+
+
 def placed(words: DataFrame) -> DataFrame:
     """``word, pos, grapheme, n, syllable, syllables, top, first, last`` and names of place: position, role, in_word (the syllable's).
 

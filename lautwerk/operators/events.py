@@ -52,23 +52,24 @@ def without_conditioned(classes: DataFrame, conditioned: DataFrame, keys: list[s
     return classes.join(marks, keys, "left_semi"), classes.join(marks, keys, "left_anti")
 
 
-def natural_class(members: DataFrame, inventory: DataFrame) -> DataFrame:
-    """``group, name``: the features that all members of a group have and nothing else of the inventory: one, or else the first pair.
+def natural_class(members: DataFrame, inventory: DataFrame, within: list[str] = ()) -> DataFrame:
+    """``within.., group, name``: the features that all members of a group have and nothing else of the inventory: one, or else the first pair.
 
-    ``members(group, grapheme)``, ``inventory(grapheme, features)``; without such features a group has no row.
+    ``members(within.., group, grapheme)``, ``inventory(within.., grapheme, features)``; without such features a group has no row.
     """
-    held = members.join(inventory, "grapheme")
-    size = members.groupBy("group").agg(F.count_distinct("grapheme").alias("m"))
-    common = held.select("group", "grapheme", F.explode("features").alias("feature")).distinct().groupBy("group", "feature").agg(F.count(F.lit(1)).alias("n"))
-    common = common.join(size, "group").where("n = m").select("group", "feature", "m")
-    spread = inventory.select("grapheme", F.explode("features").alias("feature"))
-    total = spread.groupBy("feature").agg(F.count(F.lit(1)).alias("k"))
-    one = common.join(total, "feature").where("k = m").groupBy("group").agg(F.min("feature").alias("name"))
-    b = common.select("group", F.col("feature").alias("g"))
-    pairs = common.select("group", F.col("feature").alias("f"), "m").join(b, "group").where("f < g")
-    both = spread.withColumnRenamed("feature", "f").join(spread.withColumnRenamed("feature", "g"), "grapheme").groupBy("f", "g").agg(F.count(F.lit(1)).alias("k"))
-    two = pairs.join(both, ["f", "g"]).where("k = m").groupBy("group").agg(F.min(F.concat_ws("+", "f", "g")).alias("pair"))
-    return one.join(two, "group", "full").select("group", F.coalesce("name", "pair").alias("name"))
+    by = [*within, "group"]
+    held = members.join(inventory, [*within, "grapheme"])
+    size = members.groupBy(*by).agg(F.count_distinct("grapheme").alias("m"))
+    common = held.select(*by, "grapheme", F.explode("features").alias("feature")).distinct().groupBy(*by, "feature").agg(F.count(F.lit(1)).alias("n"))
+    common = common.join(size, by).where("n = m").select(*by, "feature", "m")
+    spread = inventory.select(*within, "grapheme", F.explode("features").alias("feature"))
+    total = spread.groupBy(*within, "feature").agg(F.count(F.lit(1)).alias("k"))
+    one = common.join(total, [*within, "feature"]).where("k = m").groupBy(*by).agg(F.min("feature").alias("name"))
+    b = common.select(*by, F.col("feature").alias("g"))
+    pairs = common.select(*by, F.col("feature").alias("f"), "m").join(b, by).where("f < g")
+    both = spread.withColumnRenamed("feature", "f").join(spread.withColumnRenamed("feature", "g"), [*within, "grapheme"]).groupBy(*within, "f", "g").agg(F.count(F.lit(1)).alias("k"))
+    two = pairs.join(both, [*within, "f", "g"]).where("k = m").groupBy(*by).agg(F.min(F.concat_ws("+", "f", "g")).alias("pair"))
+    return one.join(two, by, "full").select(*by, F.coalesce("name", "pair").alias("name"))
 
 
 def built(members: DataFrame, by: list[str]) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, fields, replace
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lautwerk.operators import chunks, classes, counts, crossdim, pairwise, splits, tables
+from lautwerk.operators import chunks, classes, contexts, counts, crossdim, pairwise, splits, tables
 from lautwerk.operators.graph import Scratch
 from lautwerk.operators.resampling import dealt, draw
 from lautwerk.sources import corpus
@@ -49,14 +52,57 @@ class Options:
         return cls(**values)
 
 
+class Cancelled(RuntimeError):
+    """A run that was ended by its progress function or by ``cancel``, in or after the stage named."""
+
+
 class Model:
     """Tables of a run.  What several of them read is written into the shared folder once; the rest is computed when it is read."""
 
     def __init__(self, sets: DataFrame, options: Options):
         self.options = options
         self.scratch = Scratch(sets.sparkSession, "train")
+        self.tag = f"train-{uuid.uuid4().hex}"
+        self._stop = threading.Event()
         self.sets = self.scratch.keep(sets, "sets")
 
+    @property
+    def stages(self) -> list[str]:
+        """Names of the tables that a run writes, in their order."""
+        out = ["pairs", "models", "first_links", "environments", "singles", "pair_rules", "cross", "links", "observations", "conditioned"]
+        skipped = () if self.options.feedback else ("singles", "pair_rules", "cross")
+        return [s for s in out if s not in skipped] + ["baseline"] * (self.options.permutations > 0)
+
+    def run(self, progress: Callable[[str, int, int], bool | None] | None = None) -> Model:
+        """Write all tables, stage by stage.
+
+        progress: called after each with its name, its number and how many there
+        are; what it returns as true cancels the run.  Stages that are written stay, so
+        another run goes on from there.
+        """
+        context = self.sets.sparkSession.sparkContext
+        self._stop.clear()
+        for done, name in enumerate(self.stages, 1):
+            context.addJobTag(self.tag)
+            try:
+                getattr(self, name)
+            except Exception as error:
+                if self._stop.is_set():
+                    raise Cancelled(name) from error
+                raise
+            finally:
+                context.removeJobTag(self.tag)
+            if progress is not None and progress(name, done, len(self.stages)):
+                self._stop.set()
+            if self._stop.is_set():
+                raise Cancelled(name)
+        return self
+
+    def cancel(self) -> None:
+        """End a run from another thread: its jobs are cancelled by their tag, other jobs of the session go on."""
+        self._stop.set()
+        self.sets.sparkSession.sparkContext.cancelJobsWithTag(self.tag)
+
     @cached_property
     def pairs(self) -> DataFrame:
         return self.scratch.keep(pairwise.form_pairs(self.sets), "pairs")
@@ -163,19 +209,19 @@ class Model:
 
     @property
     def events(self) -> DataFrame:
-        return classes.events(self.conditioned)
+        return classes.events(self.conditioned, self.sets)
 
     @property
     def outliers(self) -> DataFrame:
         return classes.cost_outliers(pairwise.set_costs(self.links))
 
     def fit(self) -> DataFrame:
-        """One row: lects, sets, pairs, mean cost per segment, and the share of classes above noise."""
+        """One row: lects, sets, pairs, mean cost per segment, numbers of rules and of those above noise, of forms with syllables and of those whose nucleus was inferred."""
         costs = pairwise.set_costs(self.links)
         one = self.sets.agg(F.count_distinct("lect_id").alias("lects"), F.count_distinct("set_id").alias("sets"))
         cost = costs.agg(F.avg("cost").alias("cost_per_segment"), F.sum("pairs").alias("pairs"))
         rules = self.conditioned.agg(F.count(F.lit(1)).alias("rules"), F.count_if(F.col("standing") == "above_noise").alias("above_noise"))
-        return one.crossJoin(cost).crossJoin(rules)
+        return one.crossJoin(cost).crossJoin(rules).crossJoin(contexts.syllable_counts(self.sets))
 
     def provenance(self) -> dict:
         """Options and an order-free checksum of the corpus: a sum of row hashes, to which equal rows add up."""

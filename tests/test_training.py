@@ -8,11 +8,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lautwerk.functions.features import distance
-from lautwerk.operators import alignment, classes, crossdim, lattice, pairwise, resampling, tables
+from lautwerk.functions.features import distance, features
+from lautwerk.operators import alignment, classes, contexts, crossdim, lattice, pairwise, resampling, tables
 from lautwerk.operators.resampling import dealt
 from lautwerk.plans import render
-from lautwerk.plans.train import Model, Options, margin_at, null_models, null_runs, train
+from lautwerk.plans.train import Cancelled, Model, Options, margin_at, null_models, null_runs, train
 from lautwerk.sources import corpus
 
 
@@ -402,3 +402,76 @@ def test_margin_at_a_share(spark):
     df = spark.createDataFrame([(float(k // 2),) for k in range(41)], "margin double")
     assert margin_at(df, 0.95).first()[0] == sorted(k // 2 for k in range(41))[int(0.95 * 41)]
     assert margin_at(df.limit(0), 0.95).first()[0] is None
+
+
+def test_rivals_of_a_rule():
+    """Where two slots state one division, each is the other's double; a weaker division elsewhere is a rival."""
+    tokens, outcomes = [], []
+    for k in range(120):
+        front = k % 2 == 0
+        own = {"following:front" if front else "following:back", "following:vowel"}
+        own |= {"stress:yes"} if front else set()
+        own |= {"preceding:nasal"} if k % 2 == 0 and k % 10 or k % 30 == 1 else set()
+        tokens.append(frozenset(own))
+        outcomes.append({"new": "x" if front else "y"})
+    bucket = classes.Bucket(tokens, outcomes, np.ones(120))
+    (first, *_) = bucket.rules()
+    tokens, inside, margin, alike, rivals = first
+    assert inside.sum() == 60 and margin > 0
+    slot = tokens[0].split(":")[0]
+    assert {t.split(":")[0] for t in alike} == {"following", "stress"} - {slot}
+    assert rivals == ["preceding:nasal"]
+
+
+def test_events_keep_what_all_members_share(spark):
+    model = train(words_by_rule(spark), Options(null_draws=9))
+    rules = spark.createDataFrame(
+        [("old", "p", 0, "following:i", "new=f", ["stress:a", "word:b"], ["preceding:n"]), ("old", "t", 0, "following:i", "new=s", ["word:b"], ["preceding:n", "preceding:m"]), ("old", "k", 0, "following:i", "new=x", ["word:b"], [])],
+        "pivot_lect string, pivot string, decision int, environment string, outcome string, alike array<string>, rivals array<string>",
+    ).withColumns({"count": F.lit(9.0), "margin": F.lit(5.0)})
+    row = classes.events(rules, model.sets).where("axis = 'environment'").first()
+    assert row.inputs == "k,p,t" and row.environment == "following:i" and row.alike == "word:b" and row.rivals == "" and row["count"] == 27.0
+    # of old's inventory p t k s n i a e, what p t k have alone
+    inventory = {g: features(g) for g in "ptksniae"}
+    common = set.intersection(*[set(inventory[g]) for g in "ptk"])
+    alone = sorted(f for f in common if not any(f in inventory[g] for g in "sniae"))
+    pairs = sorted(f"{a}+{b}" for a, b in itertools.combinations(sorted(common), 2) if not any({a, b} <= set(inventory[g]) for g in "sniae"))
+    assert row.name == (alone or pairs or [None])[0]
+    assert {"alike", "rivals", "name"} <= set(model.events.columns) and model.events.count() >= 0
+
+
+def test_progress_and_cancelling(spark):
+    import threading
+    import time
+
+    seen = []
+    model = train(words_by_rule(spark), Options(null_draws=9, feedback=False))
+    assert model.run(lambda *x: seen.append(x)) is model
+    assert [s for s, _, _ in seen] == model.stages and [d for _, d, _ in seen] == list(range(1, len(seen) + 1)) and {n for _, _, n in seen} == {len(seen)}
+    again = train(words_by_rule(spark), Options(null_draws=9))
+    with pytest.raises(Cancelled, match="pairs"):
+        again.run(lambda stage, done, total: True)
+    assert "models" not in again.__dict__
+    ended = []
+
+    def work():
+        try:
+            again.run()
+        except Cancelled as error:
+            ended.append(error)
+
+    thread = threading.Thread(target=work)
+    thread.start()
+    time.sleep(1.5)
+    again.cancel()
+    thread.join(120)
+    assert ended and not thread.is_alive()
+    assert spark.range(5).count() == 5
+
+
+def test_counts_of_syllables(spark):
+    forms = [("a", "p a"), ("b", "p s t"), ("c", "p s t"), ("d", "k a t a")]
+    rows = corpus.load_long(spark, text="cognate_id\tlect_id\tsegments\n" + "\n".join(f"{c}\t{lect}\t{f}" for c, f in forms for lect in ("x", "y")))
+    sets = corpus.publish(rows, 2)
+    assert tuple(contexts.syllable_counts(sets).first()) == (8, 4)
+    assert tuple(contexts.syllable_counts(sets.limit(0)).first()) == (0, 0)
