@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lautwerk.operators.graph import ranked
+
 #: Draws that one digest serves, by eight of its hexadecimal digits each.
 PER_DIGEST = 4
 #: A number below 2**32 stands for as many copies as it reaches of these: the distribution function of a Poisson variable of mean one.
@@ -22,13 +24,13 @@ def draw(*parts: Column) -> Column:
 def bootstrap_rates(counts: DataFrame, group: str, label: str, n: str, draws: int) -> DataFrame:
     """``draw, label, rate``: rates of labels when groups are drawn with replacement.
 
-    ``counts`` has a row for each (group, label); groups are numbered by their
-    order.  A draw is a multiplicity for each group, so rows aren't copied.
+    ``counts`` has a row for each (group, label); groups are longs, numbered by
+    their order.  A draw is a multiplicity for each group, so rows aren't copied.
     Numbers need the order of all groups; ``hashed_rates`` needs none.
     """
     spark = counts.sparkSession
     groups = counts.select(group).distinct()
-    numbered = groups.select(group, (F.row_number().over(Window.orderBy(group)) - 1).alias("place"))
+    numbered = ranked(groups, group)
     size = groups.agg(F.count(F.lit(1)).alias("groups"))
     picks = numbered.crossJoin(F.broadcast(spark.range(draws).withColumnRenamed("id", "draw"))).crossJoin(F.broadcast(size))
     picks = picks.select("draw", (draw(F.col("draw"), F.col("place")) % F.col("groups")).alias("place"))

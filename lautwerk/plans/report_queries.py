@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lautwerk.functions.features import features
-from lautwerk.operators import classes, counts, crossdim, pairwise, tables
+from lautwerk.functions.features import features, is_syllabic, sonority
+from lautwerk.operators import classes, contexts, counts, crossdim, pairwise, tables
 from lautwerk.operators.graph import Scratch
 from lautwerk.plans import render
 from lautwerk.plans.queries import C_SQL, PREDICATES, intervals_sql, lines_of_x, query, r6, read, words_of_c
@@ -45,6 +45,8 @@ _RULE_C = f"""
   w0 AS (SELECT p_partkey || '-' || k AS id, CASE k WHEN 'one' THEN one ELSE two END AS w FROM ({C_SQL}), (VALUES ('one'), ('two')) t(k)), p0 AS (SELECT id, w, unnest(range(1, length(w) + 1)) AS i FROM w0),
   m AS (SELECT id, i, w[i] AS o, CASE WHEN w[i] = 'l' AND i < length(w) AND contains('aeiou', w[i + 1]) THEN 'r' ELSE w[i] END AS n FROM p0)"""
 
+_LETTER_SCORES = "(VALUES " + ", ".join(f"('{g}', {sonority(g)}, {str(is_syllabic(g)).lower()})" for g in "abcdefghijklmnopqrstuvwxyzɾ") + ") v(g, s, y)"
+
 _MODELS: dict = {}
 
 
@@ -84,6 +86,17 @@ def class_intervals(spark, d):
     return rows.select("tuple", r6("low").alias("low"), r6("high").alias("high"))
 
 
+@query(f"""
+WITH {_RULE}, f AS (SELECT id, 'old' AS lect, list(o ORDER BY i) AS gs FROM m GROUP BY 1 UNION ALL SELECT id, 'new', list(n ORDER BY i) FROM m GROUP BY 1 UNION ALL SELECT id, 'mid', list(d ORDER BY i) FROM m GROUP BY 1),
+p AS (SELECT id, lect, i, s, y, lag(s) OVER w AS before, lead(s) OVER w AS after FROM (SELECT id, lect, unnest(gs) AS g, unnest(range(len(gs))) AS i FROM f) JOIN {_LETTER_SCORES} USING (g) WINDOW w AS (PARTITION BY id, lect ORDER BY i)),
+w AS (SELECT id, lect, bool_or(s >= 6 OR y OR (s >= 4 AND (before IS NULL OR before < s) AND (after IS NULL OR after < s))) AS own FROM p GROUP BY 1, 2)
+SELECT CAST(count(*) AS BIGINT) AS syllabified, CAST(count(*) FILTER (NOT own) AS BIGINT) AS inferred FROM w
+""")
+def syllable_fit(spark, d):
+    """Forms of the training corpus that have syllables, and those whose nucleus is only their loudest segment."""
+    return contexts.syllable_counts(_model(spark, d).sets)
+
+
 @query()
 def shuffle_baseline(spark, d):
     """What training finds in two copies of the corpus whose forms are dealt anew: costs, numbers of classes, the margin that chance reaches."""

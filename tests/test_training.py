@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lautwerk.functions.features import distance, features
-from lautwerk.operators import alignment, classes, contexts, crossdim, lattice, pairwise, resampling, tables
+from lautwerk.operators import alignment, classes, contexts, crossdim, lattice, outliers, pairwise, resampling, tables
 from lautwerk.operators.resampling import dealt
 from lautwerk.plans import render
 from lautwerk.plans.train import Cancelled, Model, Options, margin_at, null_models, null_runs, train
@@ -475,3 +475,21 @@ def test_counts_of_syllables(spark):
     sets = corpus.publish(rows, 2)
     assert tuple(contexts.syllable_counts(sets).first()) == (8, 4)
     assert tuple(contexts.syllable_counts(sets.limit(0)).first()) == (0, 0)
+
+
+def test_cut_of_costs_against_all_cuts(spark):
+    rng = random.Random(3)
+    groups = {"ties": [1.0, 1.0, 1.0, 5.0, 5.0, 9.0], "same": [2.0] * 5, "two": [1.0, 4.0], "twice": [3.0, 3.0], "one": [7.0], "long": [round(rng.gauss(0, 1) + 6 * (rng.random() < 0.3), 1) for _ in range(400)]}
+    df = spark.createDataFrame([(g, c) for g, cs in groups.items() for c in cs] + [("ties", None)], "g string, c double")
+    got = {r.g: (r.n, r.separation, r.above) for r in outliers.cost_split(df, "g", "c").collect()}
+    assert set(got) == set(groups) - {"one"}
+    for g, cs in groups.items():
+        cs, n = sorted(cs), len(cs)
+        if n < 2:
+            continue
+        square = lambda x: float(((np.array(x) - np.mean(x)) ** 2).sum())
+        k = min(range(1, n), key=lambda k: (round(square(cs[:k]) + square(cs[k:]), 9), k))
+        within = square(cs[:k]) + square(cs[k:])
+        want = (np.mean(cs[k:]) - np.mean(cs[:k])) / math.sqrt(within / (n - 2)) if n >= 4 and within > 1e-12 else 0.0
+        assert got[g] == pytest.approx((n, want, (n - k) / n if n >= 4 else 0.0))
+    assert outliers.cost_split(df.limit(0), "g", "c").count() == 0
