@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lautwerk.functions.features import features
+from lautwerk.operators import splits
 from lautwerk.operators.alignment import GAP
 from lautwerk.operators.contexts import described
 from lautwerk.operators.counts import published
@@ -281,20 +282,20 @@ def _top(codes: np.ndarray, weight: np.ndarray, at: np.ndarray) -> float:
 RULES = "pivot_lect string, pivot string, decision int, environment string, outcome string, count double, rate double, contrast_count double, contrast_rate double, margin double, p_value double, standing string, alike array<string>, rivals array<string>"
 
 
-def pivot_rows(observations: DataFrame, sets: DataFrame, held: DataFrame | None = None) -> DataFrame:
-    """``set_id, pivot_lect, pivot, tokens, sisters, weight``: each position with a sister's symbol, as a pivot in its environment.
+def pivot_rows(observations: DataFrame, sets: DataFrame, held: DataFrame | None = None, keep: list[str] = ()) -> DataFrame:
+    """``set_id, pivot_lect, pivot, tokens, sisters, weight, keep..``: each position with a sister's symbol, as a pivot in its environment.
 
-    Environments are looked up by distinct words.
+    Environments are looked up by distinct words; keep: further columns of the observations.
     """
     form = F.xxhash64("segments", "breaks", "syllables")
     held = word_environments(sets) if held is None else held
-    rows = observations.select("set_id", "weight", "members", F.explode("members").alias("m")).where(F.col("m.pos") >= 0)
-    rows = rows.select("set_id", "weight", F.col("m.lect").alias("pivot_lect"), F.col("m.pos").alias("pos"), F.col("m.grapheme").alias("pivot"), "members")
+    rows = observations.select("set_id", "weight", "members", *keep, F.explode("members").alias("m")).where(F.col("m.pos") >= 0)
+    rows = rows.select("set_id", "weight", *keep, F.col("m.lect").alias("pivot_lect"), F.col("m.pos").alias("pos"), F.col("m.grapheme").alias("pivot"), "members")
     named = sets.select("set_id", F.col("lect_id").alias("pivot_lect"), form.alias("word"))
     rows = rows.join(named, ["set_id", "pivot_lect"]).join(held, ["word", "pos"])
     sisters = F.filter("members", lambda m: (m["lect"] != F.col("pivot_lect")) & (m["grapheme"] != GAP))
     rows = rows.withColumn("sisters", F.transform(sisters, lambda m: F.struct(m["lect"].alias("lect"), m["grapheme"].alias("grapheme")))).where("size(sisters) > 0")
-    return rows.select("set_id", "pivot_lect", "pivot", "tokens", "sisters", "weight")
+    return rows.select("set_id", "pivot_lect", "pivot", "tokens", "sisters", "weight", *keep)
 
 
 def conditioned(observations: DataFrame, sets: DataFrame, draws: int = DRAWS, seed: int = 20260815, scorer: str = "bic", held: DataFrame | None = None, charge: bool = True) -> DataFrame:
@@ -302,12 +303,11 @@ def conditioned(observations: DataFrame, sets: DataFrame, draws: int = DRAWS, se
     return searched(pivot_rows(observations, sets, held).drop("set_id"), draws, seed, scorer=scorer, charge=charge)
 
 
-def conditioned_masses(rows: DataFrame, rules: DataFrame, by: list[str]) -> DataFrame:
-    """``by.., tuple, n``: the mass of ``rows`` (``pivot_rows``) that each conditioned class holds.
+def decided(rows: DataFrame, rules: DataFrame, by: list[str]) -> DataFrame:
+    """``by.., pivot_lect, pivot, decision, environment, outcome, n``: rows (``pivot_rows``) under the first decision of their pivot whose environment holds, where their outcome is published.
 
-    A position belongs to the first decision of its pivot whose environment
-    holds there.  Rows that agree are summed first; a pivot's decisions are at
-    most MAX_COMMITS, and meet them in one join.
+    Rows that agree are summed first; a pivot's decisions are at most
+    MAX_COMMITS, and meet them in one join.
     """
     rows = rows.groupBy(*by, "pivot_lect", "pivot", "tokens", "sisters").agg(F.sum("weight").alias("weight"))
     lists = rules.select("pivot_lect", "pivot", "decision", F.split("environment", ";").alias("environment")).distinct()
@@ -317,7 +317,35 @@ def conditioned_masses(rows: DataFrame, rules: DataFrame, by: list[str]) -> Data
     met = rows.join(lists, ["pivot_lect", "pivot"]).select(*by, "pivot_lect", "pivot", F.try_element_at(first, F.lit(1)).alias("d"), named.alias("outcome"), "weight")
     known = rules.select("pivot_lect", "pivot", "decision", "environment", "outcome")
     met = met.where("d is not null").withColumn("decision", F.col("d.decision")).join(known, ["pivot_lect", "pivot", "decision", "outcome"])
-    return met.groupBy(*by, conditioned_key().alias("tuple")).agg(F.sum("weight").alias("n"))
+    return met.groupBy(*by, "pivot_lect", "pivot", "decision", "environment", "outcome").agg(F.sum("weight").alias("n"))
+
+
+def conditioned_masses(rows: DataFrame, rules: DataFrame, by: list[str]) -> DataFrame:
+    """``by.., tuple, n``: the mass of ``rows`` (``pivot_rows``) that each conditioned class holds."""
+    return decided(rows, rules, by).groupBy(*by, conditioned_key().alias("tuple")).agg(F.sum("n").alias("n"))
+
+
+def merged_over_pivots(observations: DataFrame, sets: DataFrame, rules: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """``tuple, environments, splits, count, rate, contrast_count, contrast_rate, margin, p_value, standing``: conditioned classes, of which one found from several lects' pivots is one row.
+
+    Of splits with the same correspondence, a later one (by pivot, then
+    decision) whose observations an earlier one holds only restates it: its
+    environment joins the earlier's, its figures don't.  One that brings any
+    observation of its own stays by itself.  Observations are told apart by
+    words and places, so what is compared grows with the vocabulary.
+    """
+    form = F.xxhash64("segments", "breaks", "syllables")
+    forms = sets.groupBy("set_id").agg(F.xxhash64(F.array_sort(F.collect_list(F.struct("lect_id", form.alias("word"))))).alias("forms"))
+    seen = observations.join(forms, "set_id").withColumn("obs", F.xxhash64("forms", "members"))
+    key = F.array_join(F.array_sort(F.concat(F.split("outcome", " "), F.array(F.concat_ws("=", "pivot_lect", "pivot")))), " ~ ")
+    split = F.struct("pivot_lect", "pivot", "decision", "outcome")
+    rows = decided(pivot_rows(seen, sets, held, ["obs"]).drop("set_id"), rules, ["obs"]).select(key.alias("key"), split.alias("decision"), "obs")
+    into = splits.merged(rows).select("key", "decision", "into")
+    own = rules.withColumns({"key": key, "decision": split})
+    environments = own.select("key", "decision", "pivot_lect", "environment").join(into, ["key", "decision"])
+    environments = environments.groupBy("key", "into").agg(F.array_sort(F.collect_set(F.concat(F.col("pivot_lect"), F.lit("/"), F.col("environment")))).alias("environments"), F.count(F.lit(1)).alias("splits"))
+    figures = own.select("key", F.col("decision").alias("into"), "count", "rate", "contrast_count", "contrast_rate", "margin", "p_value", "standing")
+    return environments.join(figures, ["key", "into"]).withColumnRenamed("key", "tuple").drop("into")
 
 
 def conditioned_key() -> Column:

@@ -200,6 +200,11 @@ class Model:
         found = tables.class_intervals(self.observations, self.options.bootstrap, sets=self.sets, unit=self.options.bootstrap_unit, conditioned=held, seed=self.options.seed)
         return self.scratch.keep(found, "intervals")
 
+    @property
+    def merged(self) -> DataFrame:
+        """Conditioned classes in which what several lects' pivots found of one correspondence is one row."""
+        return classes.merged_over_pivots(self.observations, self.sets, self.conditioned, self.environments)
+
     @cached_property
     def baseline(self) -> DataFrame | None:
         """What training finds in shuffled copies of the corpus; None without permutations."""

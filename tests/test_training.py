@@ -9,10 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lautwerk.functions.features import distance, features
-from lautwerk.operators import alignment, classes, contexts, crossdim, lattice, outliers, pairwise, resampling, tables
+from lautwerk.operators import alignment, classes, contexts, crossdim, lattice, outliers, pairwise, resampling, splits, tables
 from lautwerk.operators.resampling import dealt
 from lautwerk.plans import render
-from lautwerk.plans.train import Cancelled, Model, Options, margin_at, null_models, null_runs, train
+from lautwerk.plans.train import Cancelled, Model, Options, margin_at, null_models, null_runs, train, train_sets
 from lautwerk.sources import corpus
 
 
@@ -493,3 +493,18 @@ def test_cut_of_costs_against_all_cuts(spark):
         want = (np.mean(cs[k:]) - np.mean(cs[:k])) / math.sqrt(within / (n - 2)) if n >= 4 and within > 1e-12 else 0.0
         assert got[g] == pytest.approx((n, want, (n - k) / n if n >= 4 else 0.0))
     assert outliers.cost_split(df.limit(0), "g", "c").count() == 0
+
+
+def test_splits_of_several_pivots_are_one_class(spark):
+    rows = words_by_rule(spark)
+    third = rows.where("lect_id = 'old'").withColumn("lect_id", F.lit("mid"))
+    model = train_sets(corpus.publish(rows.unionByName(third), 2), Options(null_draws=9))
+    found = {r.tuple: r for r in model.merged.where(F.contains("tuple", F.lit("new=f"))).collect()}
+    row = found["mid=p ~ new=f ~ old=p"]
+    assert [e.split("/")[0] for e in row.environments] == ["mid", "old"] and row.splits == 2
+    here = model.observations.where(F.exists("members", lambda m: m["grapheme"] == "f")).count()
+    assert row["count"] == here
+    assert model.merged.agg(F.sum("splits")).first()[0] == model.conditioned.count()
+    # one observation more in the later split, and it stays a class of its own
+    more = spark.createDataFrame([("k", d, o) for d, own in ((0, "abc"), (1, "ab"), (2, "abd")) for o in own], "key string, decision int, obs string")
+    assert {r.decision: r.into for r in splits.merged(more).collect()} == {0: 0, 1: 0, 2: 2}
