@@ -97,6 +97,12 @@ def syllable_fit(spark, d):
     return contexts.syllable_counts(_model(spark, d).sets)
 
 
+@query()
+def merged_classes(spark, d):
+    """Conditioned classes of the trained model, of which what several lects' pivots found is one."""
+    return _model(spark, d).merged
+
+
 @query()
 def shuffle_baseline(spark, d):
     """What training finds in two copies of the corpus whose forms are dealt anew: costs, numbers of classes, the margin that chance reaches."""
