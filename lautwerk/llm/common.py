@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lautwerk.operators.graph import Scratch, components, scratch_root
 
-__all__ = ["Scratch", "components", "cut_between", "fold", "labelled_sample", "scratch_root", "table", "texts_of"]
+__all__ = ["Scratch", "components", "cut_between", "fold", "labelled_sample", "scratch_root", "slices", "table", "texts_of"]
 
 
 def texts_of(texts, size: int = 256):
@@ -16,6 +16,13 @@ def texts_of(texts, size: int = 256):
         yield from texts.slice(k, size).to_pylist()
 
 
+def slices(batches, size: int = 256):
+    """Arrow batches, a few rows at a time, so that what is made of a batch isn't held together."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, size):
+            yield batch.slice(k, size)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

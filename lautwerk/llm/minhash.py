@@ -47,12 +47,14 @@ aren't looked at, whatever their names; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lautwerk.llm.common import Scratch, components, texts_of
+from lautwerk.llm.common import Scratch, components, slices, texts_of
 
 SHINGLE = 5
 #: A link needs 100 x intersection >= PERCENT x union.
@@ -370,16 +372,16 @@ def met_exactly(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``key, own``: the full sets of the classes wanted (a written table: key, doc_id of a member)."""
 
-    @F.arrow_udf("own array<long>, key long")
-    def full(texts: pa.Array) -> pa.Array:
-        own = [shingles(t) for t in texts_of(texts)]
-        return pa.StructArray.from_arrays(
-            [pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64())), pa.array([key_of(x) for x in own], pa.int64())], names=["own", "key"]
-        )
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in slices(batches):
+            sets = [(key, shingles(t)) for key, t in zip(some.column("key").to_pylist(), some.column("text").to_pylist())]
+            sets = [(key, own) for key, own in sets if key_of(own) == key]  # an id may stand for several texts
+            columns = [pa.array([key for key, _ in sets], pa.int64()), pa.array([own.view(np.int64) for _, own in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "own"])
 
     few = wanted.count() <= FETCH
-    met = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id").select("key", full(F.col("text")).alias("f"))
-    return met.where(F.col("key") == F.col("f.key")).select("key", "f.own")  # an id may stand for several texts
+    met = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id").select("key", "text")
+    return met.mapInArrow(full, "key long, own array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

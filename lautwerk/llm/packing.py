@@ -8,6 +8,8 @@ sequence has padding, as its length is a power of two.
 
 Tokens come from a tokenizer file.  Its vocabulary works on words apart, so
 each worker keeps the ids of the white-space chunks it has met.
+Pieces leave a worker as soon as a part of a batch is cut, so a batch's ids
+are never held together.
 
 Defined cases: a null or empty text has the end id only, one piece of length
 1; repeated rows are packed each; an empty table gives an empty result;
@@ -20,18 +22,23 @@ import os
 import re
 import zlib
 from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lautwerk.llm.common import slices
 
 CAPACITY = 4096
 END_ID = 2
 #: Chunks, and words without marks at their end, that a worker remembers before it starts anew.
 CACHE = 800_000
 #: Documents whose pieces are put together at once.
-PART = 1024
+PART = 256
+FIELDS = ("start", "length", "ids_crc32", "doc_tokens")
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _TOKENIZERS: dict = {}
@@ -91,6 +98,32 @@ def pieces(total: int, capacity: int = CAPACITY) -> list[int]:
     return out
 
 
+def cut(batches: Iterable[pa.RecordBatch], path: str, end_id: int, capacity: int, tokens: bool, cache: int) -> Iterator[pa.RecordBatch]:
+    """Pieces of ``batches(doc_id, text)``, those of a few documents at a time."""
+    close = np.array([end_id], "<u4").tobytes()
+    for few in slices(batches, PART):
+        start, length, crc, total, held, document = [], [], [], [], [], []
+        for d, ids in enumerate(words(path, cache).ids(few.column("text").to_pylist())):
+            ids += close
+            n, at = len(ids) // 4, 0
+            for size in pieces(n, capacity):
+                part = ids[4 * at : 4 * (at + size)]
+                document.append(d)
+                start.append(at)
+                length.append(size)
+                crc.append(zlib.crc32(part))
+                total.append(n)
+                at += size
+                if tokens:
+                    held.append(part)
+        columns = [few.column("doc_id").take(pa.array(document, pa.int32())), *[pa.array(c, pa.int64()) for c in (start, length, crc, total)]]
+        if tokens:
+            ends = np.concatenate([[0], np.cumsum(np.array(length, np.int64))]).astype(np.int32)
+            values = pa.array(np.frombuffer(b"".join(held), "<i4"), pa.int32())
+            columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values))
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *FIELDS, *(["tokens"] if tokens else [])])
+
+
 def packed(docs: DataFrame, path: str, end_id: int = END_ID, capacity: int = CAPACITY, tokens: bool = True, cache: int = CACHE) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, bucket, ids_crc32 and, if asked for, its ids.
 
@@ -98,45 +131,13 @@ def packed(docs: DataFrame, path: str, end_id: int = END_ID, capacity: int = CAP
     and the row's place in it; the order of rows within a partition is that of
     the input, so a task that is run again gives the same ids.
     """
-    close = np.array([end_id], "<u4").tobytes()
-    fields = "start long, length long, ids_crc32 long, doc_tokens long" + (", tokens array<int>" if tokens else "")
-
-    def rows_of(texts: list) -> pa.Array:
-        """Arrays of pieces of a few texts."""
-        start, length, crc, total, held, offsets = [], [], [], [], [], [0]
-        own = words(path, cache)
-        for k in range(0, len(texts), 256):
-            for ids in own.ids(texts[k : k + 256]):
-                ids += close
-                n, at = len(ids) // 4, 0
-                for size in pieces(n, capacity):
-                    part = ids[4 * at : 4 * (at + size)]
-                    start.append(at)
-                    length.append(size)
-                    crc.append(zlib.crc32(part))
-                    total.append(n)
-                    at += size
-                    if tokens:
-                        held.append(part)
-                offsets.append(len(start))
-        columns = [pa.array(c, pa.int64()) for c in (start, length, crc, total)]
-        names = ["start", "length", "ids_crc32", "doc_tokens"]
-        if tokens:
-            ends = np.concatenate([[0], np.cumsum(np.array(length, np.int64))]).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(held), "<u4").astype(np.int32), pa.int32())
-            columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values))
-            names.append("tokens")
-        rows = pa.StructArray.from_arrays(columns, names=names)
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
-
-    @F.arrow_udf(f"array<struct<{fields.replace(' long', ':long').replace(' array', ':array')}>>")
-    def cut(texts: pa.Array) -> pa.Array:
-        parts = [rows_of(texts.slice(k, PART).to_pylist()) for k in range(0, max(1, len(texts)), PART)]
-        return parts[0] if len(parts) == 1 else pa.concat_arrays(parts)
-
-    out = docs.select("doc_id", F.explode(cut(F.col("text"))).alias("p")).select("doc_id", "p.*")
+    own = docs.select("doc_id", "text")
+    fields = [own.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in FIELDS]]
+    if tokens:
+        fields.append(T.StructField("tokens", T.ArrayType(T.IntegerType())))
+    out = own.mapInArrow(lambda batches: cut(batches, path, end_id, capacity, tokens, cache), T.StructType(fields))
     return out.select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens",
+        "doc_id", *FIELDS,
         F.monotonically_increasing_id().alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"),
         F.log2("length").cast("int").alias("bucket"),

@@ -28,13 +28,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lautwerk.llm.common import texts_of
+from lautwerk.llm.common import slices, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: At most so many documents, of at most so many code points, train the field.
@@ -318,21 +319,22 @@ def found(docs: DataFrame, field: Field) -> DataFrame:
 def redacted(docs: DataFrame, field: Field) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets, and ``n_chars``, where there is one, counted anew."""
 
-    @F.arrow_udf("string")
-    def mask(texts: pa.Array) -> pa.Array:
-        out = []
-        for t in texts_of(texts):
-            if t and _QUICK.search(t):
-                base = base_spans(t)
-                parts, last = [], 0
-                for s, k, e in sorted(base + added_spans(t, base, field)):
-                    if s >= last:
-                        parts += [t[last:s], f"[{KINDS[k].upper()}]"]
-                    last = max(last, e)
-                parts.append(t[last:])
-                t = "".join(parts)
-            out.append(t)
-        return pa.array(out, pa.string())
-
-    out = docs.withColumn("text", mask(F.col("text")))
+    def masked(t: str | None) -> str | None:
+        if not t or not _QUICK.search(t):
+            return t
+        base = base_spans(t)
+        parts, last = [], 0
+        for s, k, e in sorted(base + added_spans(t, base, field)):
+            if s >= last:
+                parts += [t[last:s], f"[{KINDS[k].upper()}]"]
+            last = max(last, e)
+        parts.append(t[last:])
+        return "".join(parts)
+
+    def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for few in slices(batches):
+            at = few.schema.get_field_index("text")
+            yield few.set_column(at, few.schema.field(at), pa.array(map(masked, few.column(at).to_pylist()), few.schema.field(at).type))
+
+    out = docs.mapInArrow(mask, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

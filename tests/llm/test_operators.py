@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -366,6 +367,15 @@ def test_packing_round_trip(odd, none, docs):
     assert packing.packed(none, path).count() == 0
 
 
+def test_pieces_leave_before_a_batch_is_read(monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(packing, "PART", 3)
+    texts = [None, "", "one two", "three", "four five six", "seven", "eight"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    got = list(packing.cut([batch], P.path("word_bpe_49k.json"), 2, 4096, True, 100))
+    assert [sorted(set(b.column("doc_id").to_pylist())) for b in got] == [[0, 1, 2], [3, 4, 5], [6]]
+
+
 # --- near-duplicates of documents
 
 
