@@ -57,8 +57,8 @@ from lautwerk.llm.common import Scratch
 LOAD, SPARE, WORDS = 0.55, 8, 4
 #: A sketch that got stuck is followed by one of so many times the cells.
 GROW = 4
-#: Passes of peeling, a part's cells in each, in turn.
-PASSES = 18
+#: Passes of peeling, a part's cells in each, in turn; passes of one plan, a multiple of the three parts.
+PASSES, STEP = 18, 6
 #: Rows of a block, about; pieces of the ids' range that are as populous as each other; blocks of a group of blocks.
 BLOCK, PIECES, GROUP = 512, 64, 4096
 #: The row of a comparison that counts peeled digests.
@@ -119,8 +119,8 @@ def sketched(rows: DataFrame, keys: list[str]) -> DataFrame:
     return _summed(each, keys)
 
 
-def peeled(cells: DataFrame, keys: list[str], passes: int = PASSES) -> DataFrame:
-    """``keys.., found, stuck`` of subtracted sketches: digests that were recovered, and cells that are left; keys hold third.
+def passed(cells: DataFrame, keys: list[str], passes: int) -> DataFrame:
+    """Cells after so many passes, from the first part on.
 
     A pass looks at one part: a pure cell gives its digest, with the opposite
     sign, to its three cells (itself among them), and one to the tally.
@@ -136,9 +136,31 @@ def peeled(cells: DataFrame, keys: list[str], passes: int = PASSES) -> DataFrame
         tally = F.struct(F.lit(TALLY).cast("long").alias("cell"), F.lit(1).cast("long").alias("c"), zero.alias("k"), zero.alias("h"))
         rows = cells.select(*keys, F.explode(F.when(pure, F.array(own, *gives, tally)).otherwise(F.array(own))).alias("x"))
         cells = _summed(rows.select(*keys, "x.*"), keys)
-    return cells.groupBy(*keys).agg(
-        F.sum(F.when(F.col("cell") == TALLY, F.col("c")).otherwise(0)).alias("found"), F.count_if(F.col("cell") != TALLY).alias("stuck")
-    )
+    return cells
+
+
+def peeled(cells: DataFrame, keys: list[str], passes: int = PASSES, scratch: Scratch | None = None) -> DataFrame:
+    """``keys.., found, stuck`` of subtracted sketches: digests that were recovered, and cells that are left; keys hold third.
+
+    With a scratch, what is left after STEP passes is written, still dealt out
+    by the first key, so no plan (nor the code made of it) has all passes, and
+    none are made once nothing is left; the result is written too.
+    """
+    def counted(cells: DataFrame) -> DataFrame:
+        return cells.groupBy(*keys).agg(
+            F.sum(F.when(F.col("cell") == TALLY, F.col("c")).otherwise(0)).alias("found"), F.count_if(F.col("cell") != TALLY).alias("stuck")
+        )
+
+    if scratch is None:
+        return counted(passed(cells, keys, passes))
+    for done in range(0, passes, STEP):
+        before, cells = cells, scratch.keep(passed(cells, keys, min(STEP, passes - done)), "cells", bucket=keys[0])
+        scratch.drop(before)
+        if cells.where(F.col("cell") != TALLY).isEmpty():
+            break
+    found = scratch.keep(counted(cells), "peeled")
+    scratch.drop(cells)
+    return found
 
 
 def differences(pairs: DataFrame, keys: list[str], scratch: Scratch) -> tuple[DataFrame, int]:
@@ -153,7 +175,7 @@ def differences(pairs: DataFrame, keys: list[str], scratch: Scratch) -> tuple[Da
         signed = F.concat(*[F.transform(c, lambda d: F.struct(d.alias("d"), F.lit(s).cast("long").alias("sign"))) for c, s in (("a", 1), ("b", -1))])
         rows = left.select(*keys, "third", F.explode(signed).alias("x")).select(*keys, "third", "x.*")
         inner = [*keys, "third"]
-        found = scratch.keep(peeled(sketched(rows, inner), inner), "peeled")
+        found = peeled(sketched(rows, inner), inner, scratch=scratch)
         tries += 1
         ok = found.where("stuck = 0").select(*keys, F.col("found").alias("differ"), "third")
         out = ok if out is None else out.unionByName(ok)

@@ -326,6 +326,21 @@ def test_larger_sketches_after_failure(spark):
         assert got[1].third > 8 and got[3].third == third
 
 
+def test_no_plan_has_all_passes(spark, monkeypatch):
+    made, keep = [], common.Scratch.keep
+
+    def kept(self, df, *how, **more):
+        made.append(df._jdf.queryExecution().analyzed().toString().count("Aggregate ["))
+        return keep(self, df, *how, **more)
+
+    monkeypatch.setattr(common.Scratch, "keep", kept)
+    df = spark.createDataFrame([(1, list(range(400)), list(range(200, 700)), 512)], "row long, a array<long>, b array<long>, third long")
+    df = df.select("row", *[F.transform(c, lambda x: F.xxhash64(x)).alias(c) for c in "ab"], "third")
+    out, tries = fingerprint.differences(df, ["row"], common.Scratch(spark, "d"))
+    assert [r.differ for r in out.collect()] == [500] and tries == 1
+    assert 0 < max(made) < 10
+
+
 def test_peeling_recovers_the_difference(spark):
     rows = [(1, 64, d, 1) for d in range(20)] + [(1, 64, d, -1) for d in range(15, 40)] + [(2, 4, d, 1) for d in range(200)]
     df = spark.createDataFrame(rows, "row long, third long, d long, sign long")
