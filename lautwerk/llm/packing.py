@@ -7,7 +7,9 @@ sequences of one length form a bucket, from which batches are drawn, and no
 sequence has padding, as its length is a power of two.
 
 Tokens come from a tokenizer file.  Its vocabulary works on words apart, so
-each worker keeps the ids of the white-space chunks it has met.
+each worker keeps the ids of the white-space chunks it has met.  Words of
+letters only are encoded many at once, and their ids told apart by the tokens
+that end a word; where these don't give as many words, each is encoded alone.
 Pieces leave a worker as soon as a part of a batch is cut, so a batch's ids
 are never held together.
 
@@ -19,10 +21,11 @@ sequence ids are unique, whatever the documents' ids are.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +41,14 @@ END_ID = 2
 CACHE = 800_000
 #: Documents whose pieces are put together at once.
 PART = 256
+#: Words of letters that are encoded as one text.
+JOINED = 2048
+#: How a token that ends a word is spelt.
+END_OF_WORD = "</w>"
 FIELDS = ("start", "length", "ids_crc32", "doc_tokens")
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _TOKENIZERS: dict = {}
-_SPACE = re.compile(r"[ \n]+")
 
 
 class Words:
@@ -54,33 +60,57 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(END_OF_WORD)]] = True
         self.cache = cache
         self.known: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
 
     def ids(self, texts: list) -> list[bytes]:
         """Splits at plain spaces and line breaks only: the tokenizer drops white space and merges nothing across it."""
-        chunks = [_SPACE.split(t) if t else [] for t in texts]
-        known, stems = self.known, self.stems
-        if len(known) > self.cache:
-            known.clear()
-        if len(stems) > self.cache:
-            stems.clear()
-        parts = {}
-        for own in chunks:
-            for c in own:
-                if c not in known and c not in parts:
-                    # letters, then marks: the marks are a match of their own; letters are folded anyway
-                    word = c.rstrip(MARKS)
-                    whole = len(word) == len(c) or not word.lower().isalpha()
-                    word = c if whole else word
-                    parts[c] = (word.lower() if word.isascii() else word, "" if whole else c[len(word) :])
-        fresh = list({p for both in parts.values() for p in both if p not in stems})
-        if fresh:
-            got = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-            stems.update((c, array("I", e.ids).tobytes()) for c, e in zip(fresh, got))
-        known.update((c, stems[word] + stems[marks] if marks else stems[word]) for c, (word, marks) in parts.items())
-        return [b"".join(map(known.__getitem__, own)) for own in chunks]
+        chunks = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+        if len(self.known) > self.cache:
+            self.known.clear()
+        if len(self.stems) > self.cache:
+            self.stems.clear()
+        self._learn(set(chain.from_iterable(chunks)).difference(self.known))
+        return [b"".join(map(self.known.__getitem__, own)) for own in chunks]
+
+    def _learn(self, fresh: set[str]) -> None:
+        stems, parts, letters, others = self.stems, {}, set(), set()
+        for c in fresh:
+            # letters, then marks: the marks are a match of their own, unless normalising leaves a mark at the letters' end; letters are folded anyway
+            word = c.rstrip(MARKS)
+            plain = word.isascii() and word.isalpha() or word.lower().isalpha() and is_normalized("NFC", word)
+            word, marks = (word, c[len(word) :]) if plain else (c, "")
+            if word.isascii():
+                word = word.lower()
+            parts[c] = word, marks
+            if word not in stems:
+                (letters if plain else others).add(word)
+            if marks and marks not in stems:
+                others.add(marks)
+        letters = list(letters)
+        for k in range(0, len(letters), JOINED):
+            self._joined(letters[k : k + JOINED])
+        self._apart(list(others))
+        self.known.update((c, stems[word] + stems[marks] if marks else stems[word]) for c, (word, marks) in parts.items())
+
+    def _joined(self, letters: list[str]) -> None:
+        """Each word has at least one match, so as many ends as words mean one match each."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+        if len(ends) != len(letters):
+            return self._apart(letters)
+        raw = ids.tobytes()
+        self.stems.update((w, raw[a:b]) for w, a, b in zip(letters, [0, *ends], ends))
+
+    def _apart(self, fresh: list[str]) -> None:
+        for k in range(0, len(fresh), JOINED):
+            own = fresh[k : k + JOINED]
+            got = self.tokenizer.encode_batch_fast(own, add_special_tokens=False)
+            self.stems.update((c, array("I", e.ids).tobytes()) for c, e in zip(own, got))
 
 
 def words(path: str, cache: int = CACHE) -> Words:

@@ -391,6 +391,24 @@ def test_pieces_leave_before_a_batch_is_read(monkeypatch):
     assert [sorted(set(b.column("doc_id").to_pylist())) for b in got] == [[0, 1, 2], [3, 4, 5], [6]]
 
 
+def test_words_of_letters_are_encoded_many_at_once():
+    P = pytest.importorskip("public_tokenizers")
+    words = packing.Words(P.path("word_bpe_49k.json"))
+    plain, sent = words.tokenizer, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **how):
+            sent.append(len(texts))
+            return plain.encode_batch_fast(texts, **how)
+
+    words.tokenizer = Counted()
+    # U+0958 and U+FB1D normalise to a letter and a mark, which then joins the marks behind it
+    texts = [" ".join(f"word{chr(97 + k % 26)}{'x' * (k // 26)}" for k in range(500)), "Straße, İstanbul! K ﬁn it's 12a", "\u0958> \ufb1d... \u0958"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in words.ids(texts)]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sum(sent) < 20
+
+
 # --- near-duplicates of documents
 
 
