@@ -250,15 +250,15 @@ def explore(rows: DataFrame, steps: int, scratch: Scratch, percent: int, apart:
     """Pairs (a, b, agree) that meet in small nodes, and the members (node, key, n) of dense nodes and of those still large after the last step.
 
     apart: components of classes are known; nodes within one component end, and only pairs across count; else
-    the pairs with the heads of the latter nodes count, too.  A level is dropped once the next one is written.
+    the pairs with the heads of the latter nodes count, too.  A level is dropped once its children are written;
+    they are written since their sizes, sums and members are read apart, and would be made for each of these again.
     """
     columns = ["key", "n", *[f"l{k}" for k in range(LANES // 8)], *(["comp"] if apart else [])]
-    found, level, large = [], None, []
+    found, large = [], []
     for step in range(steps + 1):
         sized = scratch.keep(with_size(rows, apart), f"step{step}_")
-        if level is not None:
-            scratch.drop(level)
-        level = sized
+        if step:
+            scratch.drop(rows)
         small, rest = sized.where(F.col("size") <= SMALL), sized.where(F.col("size") > SMALL)
         found.append(scratch.keep(_met(small, small, percent, True, apart), "met"))
         if rest.isEmpty():
@@ -270,9 +270,10 @@ def explore(rows: DataFrame, steps: int, scratch: Scratch, percent: int, apart:
         rest = rest.where("not dense")
         if step == steps or rest.isEmpty():
             break
-        rows = rest.select(*columns, _child(step).alias("node"))
+        rows = scratch.keep(rest.select(*columns, _child(step).alias("node")), "children")
+        scratch.drop(sized)
     pairs = scratch.keep(_all(found).distinct(), "candidates")
-    scratch.drop(level, *found)
+    scratch.drop(sized, *found)
     return pairs, large
 
 

@@ -544,6 +544,32 @@ def test_recall_in_groups_near_the_threshold(spark, monkeypatch):
     assert len(linked) > 200 and sum(x < 0.85 for x in alike) > 100 and found >= 0.99 * len(linked), (found, len(linked))
 
 
+def test_children_of_nodes_are_made_once(spark, monkeypatch):
+    # a family at similarity 0.3 to 0.5, whose nodes branch at every step: its children are in proportion to its members
+    monkeypatch.setattr(minhash, "DENSE", 2.0)
+    monkeypatch.setattr(minhash, "SMALL", 4)
+    with_size, seen = minhash.with_size, []
+
+    def watched(rows, apart):
+        seen.append((rows.count(), "Generate" in rows._jdf.queryExecution().optimizedPlan().toString()))
+        return with_size(rows, apart)
+
+    monkeypatch.setattr(minhash, "with_size", watched)
+    made = []
+    for members in (60, 120):
+        texts = [" ".join([f"w{k}" for k in range(150)] + [f"x{i}_{k}" for k in range(80)]) for i in range(members)]
+        seen.clear()
+        scratch = minhash.Scratch(spark, "once")
+        classes = minhash.signed(docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)])).drop("mark")
+        rows = minhash.roots(scratch.keep(classes, "classes"), scratch)
+        minhash.explore(rows.where("tree < 4").drop("tree"), 2, scratch, minhash.PERCENT, False)
+        assert len(seen) == 3 and not any(again for _, again in seen[1:])
+        assert all(n <= 2 * before for (before, _), (n, _) in zip(seen, seen[1:]))
+        made.append(sum(n for n, _ in seen[1:]))
+        scratch.clear()
+    assert made[1] < 3 * made[0], made
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     rows = minhash.near_duplicates(odd).collect()
     assert len(rows) == len(ODD)
