@@ -88,6 +88,24 @@ def test_costs_by_place_are_followed_in_spans_too():
     assert cost[0] == -4.0  # p t ~ t p: each symbol with its own, at its own place
 
 
+def test_pairs_of_about_one_shape_are_filled_together(monkeypatch):
+    pairs = mutated(300, 7)
+    m = model_of(pairs, [((("t", "a"), ("t", "r", "a")), -2.0), ((("k",), ("k", "s")), -1.5)])
+    c = m.coded()
+    sources, targets = [s for s, _ in pairs], [t for _, t in pairs]
+    place = np.random.default_rng(3).normal(0, 0.2, (len(pairs), 16, 16))
+    overlay = lambda at, x, y, ones: (ones + place[at][:, : x.shape[1], : y.shape[1]], ones + 2 * place[at][:, : x.shape[1], : y.shape[1]])
+    fills, fill = [], lattice.fill
+    monkeypatch.setattr(lattice, "fill", lambda *a: fills.append(a[1].shape) or fill(*a))
+    got = [lattice.align_many(sources, targets, c, o) for o in (None, overlay)]
+    shapes = {(len(s), len(t)) for s, t in pairs}
+    assert len(fills) < len(shapes)  # two runs take fewer fills than there are shapes
+    monkeypatch.setattr(lattice, "STEP", 1)
+    for (links, cost), o in zip(got, (None, overlay)):
+        want_links, want_cost = lattice.align_many(sources, targets, c, o)
+        assert (links == want_links).all() and (cost == want_cost).all()
+
+
 def plain_loop(pairs, rounds=30, tolerance=1e-4):
     """Counts of the last round by the scalar aligner."""
     alpha, log_z = pairwise.prior(sorted({x for s, t, _ in pairs for x in (*s, *t)}))
