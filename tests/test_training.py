@@ -201,6 +201,24 @@ def test_the_most_specific_rule_counts():
     assert pairwise.Overlay(m, c, words, [], [])(np.array([0]), x, y, ones)[0][0, 0, 0] == m.under_rule("l", "r", 3.0)
 
 
+def test_a_rare_rule_without_exceptions_takes_no_link_apart(spark):
+    """l is ɾ before vowels, before o a few times only: a rule of its own for those makes the pair cheaper, as one for the others does."""
+    rng, rows = random.Random(8), ["cognate_id\tlect_id\tsegments"]
+    words = sorted({"".join(rng.choice("ptklll") + rng.choice("aei") for _ in range(3)) + rng.choice(["", "l"]) for _ in range(300)}) + ["lot", "plot", "klos", "palo"]
+    made = ["".join("ɾ" if c == "l" and w[i + 1 : i + 2] in ("a", "e", "i", "o") else c for i, c in enumerate(w)) for w in words]
+    for k, (w, new) in enumerate(zip(words, made)):
+        rows += [f"{k}\told\t{' '.join(w)}", f"{k}\txnew\t{' '.join(new)}"]
+    model = train(corpus.load_long(spark, text="\n".join(rows)), Options(null_draws=0))
+    total = float(sum(w.count("ɾ") for w in made))
+    told = [("old", "xnew", "source", "l", "ɾ", [f"following:{f}=+"], n, 1.0, 0.5, 9.0, k) for k, (f, n) in enumerate([("rounded", 4.0), ("unrounded", total - 4)])]
+    kinds = {f.name: f.dataType.simpleString() for f in model.pair_rules.schema.fields}
+    model.__dict__["pair_rules"] = spark.createDataFrame(told, ", ".join(f"{c} {kinds[c]}" for c in pairwise.RULES))
+    priced = [r["count"] for r in pairwise.shared(model.pair_rules, model.models).collect()]
+    assert len(priced) == 2 and min(priced) > total
+    held = {(r.source, r.target): r["count"] for r in model.segments.collect()}
+    assert held["l", "ɾ"] == total and model.gaps.isEmpty()
+
+
 def test_environments_of_cross_dimensional_rules():
     seg = lambda g, tone="": {"grapheme": g, "tone": tone, "length": "", "stress": ""}
     form = [seg("b"), seg("a", "²"), seg("t")]
