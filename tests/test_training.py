@@ -169,6 +169,24 @@ def test_tones_and_their_conditions(tonal):
     assert tonal.links.agg(F.avg("cost")).first()[0] < tonal.first_links.agg(F.avg("cost")).first()[0] - 1
 
 
+def test_searches_carry_numbers_of_tokens(tonal, monkeypatch):
+    kinds, search = [], classes.searched
+    monkeypatch.setattr(classes, "searched", lambda rows, *a, **k: kinds.append(dict(rows.dtypes)["tokens"]) or search(rows, *a, **k))
+    pairwise.conditions(tonal.singles, tonal.environments)
+    found = classes.conditioned(tonal.observations, tonal.sets, 5, held=tonal.environments)
+    assert kinds == ["array<smallint>"] * 2
+    text = lambda rows: sorted(map(str, rows.collect()))
+    rows = classes.pivot_rows(tonal.observations, tonal.sets, tonal.environments)
+    assert text(found) == text(search(rows.drop("set_id"), 5))
+    codes, names = contexts.coded(tonal.environments)
+    decided = classes.decided(classes.pivot_rows(tonal.observations, tonal.sets, codes), tonal.conditioned, ["set_id"], names)
+    assert text(decided) == text(classes.decided(rows, tonal.conditioned, ["set_id"]))
+    plain = {(r.word, r.pos): r.tokens for r in tonal.environments.collect()}
+    assert {(r.word, r.pos): [names[t] for t in r.tokens] for r in codes.collect()} == plain
+    some = tonal.environments.limit(1).select(contexts.codes_of(F.array(F.lit(names[2]), F.lit("no:such=+")), names).alias("c"))
+    assert some.first().c == [2, -1]
+
+
 def test_rules_of_both_sides(spark):
     rng, rows = random.Random(5), ["cognate_id\tlect_id\tsegments"]
     for k in range(80):
