@@ -170,6 +170,7 @@ def test_tones_and_their_conditions(tonal):
 
 
 def test_searches_carry_numbers_of_tokens(tonal, monkeypatch):
+    tonal.run()
     kinds, search = [], classes.searched
     monkeypatch.setattr(classes, "searched", lambda rows, *a, **k: kinds.append(dict(rows.dtypes)["tokens"]) or search(rows, *a, **k))
     pairwise.conditions(tonal.singles, tonal.environments)
@@ -187,6 +188,15 @@ def test_searches_carry_numbers_of_tokens(tonal, monkeypatch):
     assert some.first().c == [2, -1]
 
 
+def test_contexts_are_shuffled_once(spark):
+    schema = "pivot_lect string, pivot string, tokens array<smallint>, sisters array<struct<lect:string,grapheme:string>>, weight double"
+    rows = spark.createDataFrame([("x", "p", [k % 2], [("o", "ab"[k % 2])], 1.0) for k in range(20)], schema)
+    found = classes.searched(rows, 0, names=["following:s=+", "preceding:t=+"])
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    text = spark.createDataFrame([("x", "p", [["following:s=+"], ["preceding:t=+"]][k % 2], [("o", "ab"[k % 2])], 1.0) for k in range(20)], schema.replace("smallint", "string"))
+    assert len(found.collect()) > 0 and sorted(map(str, found.collect())) == sorted(map(str, classes.searched(text, 0).collect()))
+
+
 def test_rules_of_both_sides(spark):
     rng, rows = random.Random(5), ["cognate_id\tlect_id\tsegments"]
     for k in range(80):
